@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from tessella.llm.bpe import op7_chunked_bpe
 from tessella.llm.decontaminate import op10_pigeonhole_matches
+from tessella.llm.html_text import op8_text_tag_ratio
 from tessella.llm.quality import op1_compression_bands
+from tessella.llm.secrets import op3_markov_secrets
 from tessella.llm.sharding import op2_interleaved_shards
 
-_ALL = [op1_compression_bands, op2_interleaved_shards, op7_chunked_bpe, op10_pigeonhole_matches]
+_ALL = [op1_compression_bands, op2_interleaved_shards, op3_markov_secrets, op7_chunked_bpe, op8_text_tag_ratio, op10_pigeonhole_matches]
 
 
 def queries() -> dict:
