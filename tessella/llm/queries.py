@@ -8,8 +8,9 @@ from tessella.llm.html_text import op8_text_tag_ratio
 from tessella.llm.quality import op1_compression_bands
 from tessella.llm.secrets import op3_markov_secrets
 from tessella.llm.sharding import op2_interleaved_shards
+from tessella.llm.substrings import op6_superkmer_dedup
 
-_ALL = [op1_compression_bands, op2_interleaved_shards, op3_markov_secrets, op7_chunked_bpe, op8_text_tag_ratio, op10_pigeonhole_matches]
+_ALL = [op1_compression_bands, op2_interleaved_shards, op3_markov_secrets, op6_superkmer_dedup, op7_chunked_bpe, op8_text_tag_ratio, op10_pigeonhole_matches]
 
 
 def queries() -> dict:
