@@ -1,27 +1,28 @@
 """Byte-pair encoding with content-defined chunk reuse.
 
-A rolling hash of the bytes cuts every text into chunks at places that only the nearby content decides, so copies and
-shared passages are cut alike wherever they stand. A worker encodes each distinct chunk once and keeps the result in a
-memo of bounded size. Chunks cut through words, so every join is repaired: the text from the last settled word boundary
-on is encoded again, over more and more of the next chunk, until a word boundary of that piece and one of the chunk
-agree; from there on the chunk's own ids hold. The result is exactly that of encoding the whole text.
-
-Why agreement is enough: the tokenizer first cuts out added tokens, then splits words left to right, then merges within
-words. Where a piece that begins at a true word boundary has a boundary, and at least one whole word and the length of the
-longest added token follow, that boundary is true for the whole text; and from a true boundary on, a chunk's words are
-those of the whole text, but for its own last ones.
-
-One map over the texts, no shuffle. Chunks are shared within a task: to send every chunk to one owner would shuffle the
-whole corpus and its ids, several times the bytes that encoding reads.
+A rolling hash of the text cuts it into chunks at places that only the nearby content decides, so copies and shared
+passages are cut alike wherever they stand. A worker encodes each distinct chunk once and keeps its ids in a memo of
+bounded size. Chunks cut through words, so every join is repaired: from the last sure word boundary of the left chunk
+the text is encoded again into the right chunk, until the new ids and the right chunk's own ids agree from one sure
+boundary to the next; where they never do, the piece grows over the whole chunk. The result is exactly that of encoding
+the whole text.
+
+A boundary is sure between a visible ASCII sign and ASCII white space: no word of the byte-level pattern holds white space
+after anything else, so every scan, wherever it began, splits there, and what follows depends on what follows alone.
+
+One map over the texts, no shuffle. Chunks are shared within a worker: to send every chunk to one owner would shuffle
+the whole corpus and its ids, several times the bytes that encoding reads.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
+import json
 import os
+import re
+from array import array
 from collections import OrderedDict
-from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -67,130 +68,126 @@ def cut_points(text: str) -> list[int]:
     return cuts
 
 
-class _Encoded:
-    """A chunk's ids and its word boundaries, looked up by need."""
+#: Fixed value: the byte-level pre-tokenizer's pattern.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-    __slots__ = ("enc", "ids", "n")
 
-    def __init__(self, enc, n: int):
-        self.enc, self.ids, self.n = enc, enc.ids, n
+class Vocabulary:
+    """A byte-level BPE tokenizer file: ranks of byte strings, added tokens.
 
-    def word_at(self, pos: int) -> tuple[int, int, int] | None:
-        """Start, end and first token of the word that holds code point pos. Words are told by their tokens."""
-        t = self.enc.char_to_token(pos)
-        if t is None:
-            return None
-        w = self.enc.token_to_word(t)
-        if w is None:  # an added token: a word of its own
-            a, b = self.enc.token_to_chars(t)
-            return a, b, t
-        a, b = self.enc.word_to_chars(w)
-        return a, b, self.enc.word_to_tokens(w)[0]
+    Raises ValueError for files whose encoding depends on more than PATTERN, merges and plain added tokens.
+    """
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        model, split = spec["model"], spec["pre_tokenizer"] or {}
+        plain = model["type"] == "BPE" and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
+        if not plain or spec["normalizer"] or model.get("dropout") or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix"):
+            raise ValueError(f"{path}: not a plain byte-level BPE")
+        if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in spec["added_tokens"]):
+            raise ValueError(f"{path}: added tokens that look at their surroundings")
+        visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [b for b in range(256) if b not in set(visible)]
+        byte_of = {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(rest)}
+        self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        vocab = {t: i for t, i in model["vocab"].items() if t not in self.added}
+        made = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+        if any(a >= b for a, b in zip(made, made[1:], strict=False)):
+            raise ValueError(f"{path}: ids do not follow the merges")
+        self.ranks = {bytes(byte_of[c] for c in t): i for t, i in vocab.items()}
 
 
 class ChunkEncoder:
-    """Encodes texts as the given tokenizer does; equal chunks are encoded once while the memo holds them.
+    """Encodes texts as the given tokenizer file does; equal chunks are encoded once while the memo holds them.
 
     memo_chars bounds the code points of the memo; the chunks used least recently leave it.
     """
 
-    def __init__(self, tokenizer, memo_chars: int = 2_000_000):
-        self.tok, self.memo, self.room = tokenizer, OrderedDict(), memo_chars
-        added = [str(t.content) for t in tokenizer.get_added_tokens_decoder().values()]
-        self.margin = max([1, *map(len, added)])
+    def __init__(self, path: str, memo_chars: int = 8_000_000):
+        import tiktoken
+
+        vocabulary = Vocabulary(path)
+        self.core = tiktoken.Encoding("chunks", pat_str=PATTERN, mergeable_ranks=vocabulary.ranks, special_tokens={})
+        self.added = vocabulary.added
+        self.special = re.compile("|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True))) if self.added else None
+        top = max(vocabulary.ranks.values()) + 1
+        self.length, self.begins, self.ends = [0] * top, bytearray(top), bytearray(top)
+        for token, i in vocabulary.ranks.items():
+            self.length[i] = len(token)
+            self.begins[i] = token[0] in b" \t\n\x0b\x0c\r"
+            self.ends[i] = 33 <= token[-1] <= 126
+        self.memo: OrderedDict[str, list[int]] = OrderedDict()
+        self.room = memo_chars
         self.chunks = self.reused = 0
 
-    def _encode(self, pieces: list[str]) -> list[_Encoded]:
-        return [_Encoded(e, len(p)) for e, p in zip(self.tok.encode_batch(pieces, add_special_tokens=False), pieces, strict=True)]
-
-    def encode_batch(self, texts: Iterable[str]) -> list[list[int]]:
-        plans = []
-        new: dict[str, None] = {}
-        for text in texts:
-            cuts = cut_points(text)
-            pieces = [text[a:b] for a, b in zip([0, *cuts], cuts)]
-            plans.append((text, pieces))
-            for p in pieces:
-                self.chunks += 1
-                if p in self.memo or p in new:
-                    self.reused += 1
-                else:
-                    new[p] = None
-        fresh = dict(zip(new, self._encode(list(new)), strict=True))
-        out = []
-        for text, pieces in plans:
-            parts = []
-            for p in pieces:
-                if p in fresh:
-                    parts.append(fresh[p])
-                else:
-                    self.memo.move_to_end(p)
-                    parts.append(self.memo[p])
-            out.append(self._join(text, parts))
-        for p, e in fresh.items():
-            self.memo[p] = e
-            self.room -= len(p)
+    def _chunk(self, piece: str) -> list[int]:
+        self.chunks += 1
+        ids = self.memo.get(piece)
+        if ids is not None:
+            self.reused += 1
+            self.memo.move_to_end(piece)
+            return ids
+        ids = self.memo[piece] = array("I", self.core.encode_ordinary(piece))
+        self.room -= len(piece)
         while self.room < 0:
-            p, _ = self.memo.popitem(last=False)
-            self.room += len(p)
-        return out
-
-    def _tail(self, e: _Encoded, least: int) -> tuple[int, int] | None:
-        """A word boundary of e, at least `margin` code points and a whole word before its end, and not before `least`:
-        its place and first token; None if there is none."""
-        pos = e.n - 1 - self.margin
-        if pos < least:
-            return None
-        w = e.word_at(pos)
-        if w is None or w[0] < least:
-            return None
-        return w[0], w[2]
-
-    def _join(self, text: str, parts: list[_Encoded]) -> list[int]:
-        if not parts:
+            old, _ = self.memo.popitem(last=False)
+            self.room += len(old)
+        return ids
+
+    def encode(self, text: str) -> list[int]:
+        if self.special is None or not self.special.search(text):
+            return self._plain(text)
+        out, at = [], 0
+        for m in self.special.finditer(text):
+            out += self._plain(text[at : m.start()])
+            out.append(self.added[m[0]])
+            at = m.end()
+        return out + self._plain(text[at:])
+
+    def _boundary(self, ids, a: int, b: int, step: int) -> int:
+        """The first token from a to b (exclusive) that begins at a sure boundary; -1 if none does."""
+        begins, ends = self.begins, self.ends
+        for k in range(a, b, step):
+            if begins[ids[k]] and ends[ids[k - 1]]:
+                return k
+        return -1
+
+    def _bytes(self, ids) -> int:
+        length = self.length
+        return sum([length[i] for i in ids])
+
+    def _plain(self, text: str) -> list[int]:
+        cuts = cut_points(text)
+        if not cuts:
             return []
+        pieces = [text[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
+        cur, first, data = self._chunk(pieces[0]), 0, pieces[0].encode("utf-8")  # its ids from `first` are to come
         out: list[int] = []
-        base = 0  # where the current piece of encoding begins in the text
-        cur, first, frm = parts[0], 0, 0  # its ids from token `first`, at its code point `frm`, are not yet in out
-        end = cur.n
-        for nxt in parts[1:]:
-            tail = self._tail(cur, frm)
-            if tail is None:  # too short to have settled words: all that is left is encoded with what follows
-                tail = (frm, first)
-            out += cur.ids[first : tail[1]]
-            start = base + tail[0]  # a true word boundary
-            more = 24
-            while True:
-                stop = min(end + more, end + nxt.n)
-                bridge = self._encode([text[start:stop]])[0]
-                sync = self._agree(bridge, nxt, end - start) if stop < end + nxt.n else None
-                if sync:
-                    out += bridge.ids[: sync[0]]
-                    base, cur, first, frm = end, nxt, sync[1], sync[2]
+        for piece in pieces[1:]:
+            nxt, more = self._chunk(piece), piece.encode("utf-8")
+            k = self._boundary(cur, len(cur) - 1, first, -1)
+            k = first if k < 0 else k
+            out += cur[first:k]
+            tail = data[len(data) - self._bytes(cur[k:]) :]
+            j = self._boundary(nxt, 1, len(nxt), 1)
+            while j > 0:
+                j2 = self._boundary(nxt, j + 1, len(nxt), 1)
+                if j2 < 0:
+                    j = -1
                     break
-                if stop == end + nxt.n:  # no agreement within the chunk: the bridge takes its place
-                    base, cur, first, frm = start, bridge, 0, 0
+                own = list(nxt[j:j2])
+                bridge = self.core.encode_ordinary((tail + more[: self._bytes(nxt[:j2])]).decode("utf-8"))
+                if bridge[-len(own) :] == own:
+                    out += bridge[: -len(own)]
                     break
-                more *= 4
-            end += nxt.n
-        return out + cur.ids[first:]
-
-    def _agree(self, bridge: _Encoded, nxt: _Encoded, offset: int) -> tuple[int, int, int] | None:
-        """A settled word boundary of the bridge that is one of the next chunk too: the bridge's token, the chunk's token,
-        the chunk's code point. offset: where the chunk begins in the bridge."""
-        pos = bridge.n - 1 - self.margin
-        while pos > offset:
-            w = bridge.word_at(pos)
-            if w is None:
-                return None
-            at = w[0] - offset
-            if at < 0:
-                return None
-            v = nxt.word_at(at)
-            if v is not None and v[0] == at:
-                return w[2], v[2], at
-            pos = w[0] - 1
-        return None
+                j = j2
+            if j > 0:
+                cur, first, data = nxt, j, more
+            else:
+                data = tail + more
+                cur, first = self.core.encode_ordinary(data.decode("utf-8")), 0
+        return out + list(cur[first:])
 
 
 def load_tokenizer(path: str):
@@ -203,10 +200,10 @@ def load_tokenizer(path: str):
 
 
 @functools.lru_cache(maxsize=1)
-def worker_encoder(path: str) -> ChunkEncoder:
-    """One for each worker process, so that its memo outlives a batch."""
+def worker_encoder(path: str) -> tuple[ChunkEncoder, object]:
+    """One encoder and decoder for each worker process, so that the memo outlives a batch."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return ChunkEncoder(load_tokenizer(path))
+    return ChunkEncoder(path), load_tokenizer(path)
 
 
 def sha256_ids(ids: list[int]) -> str:
@@ -226,19 +223,18 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", digests: bool = Fals
     kind = dict(docs.dtypes)[key]
 
     def run(batch: pa.RecordBatch) -> dict:
-        encoder = worker_encoder(path)
-        out = {key: batch.column(0)}
-        texts = [t or "" for t in batch.column(1).to_pylist()]
+        encoder, decoder = worker_encoder(path)
+        out: dict[str, list] = {"n": [], "ids": [], "decoded": []}
+        for text in batch.column(1).to_pylist():
+            ids = encoder.encode(text) if text else []
+            decoded = decoder.decode(ids, skip_special_tokens=False)
+            out["n"].append(len(ids))
+            out["ids"].append(sha256_ids(ids) if digests else array("I", ids))
+            out["decoded"].append(sha256_text(decoded) if digests else decoded)
+        keys, decoded = batch.column(0), pa.array(out["decoded"], pa.string())
         if digests:
-            n, a, b = [], [], []
-            for i in range(0, len(texts), 64):
-                for ids in encoder.encode_batch(texts[i : i + 64]):
-                    n.append(len(ids))
-                    a.append(sha256_ids(ids))
-                    b.append(sha256_text(encoder.tok.decode(ids, skip_special_tokens=False)))
-            return out | {"n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(a, pa.string()), "decoded_sha256": pa.array(b, pa.string())}
-        every = encoder.encode_batch(texts)
-        return out | {"ids": pa.array(every, pa.list_(pa.int32())), "decoded": pa.array([encoder.tok.decode(x, skip_special_tokens=False) for x in every], pa.string())}
+            return {key: keys, "n_tokens": pa.array(out["n"], pa.int64()), "ids_sha256": pa.array(out["ids"], pa.string()), "decoded_sha256": decoded}
+        return {key: keys, "ids": pa.array(out["ids"], pa.list_(pa.int32())), "decoded": decoded}
 
     more = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string"
     return map_batches(docs.selectExpr(f"`{key}`", "CAST(text AS STRING) AS text"), run, f"`{key}` {kind}, {more}")
