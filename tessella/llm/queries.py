@@ -5,13 +5,14 @@ from __future__ import annotations
 from tessella.llm.bpe import op7_chunked_bpe
 from tessella.llm.decontaminate import op10_pigeonhole_matches
 from tessella.llm.html_text import op8_text_tag_ratio
+from tessella.llm.language_model import op4_kneser_ney
 from tessella.llm.near_dups import op9_bottomk_near_dups
 from tessella.llm.quality import op1_compression_bands
 from tessella.llm.secrets import op3_markov_secrets
 from tessella.llm.sharding import op2_interleaved_shards
 from tessella.llm.substrings import op6_superkmer_dedup
 
-_ALL = [op1_compression_bands, op2_interleaved_shards, op3_markov_secrets, op6_superkmer_dedup, op7_chunked_bpe, op8_text_tag_ratio, op9_bottomk_near_dups, op10_pigeonhole_matches]
+_ALL = [op1_compression_bands, op2_interleaved_shards, op3_markov_secrets, op4_kneser_ney, op6_superkmer_dedup, op7_chunked_bpe, op8_text_tag_ratio, op9_bottomk_near_dups, op10_pigeonhole_matches]
 
 
 def queries() -> dict:
