@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import time
 import uuid
 from collections.abc import Callable, Iterator
 from urllib.parse import urlparse
@@ -64,17 +65,27 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/tessella-{uuid.uuid4().hex}"
 
 
+_collected = [0.0]
+
+
 def materialise(df: DataFrame, folder: str, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage ends here and a lost executor costs nothing."""
+    """Writes df to the shared folder and reads it back: lineage ends here and a lost executor costs nothing.
+
+    Spark removes the shuffle files behind df once the driver's JVM has collected what refers to them; every few
+    seconds it is told to, so that a chain of tables does not hold the files of all its steps at once.
+    """
     spark = df.sparkSession
     path = f"{folder}/{name}"
     schema = df.schema
     df.write.mode("overwrite").parquet(path)
+    if time.monotonic() - _collected[0] > 2:
+        spark.sparkContext._jvm.System.gc()
+        _collected[0] = time.monotonic()
     return spark.read.schema(schema).parquet(path)
 
 
 def delete_folder(spark: SparkSession, folder: str) -> None:
-    """Removes what materialise() wrote, by the file system that holds it."""
+    """Removes what materialise() wrote, by the file system that holds it; only once nothing will read it again."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -99,29 +110,125 @@ def mix64(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-class WordHashes:
-    """64-bit hashes of words, each computed once for a worker; the memo is emptied when it grows large."""
+class WordHasher:
+    """64-bit hashes of the words of whole Arrow string columns, from their bytes, without a Python string for each word.
+
+    A word's hash is the polynomial of its bytes' random values in an odd base, modulo 2 ** 64, finalised; it comes from
+    running sums over a block of text. lower: A-Z hash as a-z. Blocks of about `block` bytes end between words, so
+    temporaries stay small however long a text is.
+    """
+
+    _BASE = 0x9E3779B97F4A7C15
+
+    def __init__(self, seed: int = 0, lower: bool = False, block: int = 1 << 20):
+        rng = np.random.default_rng(seed + 1)
+        self._values = rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        if lower:
+            self._values[65:91] = self._values[97:123]
+        self._space = np.zeros(256, bool)
+        self._space[[9, 10, 11, 12, 13, 32]] = True
+        self._block, self._powers = block, np.empty(0, np.uint64)
+
+    def _grow(self, n: int) -> None:
+        """Powers of the base and of its inverse, for n places."""
+        if len(self._powers) < n:
+            mask = (1 << 64) - 1
+            make = lambda base: np.multiply.accumulate(np.concatenate(([np.uint64(1)], np.full(n - 1, base, np.uint64))))
+            with np.errstate(over="ignore"):
+                self._powers, self._inverse = make(np.uint64(self._BASE)), make(np.uint64(pow(self._BASE, -1, mask + 1)))
+
+    def column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all words of a string column, text after text, and where each text's begin (one more at the end).
+
+        Null texts have no words.
+        """
+        texts = texts.fill_null("") if texts.null_count else texts
+        n = len(texts)
+        wide = pa.types.is_large_string(texts.type)
+        offsets = np.frombuffer(texts.buffers()[1], np.int64 if wide else np.int32)[texts.offset : texts.offset + n + 1].astype(np.int64)
+        raw = texts.buffers()[2]
+        data = np.frombuffer(raw, np.uint8) if raw is not None else np.empty(0, np.uint8)
+        hashes, ends = [np.empty(0, np.uint64)], np.zeros(n + 1, np.int64)
+        total, i = 0, 0
+        while i < n:
+            j = i + 1
+            while j < n and offsets[j + 1] - offsets[i] <= self._block:
+                j += 1
+            at, stop = int(offsets[i]), int(offsets[j])
+            if j == i + 1 and stop - at > self._block:  # one long text, in pieces that end at white space
+                count = 0
+                while at < stop:
+                    cut = min(stop, at + self._block)
+                    while cut < stop and not self._space[data[cut]]:
+                        cut += 1
+                    h, _ = self._words(data[at:cut], np.array([0, cut - at]))
+                    hashes.append(h)
+                    count += len(h)
+                    at = cut
+                total += count
+                ends[j] = total
+            else:
+                h, start = self._words(data[at:stop], offsets[i : j + 1] - at)
+                hashes.append(h)
+                ends[i + 1 : j + 1] = total + np.searchsorted(start, offsets[i + 1 : j + 1] - at)
+                total += len(h)
+            i = j
+        return np.concatenate(hashes), ends
+
+    def _words(self, data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the words in data and where each begins; no word crosses a cut between texts."""
+        solid = ~self._space[data]
+        begin = np.zeros(len(data) + 1, bool)
+        begin[:-1] = solid
+        begin[1:-1] &= ~solid[:-1]
+        inner = cuts[:-1][cuts[:-1] < len(data)]
+        begin[inner] = solid[inner]
+        close = np.zeros(len(data) + 1, bool)
+        close[1:] = solid
+        close[1:-1] &= ~solid[1:]
+        last = cuts[1:][cuts[1:] > 0]
+        close[last] = solid[last - 1]
+        start, stop = np.flatnonzero(begin), np.flatnonzero(close)
+        self._grow(len(data) + 1)
+        with np.errstate(over="ignore"):
+            run = np.zeros(len(data) + 1, np.uint64)
+            np.cumsum(self._values[data] * self._powers[: len(data)], out=run[1:])
+            h = (run[stop] - run[start]) * self._inverse[start] + (stop - start).astype(np.uint64)
+            return mix64(h), start
+
 
-    def __init__(self, seed: int = 0, most: int = 1_000_000):
-        import xxhash
+def signed(h: np.ndarray) -> np.ndarray:
+    return h.view(np.int64)
 
-        self._hash, self._seed, self._most, self._memo = xxhash.xxh3_64_intdigest, seed, most, {}
 
-    def __call__(self, ws: list[str]) -> np.ndarray:
-        memo = self._memo
-        if len(memo) > self._most:
-            memo.clear()
-        out = [memo.get(w) for w in ws]
-        if None in out:
-            for i, v in enumerate(out):
-                if v is None:
-                    w = ws[i]
-                    v = memo.get(w)
-                    if v is None:
-                        v = memo[w] = self._hash(w.encode("utf-8", "surrogatepass"), self._seed)
-                    out[i] = v
-        return np.array(out, dtype=np.uint64)
+_BLOOM_BITS = 22
 
 
-def signed(h: np.ndarray) -> np.ndarray:
-    return h.view(np.int64)
+def _bloom_places(ids: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        h = mix64(ids.view(np.uint64) + np.uint64(0x51ED270B))
+    return np.stack([(h >> np.uint64(s)).astype(np.int64) & ((1 << _BLOOM_BITS) - 1) for s in (0, 21, 42)])
+
+
+def bloom(ids: DataFrame) -> np.ndarray:
+    """A Bloom filter of the numbers of a one-column table: 2 ** 22 bits, so that at most 2 ** 16 words reach the driver
+    and half a megabyte goes to each worker, whatever the number of ids. A full one lets every id through."""
+
+    def run(batches):
+        bits = np.zeros(1 << _BLOOM_BITS, bool)
+        for batch in batches:
+            bits[_bloom_places(batch.column(0).to_numpy())] = True
+        packed = np.packbits(bits, bitorder="little").view(np.int64)
+        at = np.flatnonzero(packed)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(packed[at])], names=["at", "bits"])
+
+    rows = ids.mapInArrow(run, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toPandas()
+    out = np.zeros(1 << (_BLOOM_BITS - 6), np.int64)
+    out[rows["at"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
+    return out
+
+
+def bloom_hits(filter_words: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """For each id whether it may be one of the filter's; a wrong yes is possible, a wrong no is not."""
+    at = _bloom_places(ids)
+    return ((filter_words[at >> 6] >> (at & 63)) & 1).astype(bool).all(axis=0)

@@ -5,7 +5,8 @@ their tokens, and for each order from the highest down an exchange brings equal
 added, written as one sorted array for each shard of the hash space, and turned into the next order's rows (each n-gram
 adds 1 to the continuation count of its suffix) and into what the next exchange adds up for each context. A shard is
 decided by the context and three bits of the word, so the n-grams of a very frequent context spread over eight shards and a
-rare context's stay together. Rows are aggregated before each exchange.
+rare context's stay together. What crosses an exchange is added up before and packed: one compressed block of arrays for
+each task and shard, with differences of sorted hashes and a word list for each block.
 
 The arrays lie in the shared folder. Workers map them into memory and look up sorted batches of hashes, so a lookup sweeps
 through a shard's pages and the model's size is not a matter of a worker's memory. The folder must be mounted by every
@@ -14,6 +15,7 @@ worker. Only the count of counts, a few numbers an order, reaches the driver.
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 import zlib
@@ -24,10 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import WORD, WordHashes, bounded_batches, local_path, lower_ascii, mix64, shared_folder, signed, table
+from tessella.llm.common import WordHasher, bounded_batches, local_path, mix64, shared_folder, table
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
-_CHUNK = 400_000  #: tokens that are counted or scored together
+_CHUNK = 400_000  #: tokens that are scored together
+_COUNTED = 3_000_000  #: tokens that are counted together
 END, START = np.uint64(0x45BE7F0D1A3C9E21), np.uint64(0x5AF3107A4D2B86C9)
 
 
@@ -35,9 +38,25 @@ def held_out(doc_id) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 7 == 2
 
 
-def tokens(text: str | None, hasher: WordHashes) -> np.ndarray:
-    """The hashes of a text's words and of the end."""
-    return np.append(hasher(WORD.findall(lower_ascii(text))) if text else np.empty(0, np.uint64), END)
+def tokens(texts: pa.Array, hasher: WordHasher) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the texts' tokens, text after text, each with its end; and where each text's begin, one more at the end."""
+    h, at = hasher.column(texts)
+    n = len(at) - 1
+    at = at + np.arange(n + 1)
+    out = np.empty(len(h) + n, np.uint64)
+    ends = np.zeros(len(out), bool)
+    ends[at[1:] - 1] = True
+    out[ends], out[~ends] = END, h
+    return out, at
+
+
+def chunks(at: np.ndarray, most: int):
+    """(from, to) of texts that have about `most` tokens together."""
+    i, n = 0, len(at) - 1
+    while i < n:
+        j = max(i + 1, int(np.searchsorted(at, at[i] + most, "right")) - 1)
+        yield i, min(j, n)
+        i = min(j, n)
 
 
 def contexts(h: np.ndarray, starts: np.ndarray, order: int) -> list[np.ndarray]:
@@ -47,8 +66,6 @@ def contexts(h: np.ndarray, starts: np.ndarray, order: int) -> list[np.ndarray]:
     """
     out = []
     with np.errstate(over="ignore"):
-        back, begins = h, np.zeros(len(h), bool)
-        begins[starts] = True
         c = np.full(len(h), np.uint64(0))
         age = np.arange(len(h)) - np.repeat(starts, np.diff(np.append(starts, len(h))))
         for n in range(1, order):
@@ -67,8 +84,8 @@ def gram_keys(c: np.ndarray, w: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _sum_by(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Distinct keys ascending, where the first of each stood, and the values' sums."""
-    order = np.argsort(keys, kind="stable")
+    """Distinct keys ascending, where one of each stood, and the values' sums."""
+    order = np.argsort(keys)
     k = keys[order]
     first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1]))) if len(k) else np.empty(0, np.int64)
     return k[first], order[first], [np.add.reduceat(v[order], first) if len(first) else v[:0] for v in values]
@@ -98,101 +115,167 @@ def _small(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.minimum(counts, 255).astype(np.uint8), np.flatnonzero(counts >= 255)
 
 
-def _rows_schema(n: int) -> str:
-    """Rows before the exchange of order n. kind 0: an n-gram by context hashes c2..cn and word, with its count a and the
-    count of its word raw; kind 1: a context of order n + 1 (in word), its total a, and how many words have 1, 2, more."""
-    return "shard int, kind int, word long, " + "".join(f"c{i} long, " for i in range(2, n + 1)) + "a long, raw long, n1 long, n2 long, n3 long"
+_CONTEXT = np.dtype([("total", "<u8"), ("n1", "<u4"), ("n2", "<u4"), ("n3", "<u4")])
+_UNIGRAM = np.dtype([("raw", "<u8"), ("count", "<u4")])
+_ASCENDING = frozenset(("key", "words"))
+
+
+def pack(arrays: dict[str, np.ndarray]) -> bytes:
+    """Arrays as one compressed block: differences of ascending ones, the narrowest type, equal bytes side by side."""
+    import zstandard
+
+    head, parts = [], []
+    for name, x in arrays.items():
+        x = x.astype(np.uint64)
+        if name in _ASCENDING:
+            x = np.diff(x, prepend=np.uint64(0))
+        top = int(x.max()) if len(x) else 0
+        x = x.astype(next(t for t in ("<u1", "<u2", "<u4", "<u8") if top <= np.iinfo(t).max))
+        head.append((name, x.dtype.str, len(x)))
+        parts.append(x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes())
+    said = json.dumps(head).encode()
+    return zstandard.ZstdCompressor(level=1).compress(len(said).to_bytes(4, "little") + said + b"".join(parts))
+
+
+def unpack(block: bytes) -> dict[str, np.ndarray]:
+    import zstandard
+
+    data = zstandard.ZstdDecompressor().decompress(block)
+    n = int.from_bytes(data[:4], "little")
+    out, at = {}, 4 + n
+    for name, kind, length in json.loads(data[4 : 4 + n]):
+        t = np.dtype(kind)
+        x = np.frombuffer(data, np.uint8, length * t.itemsize, at).reshape(t.itemsize, length).T
+        at += length * t.itemsize
+        x = np.ascontiguousarray(x).view(t).reshape(length).astype(np.uint64)
+        out[name] = np.cumsum(x, dtype=np.uint64) if name in _ASCENDING else x
+    return out
+
+
+_BLOCKS = "shard int, kind int, block binary"
+
+
+def _blocks(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    shard, kind, block = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(kind, pa.int32()), pa.array(block, pa.binary())], names=["shard", "kind", "block"])
+
+
+def _gram_blocks(keys: np.ndarray, bits: int, word: np.ndarray, cs: list[np.ndarray], a: np.ndarray, raw: np.ndarray | None):
+    """Kind 0: n-grams by their context hashes c2..cn and word, with their count a, and the count of their word raw
+    where it is another. keys: ascending."""
+    for s, i, j in _shards(keys, bits):
+        w, more = word[i:j], {"a": a[i:j]} | ({} if raw is None else {"raw": raw[i:j]})
+        if not cs:
+            yield s, 0, pack({"key": w, **more})  # the words themselves, which are ascending
+            continue
+        c = cs[-1][i:j]
+        order = np.argsort(c)
+        c, w = c[order], w[order]
+        first = np.flatnonzero(np.concatenate(([True], c[1:] != c[:-1])))
+        words, which = np.unique(w, return_inverse=True)
+        lower = {f"c{n}": x[i:j][order][first] for n, x in enumerate(cs[:-1], start=2)}
+        yield s, 0, pack({"key": c[first], "runs": np.diff(np.append(first, len(c))), "words": words, "which": which, **lower, **{k: x[order] for k, x in more.items()}})
+
 
+def _context_blocks(keys: np.ndarray, bits: int, sums: list[np.ndarray]):
+    """Kind 1: contexts with their total, and how many words have 1, 2 and more."""
+    for s, i, j in _shards(keys, bits):
+        yield s, 1, pack({"key": keys[i:j], **{k: x[i:j] for k, x in zip(("a", "n1", "n2", "n3"), sums, strict=True)}})
 
-def _batch(n: int, kind: int, keys: np.ndarray, bits: int, word, cs, a, raw, counts=None) -> pa.RecordBatch:
-    z = np.zeros(len(keys), np.int64)
-    columns = {"shard": (keys >> np.uint64(64 - bits)).astype(np.int32), "kind": np.full(len(keys), kind, np.int32), "word": signed(word)}
-    columns |= {f"c{i}": signed(c) for i, c in zip(range(2, n + 1), cs, strict=False)}
-    columns |= {f"c{i}": z for i in range(2 + len(cs), n + 1)}
-    n1, n2, n3 = counts or (z, z, z)
-    return pa.RecordBatch.from_pydict(columns | {"a": a.astype(np.int64), "raw": raw.astype(np.int64), "n1": n1, "n2": n2, "n3": n3})
+
+def _grams(blocks: list[dict[str, np.ndarray]], n: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
+    """word, [c2..cn], a, raw of unpacked blocks of order n."""
+    put = lambda f: np.concatenate([f(b) for b in blocks]) if blocks else np.empty(0, np.uint64)
+    a, raw = put(lambda b: b["a"]), put(lambda b: b.get("raw", b["a"]))
+    if n == 1:
+        return put(lambda b: b["key"]), [], a, raw
+    runs = [b["runs"].astype(np.int64) for b in blocks]
+    spread = lambda name: np.concatenate([np.repeat(b[name], r) for b, r in zip(blocks, runs, strict=True)]) if blocks else np.empty(0, np.uint64)
+    return put(lambda b: b["words"][b["which"].astype(np.int64)]), [*(spread(f"c{i}") for i in range(2, n)), spread("key")], a, raw
 
 
 def _count_tokens(docs: DataFrame, order: int, bits: int) -> DataFrame:
     """The training texts' n-grams of the highest order, counted within chunks."""
-    hasher = WordHashes(seed=4)
+    hasher = WordHasher(seed=4, lower=True)
+
+    def count(held: list[np.ndarray], starts: list[int]) -> pa.RecordBatch:
+        h = np.concatenate(held)
+        cs = contexts(h, np.array(starts), order)
+        keys = gram_keys(cs[-1], h, bits) if cs else h
+        k, at, (n,) = _sum_by(keys, np.ones(len(h), np.int64))
+        return _blocks(list(_gram_blocks(k, bits, h[at], [c[at] for c in cs], n, None)))
 
     def run(batches):
-        def flush():
-            h = np.concatenate(held)
-            starts = np.cumsum([0, *map(len, held[:-1])])
-            cs = contexts(h, starts, order)
-            keys = gram_keys(cs[-1], h, bits) if cs else h
-            k, at, (n,) = _sum_by(keys, np.ones(len(h), np.int64))
-            return _batch(order, 0, k, bits, h[at], [c[at] for c in cs], n, n)
-
-        held, size = [], 0
+        held, starts, size = [], [], 0
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if not held_out(doc_id):
-                    held.append(tokens(text, hasher))
-                    size += len(held[-1])
-                    if size >= _CHUNK:
-                        yield flush()
-                        held, size = [], 0
+            batch = batch.filter(pa.array([not held_out(x) for x in batch.column(0).to_pylist()], pa.bool_()))
+            h, at = tokens(batch.column(1), hasher)
+            for i, j in chunks(at, _CHUNK):
+                held.append(h[at[i] : at[j]])
+                starts += (at[i:j] - at[i] + size).tolist()
+                size += len(held[-1])
+                if size >= _COUNTED:
+                    yield count(held, starts)
+                    held, starts, size = [], [], 0
         if held:
-            yield flush()
+            yield count(held, starts)
 
-    return docs.mapInArrow(run, _rows_schema(order))
+    return docs.mapInArrow(run, _BLOCKS)
 
 
 def _count_level(rows: DataFrame, n: int, order: int, bits: int, folder: str) -> DataFrame:
-    """Writes the n-grams' shards and those of the contexts of order n + 1; gives the next order's rows, for n = 1 the
-    numbers of each order (with the order in shard)."""
+    """Writes the n-grams' shards and those of the contexts of order n + 1; gives the next order's blocks, for n = 1 the
+    numbers of that order."""
 
     def run(batches):
-        parts = [b for b in batches if b.num_rows]
-        if not parts:
+        held: tuple[list, list] = ([], [])
+        for batch in batches:
+            for kind, block in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+                held[kind].append(unpack(block.as_buffer()))
+        if not held[0] and not held[1]:
             return
-        col = lambda name: np.concatenate([b.column(b.schema.names.index(name)).to_numpy() for b in parts])
-        kind = col("kind")
-        is_gram = kind == 0
-        word, a, raw = col("word").view(np.uint64), col("a"), col("raw")
-        if n < order:  # contexts
-            at = np.flatnonzero(~is_gram)
-            k, _, sums = _sum_by(word[at], *(x[at] for x in (a, col("n1"), col("n2"), col("n3"))))
-            values = np.stack(sums, axis=1).astype(np.uint64) if len(k) else np.empty((0, 4), np.uint64)
+        if held[1]:
+            key, *values = (np.concatenate([b[x] for b in held[1]]) for x in ("key", "a", "n1", "n2", "n3"))
+            k, _, sums = _sum_by(key, *values)
+            stored = np.empty(len(k), _CONTEXT)
+            for x, v in zip(_CONTEXT.names, sums, strict=True):
+                stored[x] = v
             for s, i, j in _shards(k, bits):
-                _write(folder, f"context-{n + 1}-{s}", k[i:j], values[i:j])
-        at = np.flatnonzero(is_gram)
-        cs = [col(f"c{i}").view(np.uint64)[at] for i in range(2, n + 1)]
-        word, a, raw = word[at], a[at], raw[at]
-        del parts
+                _write(folder, f"context-{n + 1}-{s}", k[i:j], stored[i:j])
+            held[1].clear()
+        word, cs, a, raw = _grams(held[0], n)
+        held[0].clear()
         keys = gram_keys(cs[-1], word, bits) if n > 1 else word
         k, first, (count, raw) = _sum_by(keys, a, raw)
+        del keys, a
         word, cs = word[first], [c[first] for c in cs]
-        for s, i, j in _shards(k, bits):
-            if n > 1:
-                small, big = _small(count[i:j])
-                _write(folder, f"gram-{n}-{s}", k[i:j], small)
-                if len(big):
-                    _write(folder, f"large-{n}-{s}", k[i:j][big], count[i:j][big].astype(np.uint64))
-            else:
-                _write(folder, f"gram-1-{s}", k[i:j], np.stack((count[i:j], raw[i:j]), axis=1).astype(np.uint64))
-        # what the driver needs to know of this order travels down as a row of kind 2
         facts = [int((count == c).sum()) for c in (1, 2, 3, 4)]
-        z = np.zeros(1, np.int64)
-        one = lambda x: np.array([x], np.int64)
         if n == 1:
-            yield pa.RecordBatch.from_pydict(
-                {"level": one(1), "f1": one(facts[0]), "f2": one(facts[1]), "f3": one(facts[2]), "f4": one(facts[3]), "types": one(len(k)), "total": one(count.sum()), "raw": one(raw.sum())}
-            )
+            stored = np.empty(len(k), _UNIGRAM)
+            stored["raw"], stored["count"] = raw, count
+            for s, i, j in _shards(k, bits):
+                _write(folder, f"gram-1-{s}", k[i:j], stored[i:j])
+            numbers = [*facts, len(k), int(count.sum()), int(raw.sum())]
+            yield pa.RecordBatch.from_pydict({x: np.array([v], np.int64) for x, v in zip(_NUMBERS, numbers, strict=True)})
             return
+        for s, i, j in _shards(k, bits):
+            small, big = _small(count[i:j])
+            _write(folder, f"gram-{n}-{s}", k[i:j], small)
+            if len(big):
+                _write(folder, f"large-{n}-{s}", k[i:j][big], count[i:j][big])
         _write_facts(folder, n, facts)
-        c = cs[-1]
-        ck, _, sums = _sum_by(c, count, *((count == i).astype(np.int64) for i in (1, 2)), (count > 2).astype(np.int64))
-        yield _batch(n - 1, 1, ck, bits, ck, [], sums[0], np.zeros(len(ck), np.int64), tuple(sums[1:]))
+        ck, _, sums = _sum_by(cs[-1], count, *((count == i).astype(np.uint64) for i in (1, 2)), (count > 2).astype(np.uint64))
+        out = list(_context_blocks(ck, bits, sums))
         down = gram_keys(cs[-2], word, bits) if n > 2 else word
-        dk, at, (a, raw) = _sum_by(down, np.ones(len(down), np.int64), raw)
-        yield _batch(n - 1, 0, dk, bits, word[at], [x[at] for x in cs[:-1]], a, raw)
+        dk, at, (a, raw) = _sum_by(down, np.ones(len(down), np.uint64), raw)
+        out += _gram_blocks(dk, bits, word[at], [x[at] for x in cs[:-1]], a, raw)
+        if out:
+            yield _blocks(out)
+
+    return rows.mapInArrow(run, _BLOCKS if n > 1 else ", ".join(f"{x} long" for x in _NUMBERS))
 
-    schema = _rows_schema(n - 1) if n > 1 else "level long, f1 long, f2 long, f3 long, f4 long, types long, total long, raw long"
-    return rows.mapInArrow(run, schema)
+
+_NUMBERS = ("f1", "f2", "f3", "f4", "types", "total", "raw")
 
 
 def _write_facts(folder: str, n: int, facts: list[int]) -> None:
@@ -240,9 +323,9 @@ class Model:
                 self.open_files[name] = None
         return self.open_files[name]
 
-    def look_up(self, kind: str, q: np.ndarray, width: int, dtype=np.uint64) -> np.ndarray:
+    def look_up(self, kind: str, q: np.ndarray, dtype) -> np.ndarray:
         """The values of ascending distinct hashes, zeros for those that are not stored."""
-        out = np.zeros((len(q), width) if width > 1 else len(q), dtype)
+        out = np.zeros(len(q), dtype)
         for s, a, b in _shards(q, self.bits):
             held = self._map(f"{kind}-{s}")
             if held is not None:
@@ -256,22 +339,21 @@ class Model:
     def log10(self, h: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each token its log10 probability and its count in training."""
         w, back = np.unique(h, return_inverse=True)
-        uni = self.look_up("gram-1", w, 2)
-        cc = uni[:, 0].astype(np.float64)
+        uni = self.look_up("gram-1", w, _UNIGRAM)
         d = np.array((0.0, *self.discount[0]))
-        p = np.maximum(cc - d[np.minimum(uni[:, 0], 3).astype(np.int64)], 0.0) / max(1, self.continuations) + self.left / (self.types + 1)
-        p, raw = p[back], uni[:, 1][back].astype(np.int64)
+        p = np.maximum(uni["count"] - d[np.minimum(uni["count"], 3)], 0.0) / max(1, self.continuations) + self.left / (self.types + 1)
+        p, raw = p[back], uni["raw"][back].astype(np.int64)
         for n, c in enumerate(contexts(h, starts, self.order), start=2):
             ck, back = np.unique(c, return_inverse=True)
-            known = self.look_up(f"context-{n}", ck, 4).astype(np.float64)
-            total = known[:, 0]
+            known = self.look_up(f"context-{n}", ck, _CONTEXT)
+            total = known["total"].astype(np.float64)
             d = np.array((0.0, *self.discount[n - 1]))
-            rest = np.divide(known[:, 1:] @ d[1:], total, out=np.ones(len(ck)), where=total > 0)
+            rest = np.divide(sum(known[f"n{i}"] * d[i] for i in (1, 2, 3)), total, out=np.ones(len(ck)), where=total > 0)
             gk, gback = np.unique(gram_keys(c, h, self.bits), return_inverse=True)
-            count = self.look_up(f"gram-{n}", gk, 1, np.uint8).astype(np.int64)
+            count = self.look_up(f"gram-{n}", gk, np.uint8).astype(np.int64)
             big = np.flatnonzero(count == 255)
             if len(big):
-                count[big] = self.look_up(f"large-{n}", gk[big], 1).astype(np.int64)
+                count[big] = self.look_up(f"large-{n}", gk[big], np.uint64)
             top = (count - d[np.minimum(count, 3)])[gback]
             total = total[back]
             p = np.divide(np.maximum(top, 0.0), total, out=np.zeros(len(h)), where=total > 0) + rest[back] * p
@@ -293,10 +375,8 @@ def train(docs: DataFrame, order: int = 2, folder: str | None = None) -> Model:
     bounded_batches(spark)
     rows = _count_tokens(docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "CAST(text AS STRING) AS text"), order, bits)
     for n in range(order, 0, -1):
-        rows = _count_level(rows.repartition(parts, "shard", "kind"), n, order, bits, path)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 200_000)
-    facts = rows.agg(*[F.sum(c).alias(c) for c in ("f1", "f2", "f3", "f4", "types", "total", "raw")]).first()
-    bounded_batches(spark)
+        rows = _count_level(rows.repartition(parts, "shard"), n, order, bits, path)
+    facts = rows.agg(*[F.sum(c).alias(c) for c in _NUMBERS]).first()
     f = [facts[c] or 0 for c in ("f1", "f2", "f3", "f4")]
     d = [discounts(*f)]
     for n in range(2, order + 1):
@@ -314,34 +394,27 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     Null and empty texts are their end alone. Null and repeated doc_ids are rows like others; other columns are ignored.
     """
     bounded_batches(docs.sparkSession)
-    hasher = WordHashes(seed=4)
+    hasher = WordHasher(seed=4, lower=True)
     norm = float(np.log10(model.train_tokens + model.types + 1))
 
     def run(batches):
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            a = 0
-            while a < len(ids):
-                held, size, b = [], 0, a
-                while b < len(ids) and (size < _CHUNK or b == a):
-                    held.append(tokens(texts[b], hasher))
-                    size += len(held[-1])
-                    b += 1
-                h, lengths = np.concatenate(held), np.array([len(x) for x in held])
-                starts = np.cumsum([0, *lengths[:-1]])
+            ids = batch.column(0).to_pylist()
+            every, at = tokens(batch.column(1), hasher)
+            for a, b in chunks(at, _CHUNK):
+                h, starts = every[at[a] : at[b]], at[a:b] - at[a]
                 p, raw = model.log10(h, starts)
                 yield pa.RecordBatch.from_pydict(
                     {
-                        "doc_id": pa.array(ids[a:b], pa.int64()),
+                        "doc_id": batch.column(0).slice(a, b - a),
                         "held_out": pa.array([held_out(x) for x in ids[a:b]], pa.bool_()),
-                        "n_tokens": lengths.astype(np.int64),
+                        "n_tokens": np.diff(at[a : b + 1]),
                         "n_known": np.add.reduceat((raw > 0).astype(np.int64), starts),
                         "train_tokens": np.full(b - a, model.train_tokens, np.int64),
                         "base_score": np.add.reduceat(np.log10(raw + 1.0) - norm, starts),
                         "score": np.add.reduceat(p, starts),
                     }
                 )
-                a = b
 
     rows = docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "CAST(text AS STRING) AS text")
     return rows.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
