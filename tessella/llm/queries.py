@@ -1,4 +1,9 @@
-"""The queries of the corpus operators and, where SQL can express them, their DuckDB SQL."""
+"""The queries of the corpus operators and, where SQL can express them, their DuckDB SQL.
+
+The base columns of several of them are plain SQL, but every query also returns its method's own columns (verdicts of
+zstandard, spans of a trained model, ids of a tokenizer), which SQL cannot give; these queries are tested against
+brute-force versions instead. Sharding alone is SQL throughout but for the hash that seeds its shuffle, which DuckDB lacks.
+"""
 
 from __future__ import annotations
 
@@ -6,13 +11,25 @@ from tessella.llm.bpe import op7_chunked_bpe
 from tessella.llm.decontaminate import op10_pigeonhole_matches
 from tessella.llm.html_text import op8_text_tag_ratio
 from tessella.llm.language_model import op4_kneser_ney
+from tessella.llm.licenses import op5_license_paragraphs
 from tessella.llm.near_dups import op9_bottomk_near_dups
 from tessella.llm.quality import op1_compression_bands
 from tessella.llm.secrets import op3_markov_secrets
 from tessella.llm.sharding import op2_interleaved_shards
 from tessella.llm.substrings import op6_superkmer_dedup
 
-_ALL = [op1_compression_bands, op2_interleaved_shards, op3_markov_secrets, op4_kneser_ney, op6_superkmer_dedup, op7_chunked_bpe, op8_text_tag_ratio, op9_bottomk_near_dups, op10_pigeonhole_matches]
+_ALL = (
+    op1_compression_bands,
+    op2_interleaved_shards,
+    op3_markov_secrets,
+    op4_kneser_ney,
+    op5_license_paragraphs,
+    op6_superkmer_dedup,
+    op7_chunked_bpe,
+    op8_text_tag_ratio,
+    op9_bottomk_near_dups,
+    op10_pigeonhole_matches,
+)
 
 
 def queries() -> dict:
