@@ -453,7 +453,9 @@ class Plan:
             return self.column(f"{v.entries}[0].v.{lane or 's'}", {"s": "string", "b": "boolean", "i": "bigint"}[lane or "s"]) if lane else self.column("NULL", "string")
         values = f"array_distinct(transform({v.entries}, e -> e.v))"
         times = iv.union_all_sql(f"transform(filter({v.entries}, e -> e.v = w), e -> e.t)")
-        return self.column(f"transform({values}, w -> named_struct('v', w, 't', {times}))", ENTRIES)
+        # values in the order of their times, then of themselves
+        rows = f"array_sort(transform({values}, w -> named_struct('t', {times}, 'v', w)))"
+        return self.column(f"transform({rows}, r -> named_struct('v', r.v, 't', r.t))", ENTRIES)
 
     def whole(self, x, code: str = "GMQL3004") -> int:
         if isinstance(x, S.Param):
