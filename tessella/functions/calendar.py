@@ -50,6 +50,11 @@ def coordinate(timeline, value) -> Fraction:
     if isinstance(value, str):
         if timeline.system in ("gregorian", "julian"):
             return Fraction(day_number(value, timeline.system))
+        if timeline.system == "pattern":
+            m = re.fullmatch(r"(\d{1,2})-(\d{1,2})", value)
+            if not m or not 1 <= int(m[1]) <= 12 or not 1 <= int(m[2]) <= month_days(2000, int(m[1])):
+                raise QueryError("GMQL4003", f"{value!r} is no day of a year")
+            return Fraction(100 * int(m[1]) + int(m[2]))
         try:
             x = Fraction(value)
         except ValueError:

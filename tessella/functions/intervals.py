@@ -223,3 +223,29 @@ def display_sql(a: str) -> str:
     lo = "CASE WHEN i.lo.w = -9223372036854775807L - 1 THEN '(-INF' ELSE concat(CASE WHEN i.lo.s = 0 THEN '[' ELSE '(' END, i.lo.w) END"
     hi = f"CASE WHEN i.hi.w = {HIGH}L THEN '+INF)' ELSE concat(i.hi.w, CASE WHEN i.hi.s = 1 THEN ']' ELSE ')' END) END"
     return f"CASE WHEN {a}.universal THEN 'Anytime' WHEN size({a}.ivs) = 0 THEN 'Empty' ELSE array_join(transform({a}.ivs, i -> concat(i.axis, ': ', {lo}, ', ', {hi})), ', ') END"
+
+
+def _day_sql(year: str, code: str) -> str:
+    """The day number of 100 * month + day in a year; NULL where the year has no such day."""
+    first = f"make_date({year}, CAST(({code}) DIV 100 AS INT), 1)"
+    return f"CASE WHEN ({code}) % 100 <= day(last_day({first})) THEN datediff(date_add({first}, CAST(({code}) % 100 AS INT) - 1), DATE'1970-01-01') + 2440588 END"
+
+
+def recur_sql(a: str, pattern: str, real: str, years: tuple[int, int], lo: int, hi: int) -> str:
+    """A validity with its intervals on a pattern's axis spelt out on the calendar axis, within days [lo, hi).
+
+    Each start runs through the first end at most 371 days after it; an open end is a single day. Ends of the next year
+    stand 10000 higher.
+    """
+    begin = f"CASE WHEN p.lo.w = {LOW + 1}L - 1 THEN p.hi.w ELSE p.lo.w END"
+    end = f"CASE WHEN p.hi.w = {HIGH}L THEN p.lo.w ELSE p.hi.w % 10000 END"
+    start = _day_sql("y", begin)
+    stop = f"coalesce(CASE WHEN {_day_sql('y', end)} >= {start} THEN {_day_sql('y', end)} END, CASE WHEN {_day_sql('y + 1', end)} <= {start} + 371 THEN {_day_sql('y + 1', end)} END)"
+    zero = "CAST(0 AS DECIMAL(38,37))"
+    one = (
+        f"named_struct('axis', '{real}', 'lo', named_struct('w', CAST(greatest({start}, {lo}) AS BIGINT), 'f', {zero}, 's', 0), "
+        f"'hi', named_struct('w', CAST(least({stop} + 1, {hi}) AS BIGINT), 'f', {zero}, 's', 0))"
+    )
+    each = f"transform(filter(sequence({years[0] - 1}, {years[1] + 1}), y -> {start} IS NOT NULL AND {stop} IS NOT NULL), y -> {one})"
+    spelt = f"flatten(transform(filter({a}.ivs, i -> i.axis = '{pattern}'), p -> {each}))"
+    return f"CASE WHEN {a}.universal THEN {a} ELSE {_set(normalise_sql(f'concat(filter({a}.ivs, i -> i.axis <> {chr(39)}{pattern}{chr(39)}), {spelt})'))} END"

@@ -19,13 +19,18 @@ TEXTS = f"text_id string, owner string, kind string, path string, text string, v
 
 @dataclass(frozen=True)
 class Timeline:
-    """axis: the axis it measures; system: number, gregorian, julian, frame or pattern; offset: axis = coordinate * scale + offset."""
+    """axis: the axis it measures; system: number, gregorian, julian, frame or pattern; offset: axis = coordinate * scale + offset.
+
+    A pattern is a month and a day of every year, as 100 * month + day on an axis of its own; `real` is the calendar axis
+    on which it recurs.
+    """
 
     id: str
     axis: str
     system: str = "number"
     scale: float = 1
     offset: float = 0
+    real: str | None = None
 
 
 @dataclass

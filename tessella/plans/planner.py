@@ -84,6 +84,35 @@ class Plan:
         self.count = 0
         self.df: DataFrame | None = None
 
+    # recurrence
+
+    def days(self) -> tuple[int, int] | None:
+        """The first day of WITHIN and the day after its last."""
+        v = self.q.valid
+        if v is None or v.within is None:
+            return None
+        r = v.within
+        if r.lo is None or r.hi is None or not r.lo_inc or r.hi_inc:
+            raise QueryError("GMQL4005", "WITHIN needs a window [start, end)")
+        day = lambda x: x.value if isinstance(x, S.Lit) else self.params.get(x.name) if isinstance(x, S.Param) else None
+        try:
+            lo, hi = calendar.day_number(day(r.lo)), calendar.day_number(day(r.hi))
+        except (TypeError, QueryError):
+            raise QueryError("GMQL4005", "WITHIN needs dates") from None
+        if lo >= hi or calendar.year_of(hi - 1) - calendar.year_of(lo) >= 10_000:
+            raise QueryError("GMQL4005", "the window is empty or too long")
+        return lo, hi
+
+    def spelt(self, df: DataFrame) -> DataFrame:
+        """df with the recurring times of `valid` spelt out in the window, if the query gives one."""
+        window = self.days()
+        if window:
+            years = calendar.year_of(window[0]), calendar.year_of(window[1] - 1)
+            for t in self.g.timelines.values():
+                if t.system == "pattern":
+                    df = df.withColumn("valid", F.expr(f"CAST({iv.recur_sql('valid', t.axis, t.real, years, *window)} AS {iv.VALIDITY})"))
+        return df
+
     # columns
 
     def column(self, sql: str, kind: str) -> str:
@@ -95,7 +124,7 @@ class Plan:
     # patterns
 
     def nodes(self, kind: str | None) -> DataFrame:
-        df = self.g.nodes
+        df = self.spelt(self.g.nodes)
         if kind is not None:
             if kind not in self.node_types:
                 raise QueryError("GMQL2001", f"unknown node type {kind}")
@@ -103,7 +132,7 @@ class Plan:
         return df.select(F.struct("id", "type_id", "kind", "source").alias("_e"), F.col("id").alias("_id"), F.col("valid").alias("_v"))
 
     def rels(self, kind: str | None, direction: str) -> DataFrame:
-        df = self.g.rels
+        df = self.spelt(self.g.rels)
         if kind is not None:
             if kind not in self.rel_types:
                 raise QueryError("GMQL2002", f"unknown relation type {kind}")
@@ -205,11 +234,11 @@ class Plan:
         top = x.path.split(".")[0]
         if not kinds and x.path not in PSEUDO and not any(p.split(".")[0] == top for _, p in self.g.properties):
             raise QueryError("GMQL2006", f"unknown property {x.path}")
-        rows = self.g.props.where(F.col("path") == x.path).select("owner", F.struct(F.col("value").alias("v"), F.col("valid").alias("t")).alias("e"))
+        rows = self.spelt(self.g.props.where(F.col("path") == x.path)).select("owner", F.struct(F.col("value").alias("v"), F.col("valid").alias("t")).alias("e"))
         entries = self.fetch(x.var, rows)
         if x.path in PSEUDO:
             own = F.expr(f"struct({value_sql('string', 'text')} AS v, valid AS t)")
-            shown = self.fetch(x.var, self.g.texts.where(F.col("kind").isin(*PSEUDO[x.path])).select("owner", own.alias("e")))
+            shown = self.fetch(x.var, self.spelt(self.g.texts.where(F.col("kind").isin(*PSEUDO[x.path]))).select("owner", own.alias("e")))
             entries = self.column(f"CASE WHEN size({entries}) > 0 THEN {entries} ELSE {shown} END", ENTRIES)
         return Value(entries, True, min(kinds) if len(kinds) == 1 else "any")
 
@@ -376,7 +405,7 @@ class Plan:
             query = S.Lit(self.params.get(query.name))
         if not isinstance(query, S.Lit) or not isinstance(query.value, str):
             raise QueryError("GMQL3008", "the text query is a string")
-        rows = self.g.texts
+        rows = self.spelt(self.g.texts)
         if isinstance(scope, S.Prop):
             under = (F.col("path") == scope.path) | F.col("path").startswith(scope.path + ".")
             if scope.path in PSEUDO:
@@ -408,6 +437,16 @@ class Plan:
 
     def window(self, v: S.Valid) -> iv.IntervalSet:
         timeline = self.g.timelines[v.timeline]
+        if timeline.system == "pattern":
+            r = v.range or S.Range(v.at, v.at, True, True)
+            if r.lo is None or r.hi is None:
+                raise QueryError("GMQL3002", "a pattern needs both ends")
+            lo, hi = (int(self.coordinate(timeline, x)) for x in (r.lo, r.hi))
+            if not (r.lo_inc and r.hi_inc):
+                if lo == hi:
+                    return iv.NEVER
+                raise QueryError("GMQL3002", "a pattern takes closed ranges")
+            return calendar.recur(timeline.real, divmod(lo, 100), divmod(hi, 100), *self.days())
         if v.op == "AT":
             at = self.coordinate(timeline, v.at)
             return iv.IntervalSet([iv.Interval.of(timeline.axis, at, at)])
@@ -424,13 +463,19 @@ class Plan:
             raise QueryError("GMQL4001", "ON is needed")
         if v.timeline is not None and v.timeline not in self.g.timelines:
             raise QueryError("GMQL4002", f"unknown timeline {v.timeline}")
+        axis = None
+        if v.timeline is not None:
+            t = self.g.timelines[v.timeline]
+            if t.system == "pattern" and self.days() is None:
+                raise QueryError("GMQL4004", "WITHIN is needed")
+            axis = t.real or t.axis
         if v.op == "ANYTIME":
             if v.timeline is not None:
-                self.df = kept(self.df, "_b", iv.on_axes_sql("_b", [self.g.timelines[v.timeline].axis]), iv.some_sql("v"))
+                self.df = kept(self.df, "_b", iv.on_axes_sql("_b", [axis]), iv.some_sql("v"))
             self.df = self.df.withColumn("_m", F.col("_b"))
             return
         window = self.window(v)
-        scoped = iv.on_axes_sql("_b", [self.g.timelines[v.timeline].axis])
+        scoped = iv.on_axes_sql("_b", [axis])
         self.df = kept(self.df.withColumn("_w", F.expr(window.sql())), "_b", scoped, iv.some_sql("v"))
         matched = f"struct({iv.intersect_sql('_b', '_w')} AS m, _b, _w)"
         accepts = {"AT": iv.some_sql("v.m"), "OVERLAPS": iv.some_sql("v.m"), "CONTAINS": iv.contains_sql("v._b", "v._w"), "DURING": iv.contains_sql("v._w", "v._b")}[v.op]

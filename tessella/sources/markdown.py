@@ -276,6 +276,8 @@ def validity(times, timelines: dict[str, Timeline], problems: list[str]) -> iv.I
             continue
         try:
             lo, hi = (None if e.get(k) is None else calendar.coordinate(t, e[k]) for k in ("from", "to"))
+            if t.system == "pattern" and lo is not None and hi is not None and hi < lo:
+                hi += 10_000  # the end lies in the next year
             out.append(iv.Interval.of(t.axis, lo, hi))
         except (QueryError, ValueError) as x:
             problems.append(str(x))
@@ -409,7 +411,8 @@ def catalogs(docs: DataFrame) -> tuple[dict, list[tuple[str, str]]]:
             seen.add(other)
             other = same[other]
         old = out["timelines"][t]
-        out["timelines"][t] = Timeline(t, other, old.system, old.scale, old.offset)
+        pattern = "pattern" in old.system
+        out["timelines"][t] = Timeline(t, f"~{t}" if pattern else other, "pattern" if pattern else old.system, old.scale, old.offset, other if pattern else None)
     return out, problems
 
 
