@@ -43,9 +43,9 @@ def bounded_batches(spark: SparkSession, rows: int = 2000, nbytes: int = 16 << 2
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", nbytes)
 
 
-def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
+def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], dict], schema: str, rows: int = 2000) -> DataFrame:
     """Applies f to each Arrow batch; f returns a column for each name of schema."""
-    bounded_batches(df.sparkSession)
+    bounded_batches(df.sparkSession, rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

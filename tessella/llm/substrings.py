@@ -4,15 +4,16 @@ A window is `size` consecutive words of one document. The minimiser of a window
 grams; consecutive windows share it until a lesser one enters or it leaves, and such a run of windows (a super-k-mer) is
 one string of words. Equal windows have equal minimisers, so a bucket for each minimiser sees every copy of its windows.
 
-1. Each document sends (minimiser, id) for its runs, without text. Only minimisers met in two ids can hold a repeat.
+1. Each document sends (minimiser, id), without text. Only minimisers met in two ids can hold a repeat.
 2. The runs of these minimisers travel as packed strings to their buckets: first equal strings become one with their least
    id, then the windows of a bucket are sorted, and in each group of equal ones the least id is the first.
    A minimiser with more distinct strings than `heavy` (a passage within very many contexts) has them cut into single
    windows, grouped by their whole content, where aggregation alone finds the least id: no task holds an unbounded group.
 3. The runs' windows that start in a lesser id too go back to their documents as word ranges, and the kept words remain.
 
-All comparisons are of whole words, so hashes only route. Every shuffle is by a hash of content or document; what
-is read again (runs, strings) is written to the shared folder.
+Windows are compared word for word; hashes route, and 128 bits name the strings that a bucket's answer goes back to. Bloom filters of fixed size keep texts without a shared
+minimiser, and those that lose nothing, out of the exchanges; full ones would let all through. What is read again is
+written to the shared folder.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import WORD, WordHashes, bounded_batches, map_batches, materialise, mix64, shared_folder, signed, table
+from tessella.llm.common import WORD, WordHasher, bloom, bloom_hits, bounded_batches, delete_folder, map_batches, materialise, mix64, shared_folder, signed, table
 
 GRAM = 8  #: words of a minimiser's gram
 
@@ -52,27 +53,32 @@ def minimiser_runs(hashes: np.ndarray, size: int, gram: int) -> tuple[np.ndarray
     return g[at[first]], first, np.diff(np.append(first, n))
 
 
-def _runs(docs: DataFrame, size: int, gram: int) -> DataFrame:
-    """(doc_id, row, mini, first, windows) for each run; row: a hash that tells rows of one doc_id apart."""
-    hasher = WordHashes(seed=6)
+def _minimisers(docs: DataFrame, size: int, gram: int) -> DataFrame:
+    """(doc_id, mini) for each minimiser of each row of docs (doc_id, row, text)."""
+    hasher = WordHasher(seed=6)
 
     def run(batch: pa.RecordBatch) -> dict:
-        ids, rows, parts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(), []
-        which = []
-        for k, text in enumerate(batch.column(2).to_pylist()):
-            ws = WORD.findall(text)
-            if len(ws) >= size:
-                found = minimiser_runs(hasher(ws), size, gram)
-                parts.append(found)
-                which.append(np.full(len(found[0]), k))
-        k = np.concatenate(which) if which else np.empty(0, np.int64)
-        mini, first, windows = (np.concatenate([p[i] for p in parts]) if parts else np.empty(0, t) for i, t in enumerate((np.uint64, np.int64, np.int64)))
-        return {
-            "doc_id": pa.array(ids[k].astype(np.int64)), "row": pa.array(rows[k].astype(np.int64)), "mini": pa.array(signed(mini)),
-            "first": pa.array(first.astype(np.int32)), "windows": pa.array(windows.astype(np.int32)),
-        }
+        ids = batch.column(0).to_numpy()
+        hashes, at = hasher.column(batch.column(1))
+        minis, which = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+        for k in np.flatnonzero(np.diff(at) >= size).tolist():
+            minis.append(np.unique(minimiser_runs(hashes[at[k] : at[k + 1]], size, gram)[0]))
+            which.append(np.full(len(minis[-1]), k))
+        return {"doc_id": pa.array(ids[np.concatenate(which)]), "mini": pa.array(signed(np.concatenate(minis)))}
+
+    return map_batches(docs.select("doc_id", "text"), run, "doc_id long, mini long")
+
 
-    return map_batches(docs.select("doc_id", "row", "text"), run, "doc_id long, row long, mini long, first int, windows int")
+def _holding(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs (doc_id, row, text) that may have one of the ids: other texts are held back before an exchange."""
+    sent = docs.sparkSession.sparkContext.broadcast(bloom(ids))
+    bounded_batches(docs.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(bloom_hits(sent.value, batch.column(0).to_numpy())))
+
+    return docs.select("doc_id", "row", "text").mapInArrow(run, "doc_id long, row long, text string")
 
 
 def _offsets(packed: str) -> list[int]:
@@ -94,19 +100,22 @@ def _flush(out: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
 
-def _pack(texts: DataFrame, size: int) -> DataFrame:
-    """Packed strings (doc_id, row, mini, first, packed) of the wanted runs of each document."""
+def _pack(texts: DataFrame, size: int, gram: int) -> DataFrame:
+    """Packed strings (doc_id, row, mini, first, packed) of the runs of each text whose minimiser is wanted."""
     bounded_batches(texts.sparkSession, rows=500)
     schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("mini", pa.int64()), ("first", pa.int32()), ("packed", pa.string())])
+    hasher = WordHasher(seed=6)
 
     def run(batches):
         for batch in batches:
             held, out = 0, []
-            for doc_id, row, text, runs in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            hashes, at = hasher.column(batch.column(2))
+            for k, (doc_id, row, text, wanted) in enumerate(zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True)):
                 ws = WORD.findall(text)
-                for r in runs:
-                    a = r["first"]
-                    out.append((doc_id, row, r["mini"], a, " ".join(ws[a : a + r["windows"] + size - 1])))
+                minis, first, windows = minimiser_runs(hashes[at[k] : at[k + 1]], size, gram)
+                for i in np.flatnonzero(np.isin(signed(minis), np.array(wanted, np.int64))).tolist():
+                    a = int(first[i])
+                    out.append((doc_id, row, int(signed(minis[i : i + 1])[0]), a, " ".join(ws[a : a + int(windows[i]) + size - 1])))
                     held += len(out[-1][4])
                     if held > 4_000_000:
                         yield _flush(out, schema)
@@ -117,31 +126,35 @@ def _pack(texts: DataFrame, size: int) -> DataFrame:
     return texts.mapInArrow(run, "doc_id long, row long, mini long, first int, packed string")
 
 
+_STRING = [("mini", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64())]
+
+
 def _single(strings: DataFrame, size: int) -> DataFrame:
-    """(mini, packed, own, at, window) for each window of each string."""
+    """(mini, s1, s2, own, at, window) for each window of each string."""
     bounded_batches(strings.sparkSession, rows=200)
-    schema = pa.schema([("mini", pa.int64()), ("packed", pa.string()), ("own", pa.int64()), ("at", pa.int32()), ("window", pa.string())])
+    schema = pa.schema([*_STRING, ("own", pa.int64()), ("at", pa.int32()), ("window", pa.string())])
 
     def run(batches):
         for batch in batches:
-            rows = zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)
-            out = [(m, p, own, i, w) for m, p, own in rows for i, w in enumerate(_windows(p, size))]
+            rows = zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True)
+            out = [(m, a, b, own, i, w) for m, a, b, p, own in rows for i, w in enumerate(_windows(p, size))]
             if out:
                 yield _flush(out, schema)
 
-    return strings.mapInArrow(run, "mini long, packed string, own long, at int, window string")
+    return strings.mapInArrow(run, "mini long, s1 long, s2 long, own long, at int, window string")
 
 
 def _first_ids(strings: DataFrame, size: int) -> DataFrame:
-    """(mini, packed, least: array<long>): for each distinct string the least id in which each of its windows starts.
+    """(mini, s1, s2, least: array<long>): for each distinct string the least id in which each of its windows starts.
 
-    strings: (mini, packed, least id of this string), partitioned and sorted by mini, light minimisers only.
+    strings: (mini, s1, s2, packed, least id of this string), partitioned and sorted by mini, light minimisers only.
     """
     bounded_batches(strings.sparkSession)
+    schema = pa.schema([*_STRING, ("least", pa.list_(pa.int64()))])
 
-    def bucket(rows: list[tuple[str, int]]) -> list[list[int]]:
-        windows = sorted((w, i, k, own) for k, (packed, own) in enumerate(rows) for i, w in enumerate(_windows(packed, size)))
-        out: list[dict[int, int]] = [{} for _ in rows]
+    def bucket(rows: list[tuple]) -> list[tuple]:
+        windows = sorted((w, i, k, r[4]) for k, r in enumerate(rows) for i, w in enumerate(_windows(r[3], size)))
+        found: list[dict[int, int]] = [{} for _ in rows]
         a = 0
         while a < len(windows):
             b, least = a, windows[a][3]
@@ -149,57 +162,55 @@ def _first_ids(strings: DataFrame, size: int) -> DataFrame:
                 least = min(least, windows[b][3])
                 b += 1
             for _, i, k, _ in windows[a:b]:
-                out[k][i] = least
+                found[k][i] = least
             a = b
-        return [[x[i] for i in range(len(x))] for x in out]
+        return [(*r[:3], [x[i] for i in range(len(x))]) for r, x in zip(rows, found, strict=True)]
 
     def run(batches):
-        mini, rows = None, []
-
-        def done():
-            least = bucket(rows)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([mini] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.string()), pa.array(least, pa.list_(pa.int64()))], names=["mini", "packed", "least"]
-            )
-
-        waiting: list[pa.RecordBatch] = []
+        rows: list[tuple] = []
+        out: list[tuple] = []
         for batch in batches:
-            for m, packed, own in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                if m != mini and rows:
-                    waiting.append(done())
+            for r in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                if rows and r[0] != rows[0][0]:
+                    out += bucket(rows)
                     rows = []
-                mini = m
-                rows.append((packed, own))
-                if len(waiting) >= 500:
-                    yield pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
-                    waiting = []
-        if rows:
-            waiting.append(done())
-        if waiting:
-            yield pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
+                rows.append(r)
+                if len(out) >= 5000:
+                    yield _flush(out, schema)
+                    out = []
+        out += bucket(rows)
+        if out:
+            yield _flush(out, schema)
 
-    return strings.mapInArrow(run, "mini long, packed string, least array<long>")
+    return strings.mapInArrow(run, "mini long, s1 long, s2 long, least array<long>")
 
 
 def repeats(docs: DataFrame, folder: str, size: int = 50, gram: int = GRAM, heavy: int = 2000) -> DataFrame:
     """(doc_id, row, at): the places of the windows of docs (doc_id, row, text) that start in a lesser doc_id too."""
-    runs = materialise(_runs(docs, size, gram), folder, "runs")
-    shared = runs.groupBy("mini").agg(F.min("doc_id").alias("_lo"), F.max("doc_id").alias("_hi")).where("_lo < _hi").select("mini")
-    wanted = runs.join(shared, "mini").groupBy("doc_id", "row").agg(F.collect_list(F.struct("mini", "first", "windows")).alias("runs"))
-    texts = docs.select("doc_id", "row", "text").join(wanted.dropDuplicates(["doc_id", "row"]), ["doc_id", "row"])
-    packed = materialise(_pack(texts.select("doc_id", "row", "text", "runs"), size), folder, "packed")
-
-    strings = materialise(packed.groupBy("mini", "packed").agg(F.min("doc_id").alias("own")), folder, "strings")
-    crowded = strings.groupBy("mini").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > heavy).select("mini")
-    light = strings.join(crowded, "mini", "left_anti").select("mini", "packed", "own")
+    minis = materialise(_minimisers(docs, size, gram), folder, "minimisers")
+    shared = minis.groupBy("mini").agg(F.min("doc_id").alias("_lo"), F.max("doc_id").alias("_hi")).where("_lo < _hi").select("mini")
+    shared = materialise(shared, folder, "shared")  # as a table, so that a join with it can split a hot minimiser
+    wanted = minis.join(shared, "mini").groupBy("doc_id").agg(F.collect_set("mini").alias("wanted"))
+    wanted = materialise(wanted, folder, "wanted")
+    delete_folder(docs.sparkSession, f"{folder}/minimisers")
+    texts = _holding(docs, wanted.select("doc_id")).join(wanted, "doc_id")
+    packed = materialise(_pack(texts.select("doc_id", "row", "text", "wanted"), size, gram), folder, "packed")
+
+    name = {"s1": F.xxhash64("packed"), "s2": F.xxhash64(F.lit(1), F.length("packed"), "packed")}
+    key = ["mini", "s1", "s2"]
+    strings = materialise(packed.groupBy("mini", "packed").agg(F.min("doc_id").alias("own")).withColumns(name), folder, "strings")
+    places = materialise(packed.withColumns(name).select("doc_id", "row", "first", *key), folder, "places")
+    delete_folder(docs.sparkSession, f"{folder}/packed")
+    crowded = materialise(strings.groupBy("mini").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > heavy).select("mini"), folder, "crowded")
+    light = strings.join(crowded, "mini", "left_anti").select(*key, "packed", "own")
     least = _first_ids(light.repartition("mini").sortWithinPartitions("mini"), size)
 
-    single = _single(strings.join(crowded, "mini", "left_semi").select("mini", "packed", "own"), size)
-    first = single.groupBy("window").agg(F.min("own").alias("least"))
-    rows = single.join(first, "window").groupBy("mini", "packed").agg(F.array_sort(F.collect_list(F.struct("at", "least"))).alias("x"))
-    least = least.unionByName(rows.select("mini", "packed", F.col("x.least").alias("least")))
+    single = materialise(_single(strings.join(crowded, "mini", "left_semi").select(*key, "packed", "own"), size), folder, "single")
+    first = materialise(single.groupBy("window").agg(F.min("own").alias("least")), folder, "first")
+    rows = single.join(first, "window").groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("at", "least"))).alias("x"))
+    least = materialise(least.unionByName(rows.select(*key, F.col("x.least").alias("least"))), folder, "least")
 
-    back = packed.join(least, ["mini", "packed"])
+    back = places.join(least, key)
     hits = F.expr("transform(filter(sequence(0, size(least) - 1), i -> least[i] < doc_id), i -> i + first)")
     found = back.select("doc_id", "row", hits.alias("at")).where("size(at) > 0")
     return found.groupBy("doc_id", "row").agg(F.array_sort(F.flatten(F.collect_list("at"))).alias("at"))
@@ -227,12 +238,15 @@ def dedup(docs: DataFrame, size: int = 50, folder: str | None = None, digests: b
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("row", F.xxhash64("doc_id", "text"))
     hits = materialise(repeats(rows.where("doc_id IS NOT NULL"), folder, size, heavy=heavy), folder, "hits")
-    joined = rows.join(hits, ["doc_id", "row"], "left").select("doc_id", "text", "at")
+    for name in ("shared", "wanted", "strings", "places", "crowded", "single", "first", "least"):
+        delete_folder(spark, f"{folder}/{name}")
+    name = "kept_sha256" if digests else "kept_text"
+    sent = spark.sparkContext.broadcast(bloom(hits.select("row")))
     bounded_batches(spark)
 
-    def run(batch: pa.RecordBatch) -> dict:
+    def cut(batch: pa.RecordBatch, starts: list) -> dict:
         n, removed, kept = [], [], []
-        for text, at in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+        for text, at in zip(batch.column(2).to_pylist(), starts, strict=True):
             ws = WORD.findall(text)
             left = cut_words(ws, sorted(set(at)), size) if at else ws
             n.append(len(ws))
@@ -241,8 +255,19 @@ def dedup(docs: DataFrame, size: int = 50, folder: str | None = None, digests: b
             kept.append(hashlib.sha256(whole.encode("utf-8", "surrogatepass")).hexdigest() if digests else whole)
         return {"doc_id": batch.column(0), "n_words": pa.array(n, pa.int64()), "n_removed": pa.array(removed, pa.int64()), name: pa.array(kept, pa.string())}
 
-    name = "kept_sha256" if digests else "kept_text"
-    return map_batches(joined, run, f"doc_id long, n_words long, n_removed long, {name} string")
+    def whole(batch: pa.RecordBatch) -> dict:  # rows that surely lose nothing stay where they are
+        batch = batch.filter(pa.array(~bloom_hits(sent.value, batch.column(1).to_numpy())))
+        return cut(batch, [None] * batch.num_rows)
+
+    def likely(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(bloom_hits(sent.value, batch.column(1).to_numpy())))
+
+    schema = f"doc_id long, n_words long, n_removed long, {name} string"
+    rows = rows.select("doc_id", "row", "text")
+    joined = rows.mapInArrow(likely, "doc_id long, row long, text string").join(hits, ["doc_id", "row"], "left")
+    changed = map_batches(joined.select("doc_id", "row", "text", "at"), lambda batch: cut(batch, batch.column(3).to_pylist()), schema)
+    return map_batches(rows, whole, schema).unionByName(changed)
 
 
 def op6_superkmer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
