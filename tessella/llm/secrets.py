@@ -142,17 +142,19 @@ def _ratio(text: str, table_sql: str) -> str:
 
 
 def find(docs: DataFrame, ratios: list[float], least: float = 10.0) -> DataFrame:
-    """docs with `_assign`, `_access`, `_hex` and `_markov`: the spans of each kind in whole texts.
+    """docs with `__found_assign`, `__found_access`, `__found_hex` and `__found_markov`: the spans of each kind in whole texts.
+
+    Names that begin with `__found_` are this module's own.
 
     Null texts have none. Of the candidates only runs with a letter whose ratio is `least` or more and that overlap no
     base span are taken.
     """
     lits = {"assign": (ASSIGN, 1, "length(x.v) >= 6", 2), "access": (ACCESS, 2, "true", 0), "hex": (HEX, 3, "true", 0)}
-    out = docs.withColumns({f"_{k}": F.expr(_spans("text", p, k, o, ok, g)) for k, (p, o, ok, g) in lits.items()})
+    out = docs.withColumns({f"__found_{k}": F.expr(_spans("text", p, k, o, ok, g)) for k, (p, o, ok, g) in lits.items()})
     ok = f"x.m RLIKE '[A-Za-z]' AND {_ratio('x.m', _literal(ratios))} >= {least!r}D"
-    out = out.withColumn("_found", F.expr(_spans("text", CANDIDATE, "markov", 4, ok)))
-    free = "filter(_found, s -> NOT exists(concat(_assign, _access, _hex), b -> b.start < s.stop AND s.start < b.stop))"
-    return out.withColumn("_markov", F.expr(free)).drop("_found")
+    out = out.withColumn("__found_all", F.expr(_spans("text", CANDIDATE, "markov", 4, ok)))
+    free = "filter(__found_all, s -> NOT exists(concat(__found_assign, __found_access, __found_hex), b -> b.start < s.stop AND s.start < b.stop))"
+    return out.withColumn("__found_markov", F.expr(free)).drop("__found_all")
 
 
 def _listed(spans: str) -> Column:
@@ -166,13 +168,13 @@ def scan(docs: DataFrame, ratios: list[float], least: float = 10.0) -> DataFrame
     others; other columns are ignored.
     """
     found = find(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")), ratios, least)
-    base = "concat(_assign, _access, _hex)"
+    base = "concat(__found_assign, __found_access, __found_hex)"
     return found.select(
         "doc_id",
-        F.size("_assign").cast("long").alias("n_assign"), F.size("_access").cast("long").alias("n_access"), F.size("_hex").cast("long").alias("n_hex"),
+        F.size("__found_assign").cast("long").alias("n_assign"), F.size("__found_access").cast("long").alias("n_access"), F.size("__found_hex").cast("long").alias("n_hex"),
         F.sha2(_listed(base), 256).alias("base_sha256"),
-        _listed("concat(_assign, _access, _hex, _markov)").alias("spans"),
-        F.size("_markov").cast("long").alias("n_markov"),
+        _listed("concat(__found_assign, __found_access, __found_hex, __found_markov)").alias("spans"),
+        F.size("__found_markov").cast("long").alias("n_markov"),
     )
 
 
@@ -183,21 +185,21 @@ def redact(docs: DataFrame, ratios: list[float], least: float = 10.0) -> DataFra
     """
     text = F.col("text")
     found = find(docs, ratios, least)
-    ordered = "array_sort(transform(concat(_assign, _access, _hex, _markov), s -> named_struct('start', s.value, 'stop', s.stop, 'kind', s.kind)))"
+    ordered = "array_sort(transform(concat(__found_assign, __found_access, __found_hex, __found_markov), s -> named_struct('start', s.value, 'stop', s.stop, 'kind', s.kind)))"
     # a fixed kind without a group of its own has value = its start
     cut = f"""aggregate({ordered}, struct('' AS t, 0 AS pos),
       (a, s) -> CASE WHEN s.stop <= a.pos THEN a ELSE struct(
           concat(a.t, substring(text, a.pos + 1, greatest(s.start, a.pos) - a.pos), CASE WHEN s.start >= a.pos THEN concat('[', s.kind, ']') ELSE '' END) AS t,
           s.stop AS pos) END,
       a -> concat(a.t, substring(text, a.pos + 1)))"""
-    new = F.when(F.expr("size(_assign) + size(_access) + size(_hex) + size(_markov) > 0"), F.expr(cut)).otherwise(text)
-    out = found.withColumn("_new", new)
+    new = F.when(F.expr("size(__found_assign) + size(__found_access) + size(__found_hex) + size(__found_markov) > 0"), F.expr(cut)).otherwise(text)
+    out = found.withColumn("__found_new", new)
     columns = []
     for c in docs.columns:
         if c == "text":
-            columns.append(F.col("_new").alias("text"))
+            columns.append(F.col("__found_new").alias("text"))
         elif c == "n_chars":
-            columns.append(F.coalesce(F.length("_new").cast(docs.schema[c].dataType), F.col(c)).alias(c))
+            columns.append(F.coalesce(F.length("__found_new").cast(docs.schema[c].dataType), F.col(c)).alias(c))
         else:
             columns.append(F.col(c))
     return out.select(*columns)

@@ -37,41 +37,41 @@ def interleave(rows: DataFrame, key: str, source: str, shards: int = 16, seed: i
 
     Null sources are a source of their own; null and repeated keys are told apart by the rest of the row, so the
     result is one assignment of every row; rows that are equal throughout take any order. An empty table stays empty.
-    The columns of rows must not begin with an underscore. range_rows is about how many rows share a ranking range (the
+    Columns named shard, slot or position are replaced, as withColumn would; range_rows is about how many rows share a ranking range (the
     root of their number if not given, so that neither the ranges nor what each holds grow fast); it changes the plan
     but never the result.
     """
-    spark = rows.sparkSession
-    total = rows.count()
+    names = [c for c in rows.columns if c.lower() not in ("shard", "slot", "position")]
+    packed = rows.select(F.struct(*names).alias("_all"), F.col(key).alias("_key"), F.col(source).cast("string").alias("_source"))
+    total = packed.count()
     if total == 0:
-        return rows.selectExpr("*", "CAST(NULL AS INT) AS shard", "CAST(NULL AS BIGINT) AS slot", "CAST(NULL AS BIGINT) AS position")
+        return rows.select(*names).selectExpr("*", "CAST(NULL AS INT) AS shard", "CAST(NULL AS BIGINT) AS slot", "CAST(NULL AS BIGINT) AS position")
     ranges = max(16, math.ceil(total / (range_rows or max(256, math.isqrt(total)))))
-    others = [F.col(c) for c in rows.columns if c != key]
-    hashed = rows.withColumns(
+    hashed = packed.withColumns(
         {
-            "_source": F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit("")),
-            "_h": F.xxhash64(F.lit(seed), F.col(key)),
-            "_tie": F.xxhash64(F.lit(seed + 1), *others) if others else F.lit(0).cast("long"),
+            "_source": F.coalesce(F.concat(F.lit("s"), F.col("_source")), F.lit("")),
+            "_h": F.xxhash64(F.lit(seed), F.col("_key")),
+            "_tie": F.xxhash64(F.lit(seed + 1), F.col("_all")),
         }
     )
     unit = F.shiftrightunsigned("_h", 64 - _BITS)
     part = F.floor(unit.cast("double") / F.lit(2.0**_BITS) * ranges).cast("long")
-    ranked = _numbered(hashed.withColumn("_part", part), ["_source"], "_part", ["_h", key, "_tie"], "_rank")
+    ranked = _numbered(hashed.withColumn("_part", part), ["_source"], "_part", ["_h", "_key", "_tie"], "_rank")
     ranked = ranked.withColumn("_frac", (2 * F.col("_rank") + 1) / (2 * F.col("_of"))).drop("_of")
     placed = _numbered(
-        ranked.withColumn("_part", F.floor(F.col("_frac") * F.lit(ranges)).cast("long")).withColumn("_all", F.lit(0)),
-        ["_all"], "_part", ["_frac", "_source", "_h", key, "_tie"], "position",
+        ranked.withColumn("_part", F.floor(F.col("_frac") * F.lit(ranges)).cast("long")).withColumn("_whole", F.lit(0)),
+        ["_whole"], "_part", ["_frac", "_source", "_h", "_key", "_tie"], "_position",
     )
     share, more = divmod(total, shards)
     long_end = (share + 1) * more  # the first `more` shards hold one row more
-    p = F.col("position")
+    p = F.col("_position")
     if share == 0:
         shard = p
         start = p
     else:
         shard = F.when(p < long_end, F.floor(p / (share + 1))).otherwise(more + F.floor((p - long_end) / share))
         start = F.when(p < long_end, F.floor(p / (share + 1)) * (share + 1)).otherwise(long_end + F.floor((p - long_end) / share) * share)
-    return placed.select(*rows.columns, shard.cast("int").alias("shard"), (p - start).cast("long").alias("slot"), p.cast("long").alias("position"))
+    return placed.select("_all.*", shard.cast("int").alias("shard"), (p - start).cast("long").alias("slot"), p.cast("long").alias("position"))
 
 
 def write_shards(assigned: DataFrame, path: str) -> None:
