@@ -13,8 +13,9 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(r)
 
 
-def _with_least(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+def _with_least(edges: DataFrame, folder: str, name: str) -> DataFrame:
+    """edges with the least neighbour of u; as a table, so that the join can split a hot u."""
+    least = materialise(edges.groupBy("u").agg(F.min("v").alias("m")), folder, name)
     return edges.join(least, "u").withColumn("m", F.least("m", "u"))
 
 
@@ -29,9 +30,9 @@ def components(links: DataFrame, folder: str, name: str, most: int = 60) -> Data
     state = _state(cur)
     for i in range(1, most + 1):
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _with_least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.distinct()
-        small = _with_least(large)  # here u > v throughout: the neighbours of u that are less than it
+        large = _with_least(both, folder, f"{name}-{i}a").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = materialise(large.distinct(), folder, f"{name}-{i}b")
+        small = _with_least(large, folder, f"{name}-{i}c")  # here u > v throughout: the neighbours of u that are less than it
         tied = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
         cur = materialise(tied.where("u <> v").distinct(), folder, f"{name}-{i}")
         new = _state(cur)
