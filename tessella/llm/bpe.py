@@ -104,7 +104,7 @@ class ChunkEncoder:
     memo_chars bounds the code points of the memo; the chunks used least recently leave it.
     """
 
-    def __init__(self, path: str, memo_chars: int = 8_000_000):
+    def __init__(self, path: str, memo_chars: int = 4_000_000):
         import tiktoken
 
         vocabulary = Vocabulary(path)
@@ -237,7 +237,7 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", digests: bool = Fals
         return {key: keys, "ids": pa.array(out["ids"], pa.list_(pa.int32())), "decoded": decoded}
 
     more = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string"
-    return map_batches(docs.selectExpr(f"`{key}`", "CAST(text AS STRING) AS text"), run, f"`{key}` {kind}, {more}")
+    return map_batches(docs.selectExpr(f"`{key}`", "CAST(text AS STRING) AS text"), run, f"`{key}` {kind}, {more}", rows=500)
 
 
 def op7_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
