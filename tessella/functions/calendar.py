@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 from fractions import Fraction
 
-from tessella.functions.intervals import Interval, IntervalSet, coordinate as exact
+from tessella.functions.intervals import MINUS, PLUS, Cut, Interval, IntervalSet
+from tessella.functions.intervals import coordinate as exact
 from tessella.plans.syntax import QueryError
 
 
@@ -71,6 +72,36 @@ def convert(x, source, target) -> Fraction:
     return (exact(x) * Fraction(source.scale) + Fraction(source.offset) - Fraction(target.offset)) / Fraction(target.scale)
 
 
+def expand_window(window: IntervalSet, mappings) -> IntervalSet:
+    """A window with its images on every axis that exact maps lead to, either way along each.
+
+    A map with a range takes points inside it alone, since a range search needs a map that is total.
+    """
+    found = {i.axis: [i] for i in window.ivs}
+    steps = [*mappings, *(m.inverse() for m in mappings)]
+    grown = True
+    while grown:
+        grown = False
+        for m in steps:
+            if m.source in found and m.target not in found:
+                out = [x for i in found[m.source] if (x := _image(i, m)) is not None]
+                if out:
+                    found[m.target] = out
+                    grown = True
+    return IntervalSet(i for ivs in found.values() for i in ivs)
+
+
+def _image(i: Interval, m) -> Interval | None:
+    point = i.lo.at == i.hi.at
+    if (m.lo is not None or m.hi is not None) and not (point and (m.lo is None or m.lo <= i.lo.at) and (m.hi is None or i.hi.at <= m.hi)):
+        return None
+    move = lambda c: c if c in (MINUS, PLUS) else Cut(c.at * m.scale + m.offset, c.side)
+    if m.scale > 0:
+        return Interval(m.target, move(i.lo), move(i.hi))
+    flip = lambda c: {MINUS: PLUS, PLUS: MINUS}.get(c) or Cut(c.at * m.scale + m.offset, 1 - c.side)
+    return Interval(m.target, flip(i.hi), flip(i.lo))
+
+
 def convert_segments(x, segments: list[tuple]) -> list[Fraction]:
     """Images of a coordinate under ((from, to), (from, to)) segments, ends included; none in a gap, several where they overlap."""
     x, out = exact(x), []

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -33,6 +34,23 @@ class Timeline:
     real: str | None = None
 
 
+@dataclass(frozen=True)
+class Mapping:
+    """An exact map between axes: target = source * scale + offset, within [lo, hi] of the source where these are given."""
+
+    source: str
+    target: str
+    scale: Fraction = Fraction(1)
+    offset: Fraction = Fraction(0)
+    lo: Fraction | None = None
+    hi: Fraction | None = None
+
+    def inverse(self) -> Mapping:
+        ends = sorted(self.scale * x + self.offset for x in (self.lo, self.hi) if x is not None)
+        lo, hi = (ends[0], ends[-1]) if len(ends) == 2 else (None, None)
+        return Mapping(self.target, self.source, 1 / self.scale, -self.offset / self.scale, lo, hi)
+
+
 @dataclass
 class Graph:
     """The four tables and the small catalogs that queries are checked against.
@@ -51,6 +69,7 @@ class Graph:
     properties: dict[tuple[str, str], str] = field(default_factory=dict)
     endpoints: dict[str, tuple[tuple[str, ...] | None, tuple[str, ...] | None]] = field(default_factory=dict)
     timelines: dict[str, Timeline] = field(default_factory=dict)
+    mappings: tuple[Mapping, ...] = ()
 
     @property
     def axes(self) -> list[str]:

@@ -474,8 +474,8 @@ class Plan:
                 self.df = kept(self.df, "_b", iv.on_axes_sql("_b", [axis]), iv.some_sql("v"))
             self.df = self.df.withColumn("_m", F.col("_b"))
             return
-        window = self.window(v)
-        scoped = iv.on_axes_sql("_b", [axis])
+        window = calendar.expand_window(self.window(v), self.g.mappings)
+        scoped = iv.on_axes_sql("_b", dict.fromkeys((axis, *(i.axis for i in window.ivs))))
         self.df = kept(self.df.withColumn("_w", F.expr(window.sql())), "_b", scoped, iv.some_sql("v"))
         matched = f"struct({iv.intersect_sql('_b', '_w')} AS m, _b, _w)"
         accepts = {"AT": iv.some_sql("v.m"), "OVERLAPS": iv.some_sql("v.m"), "CONTAINS": iv.contains_sql("v._b", "v._w"), "DURING": iv.contains_sql("v._w", "v._b")}[v.op]

@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.functions import calendar
 from tessella.functions import intervals as iv
 from tessella.functions import text as tx
 from tessella.functions.values import literal_sql, test_sql
@@ -90,13 +91,12 @@ class Window:
     closed: bool = False
 
     def set(self, graph: Graph) -> iv.IntervalSet:
-        from tessella.functions.calendar import coordinate
-
         t = graph.timelines[self.timeline]
-        lo = coordinate(t, self.lo)
+        lo = calendar.coordinate(t, self.lo)
         if self.hi is None:
-            return iv.IntervalSet([iv.Interval.of(t.axis, lo, lo)])
-        return iv.IntervalSet([iv.Interval.of(t.axis, lo, coordinate(t, self.hi), True, self.closed)])
+            return calendar.expand_window(iv.IntervalSet([iv.Interval.of(t.axis, lo, lo)]), graph.mappings)
+        window = iv.IntervalSet([iv.Interval.of(t.axis, lo, calendar.coordinate(t, self.hi), True, self.closed)])
+        return calendar.expand_window(window, graph.mappings)
 
 
 @dataclass(frozen=True)

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import json
 import uuid
+from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.operators.graph import NODES, PROPS, RELS, TEXTS, Graph, Timeline, dangling
+from tessella.operators.graph import NODES, PROPS, RELS, TEXTS, Graph, Mapping, Timeline, dangling
 
 VERSION = 1
 _TABLES = {"nodes": NODES, "rels": RELS, "props": PROPS, "texts": TEXTS}
@@ -50,7 +51,8 @@ def write(graph: Graph, folder: str, errors: int = 0) -> None:
     manifest = {
         "version": VERSION, "tables": states, "node_types": graph.node_types, "rel_types": graph.rel_types,
         "properties": [[*k, v] for k, v in graph.properties.items()], "endpoints": graph.endpoints,
-        "timelines": [[t.id, t.axis, t.system, t.scale, t.offset] for t in graph.timelines.values()],
+        "timelines": [[t.id, t.axis, t.system, t.scale, t.offset, t.real] for t in graph.timelines.values()],
+        "mappings": [[m.source, m.target, *(None if x is None else str(x) for x in (m.scale, m.offset, m.lo, m.hi))] for m in graph.mappings],
     }
     spark.createDataFrame([(json.dumps(manifest),)], "manifest string").coalesce(1).write.text(f"{staging}/manifest")
     read(spark, staging)
@@ -86,6 +88,7 @@ def read(spark: SparkSession, folder: str, check: bool = True) -> Graph:
     return Graph(
         spark, tables["nodes"], tables["rels"], tables["props"], tables["texts"], {k: tuple(v) for k, v in m["node_types"].items()},
         {k: tuple(v) for k, v in m["rel_types"].items()}, {(a, b): c for a, b, c in m["properties"]}, endpoints, {t[0]: Timeline(*t) for t in m["timelines"]},
+        tuple(Mapping(a, b, *(None if x is None else Fraction(x) for x in rest)) for a, b, *rest in m["mappings"]),
     )
 
 

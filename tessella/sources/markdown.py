@@ -11,6 +11,7 @@ import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from fractions import Fraction
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -382,6 +383,7 @@ def catalogs(docs: DataFrame) -> tuple[dict, list[tuple[str, str]]]:
     problems = []
     rows = docs.where(F.col("text").rlike(r"(?m)^kind:\s*(NodeType|RelType|Timeline)\s*(#.*)?$")).orderBy("path").toLocalIterator()
     same: dict[str, str] = {}
+    wanted: list[tuple] = []
     for r in rows:
         parts = split(r["text"])
         try:
@@ -404,6 +406,13 @@ def catalogs(docs: DataFrame) -> tuple[dict, list[tuple[str, str]]]:
             system = c if isinstance(c, str) else str(c.get("kind", "number"))
             if head.get("sameAxisAs"):
                 same[ident] = str(head["sameAxisAs"])
+            maps = head.get("mapsTo") or []
+            for m in maps if isinstance(maps, list) else [maps]:
+                m = m if isinstance(m, dict) else {"timeline": m}
+                span = m.get("range") or {}
+                if m.get("precision", "exact") == "exact" and Fraction(str(m.get("scale", 1))) != 0:
+                    ends = [None if span.get(k) is None else Fraction(str(span[k])) for k in ("from", "to")]
+                    wanted.append((ident, str(m.get("timeline")), Fraction(str(m.get("scale", 1))), Fraction(str(m.get("offset", 0))), *ends))
             out["timelines"][ident] = Timeline(ident, ident, "gregorian" if system == "calendar" else system, 1, (head.get("offset") or 0))
     for t, other in same.items():
         seen = {t}
@@ -413,6 +422,9 @@ def catalogs(docs: DataFrame) -> tuple[dict, list[tuple[str, str]]]:
         old = out["timelines"][t]
         pattern = "pattern" in old.system
         out["timelines"][t] = Timeline(t, f"~{t}" if pattern else other, "pattern" if pattern else old.system, old.scale, old.offset, other if pattern else None)
+    known = out["timelines"]
+    out["mappings"] = tuple(ops.Mapping(known[a].axis, known[b].axis, *rest) for a, b, *rest in wanted if b in known)
+    problems += [(a, f"unknown timeline {b}") for a, b, *_ in wanted if b not in known]
     return out, problems
 
 
@@ -455,5 +467,5 @@ def load(docs: DataFrame) -> tuple[Graph, DataFrame]:
     if problems:
         diagnostics = diagnostics.unionByName(spark.createDataFrame([(p, "error", m) for p, m in problems], "path string, severity string, message string"))
     declared = {(t, p): k for t, ps in cat["properties"].items() for p, k in ps.items()}
-    g = Graph(spark, nodes, rels, props, texts, cat["node_types"], cat["rel_types"], declared, cat["endpoints"], cat["timelines"])
+    g = Graph(spark, nodes, rels, props, texts, cat["node_types"], cat["rel_types"], declared, cat["endpoints"], cat["timelines"], cat["mappings"])
     return g, diagnostics.orderBy("path", "severity", "message")

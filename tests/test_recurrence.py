@@ -63,3 +63,15 @@ def test_calendars():
     segments = [((100, 110), (0, 10)), ((120, 130), (20, 30))]
     assert calendar.convert_segments(105, segments) == [5] and calendar.convert_segments(115, segments) == []
     assert calendar.format_pattern("{day:02}/{month:02}", day=2, month=8) == "02/08"
+
+
+def test_windows_cross_axes(spark):
+    rows = [
+        ("a.md", "---\nid: Story\nkind: Timeline\n---\n"), ("b.md", "---\nid: Project\nkind: Timeline\nmapsTo: {timeline: Story, offset: -1000}\n---\n"),
+        ("c.md", "---\nid: Frames\nkind: Timeline\nmapsTo: [{timeline: Story, scale: 1/30, offset: 100, range: {from: 0, to: 3000}}]\n---\n"),
+        ("t.md", "---\nid: T\nkind: NodeType\n---\n"), ("n.md", "---\nid: n\ntype: T\nvalidTime: [{timeline: Story, from: 100, to: 101}]\n---\n"),
+    ]
+    g = markdown.load(spark.createDataFrame(rows, "path string, text string"))[0]
+    hit = lambda clause: [r[0] for r in run(g, f"MATCH (n:T) VALID {clause} RETURN ID(n)").rows.collect()]
+    assert hit("ON Project AT 1100") == ["n"] and hit("ON Project AT 1102") == [] and hit("ON Project OVERLAPS [1101, 1200]") == ["n"]
+    assert hit("ON Frames AT 30") == ["n"] and hit("ON Frames AT 31") == [] and hit("ON Frames OVERLAPS [0, 30]") == []
