@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -319,6 +320,18 @@ def references(g, t):
     return ops.references(t("events").selectExpr("concat('user:', user_id) AS ref"), items, "Customer")
 
 
+@graph_query("SELECT 'inNation-s' || s_suppkey AS rel_id, 'supplier:' || s_suppkey AS src, 'nation:' || s_nationkey AS dst FROM supplier")
+def endpoint_errors(g, t):
+    """Suppliers, where only customers are said to be in nations."""
+    narrow = replace(g, endpoints={"inNation": (("Customer",), ("Nation",))})
+    return ops.endpoint_errors(narrow, "inNation")
+
+
+@graph_query("SELECT user_id AS k, event_type AS state FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS n FROM events) x WHERE n = 1")
+def last_per(g, t):
+    return ops.last_per(t("events").selectExpr("user_id AS k", "event_type AS state", "ts"), ["k"], "ts").select("k", "state")
+
+
 @graph_query("SELECT 'nation:' || n_nationkey AS src, 'nation:' || n_nationkey AS title, 'inRegion-' || n_nationkey AS rel_id, 'Anytime' AS validity FROM nation WHERE n_regionkey = 1")
 def backlinks(g, t):
     return ops.backlinks(g, "region:1", "inRegion")[0]

@@ -9,7 +9,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.operators.graph import NODES, PROPS, RELS, TEXTS, Graph, Mapping, Timeline, dangling
+from tessella.operators.graph import NODES, PROPS, RELS, TEXTS, Graph, Mapping, Timeline
 
 VERSION = 1
 _TABLES = {"nodes": NODES, "rels": RELS, "props": PROPS, "texts": TEXTS}
@@ -91,6 +91,3 @@ def read(spark: SparkSession, folder: str, check: bool = True) -> Graph:
         tuple(Mapping(a, b, *(None if x is None else Fraction(x) for x in rest)) for a, b, *rest in m["mappings"]),
     )
 
-
-def dangling_relations(graph: Graph) -> int:
-    return dangling(graph).count()
