@@ -15,7 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tessella.llm import common, decontaminate, graph, language_model, licenses, near_dups, quality, substrings
-from tests.llm.test_text_operators import LONG, SF, brute_counts, empty, odd  # noqa: F401
+from tests.llm.test_text_operators import SF, brute_counts, empty, odd  # noqa: F401
 
 
 @pytest.fixture(scope="module")
