@@ -58,7 +58,15 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 def sales_graph(spark: SparkSession, sf_dir: str) -> Graph:
     """The graph over the tables of a folder. Every branch names its type and path as constants, so a filter on them
     leaves only the tables that it needs."""
-    t = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    schemas = {}
+
+    def t(name: str) -> DataFrame:
+        """The table; its schema is read from the files once, not for each branch."""
+        path = f"{sf_dir}/{name}.parquet"
+        if name not in schemas:
+            schemas[name] = spark.read.parquet(path).schema
+        return spark.read.schema(schemas[name]).parquet(path)
+
     nodes, props, texts = [], [], []
     for kind, (name, key) in SOURCES.items():
         time = _order_time() if kind == "SalesOrder" else _anytime()
