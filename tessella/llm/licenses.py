@@ -7,7 +7,7 @@ class. The L1 penalty leaves weights to few features. Probabilities are calibrat
 A prediction counts only if the paragraph also holds enough of the words of a template of that family.
 
 Scanning is native: texts are split, hashed and looked up in a literal table of weights inside the JVM, without a shuffle.
-Only paragraphs with one of the stems that every template has are looked at, since no other could be confirmed.
+Paragraphs are passed over only if they have no stem and too few words of every template: none of these could be confirmed.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import lower_ascii_col, table
+from tessella.llm.common import table
 
 #: Short notices of licence families.
 TEMPLATES = (
@@ -79,9 +79,12 @@ ORDINARY = (
     "The licensed plumber came on Monday.",
     "Licensing rules differ from state to state.",
 )
-#: Fixed value: every template holds one of these.
+#: Fixed value: what has one of these gets a row, confirmed or not; every template holds one.
 STEMS = r"(?i)licen[cs]|rights\x20reserved|permission|public\x20domain|redistribution"
 
+#: Words too common to look for first.
+COMMON = frozenset("a all an and any are as by can for free in is it no not of or that the this to under use with without work you".split())
+
 UNKNOWN = "unknown"
 FAMILIES = tuple(dict.fromkeys(f for f, _ in TEMPLATES))
 _BITS = 12
@@ -92,6 +95,38 @@ def tokens(text: str) -> list[str]:
     return re.findall(_TOKEN, text.translate({c: c + 32 for c in range(65, 91)}))
 
 
+def needed(words: int, least: float) -> int:
+    """How many of a template's distinct words make its likeness `least` or more."""
+    return next(k for k in range(words + 1) if k == words or k / words >= least)
+
+
+def anchors(least: float) -> str:
+    """A pattern that every text matches which has `least` or more of the distinct words of some template.
+
+    If k of n words are needed, n - k + 1 of them cannot all be missing; the longest that are not common are taken.
+    """
+    wanted = set()
+    for _, text in TEMPLATES:
+        ws = sorted(set(tokens(text)), key=lambda w: (w in COMMON, -len(w), w))
+        wanted.update(ws[: len(ws) - max(1, needed(len(ws), least)) + 1])
+    ends = ((w.replace(".", "[.]").replace("-", "[-]"), "0-9" if re.search("[.-]", w) else "a-z0-9") for w in sorted(wanted))
+    # a word may begin right after the digits of another
+    return r"(?i)(?<![a-z])(?:" + "|".join(f"{w}(?![{after}])" for w, after in ends) + ")"
+
+
+def _words(text: str) -> str:
+    """SQL for the tokens of a text."""
+    return f"regexp_extract_all(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '({_TOKEN})', 1)"
+
+
+def _likely(words: str, least: float) -> str:
+    """SQL for whether the array of words has `least` or more of the distinct words of some template."""
+    sets = sorted({tuple(sorted(set(tokens(t)))) for _, t in TEMPLATES})
+    every = ",".join(f"'{w}'" for w in sorted({w for s in sets for w in s}))
+    held = f"array_intersect({words}, array({every}))"
+    return f"""exists(transform(array({held}), h -> exists({_arrays(sets)}, s -> size(array_intersect(split(s, ','), h)) / size(split(s, ',')) >= {least!r}D)), x -> x)"""
+
+
 def feature(gram: str) -> int:
     """As in SQL: the number of the first three bytes of the MD5 digest, cut to _BITS."""
     return int(hashlib.md5(gram.encode()).hexdigest()[:6], 16) & ((1 << _BITS) - 1)
@@ -120,12 +155,13 @@ def variants(seed: int, times: int) -> list[tuple[str, str]]:
     return out
 
 
-def corpus_paragraphs(docs: DataFrame, most: int = 400) -> list[str]:
-    """Up to `most` paragraphs without a stem, of the documents with the least id hashes: a bounded sample for the unknown class."""
+def corpus_paragraphs(docs: DataFrame, most: int = 400, least: float = 0.6) -> list[str]:
+    """Up to `most` paragraphs that would not be looked at, of the documents with the least id hashes: a bounded sample for the unknown class."""
     ids = docs.where("doc_id IS NOT NULL").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     wanted = [r[0] for r in ids.collect()]
-    first = F.get(F.filter(F.split("text", "\n"), lambda x: (F.length(x) > 20) & ~x.rlike(STEMS)), F.lit(0))
-    rows = docs.where(F.col("doc_id").isin(wanted)).select(F.substring(first, 1, 1000).alias("p")).where("p IS NOT NULL")
+    lines = F.filter(F.split("text", "\n"), lambda x: (F.length(x) > 20) & ~x.rlike(STEMS))
+    first = F.expr(f"get(filter(lines, x -> NOT {_likely(_words('x'), least)}), 0)")
+    rows = docs.where(F.col("doc_id").isin(wanted)).select(lines.alias("lines")).select(F.substring(first, 1, 1000).alias("p")).where("p IS NOT NULL")
     return sorted(r[0] for r in rows.limit(most).collect())
 
 
@@ -192,7 +228,7 @@ def _arrays(rows: list[list]) -> str:
 
 
 def scan(docs: DataFrame, model: Classifier, threshold: float = 0.5, least: float = 0.6) -> DataFrame:
-    """A row for each paragraph (line) of docs (doc_id, text) that has a stem.
+    """A row for each paragraph (line) of docs (doc_id, text) that has a stem or whose family is confirmed.
 
     doc_id, paragraph (its number from 0), family (the likeliest class, or unknown if its probability is under the
     threshold or no template confirms it), predicted, probability, template (its number, -1 if none) and likeness (the
@@ -209,9 +245,11 @@ def scan(docs: DataFrame, model: Classifier, threshold: float = 0.5, least: floa
     sets = [sorted(set(tokens(t))) for _, t in TEMPLATES]
     owner = ",".join(str(classes.index(f)) for f, _ in TEMPLATES)
 
-    lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("text").rlike(STEMS))
-    paras = lines.select("doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "p")).where(F.col("p").rlike(STEMS))
-    words = paras.withColumn("w", F.regexp_extract_all(lower_ascii_col(F.col("p")), F.lit(f"({_TOKEN})"), F.lit(1)))
+    # what lacks a stem needs enough words of a template: first one of the anchors, then the count
+    stem, near = F.col("p").rlike(STEMS), anchors(least)
+    lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("text").rlike(STEMS) | F.col("text").rlike(near))
+    paras = lines.select("doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "p")).where(stem | F.col("p").rlike(near))
+    words = paras.select("doc_id", "paragraph", stem.alias("stem"), F.expr(_words("p")).alias("w")).where(F.col("stem") | F.expr(_likely("w", least)))
     pairs = "transform(slice(w, 2, greatest(size(w) - 1, 0)), (x, i) -> concat(get(w, i), ' ', x))"
     gram = f"array_distinct(transform(array_union(w, {pairs}), g -> cast(conv(substring(md5(g), 1, 6), 16, 10) as int) & {(1 << _BITS) - 1}))"
     hashed = words.withColumn("f", F.expr(gram))
@@ -227,11 +265,14 @@ def scan(docs: DataFrame, model: Classifier, threshold: float = 0.5, least: floa
     best = scored.withColumn("best", F.expr(like))
     predicted = F.get(F.expr(f"array({families})"), F.col("class"))
     sure = (F.col("probability") >= threshold) & (F.col("best.likeness") >= least)
-    return best.select(
-        "doc_id", F.col("paragraph").cast("long").alias("paragraph"),
+    rows = best.select(
+        "stem", "doc_id", F.col("paragraph").cast("long").alias("paragraph"),
         F.when(sure, predicted).otherwise(UNKNOWN).alias("family"), predicted.alias("predicted"), "probability",
         F.when(F.col("best.likeness") > 0, -F.col("best.number")).otherwise(-1).alias("template"), F.col("best.likeness").alias("likeness"),
     )
+    # out of a generator: a filter would be pushed below and its expressions written out again at each level
+    names = rows.columns[1:]
+    return rows.select(F.inline(F.filter(F.array(F.struct(*rows.columns)), lambda x: x["stem"] | (x["family"] != UNKNOWN)))).select(*names)
 
 
 def op5_license_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -303,6 +303,30 @@ def test_license_edges(spark, odd, classifier):  # noqa: F811
     assert all(__import__("re").search(licenses.STEMS.replace(r"\x20", " "), t) for _, t in licenses.TEMPLATES)
 
 
+def test_licenses_without_a_stem(spark, docs, classifier):
+    gpl = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU GPL as published by the Free Software Foundation."
+    texts = ["Released under CC BY 4.0.", "This content is available under CC BY-SA 4.0.", gpl, "It can be read by all under the roof."]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(["\n".join(["plain words", *texts]), *texts])], "doc_id long, text string")
+    got = {(r["doc_id"], r["paragraph"]): r["family"] for r in licenses.scan(df, classifier).collect()}
+    assert got == {(0, 1): "cc", (0, 2): "cc", (0, 3): "gpl", (1, 0): "cc", (2, 0): "cc", (3, 0): "gpl"}
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.data())
+def test_anchors_lose_nothing(data):
+    import re
+
+    _, text = data.draw(st.sampled_from(licenses.TEMPLATES))
+    ws = sorted(set(licenses.tokens(text)))
+    for least in (0.3, 0.6, 0.9):
+        k = licenses.needed(len(ws), least)
+        assert k / len(ws) >= least > (k - 1) / len(ws)
+        some = data.draw(st.permutations(ws))[:k]
+        joined = "".join(w + data.draw(st.sampled_from([" ", "-", "/x1.0", ". "])) for w in some)
+        if len(set(ws) & set(licenses.tokens(joined))) >= k:
+            assert re.search(licenses.anchors(least), joined.title())
+
+
 # pipeline
 
 
