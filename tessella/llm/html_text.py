@@ -2,8 +2,9 @@
 
 The standard library's parser streams events; every block boundary ends a line, and each line has a ratio of its text's
 code points to its tags. Ratios are smoothed with a Gaussian over the lines and split by a threshold into content and
-the rest. The innermost element that holds nearly all of the content lines' text is the content region, of which every
-block stays, however short; menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
+the rest. The innermost element that holds nearly all of the content lines' text, widened to the
+article or main element around it or else until no content line lies outside, is the content region, of which every block
+stays, however short; menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
 comments inside or outside of it go by their element or by what their class, id or role says. One map over the pages.
 """
 
@@ -57,6 +58,7 @@ class _Lines(HTMLParser):
         self.stack: list[tuple[str, bool, int]] = []  # open blocks: name, is noise, number
         self.hidden = self.number = self.links = 0
         self.hidden_by = ""
+        self.named: dict[int, str] = {}  # names of articles and mains by number
         self.lines: list[Line] = []
         self.line = Line([])
 
@@ -109,6 +111,8 @@ class _Lines(HTMLParser):
                 self._imply("li", "ul", "ol", "menu")
             self.number += 1
             self.stack.append((tag, self._marked(tag, attrs), self.number))
+            if tag in _ARTICLE:
+                self.named[self.number] = tag
         elif tag == "a":
             self.links += 1
         self.line.tags += 1
@@ -164,7 +168,7 @@ def extract(html: str | None, sigma: float = 1.0, cut: float = 0.5, share: float
     """The main text; empty for null, empty and text-free pages.
 
     cut: lines of a smoothed ratio of cut * standard deviation or more are content. share: of the content's code points
-    that the content region must hold.
+    that the innermost element must hold from which the content region grows.
     """
     if not html:
         return ""
@@ -185,11 +189,17 @@ def extract(html: str | None, sigma: float = 1.0, cut: float = 0.5, share: float
                 held[x.path[:i]] = held.get(x.path[:i], 0) + len(t)
     total = held.get((), 0)
     region = max((p for p, n in held.items() if n >= share * total), key=len)
-    bare = len(region) <= 2  # html and body alone: no element of its own, so the lines' own verdict holds
+    # up to the outermost article or else main around it; where there is none, to what holds all content lines
+    own = next((i for kind in ("article", "main") for i, n in enumerate(region) if parser.named.get(n) == kind), None)
+    if own is not None:
+        region = region[: own + 1]
+    while own is None and held[region] < total:
+        region = region[:-1]
+    bare = len(region) <= 2  # html and body alone: lines of links alone may be menus there, if not content
     out = []
     for (x, t), c in zip(lines, content, strict=True):
-        menu = x.item and x.link >= len("".join(t.split())) > 0
-        if not x.noise and not menu and x.path[: len(region)] == region and (c or not bare):
+        menu = (x.item or bare and not c) and x.link >= len("".join(t.split())) > 0
+        if not x.noise and not menu and x.path[: len(region)] == region:
             out.append(t)
     return "\n".join(out)
 

@@ -286,6 +286,21 @@ def test_extract():
     assert html_text.extract("<p>just text &lt;here&gt;") == "just text <here>"
 
 
+def test_extract_keeps_what_is_beside_the_longest_element():
+    long = "Many words that make up the body of this article. " * 12
+    page = "<html><body><nav><a href='/'>Home</a></nav>{}<footer>host</footer></body></html>"
+    want = f"Title\n{long.strip()}\nThe end."
+    for inner in (
+        f"<article><h1>Title</h1><div class='body'>{long}</div><section>The end.</section></article>",
+        f"<main><div><h1>Title</h1></div><blockquote>{long}</blockquote><p>The end.</p></main>",
+        f"<article><header><h1>Title</h1></header><table><tr><td>{long}</td></tr></table><section><p>The end.</p></section></article>",
+        f"<h1>Title</h1><p>{long}</p><p>The end.</p>",
+    ):
+        assert html_text.extract(page.format(inner)) == want
+    parts = f"<div><section><p>{long}</p></section><section><p>A last section with a sentence.</p></section></div>"
+    assert html_text.extract(page.format(parts)) == f"{long.strip()}\nA last section with a sentence."
+
+
 def test_extract_pages(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     got = {r["page_id"]: r for r in html_text.extract_pages(pages).collect()}
