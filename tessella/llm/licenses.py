@@ -227,52 +227,90 @@ def _arrays(rows: list[list]) -> str:
     return "split('" + ";".join(",".join(map(str, r)) for r in rows) + "', ';')"
 
 
-def scan(docs: DataFrame, model: Classifier, threshold: float = 0.5, least: float = 0.6) -> DataFrame:
-    """A row for each paragraph (line) of docs (doc_id, text) that has a stem or whose family is confirmed.
+def _candidates(least: float) -> str:
+    """SQL for what to judge of a text's `lines`, given the `near` templates: structs of the first line, how many, stem and words.
+
+    Lines with a stem or enough words of a template; and stretches of two or more lines without one that has no word, each
+    from a line with words of a template to one that adds the needed or a further word. A stretch has at most as many lines
+    as the template has words, so that a notice is whole even if each of its words is a line.
+    """
+    held = "transform(lines, l -> CASE WHEN l RLIKE '[A-Za-z0-9]' THEN " + _words("l") + " END)"
+    grown = "array_union(a.h, array_intersect(t.words, x))"
+    stretches = f"""flatten(transform(near, t -> flatten(transform(held, (first, i) -> CASE WHEN arrays_overlap(first, t.words) THEN aggregate(
+        slice(held, i + 1, t.most), struct(CAST(array() AS array<string>) AS h, 0 AS n, true AS open, CAST(array() AS array<struct<i:int,n:int>>) AS got),
+        (a, x) -> CASE WHEN NOT a.open OR x IS NULL THEN struct(a.h AS h, a.n AS n, false AS open, a.got AS got) ELSE struct(
+          {grown} AS h, a.n + 1 AS n, true AS open,
+          CASE WHEN a.n > 0 AND size({grown}) >= t.need AND size({grown}) > size(a.h) THEN array_append(a.got, struct(i AS i, a.n + 1 AS n)) ELSE a.got END AS got) END,
+        a -> a.got) ELSE CAST(array() AS array<struct<i:int,n:int>>) END))))"""
+    joined = f"""CASE WHEN size(near) > 0 AND size(lines) > 1 THEN flatten(transform(array({held}), held -> array_distinct({stretches})))
+      ELSE CAST(array() AS array<struct<i:int,n:int>>) END"""
+    single = "filter(transform(lines, (l, i) -> struct(i AS i, 1 AS n, l RLIKE stems AS stem, l AS p)), x -> x.stem OR size(near) > 0)"
+    every = f"concat({single}, transform({joined}, x -> struct(x.i AS i, x.n AS n, false AS stem, array_join(slice(lines, x.i + 1, x.n), ' ') AS p)))"
+    every = f"transform({every}, x -> struct(x.i AS i, x.n AS n, x.stem AS stem, {_words('x.p')} AS w))"
+    return f"filter({every}, x -> x.stem OR {_likely('x.w', least)})"
 
-    doc_id, paragraph (its number from 0), family (the likeliest class, or unknown if its probability is under the
-    threshold or no template confirms it), predicted, probability, template (its number, -1 if none) and likeness (the
-    share of the template's distinct words that the paragraph has; `least` or more confirms). Null and empty texts have no
-    paragraphs; null and repeated doc_ids are rows like others; other columns are ignored.
+
+def scan(docs: DataFrame, model: Classifier, threshold: float = 0.5, least: float = 0.6) -> DataFrame:
+    """A row for each paragraph of docs (doc_id, text): a line that has a stem or whose family is confirmed, or several
+    lines that hold a notice together.
+
+    doc_id, paragraph (the number of its first line from 0), family (the likeliest class, or unknown if its probability is
+    under the threshold or no template confirms it), predicted, probability, template (its number, -1 if none), likeness
+    (the share of the template's distinct words that the paragraph has; `least` or more confirms) and lines (how many).
+    Paragraphs of several lines are confirmed, hold no line confirmed as the same family and share no line: the likest go
+    first, then the shortest. Null and empty texts have no paragraphs; null and repeated doc_ids are rows like others;
+    other columns are ignored.
     """
     used = np.flatnonzero(np.abs(model.weights).sum(axis=1))
     place = {int(f): i for i, f in enumerate(used)}
     slots = ",".join(str(place.get(f, -1)) for f in range(1 << _BITS))
     weights = ",".join(repr(round(float(x), 4)) for x in model.weights[used].reshape(-1))
     classes, k = model.classes, len(model.classes)
-    families = ",".join(f"'{c}'" for c in classes)
+    families = "array(" + ",".join(f"'{c}'" for c in classes) + ")"
     bias = ",".join(f"{x:.4f}D" for x in model.bias)
-    sets = [sorted(set(tokens(t))) for _, t in TEMPLATES]
-    owner = ",".join(str(classes.index(f)) for f, _ in TEMPLATES)
+    quoted = [",".join(f"'{w}'" for w in sorted(set(tokens(t)))) for _, t in TEMPLATES]
+    templates = ",".join(
+        f"named_struct('words', array({q}), 'need', {needed(len(set(tokens(t))), least)}, 'most', {len(tokens(t))}, 'owner', {classes.index(f)})"
+        for q, (f, t) in zip(quoted, TEMPLATES, strict=True)
+    )
+    stems = "'" + STEMS.replace("\\", "\\\\") + "'"
 
     # what lacks a stem needs enough words of a template: first one of the anchors, then the count
-    stem, near = F.col("p").rlike(STEMS), anchors(least)
-    lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("text").rlike(STEMS) | F.col("text").rlike(near))
-    paras = lines.select("doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "p")).where(stem | F.col("p").rlike(near))
-    words = paras.select("doc_id", "paragraph", stem.alias("stem"), F.expr(_words("p")).alias("w")).where(F.col("stem") | F.expr(_likely("w", least)))
-    pairs = "transform(slice(w, 2, greatest(size(w) - 1, 0)), (x, i) -> concat(get(w, i), ' ', x))"
-    gram = f"array_distinct(transform(array_union(w, {pairs}), g -> cast(conv(substring(md5(g), 1, 6), 16, 10) as int) & {(1 << _BITS) - 1}))"
-    hashed = words.withColumn("f", F.expr(gram))
-    located = hashed.withColumn("at", F.expr(f"filter(transform(f, x -> cast(get(split('{slots}', ','), x) as int)), i -> i >= 0)"))
+    stem, anchored = F.col("text").rlike(STEMS), F.col("text").rlike(anchors(least))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(stem | anchored)
+    every = ",".join(f"'{w}'" for w in sorted({w for _, t in TEMPLATES for w in tokens(t)}))
+    near = f"flatten(transform(array(array_intersect({_words('text')}, array({every}))), h -> filter(array({templates}), t -> size(array_intersect(t.words, h)) >= t.need)))"
+    rows = rows.select("doc_id", F.split("text", "\n").alias("lines"), F.expr(near).alias("near"))
+    c = _candidates(least).replace("RLIKE stems", f"RLIKE {stems}")
+    rows = rows.select("doc_id", F.expr(c).alias("c"))
+
+    def step(**more: str) -> None:
+        nonlocal rows
+        fields = ", ".join(f"x.{f.name} AS {f.name}" for f in rows.schema["c"].dataType.elementType.fields if f.name not in more)
+        rows = rows.withColumn("c", F.expr(f"transform(c, x -> struct({fields}, {', '.join(f'{e} AS {n}' for n, e in more.items())}))"))
+
+    pairs = "transform(slice(x.w, 2, greatest(size(x.w) - 1, 0)), (v, i) -> concat(get(x.w, i), ' ', v))"
+    step(f=f"array_distinct(transform(array_union(x.w, {pairs}), g -> cast(conv(substring(md5(g), 1, 6), 16, 10) as int) & {(1 << _BITS) - 1}))")
+    step(at=f"filter(transform(x.f, v -> cast(get(split('{slots}', ','), v) as int)), i -> i >= 0)")
     # one sum for each class over the features that have weights
     table_sql = f"CAST(split('{weights}', ',') AS array<double>)"
-    z = f"""transform(array({bias}), (b, c) -> (b + coalesce(aggregate(at, 0.0D, (s, i) -> s + get({table_sql}, i * {k} + c)), 0.0D) / sqrt(greatest(size(f), 1))) / {model.temperature!r}D)"""
-    scored = located.withColumn("z", F.expr(z)).withColumn("top", F.array_max("z"))
-    scored = scored.withColumn("probability", F.expr("1 / aggregate(z, 0.0D, (s, x) -> s + exp(x - top))"))
-    scored = scored.withColumn("class", (F.array_position("z", F.col("top")) - 1).cast("int"))
-    like = f"""array_max(transform(arrays_zip(transform({_arrays(sets)}, s -> split(s, ',')), array({owner})), (t, i) ->
-      named_struct('likeness', CASE WHEN t['1'] = class THEN size(array_intersect(t['0'], w)) / size(t['0']) ELSE 0.0D END, 'number', -i)))"""
-    best = scored.withColumn("best", F.expr(like))
-    predicted = F.get(F.expr(f"array({families})"), F.col("class"))
-    sure = (F.col("probability") >= threshold) & (F.col("best.likeness") >= least)
-    rows = best.select(
-        "stem", "doc_id", F.col("paragraph").cast("long").alias("paragraph"),
-        F.when(sure, predicted).otherwise(UNKNOWN).alias("family"), predicted.alias("predicted"), "probability",
-        F.when(F.col("best.likeness") > 0, -F.col("best.number")).otherwise(-1).alias("template"), F.col("best.likeness").alias("likeness"),
+    step(z=f"""transform(array({bias}), (b, c) -> (b + coalesce(aggregate(x.at, 0.0D, (s, i) -> s + get({table_sql}, i * {k} + c)), 0.0D) / sqrt(greatest(size(x.f), 1))) / {model.temperature!r}D)""")
+    step(top="array_max(x.z)")
+    step(probability="1 / aggregate(x.z, 0.0D, (s, v) -> s + exp(v - x.top))", class_="cast(array_position(x.z, x.top) - 1 as int)")
+    step(best=f"""array_max(transform(array({templates}), (t, i) ->
+      named_struct('likeness', CASE WHEN t.owner = x.class_ THEN size(array_intersect(t.words, x.w)) / size(t.words) ELSE 0.0D END, 'number', -i)))""")
+    sure = f"x.probability >= {threshold!r}D AND x.best.likeness >= {least!r}D"
+    rows = rows.withColumn("c", F.expr(f"""transform(c, x -> struct(
+      -x.best.likeness AS unlike, x.n AS n, x.i AS i, x.stem AS stem, CASE WHEN {sure} THEN get({families}, x.class_) ELSE '{UNKNOWN}' END AS family,
+      get({families}, x.class_) AS predicted, x.probability AS probability, CASE WHEN x.best.likeness > 0 THEN -x.best.number ELSE -1 END AS template))"""))
+    # a stretch of lines that a line or a better stretch speaks for goes
+    shared = "y.i < x.i + x.n AND x.i < y.i + y.n"
+    rows = rows.withColumn("c", F.expr(f"""aggregate(array_sort(filter(c, x -> x.n > 1 AND x.family <> '{UNKNOWN}')), filter(c, x -> x.n = 1 AND (x.stem OR x.family <> '{UNKNOWN}')),
+      (a, x) -> CASE WHEN exists(a, y -> {shared} AND (y.n > 1 OR y.family = x.family)) THEN a ELSE array_append(a, x) END)"""))
+    # an outer generator: of an inner one, Spark makes a filter on the size of `c` and writes all of the above out again below
+    return rows.select("doc_id", F.inline_outer("c")).where("n IS NOT NULL").select(
+        "doc_id", F.col("i").cast("long").alias("paragraph"), "family", "predicted", "probability", "template", (-F.col("unlike")).alias("likeness"), F.col("n").alias("lines"),
     )
-    # out of a generator: a filter would be pushed below and its expressions written out again at each level
-    names = rows.columns[1:]
-    return rows.select(F.inline(F.filter(F.array(F.struct(*rows.columns)), lambda x: x["stem"] | (x["family"] != UNKNOWN)))).select(*names)
 
 
 def op5_license_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -311,6 +311,31 @@ def test_licenses_without_a_stem(spark, docs, classifier):
     assert got == {(0, 1): "cc", (0, 2): "cc", (0, 3): "gpl", (1, 0): "cc", (2, 0): "cc", (3, 0): "gpl"}
 
 
+def test_wrapped_licenses(spark, classifier):
+    import textwrap
+
+    gpl = (
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
+        "the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    )
+    bsd, agpl, mit = (next(t for f, t in licenses.TEMPLATES if f == x) for x in ("bsd", "agpl", "mit"))
+    rows, want = [], set()
+    for i, (family, text) in enumerate((("gpl", gpl), ("bsd", bsd), ("agpl", agpl), ("mit", mit))):
+        for j, (width, mark) in enumerate(((66, ""), (40, " * "), (66, "# "))):
+            lines = [mark + x for x in textwrap.wrap(text, width)]
+            n = 10 * i + j
+            rows.append((n, "\n".join(["A first line of prose", mark.rstrip(), "Some words before", *lines, "import something", mark.rstrip(), "A last line"])))
+            want.add((n, family))
+        rows.append((10 * i + 9, "\n\n".join(textwrap.wrap(text, 24))))  # blank lines between: no notice
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [r for r in licenses.scan(df, classifier).collect() if r["family"] != "unknown"]
+    assert {(r["doc_id"], r["family"]) for r in got} == want and len(got) == len(want)
+    assert all(r["paragraph"] >= 2 and (r["lines"] > 1 or r["family"] in ("agpl", "mit")) for r in got)  # a line of these may do alone
+    adjoining = "Released under the MIT License.\n" + "\n".join(textwrap.wrap(bsd, 66))
+    got = licenses.scan(spark.createDataFrame([(1, adjoining)], "doc_id long, text string"), classifier).collect()
+    assert sorted((r["paragraph"], r["family"]) for r in got if r["family"] != "unknown") == [(0, "mit"), (1, "bsd")]
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.data())
 def test_anchors_lose_nothing(data):
