@@ -422,4 +422,4 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def op4_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return score(docs, train(docs))
+    return score(docs, train(docs, 3))

@@ -250,6 +250,13 @@ def test_frequent_grams(spark):
     assert r["n_known"] == 401 and r["score"] / r["n_tokens"] > -0.02
 
 
+def test_language_model_query(spark, docs):
+    """The query scores trigrams."""
+    want = {r["doc_id"]: r["score"] for r in language_model.score(docs, language_model.train(docs, 3)).collect()}
+    got = {r["doc_id"]: r["score"] for r in language_model.op4_kneser_ney(spark, SF).collect()}
+    assert got.keys() == want.keys() and all(math.isclose(got[i], x, rel_tol=1e-9) for i, x in want.items())
+
+
 def test_language_model_edges(spark, odd):  # noqa: F811
     got = language_model.score(odd, language_model.train(odd)).collect()
     assert len(got) == 8 and all(math.isfinite(r["score"]) for r in got)
