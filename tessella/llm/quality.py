@@ -21,7 +21,8 @@ from tessella.llm.common import WORD, map_batches, table
 class Bands:
     """Limits on the ratio by length in bytes: lengths from `lengths[i]` take `low[i]` and `high[i]`.
 
-    chunk: bytes of a chunk. most_bad: the share of bytes that may lie in chunks outside their limits.
+    chunk: bytes of a chunk. most_bad: the share of bytes that may lie in chunks outside their limits. most_run: how many
+    such chunks may follow one another, however long the text.
     """
 
     lengths: tuple[int, ...] = (0, 256, 512, 1024, 2048, 4096, 8192, 32768)
@@ -29,6 +30,7 @@ class Bands:
     high: tuple[float, ...] = (2.0, 2.1, 2.2, 2.3, 2.35, 2.45, 2.6, 3.0)
     chunk: int = 4096
     most_bad: float = 0.25
+    most_run: int = 1
     level: int = 3
 
     def within(self, n: int, ratio: float, high: Sequence[float] | None = None) -> bool:
@@ -66,7 +68,7 @@ def judge(data: bytes, bands: Bands, packer) -> tuple[float, float, float, float
         return 0.0, 0.0, 0.0, 0.0, False
     ratio = n / len(packer(data))
     least = most = ratio
-    bad = 0
+    bad = run = longest = 0
     if n > bands.chunk:
         ratios = []
         for i in range(0, n, bands.chunk):
@@ -75,8 +77,12 @@ def judge(data: bytes, bands: Bands, packer) -> tuple[float, float, float, float
             ratios.append(r)
             if not bands.within(len(piece) - 1, r):
                 bad += len(piece)
+                run += 1
+                longest = max(longest, run)
+            else:
+                run = 0
         least, most = min(ratios), max(ratios)
-    return ratio, least, most, bad / n, bands.within(n, ratio) and bad <= bands.most_bad * n
+    return ratio, least, most, bad / n, bands.within(n, ratio) and bad <= bands.most_bad * n and longest <= bands.most_run
 
 
 SCHEMA = (

@@ -80,6 +80,21 @@ def test_quality_bands():
     assert not quality.judge(b"the same line again\n" * 500, quality.Bands(), packer)[4]
 
 
+def test_quality_runs():
+    """A run of noisy chunks in a long text whose share is small."""
+    import zstandard
+
+    rng = random.Random(2)
+    packer = zstandard.ZstdCompressor(level=3).compress
+    word = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randrange(2, 9))) for _ in range(3000)]
+    prose = " ".join(rng.choices(word, k=60_000)).encode()[: 4096 * 60]
+    noise = bytes(rng.randrange(256) for _ in range(4096 * 3))
+    bands = quality.Bands()
+    clean = quality.judge(prose, bands, packer)
+    mixed = quality.judge(prose[: 4096 * 20] + noise + prose[4096 * 20 :], bands, packer)
+    assert clean[4] and not mixed[4] and mixed[3] < bands.most_bad and bands.within(len(prose) + len(noise), mixed[0])
+
+
 def test_quality_edges(spark, odd):
     got = quality.measure(odd).collect()
     assert len(got) == 8
