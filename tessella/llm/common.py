@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
-import time
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from urllib.parse import urlparse
@@ -37,18 +38,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bounded_batches(spark: SparkSession, rows: int = 2000, nbytes: int = 16 << 20) -> None:
-    """Arrow batches of few rows and bytes, so that a worker never holds many long texts at once."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", nbytes)
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 2000, nbytes: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches cut to few rows and bytes, so that a worker never makes Python objects of many long texts at once.
+
+    Spark's own batches are bounded too (10 000 rows and 64 MB unless the session says otherwise); the cut is made here,
+    so that it does not hang on a setting of the session.
+    """
+    for batch in batches:
+        step = max(1, min(rows, int(nbytes * batch.num_rows / max(1, batch.nbytes))))
+        for i in range(0, batch.num_rows, step):
+            yield batch.slice(i, step)
 
 
 def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], dict], schema: str, rows: int = 2000) -> DataFrame:
-    """Applies f to each Arrow batch; f returns a column for each name of schema."""
-    bounded_batches(df.sparkSession, rows)
+    """Applies f to slices of Arrow batches; f returns a column for each name of schema."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, rows):
             out = f(batch)
             if out is not None:
                 yield pa.RecordBatch.from_pydict(out)
@@ -56,31 +62,53 @@ def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], dict], schema: str,
     return df.mapInArrow(run, schema)
 
 
+def filter_batches(df: DataFrame, keep: Callable[[pa.RecordBatch], list[bool] | np.ndarray], rows: int = 2000) -> DataFrame:
+    """The rows of df for which keep, given a slice of an Arrow batch, says so."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, rows):
+            yield batch.filter(pa.array(keep(batch), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; the setting is made only where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """A new folder under spark.checkpoint.dir. Where that is unset, a local session (tests) gets one of this machine;
+    on a cluster that would be another disk for each executor, so there it is an error."""
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not base:
-        base = "/tmp/tessella-checkpoints"
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not re.match(r"local(\[|$)", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = f"{tempfile.gettempdir()}/tessella-checkpoints"
     return f"{base.rstrip('/')}/tessella-{uuid.uuid4().hex}"
 
 
-_collected = [0.0]
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def setting(spark: SparkSession, key: str, value: str):
+    """A session setting that holds within the block alone."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
 def materialise(df: DataFrame, folder: str, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage ends here and a lost executor costs nothing.
 
-    Spark removes the shuffle files behind df once the driver's JVM has collected what refers to them; every few
-    seconds it is told to, so that a chain of tables does not hold the files of all its steps at once.
+    Spark removes the shuffle files behind the write when it has ended, so that a chain of tables does not hold those of
+    all its steps at once.
     """
     spark = df.sparkSession
     path = f"{folder}/{name}"
     schema = df.schema
-    df.write.mode("overwrite").parquet(path)
-    if time.monotonic() - _collected[0] > 2:
-        spark.sparkContext._jvm.System.gc()
-        _collected[0] = time.monotonic()
+    with setting(spark, _CLEANUP, "true"):
+        df.write.mode("overwrite").parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 

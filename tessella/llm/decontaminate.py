@@ -5,9 +5,9 @@ up to e = floor(errors * m) edits. Cut into e + 1 pieces, at least one piece the
 automaton over all pieces finds every such place in one pass, and Myers' bit-parallel distance, with a whole item in one
 integer, decides within the window around it. Exact: no item within its budget is missed, none beyond it is reported.
 
-The test items are the stated query set. They are read to the driver in blocks of at most `block_chars` code points
-(a bounded broadcast), and each block makes one pass over the documents, so neither the items' number nor the
-documents' matters to memory. No shuffle.
+The test items are the stated query set. They are read to the driver in blocks of at most `block_chars` code points (a
+bounded broadcast), one at a time, and each block makes one pass over the documents, so neither the items' number nor the
+documents' matters to memory. No shuffle of documents.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm.common import WORD, bounded_batches, lower_ascii, table
+from tessella.llm.common import WORD, filter_batches, lower_ascii, materialise, shared_folder, slices, table
 
 
 def normalise(text: str | None) -> str:
@@ -145,51 +145,71 @@ def blocks(items: DataFrame, block_chars: int) -> Iterator[tuple[tuple[int, str]
         yield tuple(block)
 
 
-def matches(docs: DataFrame, items: DataFrame, errors: float = 0.06, block_chars: int = 4_000_000) -> DataFrame:
+_FOUND = "doc_id long, item_id long, distance int, item_chars int, end_char long"
+
+
+def _block_matches(docs: DataFrame, sent, errors: float) -> DataFrame:
+    def run(batches):
+        matcher = _worker_matcher(sent.value, errors)
+        lengths = {i: len(t) for i, t in sent.value}
+        for batch in slices(batches):
+            rows = []
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if text:
+                    rows += [(doc_id, i, d, lengths[i], end) for i, d, end in matcher.find(normalise(text))]
+            if rows:
+                columns = list(zip(*rows, strict=True))
+                types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "item_id", "distance", "item_chars", "end_char"])
+
+    return docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "CAST(text AS STRING) AS text").mapInArrow(run, _FOUND)
+
+
+def matches(docs: DataFrame, items: DataFrame, errors: float = 0.06, block_chars: int = 4_000_000, folder: str | None = None) -> DataFrame:
     """(doc_id, item_id, distance, item_chars, end_char): each document and item with a match within the item's budget.
 
     end_char: where the first best match ends, in code points of the normalised text. Null and empty texts, items
     without words and items without an id match nothing; an empty item table gives an empty result. Repeated
-    documents give repeated rows; other columns are ignored.
+    documents give repeated rows; other columns are ignored. Of several blocks each is matched and written to the shared
+    folder before the next is read, so that driver and workers hold one at a time.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
-    schema = "doc_id long, item_id long, distance int, item_chars int, end_char long"
-    found = None
-    for block in blocks(items, block_chars):
-
-        def run(batches, sent=spark.sparkContext.broadcast(block)):
-            matcher = _worker_matcher(sent.value, errors)
-            lengths = {i: len(t) for i, t in sent.value}
-            for batch in batches:
-                rows = []
-                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    if text:
-                        rows += [(doc_id, i, d, lengths[i], end) for i, d, end in matcher.find(normalise(text))]
-                if rows:
-                    columns = list(zip(*rows, strict=True))
-                    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "item_id", "distance", "item_chars", "end_char"])
-
-        one = docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "CAST(text AS STRING) AS text").mapInArrow(run, schema)
-        found = one if found is None else found.unionByName(one)
-    return found if found is not None else spark.createDataFrame([], schema)
-
-
-def drop_contaminated(docs: DataFrame, items: DataFrame, errors: float = 0.06, block_chars: int = 4_000_000) -> DataFrame:
-    """The rows of docs that hold no item, with all their columns; rows with null or empty texts stay. One pass a block."""
+    found, sent, every = None, None, blocks(items, block_chars)
+    for i, block in enumerate(every):
+        if sent is not None:  # there is a block before this one: write what it finds, and let it go
+            folder = folder or shared_folder(spark)
+            one = materialise(_block_matches(docs, sent, errors), folder, f"matches-{i}")
+            found = one if found is None else found.unionByName(one)
+            sent.destroy()
+        sent = spark.sparkContext.broadcast(block)
+    if sent is None:
+        return spark.createDataFrame([], _FOUND)
+    last = _block_matches(docs, sent, errors)
+    return last if found is None else found.unionByName(last)
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, errors: float = 0.06, block_chars: int = 4_000_000, folder: str | None = None) -> DataFrame:
+    """The rows of docs that hold no item, with all their columns; rows with null or empty texts stay.
+
+    One pass a block; after each but the last, what is left is written to the shared folder.
+    """
     spark = docs.sparkSession
-    bounded_batches(spark)
-    for block in blocks(items, block_chars):
 
-        def run(batches, sent=spark.sparkContext.broadcast(block)):
+    def without(docs: DataFrame, sent) -> DataFrame:
+        def clean(batch: pa.RecordBatch) -> list[bool]:
             matcher = _worker_matcher(sent.value, errors)
-            for batch in batches:
-                clean = [not t or not matcher.find(normalise(t)) for t in batch.column("text").to_pylist()]
-                yield batch.filter(pa.array(clean, pa.bool_()))
-
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+            return [not t or not matcher.find(normalise(t)) for t in batch.column("text").to_pylist()]
+
+        return filter_batches(docs, clean)
+
+    sent = None
+    for i, block in enumerate(blocks(items, block_chars)):
+        if sent is not None:
+            folder = folder or shared_folder(spark)
+            docs = materialise(without(docs, sent), folder, f"clean-{i}")
+            sent.destroy()
+        sent = spark.sparkContext.broadcast(block)
+    return docs if sent is None else without(docs, sent)
 
 
 def op10_pigeonhole_matches(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,24 +1,34 @@
 """Interpolated modified Kneser-Ney n-gram model, counted in Spark, stored as sorted hash arrays, mapped by workers.
 
-Words are 64-bit hashes, an n-gram is the hash of its context and its word. Counting is one job: tasks count the n-grams of
-their tokens, and for each order from the highest down an exchange brings equal n-grams together; there their counts are
-added, written as one sorted array for each shard of the hash space, and turned into the next order's rows (each n-gram
-adds 1 to the continuation count of its suffix) and into what the next exchange adds up for each context. A shard is
-decided by the context and three bits of the word, so the n-grams of a very frequent context spread over eight shards and a
-rare context's stay together. What crosses an exchange is added up before and packed: one compressed block of arrays for
-each task and shard, with differences of sorted hashes and a word list for each block.
-
-The arrays lie in the shared folder. Workers map them into memory and look up sorted batches of hashes, so a lookup sweeps
+Words are 64-bit hashes; an n-gram's hash is made of that of its first n - 1 words and of its last word, so the n-grams of
+one order are the contexts of the next. Counting goes from the highest order down, a job for each: tasks count n-grams, an
+exchange brings equal ones together, and there a shard of the hash space is written, a record for each n-gram: its count,
+and as a context the sum of the counts that follow it and how many words follow it once, twice and more often. An n-gram
+gives two rows to the next lower order: its suffix, whose continuation count it raises, and its first words, as a context.
+A shard is decided by an n-gram's first words and three bits of its last word, so that a very frequent context spreads over
+eight shards and a rare one stays together. The number of shards follows the corpus' bytes and a task holds one at a time,
+so memory depends neither on the corpus nor on the number of partitions.
+
+What crosses an exchange is added up before and packed: the words of a block once, then ids in sorted order. Each level is
+written to the shared folder, and the exchanges below the first run in `rounds`, each over a part of the shards, so that
+their files on disk are few. What is stored keeps 48 bits of a hash beyond its shard's number (a shard has about a million
+n-grams, so a look-up of an n-gram that was never seen finds one by chance once in 3e8 times, whatever the size of the
+corpus) and all 64 of a word's; two different words share their hash at a chance of 3e-8 among a million, of 0.03 among a
+thousand million. Records are a byte each, a number into the shard's table of the commonest ones; others stand aside.
+
+The arrays lie in the shared folder. Workers map them into memory and look up sorted batches of hashes, so a look-up sweeps
 through a shard's pages and the model's size is not a matter of a worker's memory. The folder must be mounted by every
-worker. Only the count of counts, a few numbers an order, reaches the driver.
+worker. Only the counts of counts, a few numbers an order, reach the driver.
 """
 
 from __future__ import annotations
 
 import json
+import math
 import os
 import uuid
 import zlib
+from collections import OrderedDict
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -26,11 +36,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import WordHasher, bounded_batches, local_path, mix64, shared_folder, table
+from tessella.llm.common import WordHasher, delete_folder, local_path, materialise, mix64, shared_folder, slices, table
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
-_CHUNK = 400_000  #: tokens that are scored together
+_CHUNK = 1_000_000  #: tokens that are scored together
 _COUNTED = 3_000_000  #: tokens that are counted together
+_OPEN = 2000  #: shards that a worker keeps mapped
 END, START = np.uint64(0x45BE7F0D1A3C9E21), np.uint64(0x5AF3107A4D2B86C9)
 
 
@@ -59,31 +70,42 @@ def chunks(at: np.ndarray, most: int):
         i = min(j, n)
 
 
-def contexts(h: np.ndarray, starts: np.ndarray, order: int) -> list[np.ndarray]:
-    """For n = 2 to order: the hash of the n - 1 tokens before each token; before a text's first token stand START signs.
+def padded(h: np.ndarray, at: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Texts' tokens with order - 1 START signs before each text, and the places of the tokens in that.
 
-    h: the tokens of texts one after another; starts: where each text begins.
+    h: the tokens; at: where each text begins, one more at the end.
     """
-    out = []
-    with np.errstate(over="ignore"):
-        c = np.full(len(h), np.uint64(0))
-        age = np.arange(len(h)) - np.repeat(starts, np.diff(np.append(starts, len(h))))
-        for n in range(1, order):
-            back = np.concatenate((np.full(n, START), h[:-n] if n < len(h) else h[:0]))[: len(h)]
-            back = np.where(age >= n, back, START)
-            c = mix64(c * _MULT + back + np.uint64(n))
-            out.append(c)
-    return out
+    sizes = np.diff(at)
+    place = np.arange(len(h)) + np.repeat(np.arange(1, len(sizes) + 1) * (order - 1), sizes)
+    out = np.full(len(h) + (order - 1) * len(sizes), START)
+    out[place] = h
+    return out, place
 
 
 def gram_keys(c: np.ndarray, w: np.ndarray, bits: int) -> np.ndarray:
-    """The n-grams' hashes; their top bits, the shard, follow the context and three bits of the word."""
+    """The hashes of n-grams by that of their first words and their last word; the top bits are the shard."""
     with np.errstate(over="ignore"):
         shard = mix64(c + (w & np.uint64(7)) * _MULT) >> np.uint64(64 - bits)
         return shard << np.uint64(64 - bits) | mix64(c * _MULT ^ w) >> np.uint64(bits)
 
 
-def _sum_by(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+def keys_by_order(h: np.ndarray, order: int, bits: int) -> list[np.ndarray]:
+    """For n = 1 to order the hash of the n-gram that ends at each place; the first n - 1 places count as after START signs."""
+    out = [h]
+    for _ in range(1, order):
+        out.append(gram_keys(np.concatenate((np.array([START]), out[-1][:-1])), h, bits))
+    return out
+
+
+def keys_of(words: list[np.ndarray], bits: int) -> np.ndarray:
+    """The hashes of n-grams given as columns of words."""
+    out = words[0]
+    for w in words[1:]:
+        out = gram_keys(out, w, bits)
+    return out
+
+
+def _sum_by(keys: np.ndarray, values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """Distinct keys ascending, where one of each stood, and the values' sums."""
     order = np.argsort(keys)
     k = keys[order]
@@ -91,15 +113,6 @@ def _sum_by(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return k[first], order[first], [np.add.reduceat(v[order], first) if len(first) else v[:0] for v in values]
 
 
-def _write(folder: str, name: str, keys: np.ndarray, values: np.ndarray) -> None:
-    """A shard's arrays; complete files only, so a task that runs again does no harm."""
-    for kind, data in (("k", keys), ("v", values)):
-        temp = f"{folder}/.{name}.{kind}.{uuid.uuid4().hex}"
-        with open(temp, "wb") as f:
-            np.save(f, data)
-        os.replace(temp, f"{folder}/{name}.{kind}.npy")
-
-
 def _shards(keys: np.ndarray, bits: int):
     """(shard, from, to) of ascending keys."""
     if not len(keys):
@@ -110,182 +123,231 @@ def _shards(keys: np.ndarray, bits: int):
         yield int(s[a]), int(a), int(b)
 
 
-def _small(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Counts as bytes, and the places of those of 255 and more."""
-    return np.minimum(counts, 255).astype(np.uint8), np.flatnonzero(counts >= 255)
+# blocks that cross an exchange
 
+#: What a row says of an n-gram: its count, its count in the training tokens, and as a context the sum of the counts that
+#: follow it and how many words follow it once, twice and more often.
+_FIELDS = ("count", "raw", "total", "n1", "n2", "n3")
 
-_CONTEXT = np.dtype([("total", "<u8"), ("n1", "<u4"), ("n2", "<u4"), ("n3", "<u4")])
-_UNIGRAM = np.dtype([("raw", "<u8"), ("count", "<u4")])
-_ASCENDING = frozenset(("key", "words"))
 
-
-def pack(arrays: dict[str, np.ndarray]) -> bytes:
-    """Arrays as one compressed block: differences of ascending ones, the narrowest type, equal bytes side by side."""
+def pack(arrays: list[np.ndarray]) -> bytes:
+    """Arrays of whole numbers as one compressed block: the narrowest type for each, equal bytes side by side."""
     import zstandard
 
     head, parts = [], []
-    for name, x in arrays.items():
-        x = x.astype(np.uint64)
-        if name in _ASCENDING:
-            x = np.diff(x, prepend=np.uint64(0))
+    for x in arrays:
         top = int(x.max()) if len(x) else 0
         x = x.astype(next(t for t in ("<u1", "<u2", "<u4", "<u8") if top <= np.iinfo(t).max))
-        head.append((name, x.dtype.str, len(x)))
+        head.append((x.dtype.str, len(x)))
         parts.append(x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes())
     said = json.dumps(head).encode()
-    return zstandard.ZstdCompressor(level=1).compress(len(said).to_bytes(4, "little") + said + b"".join(parts))
+    return zstandard.ZstdCompressor(level=3).compress(len(said).to_bytes(4, "little") + said + b"".join(parts))
 
 
-def unpack(block: bytes) -> dict[str, np.ndarray]:
+def unpack(block: bytes) -> list[np.ndarray]:
     import zstandard
 
     data = zstandard.ZstdDecompressor().decompress(block)
     n = int.from_bytes(data[:4], "little")
-    out, at = {}, 4 + n
-    for name, kind, length in json.loads(data[4 : 4 + n]):
+    out, at = [], 4 + n
+    for kind, length in json.loads(data[4 : 4 + n]):
         t = np.dtype(kind)
         x = np.frombuffer(data, np.uint8, length * t.itemsize, at).reshape(t.itemsize, length).T
         at += length * t.itemsize
-        x = np.ascontiguousarray(x).view(t).reshape(length).astype(np.uint64)
-        out[name] = np.cumsum(x, dtype=np.uint64) if name in _ASCENDING else x
+        out.append(np.ascontiguousarray(x).view(t).reshape(length).astype(np.uint64))
     return out
 
 
-_BLOCKS = "shard int, kind int, block binary"
+def pack_rows(words: list[np.ndarray], fields: list[np.ndarray]) -> bytes:
+    """n-grams with their fields, in the order of their words' ids in the block: the words once, the first word's ids as
+    differences."""
+    names, ids = np.unique(np.concatenate(words), return_inverse=True)
+    ids = ids.reshape(len(words), -1)
+    order = np.lexsort(ids[::-1])
+    ids = ids[:, order].astype(np.uint64)
+    first = np.diff(ids[0], prepend=np.uint64(0))
+    return pack([np.diff(names, prepend=np.uint64(0)), first, *ids[1:], *(f[order] for f in fields)])
 
 
-def _blocks(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-    shard, kind, block = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(kind, pa.int32()), pa.array(block, pa.binary())], names=["shard", "kind", "block"])
+def unpack_rows(block: bytes, n: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    names, first, *rest = unpack(block)
+    names = np.cumsum(names, dtype=np.uint64)
+    ids = [np.cumsum(first, dtype=np.uint64), *rest[: n - 1]]
+    return [names[i.astype(np.int64)] for i in ids], rest[n - 1 :]
 
 
-def _gram_blocks(keys: np.ndarray, bits: int, word: np.ndarray, cs: list[np.ndarray], a: np.ndarray, raw: np.ndarray | None):
-    """Kind 0: n-grams by their context hashes c2..cn and word, with their count a, and the count of their word raw
-    where it is another. keys: ascending."""
-    for s, i, j in _shards(keys, bits):
-        w, more = word[i:j], {"a": a[i:j]} | ({} if raw is None else {"raw": raw[i:j]})
-        if not cs:
-            yield s, 0, pack({"key": w, **more})  # the words themselves, which are ascending
-            continue
-        c = cs[-1][i:j]
-        order = np.argsort(c)
-        c, w = c[order], w[order]
-        first = np.flatnonzero(np.concatenate(([True], c[1:] != c[:-1])))
-        words, which = np.unique(w, return_inverse=True)
-        lower = {f"c{n}": x[i:j][order][first] for n, x in enumerate(cs[:-1], start=2)}
-        yield s, 0, pack({"key": c[first], "runs": np.diff(np.append(first, len(c))), "words": words, "which": which, **lower, **{k: x[order] for k, x in more.items()}})
+_NUMBERS = ("f1", "f2", "f3", "f4", "types", "total", "raw")
+_ROWS = "shard int, block binary, " + ", ".join(f"{x} long" for x in _NUMBERS)
 
 
-def _context_blocks(keys: np.ndarray, bits: int, sums: list[np.ndarray]):
-    """Kind 1: contexts with their total, and how many words have 1, 2 and more."""
-    for s, i, j in _shards(keys, bits):
-        yield s, 1, pack({"key": keys[i:j], **{k: x[i:j] for k, x in zip(("a", "n1", "n2", "n3"), sums, strict=True)}})
+def _row_batch(rows: list[tuple[int, bytes]], numbers: list[int] | None = None) -> pa.RecordBatch:
+    """Blocks for the next level, and a row of numbers of this one, whose shard is -1."""
+    extra = [] if numbers is None else [(-1, None)]
+    shard, block = zip(*rows, *extra, strict=True)
+    cols = [pa.array(shard, pa.int32()), pa.array(block, pa.binary())]
+    for i in range(len(_NUMBERS)):
+        cols.append(pa.array([None] * len(rows) + ([] if numbers is None else [numbers[i]]), pa.int64()))
+    return pa.RecordBatch.from_arrays(cols, names=["shard", "block", *_NUMBERS])
 
 
-def _grams(blocks: list[dict[str, np.ndarray]], n: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
-    """word, [c2..cn], a, raw of unpacked blocks of order n."""
-    put = lambda f: np.concatenate([f(b) for b in blocks]) if blocks else np.empty(0, np.uint64)
-    a, raw = put(lambda b: b["a"]), put(lambda b: b.get("raw", b["a"]))
-    if n == 1:
-        return put(lambda b: b["key"]), [], a, raw
-    runs = [b["runs"].astype(np.int64) for b in blocks]
-    spread = lambda name: np.concatenate([np.repeat(b[name], r) for b, r in zip(blocks, runs, strict=True)]) if blocks else np.empty(0, np.uint64)
-    return put(lambda b: b["words"][b["which"].astype(np.int64)]), [*(spread(f"c{i}") for i in range(2, n)), spread("key")], a, raw
+def _blocks(keys: np.ndarray, bits: int, words: list[np.ndarray], fields: list[np.ndarray]) -> list[tuple[int, bytes]]:
+    """Packed rows by shard. keys: ascending."""
+    return [(s, pack_rows([w[i:j] for w in words], [f[i:j] for f in fields])) for s, i, j in _shards(keys, bits)]
 
 
 def _count_tokens(docs: DataFrame, order: int, bits: int) -> DataFrame:
     """The training texts' n-grams of the highest order, counted within chunks."""
     hasher = WordHasher(seed=4, lower=True)
 
-    def count(held: list[np.ndarray], starts: list[int]) -> pa.RecordBatch:
-        h = np.concatenate(held)
-        cs = contexts(h, np.array(starts), order)
-        keys = gram_keys(cs[-1], h, bits) if cs else h
-        k, at, (n,) = _sum_by(keys, np.ones(len(h), np.int64))
-        return _blocks(list(_gram_blocks(k, bits, h[at], [c[at] for c in cs], n, None)))
+    def count(held: list[np.ndarray], sizes: list[int]) -> pa.RecordBatch:
+        h, place = padded(np.concatenate(held), np.concatenate(([0], np.cumsum(sizes))), order)
+        key = keys_by_order(h, order, bits)[-1][place]
+        k, at, (n,) = _sum_by(key, [np.ones(len(key), np.uint64)])
+        at = place[at]
+        return _row_batch(_blocks(k, bits, [h[at - i] for i in range(order - 1, -1, -1)], [n]))
 
     def run(batches):
-        held, starts, size = [], [], 0
-        for batch in batches:
+        held, sizes, size = [], [], 0
+        for batch in slices(batches):
             batch = batch.filter(pa.array([not held_out(x) for x in batch.column(0).to_pylist()], pa.bool_()))
             h, at = tokens(batch.column(1), hasher)
-            for i, j in chunks(at, _CHUNK):
+            for i, j in chunks(at, _COUNTED):
                 held.append(h[at[i] : at[j]])
-                starts += (at[i:j] - at[i] + size).tolist()
+                sizes += np.diff(at[i : j + 1]).tolist()
                 size += len(held[-1])
                 if size >= _COUNTED:
-                    yield count(held, starts)
-                    held, starts, size = [], [], 0
+                    yield count(held, sizes)
+                    held, sizes, size = [], [], 0
         if held:
-            yield count(held, starts)
+            yield count(held, sizes)
 
-    return docs.mapInArrow(run, _BLOCKS)
+    return docs.mapInArrow(run, _ROWS)
 
 
 def _count_level(rows: DataFrame, n: int, order: int, bits: int, folder: str) -> DataFrame:
-    """Writes the n-grams' shards and those of the contexts of order n + 1; gives the next order's blocks, for n = 1 the
-    numbers of that order."""
+    """Writes the shards of order n; gives the rows of the next order and the numbers of this one.
+
+    rows: partitioned by shard and sorted by it, so that a task holds one shard at a time.
+    """
+
+    def level(shard: int, blocks: list[bytes]) -> pa.RecordBatch:
+        parts = [unpack_rows(b, n) for b in blocks]
+        words = [np.concatenate(x) for x in zip(*(w for w, _ in parts), strict=True)]
+        fields = [np.concatenate(x) for x in zip(*(f for _, f in parts), strict=True)]
+        del parts
+        keys, first, fields = _sum_by(keys_of(words, bits), fields)
+        words = [w[first] for w in words]
+        count = fields[0]
+        write_shard(f"{folder}/order-{n}-{shard}", keys, bits, _kept(n, order, fields), exact=n == 1)
+        raw = fields[1] if n < order else count
+        numbers = [*(int((count == c).sum()) for c in (1, 2, 3, 4)), int((count > 0).sum()), int(count.sum()), int(raw.sum())]
+        if n == 1:
+            return _row_batch([], numbers)
+        real = count > 0  # not those that are contexts alone, which begin with START signs
+        words, count, raw = [w[real] for w in words], count[real], raw[real]
+        one, none = np.ones(len(count), np.uint64), np.zeros(len(count), np.uint64)
+        both = [np.concatenate(x) for x in zip(words[1:], words[:-1], strict=True)]
+        said = (one, none), (raw, none), (none, count), *((none, (x).astype(np.uint64)) for x in (count == 1, count == 2, count > 2))
+        k, at, fields = _sum_by(keys_of(both, bits), [np.concatenate(x) for x in said])
+        return _row_batch(_blocks(k, bits, [w[at] for w in both], fields), numbers)
 
     def run(batches):
-        held: tuple[list, list] = ([], [])
+        held, shard = [], -1
         for batch in batches:
-            for kind, block in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
-                held[kind].append(unpack(block.as_buffer()))
-        if not held[0] and not held[1]:
-            return
-        if held[1]:
-            key, *values = (np.concatenate([b[x] for b in held[1]]) for x in ("key", "a", "n1", "n2", "n3"))
-            k, _, sums = _sum_by(key, *values)
-            stored = np.empty(len(k), _CONTEXT)
-            for x, v in zip(_CONTEXT.names, sums, strict=True):
-                stored[x] = v
-            for s, i, j in _shards(k, bits):
-                _write(folder, f"context-{n + 1}-{s}", k[i:j], stored[i:j])
-            held[1].clear()
-        word, cs, a, raw = _grams(held[0], n)
-        held[0].clear()
-        keys = gram_keys(cs[-1], word, bits) if n > 1 else word
-        k, first, (count, raw) = _sum_by(keys, a, raw)
-        del keys, a
-        word, cs = word[first], [c[first] for c in cs]
-        facts = [int((count == c).sum()) for c in (1, 2, 3, 4)]
-        if n == 1:
-            stored = np.empty(len(k), _UNIGRAM)
-            stored["raw"], stored["count"] = raw, count
-            for s, i, j in _shards(k, bits):
-                _write(folder, f"gram-1-{s}", k[i:j], stored[i:j])
-            numbers = [*facts, len(k), int(count.sum()), int(raw.sum())]
-            yield pa.RecordBatch.from_pydict({x: np.array([v], np.int64) for x, v in zip(_NUMBERS, numbers, strict=True)})
-            return
-        for s, i, j in _shards(k, bits):
-            small, big = _small(count[i:j])
-            _write(folder, f"gram-{n}-{s}", k[i:j], small)
-            if len(big):
-                _write(folder, f"large-{n}-{s}", k[i:j][big], count[i:j][big])
-        _write_facts(folder, n, facts)
-        ck, _, sums = _sum_by(cs[-1], count, *((count == i).astype(np.uint64) for i in (1, 2)), (count > 2).astype(np.uint64))
-        out = list(_context_blocks(ck, bits, sums))
-        down = gram_keys(cs[-2], word, bits) if n > 2 else word
-        dk, at, (a, raw) = _sum_by(down, np.ones(len(down), np.uint64), raw)
-        out += _gram_blocks(dk, bits, word[at], [x[at] for x in cs[:-1]], a, raw)
-        if out:
-            yield _blocks(out)
-
-    return rows.mapInArrow(run, _BLOCKS if n > 1 else ", ".join(f"{x} long" for x in _NUMBERS))
+            for s, block in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if s != shard:
+                    if held:
+                        yield level(shard, held)
+                    held, shard = [], s
+                held.append(block.as_buffer().to_pybytes())
+        if held:
+            yield level(shard, held)
 
+    return rows.select("shard", "block").mapInArrow(run, _ROWS)
 
-_NUMBERS = ("f1", "f2", "f3", "f4", "types", "total", "raw")
+
+def _kept(n: int, order: int, fields: list[np.ndarray]) -> list[np.ndarray]:
+    """What is stored of an n-gram: its count; below the highest order what follows it; of a word its count in training."""
+    if n == order:
+        return fields[:1]
+    return [fields[0], *fields[2:], *(fields[1:2] if n == 1 else [])]
+
+
+# shards on disk
 
 
-def _write_facts(folder: str, n: int, facts: list[int]) -> None:
-    from pyspark import TaskContext
+def write_shard(path: str, keys: np.ndarray, bits: int, fields: list[np.ndarray], exact: bool = False) -> None:
+    """A shard as one file, moved into place when it is complete, so a task that runs again does no harm.
 
-    part = TaskContext.get().partitionId()
-    temp = f"{folder}/.facts-{n}-{part}.{uuid.uuid4().hex}"
+    keys: ascending, of one shard. Stored are 32 bits after the shard's own and 16 more (exact: all that are left); a byte
+    for each record, its number among the commonest 255 records; and the others' places and records.
+    """
+    rest = keys << np.uint64(bits)
+    high = (rest >> np.uint64(32)).astype("<u4")
+    low = (rest & np.uint64(0xFFFFFFFF)).astype("<u4") if exact else (rest >> np.uint64(16) & np.uint64(0xFFFF)).astype("<u2")
+    records = np.stack(fields, axis=1) if len(keys) else np.empty((0, len(fields)), np.uint64)
+    small = (records < 256).all(axis=1) & (len(fields) <= 8)
+    packed = np.zeros(len(keys), np.uint64)
+    for i in range(min(8, len(fields))):
+        packed |= np.where(small, records[:, i], 0).astype(np.uint64) << np.uint64(8 * i)
+    kinds, which, seen = np.unique(packed[small], return_inverse=True, return_counts=True)
+    best = np.sort(np.argsort(-seen, kind="stable")[:255])
+    number = np.full(len(kinds), 255, np.uint8)
+    number[best] = np.arange(len(best))
+    code = np.full(len(keys), 255, np.uint8)
+    code[small] = number[which]
+    rare = np.flatnonzero(code == 255)
+    common = (kinds[best][:, None] >> (np.arange(len(fields), dtype=np.uint64) * np.uint64(8))) & np.uint64(255)
+    width = "<u4" if not len(rare) or records[rare].max() < 1 << 32 else "<u8"
+    arrays = {"high": high, "low": low, "code": code, "common": common.astype("<u4"), "rare": rare.astype("<u4"), "records": records[rare].astype(width)}
+    head, at = {}, 0
+    for name, x in arrays.items():
+        head[name] = (at, x.dtype.str, x.shape)
+        at += -(-x.nbytes // 8) * 8
+    said = json.dumps(head).encode()
+    said = said.ljust(-(-(len(said) + 8) // 8) * 8 - 8)
+    temp = f"{os.path.dirname(path)}/.{os.path.basename(path)}.{uuid.uuid4().hex}"
     with open(temp, "wb") as f:
-        np.save(f, np.array(facts, np.int64))
-    os.replace(temp, f"{folder}/facts-{n}-{part}.npy")
+        f.write(len(said).to_bytes(8, "little") + said)
+        for x in arrays.values():
+            f.write(x.tobytes().ljust(-(-x.nbytes // 8) * 8, b"\0"))
+    os.replace(temp, path)
+
+
+class Shard:
+    """A shard's file, mapped into memory."""
+
+    def __init__(self, path: str):
+        raw = np.memmap(path, np.uint8, "r")
+        n = int.from_bytes(raw[:8].tobytes(), "little")
+        head = json.loads(raw[8 : 8 + n].tobytes())
+        for name, (at, kind, shape) in head.items():
+            t = np.dtype(kind)
+            size = t.itemsize * math.prod(shape)
+            setattr(self, name, raw[8 + n + at : 8 + n + at + size].view(t).reshape(shape))
+
+    def look_up(self, keys: np.ndarray, bits: int, fields: int) -> np.ndarray:
+        """The records of ascending keys of this shard, zeros for those that are not stored."""
+        out = np.zeros((len(keys), fields), np.uint64)
+        rest = keys << np.uint64(bits)
+        high = (rest >> np.uint64(32)).astype("<u4")
+        low = (rest & np.uint64(0xFFFFFFFF)).astype("<u4") if self.low.itemsize == 4 else (rest >> np.uint64(16) & np.uint64(0xFFFF)).astype("<u2")
+        at, todo, found = np.searchsorted(self.high, high), np.arange(len(keys)), np.full(len(keys), -1)
+        while len(todo):  # keys with the same 32 bits stand side by side
+            todo = todo[at[todo] < len(self.high)]
+            p = at[todo]
+            same = self.high[p] == high[todo]
+            hit = same & (self.low[p] == low[todo])
+            found[todo[hit]] = p[hit]
+            todo = todo[same & ~hit]
+            at[todo] += 1
+        known = np.flatnonzero(found >= 0)
+        p = found[known]
+        code = self.code[p]
+        usual = code < 255
+        out[known[usual]] = self.common[code[usual]]
+        out[known[~usual]] = self.records[np.searchsorted(self.rare, p[~usual])]
+        return out
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
@@ -309,83 +371,93 @@ class Model:
     continuations: int
     discount: tuple[tuple[float, float, float], ...]
     left: float  #: share of the unigrams' discounts
-    open_files: dict = field(default_factory=dict, compare=False, hash=False, repr=False)
+    open_files: OrderedDict = field(default_factory=OrderedDict, compare=False, hash=False, repr=False)
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "open_files"} | {"open_files": {}}
+        return {k: v for k, v in self.__dict__.items() if k != "open_files"} | {"open_files": OrderedDict()}
 
-    def _map(self, name: str):
+    def _map(self, name: str) -> Shard | None:
         if name not in self.open_files:
-            path = f"{self.folder}/{name}"
             try:
-                self.open_files[name] = (np.load(f"{path}.k.npy", mmap_mode="r"), np.load(f"{path}.v.npy", mmap_mode="r"))
+                self.open_files[name] = Shard(f"{self.folder}/{name}")
             except FileNotFoundError:
                 self.open_files[name] = None
+            if len(self.open_files) > _OPEN:
+                self.open_files.popitem(last=False)
+        self.open_files.move_to_end(name)
         return self.open_files[name]
 
-    def look_up(self, kind: str, q: np.ndarray, dtype) -> np.ndarray:
-        """The values of ascending distinct hashes, zeros for those that are not stored."""
-        out = np.zeros(len(q), dtype)
+    def look_up(self, n: int, keys: np.ndarray) -> np.ndarray:
+        """The records of n-grams by their hashes, zeros for those that are not stored."""
+        q, back = np.unique(keys, return_inverse=True)
+        fields = 1 if n == self.order else 5
+        fields += n == 1 and self.order > 1
+        out = np.zeros((len(q), fields), np.uint64)
         for s, a, b in _shards(q, self.bits):
-            held = self._map(f"{kind}-{s}")
+            held = self._map(f"order-{n}-{s}")
             if held is not None:
-                keys, values = held
-                at = np.searchsorted(keys, q[a:b])
-                at[at == len(keys)] = 0
-                hit = keys[at] == q[a:b]
-                out[a:b][hit] = values[at[hit]]
-        return out
-
-    def log10(self, h: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each token its log10 probability and its count in training."""
-        w, back = np.unique(h, return_inverse=True)
-        uni = self.look_up("gram-1", w, _UNIGRAM)
-        d = np.array((0.0, *self.discount[0]))
-        p = np.maximum(uni["count"] - d[np.minimum(uni["count"], 3)], 0.0) / max(1, self.continuations) + self.left / (self.types + 1)
-        p, raw = p[back], uni["raw"][back].astype(np.int64)
-        for n, c in enumerate(contexts(h, starts, self.order), start=2):
-            ck, back = np.unique(c, return_inverse=True)
-            known = self.look_up(f"context-{n}", ck, _CONTEXT)
-            total = known["total"].astype(np.float64)
+                out[a:b] = held.look_up(q[a:b], self.bits, fields)
+        return out[back]
+
+    def log10(self, h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each token its log10 probability and its count in training. at: where texts begin, one more at the end."""
+        h, place = padded(h, at, self.order)
+        p = raw = before = None
+        for n, keys in enumerate(keys_by_order(h, self.order, self.bits), start=1):
             d = np.array((0.0, *self.discount[n - 1]))
-            rest = np.divide(sum(known[f"n{i}"] * d[i] for i in (1, 2, 3)), total, out=np.ones(len(ck)), where=total > 0)
-            gk, gback = np.unique(gram_keys(c, h, self.bits), return_inverse=True)
-            count = self.look_up(f"gram-{n}", gk, np.uint8).astype(np.int64)
-            big = np.flatnonzero(count == 255)
-            if len(big):
-                count[big] = self.look_up(f"large-{n}", gk[big], np.uint64)
-            top = (count - d[np.minimum(count, 3)])[gback]
-            total = total[back]
-            p = np.divide(np.maximum(top, 0.0), total, out=np.zeros(len(h)), where=total > 0) + rest[back] * p
+            records = self.look_up(n, keys)
+            count = records[place, 0].astype(np.int64)
+            top = np.maximum(count - d[np.minimum(count, 3)], 0.0)
+            if n == 1:
+                p = top / max(1, self.continuations) + self.left / (self.types + 1)
+                raw = records[place, -1].astype(np.int64)
+            else:
+                total = before[:, 0].astype(np.float64)
+                rest = np.divide(before[:, 1:4] @ d[1:], total, out=np.ones(len(place)), where=total > 0)
+                p = np.divide(top, total, out=np.zeros(len(place)), where=total > 0) + rest * p
+            if n < self.order:
+                before = records[place - 1, 1:5]  # what the n words before a token say of what follows them
         return np.log10(p), raw
 
 
-def train(docs: DataFrame, order: int = 2, folder: str | None = None) -> Model:
+def train(docs: DataFrame, order: int = 3, folder: str | None = None, shard_bytes: int = 16 << 20, rounds: int = 4) -> Model:
     """Counts the texts of docs (doc_id, text) whose crc32(doc_id as text) mod 7 is not 2, and stores the model.
 
-    A null text is empty and counts as its end alone; a null doc_id counts as the empty text. Repeated rows count again.
-    Without any training row every token has the same probability, 1.
+    shard_bytes: of text for each shard, about; it bounds what a task holds. rounds: parts in which the levels below the
+    highest are exchanged. A null text is empty and counts as its end alone; a null doc_id counts as the empty text.
+    Repeated rows count again. Without any training row every token has the same probability, 1.
     """
     spark = docs.sparkSession
     folder = folder or shared_folder(spark)
     path = local_path(folder)
     os.makedirs(path, exist_ok=True)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bits = max(3, (2 * parts - 1).bit_length())
-    bounded_batches(spark)
-    rows = _count_tokens(docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "CAST(text AS STRING) AS text"), order, bits)
+    docs = docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "CAST(text AS STRING) AS text")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = max(3, math.ceil(math.log2(max(1, size / shard_bytes))))
+    parts = max(1, min(1 << bits, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    rows, facts, held = _count_tokens(docs, order, bits), {}, []
     for n in range(order, 0, -1):
-        rows = _count_level(rows.repartition(parts, "shard"), n, order, bits, path)
-    facts = rows.agg(*[F.sum(c).alias(c) for c in _NUMBERS]).first()
-    f = [facts[c] or 0 for c in ("f1", "f2", "f3", "f4")]
-    d = [discounts(*f)]
-    for n in range(2, order + 1):
-        each = [np.load(os.path.join(path, x)) for x in sorted(os.listdir(path)) if x.startswith(f"facts-{n}-")]
-        d.append(discounts(*map(int, np.sum(each, axis=0)))) if each else d.append(discounts(0, 0, 0, 0))
-    types, total = facts["types"] or 0, facts["total"] or 0
-    over = types - f[0] - f[1]
-    left = (d[0][0] * f[0] + d[0][1] * f[1] + d[0][2] * over) / total if total else 1.0
-    return Model(path, order, bits, facts["raw"] or 0, types, total, tuple(d), left)
+        times = 1 if n == order else min(rounds, 1 << bits)
+        done = []
+        for i in range(times):
+            part = rows.where("shard >= 0") if times == 1 else rows.where(f"shard >= 0 AND shard % {times} = {i}")
+            part = part.repartition(parts, "shard").sortWithinPartitions("shard")
+            done.append(materialise(_count_level(part, n, order, bits, path), folder, f"level-{n}-{i}"))
+        for x in held:
+            delete_folder(spark, x)
+        held = [f"{folder}/level-{n}-{i}" for i in range(times)]
+        rows = done[0]
+        for x in done[1:]:
+            rows = rows.unionByName(x)
+        facts[n] = rows.where("shard < 0").agg(*[F.sum(c).alias(c) for c in _NUMBERS]).first().asDict()
+        facts[n] = {k: v or 0 for k, v in facts[n].items()}
+    for x in held:
+        delete_folder(spark, x)
+    d = [discounts(*(facts[n][c] for c in ("f1", "f2", "f3", "f4"))) for n in range(1, order + 1)]
+    one = facts[1]
+    over = one["types"] - one["f1"] - one["f2"]
+    left = (d[0][0] * one["f1"] + d[0][1] * one["f2"] + d[0][2] * over) / one["total"] if one["total"] else 1.0
+    return Model(path, order, bits, one["raw"], one["types"], one["total"], tuple(d), left)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -393,17 +465,16 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     Null and empty texts are their end alone. Null and repeated doc_ids are rows like others; other columns are ignored.
     """
-    bounded_batches(docs.sparkSession)
     hasher = WordHasher(seed=4, lower=True)
     norm = float(np.log10(model.train_tokens + model.types + 1))
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             ids = batch.column(0).to_pylist()
             every, at = tokens(batch.column(1), hasher)
             for a, b in chunks(at, _CHUNK):
-                h, starts = every[at[a] : at[b]], at[a:b] - at[a]
-                p, raw = model.log10(h, starts)
+                starts = at[a:b] - at[a]
+                p, raw = model.log10(every[at[a] : at[b]], at[a : b + 1] - at[a])
                 yield pa.RecordBatch.from_pydict(
                     {
                         "doc_id": batch.column(0).slice(a, b - a),
@@ -422,4 +493,4 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def op4_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return score(docs, train(docs, 3))
+    return score(docs, train(docs))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import WORD, WordHasher, bloom, bloom_hits, bounded_batches, delete_folder, lower_ascii, map_batches, materialise, mix64, shared_folder, signed, table
+from tessella.llm.common import WORD, WordHasher, bloom, bloom_hits, delete_folder, filter_batches, lower_ascii, map_batches, materialise, mix64, shared_folder, signed, slices, table
 from tessella.llm.graph import components
 
 _SLOTS = 1 << 18  #: of the count table
@@ -149,13 +149,7 @@ def _texts(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, folder: str, na
     """(id, n, sketch, text) of the nodes with the wanted ids."""
     wanted = materialise(wanted.distinct(), folder, f"{name}-ids")
     sent = docs.sparkSession.sparkContext.broadcast(bloom(wanted))
-    bounded_batches(docs.sparkSession)
-
-    def run(batches):
-        for batch in batches:
-            yield batch.filter(pa.array(bloom_hits(sent.value, batch.column(0).to_numpy())))
-
-    likely = docs.select(F.col("doc_id").alias("id"), "row", "text").mapInArrow(run, "id long, row long, text string")
+    likely = filter_batches(docs.select(F.col("doc_id").alias("id"), "row", "text"), lambda batch: bloom_hits(sent.value, batch.column(0).to_numpy()))
     found = nodes.join(wanted, "id").select("id", "row", "n", "sketch")
     out = likely.join(found, ["id", "row"]).dropDuplicates(["id", "row"])
     return materialise(out.select("id", "n", "sketch", "text"), folder, name)
@@ -178,8 +172,6 @@ def _verify(pairs: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
     """(a, b, similarity, linked) for the pairs that sizes and sketches allow; verified on the full sets."""
     side = lambda s: texts.select(F.col("id").alias(s), F.col("n").alias(f"n{s}"), F.col("sketch").alias(f"s{s}"), F.col("text").alias(f"t{s}"))
     joined = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * p.percent)
-    bounded_batches(pairs.sparkSession, rows=500)
-
     def run(batches):
         held: dict[int, set] = {}
 
@@ -190,7 +182,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
                 held[key] = shingle_set(text, p.shingle)
             return held[key]
 
-        for batch in batches:
+        for batch in slices(batches, rows=500):
             rows = []
             for a, b, na, nb, sa, sb, ta, tb in zip(*(batch.column(i).to_pylist() for i in range(8)), strict=True):
                 in_a, in_b = set(sa), set(sb)
@@ -294,7 +286,7 @@ def _apart_pairs(sets: DataFrame, p: Params) -> DataFrame:
 
     def count(batches):
         total = np.zeros(_SLOTS, np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             if batch.num_rows:
                 total += np.bincount(_slots(np.concatenate(each(batch))), minlength=_SLOTS)
         at = np.flatnonzero(total)

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm.common import WORD, map_batches, table
+from tessella.llm.common import WORD, filter_batches, map_batches, table
 
 
 @dataclass(frozen=True)
@@ -122,22 +122,17 @@ def keep_good(docs: DataFrame, bands: Bands = Bands()) -> DataFrame:
 
     Rows with null or empty texts go.
     """
-    from tessella.llm.common import bounded_batches
-
-    bounded_batches(docs.sparkSession)
-
-    def run(batches):
+    def keep(batch: pa.RecordBatch) -> list[bool]:
         import zstandard
 
         packer = zstandard.ZstdCompressor(level=bands.level, write_content_size=False, write_checksum=False).compress
-        for batch in batches:
-            keep = []
-            for text in batch.column("text").to_pylist():
-                n, _, _, _, repeat = base_counts(text)
-                keep.append(not (n < 20 or 100 * repeat > 30 * n) and judge(text.encode("utf-8", "surrogatepass"), bands, packer)[4])
-            yield batch.filter(pa.array(keep, pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+        out = []
+        for text in batch.column("text").to_pylist():
+            n, _, _, _, repeat = base_counts(text)
+            out.append(not (n < 20 or 100 * repeat > 30 * n) and judge(text.encode("utf-8", "surrogatepass"), bands, packer)[4])
+        return out
+
+    return filter_batches(docs, keep)
 
 
 def op1_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import WORD, WordHasher, bloom, bloom_hits, bounded_batches, delete_folder, map_batches, materialise, mix64, shared_folder, signed, table
+from tessella.llm.common import WORD, WordHasher, bloom, bloom_hits, delete_folder, filter_batches, map_batches, materialise, mix64, shared_folder, signed, slices, table
 
 GRAM = 8  #: words of a minimiser's gram
 
@@ -72,13 +72,7 @@ def _minimisers(docs: DataFrame, size: int, gram: int) -> DataFrame:
 def _holding(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of docs (doc_id, row, text) that may have one of the ids: other texts are held back before an exchange."""
     sent = docs.sparkSession.sparkContext.broadcast(bloom(ids))
-    bounded_batches(docs.sparkSession)
-
-    def run(batches):
-        for batch in batches:
-            yield batch.filter(pa.array(bloom_hits(sent.value, batch.column(0).to_numpy())))
-
-    return docs.select("doc_id", "row", "text").mapInArrow(run, "doc_id long, row long, text string")
+    return filter_batches(docs.select("doc_id", "row", "text"), lambda batch: bloom_hits(sent.value, batch.column(0).to_numpy()))
 
 
 def _offsets(packed: str) -> list[int]:
@@ -102,12 +96,11 @@ def _flush(out: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 def _pack(texts: DataFrame, size: int, gram: int) -> DataFrame:
     """Packed strings (doc_id, row, mini, first, packed) of the runs of each text whose minimiser is wanted."""
-    bounded_batches(texts.sparkSession, rows=500)
     schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("mini", pa.int64()), ("first", pa.int32()), ("packed", pa.string())])
     hasher = WordHasher(seed=6)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, rows=500):
             held, out = 0, []
             hashes, at = hasher.column(batch.column(2))
             for k, (doc_id, row, text, wanted) in enumerate(zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True)):
@@ -131,11 +124,10 @@ _STRING = [("mini", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64())]
 
 def _single(strings: DataFrame, size: int) -> DataFrame:
     """(mini, s1, s2, own, at, window) for each window of each string."""
-    bounded_batches(strings.sparkSession, rows=200)
     schema = pa.schema([*_STRING, ("own", pa.int64()), ("at", pa.int32()), ("window", pa.string())])
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, rows=200):
             rows = zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True)
             out = [(m, a, b, own, i, w) for m, a, b, p, own in rows for i, w in enumerate(_windows(p, size))]
             if out:
@@ -149,7 +141,6 @@ def _first_ids(strings: DataFrame, size: int) -> DataFrame:
 
     strings: (mini, s1, s2, packed, least id of this string), partitioned and sorted by mini, light minimisers only.
     """
-    bounded_batches(strings.sparkSession)
     schema = pa.schema([*_STRING, ("least", pa.list_(pa.int64()))])
 
     def bucket(rows: list[tuple]) -> list[tuple]:
@@ -169,7 +160,7 @@ def _first_ids(strings: DataFrame, size: int) -> DataFrame:
     def run(batches):
         rows: list[tuple] = []
         out: list[tuple] = []
-        for batch in batches:
+        for batch in slices(batches):
             for r in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 if rows and r[0] != rows[0][0]:
                     out += bucket(rows)
@@ -242,7 +233,6 @@ def dedup(docs: DataFrame, size: int = 50, folder: str | None = None, digests: b
         delete_folder(spark, f"{folder}/{name}")
     name = "kept_sha256" if digests else "kept_text"
     sent = spark.sparkContext.broadcast(bloom(hits.select("row")))
-    bounded_batches(spark)
 
     def cut(batch: pa.RecordBatch, starts: list) -> dict:
         n, removed, kept = [], [], []
@@ -259,13 +249,9 @@ def dedup(docs: DataFrame, size: int = 50, folder: str | None = None, digests: b
         batch = batch.filter(pa.array(~bloom_hits(sent.value, batch.column(1).to_numpy())))
         return cut(batch, [None] * batch.num_rows)
 
-    def likely(batches):
-        for batch in batches:
-            yield batch.filter(pa.array(bloom_hits(sent.value, batch.column(1).to_numpy())))
-
     schema = f"doc_id long, n_words long, n_removed long, {name} string"
     rows = rows.select("doc_id", "row", "text")
-    joined = rows.mapInArrow(likely, "doc_id long, row long, text string").join(hits, ["doc_id", "row"], "left")
+    joined = filter_batches(rows, lambda batch: bloom_hits(sent.value, batch.column(1).to_numpy())).join(hits, ["doc_id", "row"], "left")
     changed = map_batches(joined.select("doc_id", "row", "text", "at"), lambda batch: cut(batch, batch.column(3).to_pylist()), schema)
     return map_batches(rows, whole, schema).unionByName(changed)
 
