@@ -41,8 +41,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 2000, nbytes: int = 16 << 20) -> Iterator[pa.RecordBatch]:
     """Batches cut to few rows and bytes, so that a worker never makes Python objects of many long texts at once.
 
-    Spark's own batches are bounded too (10 000 rows and 64 MB unless the session says otherwise); the cut is made here,
-    so that it does not hang on a setting of the session.
+    arrow_map bounds what crosses from the JVM in the same way for all operators; this cuts finer.
     """
     for batch in batches:
         step = max(1, min(rows, int(nbytes * batch.num_rows / max(1, batch.nbytes))))
@@ -50,6 +49,23 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 2000, nbytes: int = 16
             yield batch.slice(i, step)
 
 
+_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.execution.arrow.maxBytesPerBatch": 16 << 20}
+
+
+def arrow_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """mapInArrow in batches of at most 2000 rows and 16 MB.
+
+    Spark takes both from the session when a plan runs, so they are lowered there, always to the same values (lower ones
+    stay): what one operator needs no other changes.
+    """
+    conf = df.sparkSession.conf
+    for key, most in _BATCH.items():
+        now = int(str(conf.get(key)).removesuffix("b"))
+        if not 0 < now <= most:
+            conf.set(key, most)
+    return df.mapInArrow(run, schema)
+
+
 def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], dict], schema: str, rows: int = 2000) -> DataFrame:
     """Applies f to slices of Arrow batches; f returns a column for each name of schema."""
 
@@ -59,7 +75,7 @@ def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], dict], schema: str,
             if out is not None:
                 yield pa.RecordBatch.from_pydict(out)
 
-    return df.mapInArrow(run, schema)
+    return arrow_map(df, run, schema)
 
 
 def filter_batches(df: DataFrame, keep: Callable[[pa.RecordBatch], list[bool] | np.ndarray], rows: int = 2000) -> DataFrame:
@@ -69,7 +85,7 @@ def filter_batches(df: DataFrame, keep: Callable[[pa.RecordBatch], list[bool] |
         for batch in slices(batches, rows):
             yield batch.filter(pa.array(keep(batch), pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return arrow_map(df, run, df.schema)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -250,7 +266,7 @@ def bloom(ids: DataFrame) -> np.ndarray:
         at = np.flatnonzero(packed)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(packed[at])], names=["at", "bits"])
 
-    rows = ids.mapInArrow(run, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toPandas()
+    rows = arrow_map(ids, run, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toPandas()
     out = np.zeros(1 << (_BLOOM_BITS - 6), np.int64)
     out[rows["at"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
     return out

@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm.common import WORD, filter_batches, lower_ascii, materialise, shared_folder, slices, table
+from tessella.llm.common import WORD, arrow_map, filter_batches, lower_ascii, materialise, shared_folder, slices, table
 
 
 def normalise(text: str | None) -> str:
@@ -162,7 +162,7 @@ def _block_matches(docs: DataFrame, sent, errors: float) -> DataFrame:
                 types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "item_id", "distance", "item_chars", "end_char"])
 
-    return docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "CAST(text AS STRING) AS text").mapInArrow(run, _FOUND)
+    return arrow_map(docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "CAST(text AS STRING) AS text"), run, _FOUND)
 
 
 def matches(docs: DataFrame, items: DataFrame, errors: float = 0.06, block_chars: int = 4_000_000, folder: str | None = None) -> DataFrame:

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import WordHasher, delete_folder, local_path, materialise, mix64, shared_folder, slices, table
+from tessella.llm.common import WordHasher, arrow_map, delete_folder, local_path, materialise, mix64, shared_folder, slices, table
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _CHUNK = 1_000_000  #: tokens that are scored together
@@ -89,12 +89,13 @@ def gram_keys(c: np.ndarray, w: np.ndarray, bits: int) -> np.ndarray:
         return shard << np.uint64(64 - bits) | mix64(c * _MULT ^ w) >> np.uint64(bits)
 
 
-def keys_by_order(h: np.ndarray, order: int, bits: int) -> list[np.ndarray]:
+def keys_by_order(h: np.ndarray, order: int, bits: int):
     """For n = 1 to order the hash of the n-gram that ends at each place; the first n - 1 places count as after START signs."""
-    out = [h]
+    out = h
+    yield out
     for _ in range(1, order):
-        out.append(gram_keys(np.concatenate((np.array([START]), out[-1][:-1])), h, bits))
-    return out
+        out = gram_keys(np.concatenate((np.array([START]), out[:-1])), h, bits)
+        yield out
 
 
 def keys_of(words: list[np.ndarray], bits: int) -> np.ndarray:
@@ -201,9 +202,12 @@ def _count_tokens(docs: DataFrame, order: int, bits: int) -> DataFrame:
 
     def count(held: list[np.ndarray], sizes: list[int]) -> pa.RecordBatch:
         h, place = padded(np.concatenate(held), np.concatenate(([0], np.cumsum(sizes))), order)
-        key = keys_by_order(h, order, bits)[-1][place]
-        k, at, (n,) = _sum_by(key, [np.ones(len(key), np.uint64)])
+        for key in keys_by_order(h, order, bits):
+            pass
+        k, at, (n,) = _sum_by(key[place], [np.ones(len(place), np.uint32)])
+        del key
         at = place[at]
+        del place
         return _row_batch(_blocks(k, bits, [h[at - i] for i in range(order - 1, -1, -1)], [n]))
 
     def run(batches):
@@ -221,7 +225,7 @@ def _count_tokens(docs: DataFrame, order: int, bits: int) -> DataFrame:
         if held:
             yield count(held, sizes)
 
-    return docs.mapInArrow(run, _ROWS)
+    return arrow_map(docs, run, _ROWS)
 
 
 def _count_level(rows: DataFrame, n: int, order: int, bits: int, folder: str) -> DataFrame:
@@ -247,8 +251,10 @@ def _count_level(rows: DataFrame, n: int, order: int, bits: int, folder: str) ->
         words, count, raw = [w[real] for w in words], count[real], raw[real]
         one, none = np.ones(len(count), np.uint64), np.zeros(len(count), np.uint64)
         both = [np.concatenate(x) for x in zip(words[1:], words[:-1], strict=True)]
-        said = (one, none), (raw, none), (none, count), *((none, (x).astype(np.uint64)) for x in (count == 1, count == 2, count > 2))
+        said = (one, none), (raw, none), (none, count), *((none, x.astype(np.uint64)) for x in (count == 1, count == 2, count > 2))
+        del keys, first, fields, words
         k, at, fields = _sum_by(keys_of(both, bits), [np.concatenate(x) for x in said])
+        del said, one, none, count, raw
         return _row_batch(_blocks(k, bits, [w[at] for w in both], fields), numbers)
 
     def run(batches):
@@ -263,7 +269,7 @@ def _count_level(rows: DataFrame, n: int, order: int, bits: int, folder: str) ->
         if held:
             yield level(shard, held)
 
-    return rows.select("shard", "block").mapInArrow(run, _ROWS)
+    return arrow_map(rows.select("shard", "block"), run, _ROWS)
 
 
 def _kept(n: int, order: int, fields: list[np.ndarray]) -> list[np.ndarray]:
@@ -488,7 +494,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 )
 
     rows = docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "CAST(text AS STRING) AS text")
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return arrow_map(rows, run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op4_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:

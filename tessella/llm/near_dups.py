@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import WORD, WordHasher, bloom, bloom_hits, delete_folder, filter_batches, lower_ascii, map_batches, materialise, mix64, shared_folder, signed, slices, table
+from tessella.llm.common import WORD, WordHasher, arrow_map, bloom, bloom_hits, delete_folder, filter_batches, lower_ascii, map_batches, materialise, mix64, shared_folder, signed, slices, table
 from tessella.llm.graph import components
 
 _SLOTS = 1 << 18  #: of the count table
@@ -117,7 +117,7 @@ def _counts(nodes: DataFrame) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["slot", "n"])
 
-    return _table(nodes.select("sketch").mapInArrow(run, "slot long, n long"))
+    return _table(arrow_map(nodes.select("sketch"), run, "slot long, n long"))
 
 
 def _table(counted: DataFrame) -> np.ndarray:
@@ -199,7 +199,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.bool_()), strict=True)], names=["a", "b", "similarity", "linked"])
 
-    return joined.select("a", "b", "na", "nb", "sa", "sb", "ta", "tb").mapInArrow(run, "a long, b long, similarity double, linked boolean")
+    return arrow_map(joined.select("a", "b", "na", "nb", "sa", "sb", "ta", "tb"), run, "a long, b long, similarity double, linked boolean")
 
 
 def _merge(labels: DataFrame, links: DataFrame, folder: str, name: str) -> DataFrame:
@@ -292,7 +292,7 @@ def _apart_pairs(sets: DataFrame, p: Params) -> DataFrame:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["slot", "n"])
 
-    sent = sets.sparkSession.sparkContext.broadcast(_table(sets.select("text").mapInArrow(count, "slot long, n long")))
+    sent = sets.sparkSession.sparkContext.broadcast(_table(arrow_map(sets.select("text"), count, "slot long, n long")))
 
     def run(batch: pa.RecordBatch) -> dict:
         values, ranks, sizes, most = [], [], [], []

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import WORD, WordHasher, bloom, bloom_hits, delete_folder, filter_batches, map_batches, materialise, mix64, shared_folder, signed, slices, table
+from tessella.llm.common import WORD, WordHasher, arrow_map, bloom, bloom_hits, delete_folder, filter_batches, map_batches, materialise, mix64, shared_folder, signed, slices, table
 
 GRAM = 8  #: words of a minimiser's gram
 
@@ -116,7 +116,7 @@ def _pack(texts: DataFrame, size: int, gram: int) -> DataFrame:
             if out:
                 yield _flush(out, schema)
 
-    return texts.mapInArrow(run, "doc_id long, row long, mini long, first int, packed string")
+    return arrow_map(texts, run, "doc_id long, row long, mini long, first int, packed string")
 
 
 _STRING = [("mini", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64())]
@@ -133,7 +133,7 @@ def _single(strings: DataFrame, size: int) -> DataFrame:
             if out:
                 yield _flush(out, schema)
 
-    return strings.mapInArrow(run, "mini long, s1 long, s2 long, own long, at int, window string")
+    return arrow_map(strings, run, "mini long, s1 long, s2 long, own long, at int, window string")
 
 
 def _first_ids(strings: DataFrame, size: int) -> DataFrame:
@@ -173,7 +173,7 @@ def _first_ids(strings: DataFrame, size: int) -> DataFrame:
         if out:
             yield _flush(out, schema)
 
-    return strings.mapInArrow(run, "mini long, s1 long, s2 long, least array<long>")
+    return arrow_map(strings, run, "mini long, s1 long, s2 long, least array<long>")
 
 
 def repeats(docs: DataFrame, folder: str, size: int = 50, gram: int = GRAM, heavy: int = 2000) -> DataFrame:
