@@ -1,8 +1,8 @@
 """Secret scans: fixed kinds of spans, and character Markov models of random strings against ordinary identifiers.
 
 Everything runs inside the JVM. Spans of a fixed kind come from one expression over the text: what a pattern matches and
-what lies between the matches give the places, in code points. Long runs of key characters are candidates of the `markov`
-kind: the sum of the log-likelihood ratios of their character pairs under two first-order models, random and ordinary,
+what lies between the matches give the places, in code points. Long runs of key characters outside of these are candidates
+of the `markov` kind: the sum of the log-likelihood ratios of their character pairs under two first-order models, random and ordinary,
 must reach a threshold. The models are fitted by counting character pairs of labelled samples; they are two tables
 over an alphabet of 67 signs, which is all that the driver collects. No shuffle.
 """
@@ -54,13 +54,13 @@ WORDS = (
 ).split()
 
 
-def samples(spark: SparkSession, n: int = 4000) -> DataFrame:
-    """Labelled samples (text, random): n strings of each label, made by rule from hashes of their numbers.
+def samples(spark: SparkSession, n: int = 4000, first: int = 0) -> DataFrame:
+    """Labelled samples (text, random): n strings of each label, made by rule from hashes of their numbers from `first` on.
 
     Random: hexadecimal digits, base 64, and capital letters and digits. Ordinary: two to five words joined as camel
-    case, with underscores, dashes or slashes or plainly, some with a number; and rules of equal signs.
+    case, with underscores, dashes or slashes or plainly, some with a number; and, with the first ones, rules of equal signs.
     """
-    ids = spark.range(n)
+    ids = spark.range(first, first + n)
     digest = F.sha2(F.concat(F.lit("random"), F.col("id").cast("string")), 256)
     b64 = F.regexp_replace(F.base64(F.unhex(digest)), "=", "")
     length = 20 + F.pmod(F.xxhash64("id"), F.lit(24)).cast("int")
@@ -84,7 +84,7 @@ def samples(spark: SparkSession, n: int = 4000) -> DataFrame:
     )
     number = F.when(F.col("id") % 4 == 0, F.concat(F.lit("_"), (F.col("id") % 2100).cast("string"))).otherwise("")
     ordinary = ids.select(F.concat(joined, number).alias("text"), F.lit(False).alias("random"))
-    rules = spark.range(40).select(F.repeat(F.element_at(F.array(*map(F.lit, "=-_+/")), (F.col("id") % 5 + 1).cast("int")), 30).alias("text"), F.lit(False).alias("random"))
+    rules = spark.range(0 if first else 40).select(F.repeat(F.element_at(F.array(*map(F.lit, "=-_+/")), (F.col("id") % 5 + 1).cast("int")), 30).alias("text"), F.lit(False).alias("random"))
     return random.unionByName(ordinary).unionByName(rules)
 
 
@@ -120,18 +120,43 @@ def _quoted(pattern: str) -> str:
     return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def _scan(items: str, zero: str, of: str, join: str, emit: str) -> str:
+    """SQL for an array with `emit` of each item y and of t, the fold of `join` over `of` the items before it.
+
+    of: on y; join: on t and s. In two levels, blocks of the square root of the number of items, so that the work is its
+    power 1.5 and not its square, although an array that grows is copied at each step.
+    """
+    blocks = "transform(sequence(0, CAST((size(p) - 1) / k AS INT)), i -> slice(p, i * k + 1, k))"
+    more = join.replace("{t}", "a.t")
+    whole = f"transform(blocks, x -> aggregate(x, {zero}, (t, y) -> {join.replace('{t}', 't').replace('{s}', of)}))"
+    before = f"aggregate({whole}, struct({zero} AS t, slice(array({zero}), 1, 0) AS got), (a, s) -> struct({more.replace('{s}', 's')} AS t, array_append(a.got, a.t) AS got), a -> a.got)"
+    step = f"struct({more.replace('{s}', of)} AS t, concat(a.got, array({emit.replace('{t}', 'a.t')})) AS got)"
+    empty = emit.replace("{t}", "o").replace("y.", "get(x, 0).")
+    inner = f"aggregate(x, struct(o AS t, slice(array({empty}), 1, 0) AS got), (a, y) -> {step}, a -> a.got)"
+    made = f"flatten(zip_with(blocks, {before}, (x, o) -> {inner}))"
+    sized = f"get(transform(array({blocks}), blocks -> {made}), 0)"
+    return f"get(transform(array({items}), p -> get(transform(array(greatest(1, CAST(sqrt(size(p)) AS INT))), k -> {sized}), 0)), 0)"
+
+
+def _parts(text: str, pattern: str, group: int) -> str:
+    """SQL for what stands before each match (g), the match (m) and its group (v); after the last match m is null."""
+    p = _quoted(pattern)
+    return f"""zip_with(split({text}, {p}, -1), zip_with(regexp_extract_all({text}, {p}, 0), regexp_extract_all({text}, {p}, {group}), (m, v) -> struct(m AS m, v AS v)),
+      (g, y) -> struct(g AS g, y.m AS m, y.v AS v))"""
+
+
 def _spans(text: str, pattern: str, kind: str, order: int, ok: str, group: int = 0) -> str:
     """SQL for the spans of one kind; ok: a condition on x.m (the match) and x.v (the group that holds the secret)."""
-    p = _quoted(pattern)
-    return f"""CASE WHEN {text} RLIKE {p} THEN aggregate(
-      zip_with(split({text}, {p}, -1), zip_with(regexp_extract_all({text}, {p}, 0), regexp_extract_all({text}, {p}, {group}), (m, v) -> struct(m AS m, v AS v)),
-               (g, y) -> struct(length(g) AS g, y.m AS m, y.v AS v)),
-      struct(0 AS pos, CAST(array() AS array<{_SPAN}>) AS got),
-      (a, x) -> struct(a.pos + x.g + coalesce(length(x.m), 0) AS pos,
-        CASE WHEN x.m IS NOT NULL AND {ok} THEN array_append(a.got, struct(
-          a.pos + x.g AS start, {order} AS ord, a.pos + x.g + length(x.m) AS stop, a.pos + x.g + length(x.m) - length(x.v) AS value, '{kind}' AS kind))
-        ELSE a.got END AS got),
-      a -> a.got) ELSE CAST(array() AS array<{_SPAN}>) END"""
+    places = _scan(_parts(text, pattern, group), "0", "length(y.g) + coalesce(length(y.m), 0)", "{t} + {s}", "struct({t} + length(y.g) AS start, y.m AS m, y.v AS v)")
+    span = f"struct(x.start AS start, {order} AS ord, x.start + length(x.m) AS stop, x.start + length(x.m) - length(x.v) AS value, '{kind}' AS kind)"
+    none = f"CAST(array() AS array<{_SPAN}>)"
+    return f"CASE WHEN {text} RLIKE {_quoted(pattern)} THEN CAST(transform(filter({places}, x -> x.m IS NOT NULL AND {ok}), x -> {span}) AS array<{_SPAN}>) ELSE {none} END"
+
+
+def _blanked(text: str, pattern: str, spans: str, ok: str, group: int = 0) -> str:
+    """SQL for the text with as many blanks for each match."""
+    pieces = f"transform({_parts(text, pattern, group)}, x -> concat(x.g, CASE WHEN x.m IS NULL THEN '' WHEN {ok} THEN repeat(' ', length(x.m)) ELSE x.m END))"
+    return f"CASE WHEN size({spans}) > 0 THEN array_join({pieces}, '') ELSE {text} END"
 
 
 def _ratio(text: str, table_sql: str) -> str:
@@ -146,15 +171,17 @@ def find(docs: DataFrame, ratios: list[float], least: float = 10.0) -> DataFrame
 
     Names that begin with `__found_` are this module's own.
 
-    Null texts have none. Of the candidates only runs with a letter whose ratio is `least` or more and that overlap no
-    base span are taken.
+    Null texts have none. Candidates are looked for in what the base spans leave, so of a run that a base span covers in
+    part the rest is one; those with a letter whose ratio is `least` or more are taken.
     """
     lits = {"assign": (ASSIGN, 1, "length(x.v) >= 6", 2), "access": (ACCESS, 2, "true", 0), "hex": (HEX, 3, "true", 0)}
     out = docs.withColumns({f"__found_{k}": F.expr(_spans("text", p, k, o, ok, g)) for k, (p, o, ok, g) in lits.items()})
+    left = "text"
+    for k, (p, _, ok, g) in lits.items():
+        out = out.withColumn(f"__found_left_{k}", F.expr(_blanked(left, p, f"__found_{k}", ok, g)))
+        left = f"__found_left_{k}"
     ok = f"x.m RLIKE '[A-Za-z]' AND {_ratio('x.m', _literal(ratios))} >= {least!r}D"
-    out = out.withColumn("__found_all", F.expr(_spans("text", CANDIDATE, "markov", 4, ok)))
-    free = "filter(__found_all, s -> NOT exists(concat(__found_assign, __found_access, __found_hex), b -> b.start < s.stop AND s.start < b.stop))"
-    return out.withColumn("__found_markov", F.expr(free)).drop("__found_all")
+    return out.withColumn("__found_markov", F.expr(_spans(left, CANDIDATE, "markov", 4, ok))).drop(*[f"__found_left_{k}" for k in lits])
 
 
 def _listed(spans: str) -> Column:
@@ -186,12 +213,13 @@ def redact(docs: DataFrame, ratios: list[float], least: float = 10.0) -> DataFra
     text = F.col("text")
     found = find(docs, ratios, least)
     ordered = "array_sort(transform(concat(__found_assign, __found_access, __found_hex, __found_markov), s -> named_struct('start', s.value, 'stop', s.stop, 'kind', s.kind)))"
-    # a fixed kind without a group of its own has value = its start
-    cut = f"""aggregate({ordered}, struct('' AS t, 0 AS pos),
-      (a, s) -> CASE WHEN s.stop <= a.pos THEN a ELSE struct(
-          concat(a.t, substring(text, a.pos + 1, greatest(s.start, a.pos) - a.pos), CASE WHEN s.start >= a.pos THEN concat('[', s.kind, ']') ELSE '' END) AS t,
-          s.stop AS pos) END,
-      a -> concat(a.t, substring(text, a.pos + 1)))"""
+    # a fixed kind without a group of its own has value = its start. A piece of the text comes from blocks of it: from the
+    # whole text, Spark counts code points from its beginning for each
+    places = _scan(ordered, "0", "y.stop", "greatest({t}, {s})", "struct({t} AS begin, y.start AS start, y.stop AS stop, y.kind AS kind)")
+    piece = lambda a, n: f"substring(array_join(slice(b, CAST({a} / 1000 AS INT) + 1, CAST({n} / 1000 AS INT) + 2), ''), {a} % 1000 + 1, {n})"
+    pieces = f"transform(s, x -> concat(CASE WHEN x.start > x.begin THEN {piece('x.begin', '(x.start - x.begin)')} ELSE '' END, CASE WHEN x.start >= x.begin THEN concat('[', x.kind, ']') ELSE '' END))"
+    tail = piece("array_max(transform(s, x -> x.stop))", "greatest(0, length(text) - array_max(transform(s, x -> x.stop)))")
+    cut = f"get(transform(array({places}), s -> get(transform(array(regexp_extract_all(text, '(?s).{{1,1000}}', 0)), b -> concat(array_join({pieces}, ''), {tail})), 0)), 0)"
     new = F.when(F.expr("size(__found_assign) + size(__found_access) + size(__found_hex) + size(__found_markov) > 0"), F.expr(cut)).otherwise(text)
     out = found.withColumn("__found_new", new)
     columns = []
