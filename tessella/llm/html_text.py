@@ -2,10 +2,16 @@
 
 The standard library's parser streams events; every block boundary ends a line, and each line has a ratio of its text's
 code points to its tags. Ratios are smoothed with a Gaussian over the lines and split by a threshold into content and
-the rest. The innermost element that holds nearly all of the content lines' text, widened to the
-article or main element around it or else until no content line lies outside, is the content region, of which every block
-stays, however short; menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
-comments inside or outside of it go by their element or by what their class, id or role says. One map over the pages.
+the rest. The innermost element that holds nearly all of the content lines' text, widened to the article or main element
+around it or else until no content line lies outside, is the content region, of which every block stays, however short.
+
+What lies in the region but is not the article goes by its element (menus, asides, footers, forms, scripts, styles) or by a
+class, id or role that says so, since adverts and reader comments have ratios like the article's. A name that speaks of
+something else too (`social-history`, not `social-links`) counts only where the ratio finds little content in the
+element; none counts for an element that holds an article or, where there is none, most of the page's content.
+
+Elements are numbered with a pointer to the parent; what a page needs to know of them is handed down when they open and
+added up once at the end, so time grows with the page, however deep it is. One map over the pages.
 """
 
 from __future__ import annotations
@@ -22,7 +28,11 @@ from pyspark.sql import DataFrame, SparkSession
 from tessella.llm.common import map_batches, table
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_HIDDEN = frozenset("head title script style template noscript svg math canvas object iframe audio video select option textarea button".split())
+#: Hidden until their end; phrasing ones also end where a block begins or ends, for a page may leave them open. Buttons
+#: hold blocks of layout, but no paragraphs.
+_HIDDEN = frozenset("head script style template noscript svg math canvas object iframe audio video".split())
+_PHRASING = frozenset("title select option textarea button".split())
+_IN_BUTTONS = frozenset("div".split())
 _NOISE = frozenset("nav menu footer aside form dialog fieldset".split())
 _BLOCK = frozenset(
     "html body main article section div header nav footer aside form p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption "
@@ -37,56 +47,100 @@ _MARKS = frozenset(
     "disqus reply replies respond discussion share sharing social related recommended newsletter subscribe subscription "
     "signup login search form complementary contentinfo dialog".split()
 )
+#: Words that say where or how something stands, not what it is.
+_PLACES = frozenset(
+    "area articles bar block body bottom box btn button buttons card cards col column container content copyright desktop "
+    "email entries entry feed first follow full google group head heading holder icons image img inner item items js large "
+    "last left link links list media medium message messages mobile module more news outer page panel placement policy "
+    "popular post posts region right row section site size slot small sticky stories text thread title top trending unit us "
+    "user wide wrap wrapper zone".split()
+)
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _ARTICLE = frozenset(("article", "main"))
+_TEXT = frozenset(("p", "li", *_HEADINGS))  #: hold lines, not regions
+_NO_MARK = frozenset(("html", "body", *_ARTICLE, *_HEADINGS))
+_LISTS = ("ul", "ol", "menu")
+_ENDS_P = frozenset(("body", "article", "main", "section", "div", "ul", "ol", "table", "nav", "footer", "header", "aside", "form", "p", *_HEADINGS))
 _SPLIT = re.compile(r"[^a-z]+")
 
 
+@dataclass
+class Element:
+    """An open or closed block: its parent's number, and what it hands down to what is in it."""
+
+    name: str
+    up: int
+    depth: int
+    noise: bool = False  #: it or one around it is noise by its element
+    marked: int = 0  #: whether its own class, id or role marks it: 2, or 1 if it speaks of something else too
+    article: bool = False  #: an article or main, or in one
+    item: bool = False  #: a list item, or in one
+
+
 @dataclass
 class Line:
     text: list[str]
     tags: int = 0
     link: int = 0
-    noise: bool = False
-    path: tuple[int, ...] = ()
-    item: bool = False
+    at: int = 0  #: the innermost element
+
+
+def marked(value: str) -> int:
+    """2 if a name in a class, id or role consists of marks, and of words for places besides; 1 if one holds a mark."""
+    out = 0
+    for name in value.lower().split():
+        words = {w for w in _SPLIT.split(name) if len(w) > 1}
+        if words & _MARKS:
+            out = max(out, 1 if words - _MARKS - _PLACES else 2)
+    return out
 
 
 class _Lines(HTMLParser):
-    def __init__(self):
+    def __init__(self, shown: frozenset[str] = frozenset()):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, int]] = []  # open blocks: name, is noise, number
-        self.hidden = self.number = self.links = 0
+        self.shown = shown  # hidden elements that this page leaves open
+        self.elements = [Element("", 0, 0)]
+        self.stack = [0]  # numbers of the open elements
+        self.open: dict[str, list[int]] = {}  # by name, places in the stack
+        self.hidden = self.links = 0
         self.hidden_by = ""
-        self.named: dict[int, str] = {}  # names of articles and mains by number
         self.lines: list[Line] = []
         self.line = Line([])
 
     def _end_line(self) -> None:
         if any(not x.isspace() for x in self.line.text):
-            self.line.noise = any(x[1] for x in self.stack)
-            self.line.path = tuple(x[2] for x in self.stack if x[0] not in ("p", "li", *_HEADINGS))
-            self.line.item = any(x[0] == "li" for x in self.stack)
+            self.line.at = self.stack[-1]
             self.lines.append(self.line)
             self.line = Line([])
         else:
             self.line.text.clear()
 
-    def _marked(self, tag: str, attrs) -> bool:
-        if tag in _NOISE:
-            return True
-        if tag == "header":  # an article's own header holds its title
-            return not any(x[0] in _ARTICLE for x in self.stack)
-        if tag in ("html", "body", *_ARTICLE, *_HEADINGS):
+    def _pop_to(self, place: int) -> None:
+        for n in self.stack[place:]:
+            self.open[self.elements[n].name].pop()
+        del self.stack[place:]
+
+    def _push(self, tag: str, attrs) -> None:
+        up = self.elements[self.stack[-1]]
+        noise = tag in _NOISE or tag == "header" and not up.article  # an article's own header holds its title
+        own = 0
+        if tag not in _NO_MARK:
+            own = max((marked(value) for name, value in attrs if value and name in ("class", "id", "role")), default=0)
+            own = 2 if ("aria-hidden", "true") in attrs else own
+            noise = noise or any(name == "hidden" for name, _ in attrs)
+        self.elements.append(Element(tag, self.stack[-1], up.depth + 1, noise or up.noise, own, tag in _ARTICLE or up.article, tag == "li" or up.item))
+        self.open.setdefault(tag, []).append(len(self.stack))
+        self.stack.append(len(self.elements) - 1)
+
+    def _breaks_out(self, tag: str) -> bool:
+        """Whether a block's start or end shows that a hidden element was left open."""
+        if tag not in _BLOCK or self.hidden_by == "button" and tag in _IN_BUTTONS:
             return False
-        for name, value in attrs:
-            if value and name in ("class", "id", "role") and _MARKS & set(_SPLIT.split(value.lower())):
-                return True
-            if name == "hidden" or name == "aria-hidden" and value == "true":
-                return True
-        return False
+        return self.hidden_by in _PHRASING or self.hidden_by == "head"
 
     def handle_starttag(self, tag, attrs):
+        if self.hidden and self._breaks_out(tag):
+            self.hidden = 0
         if tag in _VOID:
             if tag == "hr":
                 self._end_line()
@@ -95,58 +149,46 @@ class _Lines(HTMLParser):
             self.line.tags += 1
             return
         if self.hidden:
-            if tag == self.hidden_by:
-                self.hidden += 1
+            self.hidden += tag == self.hidden_by
             return
-        if tag in _HIDDEN:
+        if (tag in _HIDDEN or tag in _PHRASING) and tag not in self.shown:
             self.hidden, self.hidden_by = 1, tag
             return
-        if tag == "body" and any(x[0] == "body" for x in self.stack):
+        if tag in ("html", "body") and self.open.get(tag):
             return
         if tag in _BLOCK:
             self._end_line()
-            if tag == "body" or tag in ("article", "main", "section", "div", "ul", "ol", "table", "nav", "footer", "header", "aside", "form", "p", *_HEADINGS):
-                self._imply("p")
-            if tag == "li":
-                self._imply("li", "ul", "ol", "menu")
-            self.number += 1
-            self.stack.append((tag, self._marked(tag, attrs), self.number))
-            if tag in _ARTICLE:
-                self.named[self.number] = tag
+            here = self.elements[self.stack[-1]].name
+            if tag in _ENDS_P and here == "p" or tag in _HEADINGS and here in _HEADINGS:
+                self._pop_to(len(self.stack) - 1)
+            if tag == "li" and self.open.get("li"):
+                place = self.open["li"][-1]
+                if place > max((self.open[x][-1] for x in _LISTS if self.open.get(x)), default=0):
+                    self._pop_to(place)
+            self._push(tag, attrs)
         elif tag == "a":
             self.links += 1
         self.line.tags += 1
 
-    def _imply(self, tag: str, *bounds: str) -> None:
-        """Ends an open element of this name that the new one may not stand in."""
-        for i in range(len(self.stack) - 1, -1, -1):
-            name = self.stack[i][0]
-            if name == tag:
-                self.stack = self.stack[:i]
-                return
-            if name in bounds or not bounds and name not in ("p", *_HEADINGS):
-                return
-
     def handle_endtag(self, tag):
         if self.hidden:
             if tag == self.hidden_by:
                 self.hidden -= 1
-            elif self.hidden_by in ("head", "title") and tag in ("head", "html"):
-                self.hidden = 0
-            return
+                return
+            if not self._breaks_out(tag):
+                return
+            self.hidden = 0
         if tag in _BLOCK:
             self._end_line()
-            for i in range(len(self.stack) - 1, -1, -1):
-                if self.stack[i][0] == tag:
-                    self.stack = self.stack[:i]
-                    break
+            if self.open.get(tag):
+                self._pop_to(self.open[tag][-1])
         elif tag == "a":
             self.links = max(0, self.links - 1)
         self.line.tags += 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
-        if tag not in _VOID and tag in _BLOCK | _HIDDEN:
+        if tag not in _VOID and tag in _BLOCK | _HIDDEN | _PHRASING:
             self.handle_endtag(tag)
 
     def handle_data(self, data):
@@ -157,6 +199,20 @@ class _Lines(HTMLParser):
             self.line.link += len("".join(data.split()))
 
 
+def parse(html: str) -> tuple[list[Element], list[Line], list[str]]:
+    """The page's blocks, its lines and their texts. A hidden element that never ends is read again as one that is shown."""
+    shown: frozenset[str] = frozenset()
+    while True:
+        parser = _Lines(shown)
+        parser.feed(html)
+        parser.close()
+        if not parser.hidden or parser.hidden_by in ("script", "style"):
+            break
+        shown |= {parser.hidden_by}
+    parser._end_line()
+    return parser.elements, parser.lines, [" ".join("".join(x.text).split()) for x in parser.lines]
+
+
 def smooth(values: np.ndarray, sigma: float) -> np.ndarray:
     """Gaussian smoothing; beyond the ends the kernel's rest is left out."""
     r = max(1, math.ceil(3 * sigma))
@@ -164,6 +220,41 @@ def smooth(values: np.ndarray, sigma: float) -> np.ndarray:
     return np.convolve(values, kernel)[r:-r] / np.convolve(np.ones(len(values)), kernel)[r:-r]
 
 
+def content_lines(ratios: np.ndarray, sigma: float, cut: float) -> np.ndarray:
+    """Which lines are content: those whose smoothed ratio is cut * standard deviation or more."""
+    smoothed = smooth(ratios, sigma)
+    return (smoothed >= cut * smoothed.std()) & (ratios > 0)
+
+
+def add_up(elements: list[Element], own: list[float]) -> list[float]:
+    """For each element the sum over it and all elements in it; parents come before what is in them."""
+    out = list(own)
+    for i in range(len(elements) - 1, 0, -1):
+        out[elements[i].up] += out[i]
+    return out
+
+
+def noisy(elements: list[Element], lines: list[Line], texts: list[str], sigma: float, cut: float) -> list[bool]:
+    """Which elements are noise, by what they are or by their marks. What the ratio finds when marks do not count decides
+    on marks: none counts for an element with an article in it or, on a page without articles, with more than half of the
+    content; a name that speaks of something else too counts only if less than half of the element's text is content."""
+    ratios = np.array([0.0 if elements[x.at].noise else len(t) / max(1, x.tags) for x, t in zip(lines, texts, strict=True)])
+    mass = [0.0] * len(elements)
+    if ratios.any():
+        for x, t, c in zip(lines, texts, content_lines(ratios, sigma, cut), strict=True):
+            mass[x.at] += len(t) * bool(c)
+    size = [0.0] * len(elements)
+    for x, t in zip(lines, texts, strict=True):
+        size[x.at] += len(t)
+    mass, size = add_up(elements, mass), add_up(elements, size)
+    holds = add_up(elements, [float(e.name in _ARTICLE) for e in elements])
+    out = [False] * len(elements)
+    for i, e in enumerate(elements[1:], start=1):
+        counts = e.marked == 2 or e.marked == 1 and 2 * mass[i] < size[i]
+        out[i] = e.noise or out[e.up] or counts and not holds[i] and (holds[0] or 2 * mass[i] <= mass[0])
+    return out
+
+
 def extract(html: str | None, sigma: float = 1.0, cut: float = 0.5, share: float = 0.9) -> str:
     """The main text; empty for null, empty and text-free pages.
 
@@ -172,34 +263,34 @@ def extract(html: str | None, sigma: float = 1.0, cut: float = 0.5, share: float
     """
     if not html:
         return ""
-    parser = _Lines()
-    parser.feed(html)
-    parser.close()
-    parser._end_line()
-    lines = [(x, " ".join("".join(x.text).split())) for x in parser.lines]
-    ratios = np.array([0.0 if x.noise else len(t) / max(1, x.tags) for x, t in lines])
+    elements, lines, texts = parse(html)
+    if not lines:
+        return ""
+    noise = noisy(elements, lines, texts, sigma, cut)
+    ratios = np.array([0.0 if noise[x.at] else len(t) / max(1, x.tags) for x, t in zip(lines, texts, strict=True)])
     if not ratios.any():
         return ""
-    smoothed = smooth(ratios, sigma)
-    content = (smoothed >= cut * smoothed.std()) & (ratios > 0)
-    held: dict[tuple[int, ...], int] = {}
-    for (x, t), c in zip(lines, content, strict=True):
-        if c:
-            for i in range(len(x.path) + 1):
-                held[x.path[:i]] = held.get(x.path[:i], 0) + len(t)
-    total = held.get((), 0)
-    region = max((p for p, n in held.items() if n >= share * total), key=len)
+    content = content_lines(ratios, sigma, cut)
+    held = [0.0] * len(elements)
+    for x, t, c in zip(lines, texts, content, strict=True):
+        held[x.at] += len(t) * bool(c)
+    held = add_up(elements, held)
+    region = max((i for i, e in enumerate(elements) if held[i] >= share * held[0] and e.name not in _TEXT), key=lambda i: elements[i].depth)
     # up to the outermost article or else main around it; where there is none, to what holds all content lines
-    own = next((i for kind in ("article", "main") for i, n in enumerate(region) if parser.named.get(n) == kind), None)
-    if own is not None:
-        region = region[: own + 1]
-    while own is None and held[region] < total:
-        region = region[:-1]
-    bare = len(region) <= 2  # html and body alone: lines of links alone may be menus there, if not content
+    around = [region]
+    while around[-1]:
+        around.append(elements[around[-1]].up)
+    own = next((i for kind in ("article", "main") for i in reversed(around) if elements[i].name == kind), None)
+    region = own if own is not None else next(i for i in around if held[i] >= held[0])
+    bare = elements[region].name in ("", "html", "body")  # lines of links alone may be menus there, if not content
+    inside = [False] * len(elements)
+    inside[region] = True
+    for i in range(1, len(elements)):
+        inside[i] = inside[i] or inside[elements[i].up]
     out = []
-    for (x, t), c in zip(lines, content, strict=True):
-        menu = (x.item or bare and not c) and x.link >= len("".join(t.split())) > 0
-        if not x.noise and not menu and x.path[: len(region)] == region:
+    for x, t, c in zip(lines, texts, content, strict=True):
+        menu = (elements[x.at].item or bare and not c) and x.link >= len(t.replace(" ", "")) > 0
+        if inside[x.at] and not noise[x.at] and not menu:
             out.append(t)
     return "\n".join(out)
 
@@ -208,7 +299,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) for each row of pages (page_id, url, html).
 
     Null and empty pages give the empty text; null ids and urls stay null; repeated rows are repeated; other columns are
-    ignored.
+    ignored. Unclosed and deeply nested markup is read like any other.
     """
 
     def run(batch: pa.RecordBatch) -> dict:

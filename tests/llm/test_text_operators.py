@@ -370,6 +370,73 @@ def test_extract_keeps_what_is_beside_the_longest_element():
     assert html_text.extract(page.format(parts)) == f"{long.strip()}\nA last section with a sentence."
 
 
+def test_marks_are_evidence():
+    prose = "The town has changed in many ways since the old market hall was built. " * 6
+    page = "<html><body><nav><a href='/'>Home</a></nav>{}<footer>host</footer></body></html>"
+    cases = {
+        f"<div class='social-history'><h1>Past</h1><p>{prose}</p></div>": f"Past\n{prose.strip()}",
+        f"<article><p>{prose}</p><div class='sidebar-left-layout main-form'><p>{prose}</p></div><p>End.</p></article>": f"{prose.strip()}\n{prose.strip()}\nEnd.",
+        f"<div class='sidebar'><p>{prose}</p><p>{prose}</p></div><div>Few words</div>": f"{prose.strip()}\n{prose.strip()}\nFew words",
+        f"<article><p>{prose}</p><div class='social-links'><p>Share this with all your friends, it is worth it</p></div></article>": prose.strip(),
+        f"<article><p>{prose}</p></article><div class='related-stories-teasers'><a href='/a'>One</a> <a href='/b'>Two</a></div>": prose.strip(),
+        f"<article><p>{prose}</p><button>Send<p>More of it.</p></article>": f"{prose.strip()}\nMore of it.",
+        f"<article><p>{prose}</p><noscript>Off<p>More of it.</p></article>": f"{prose.strip()}\nOff\nMore of it.",
+        f"<article><p>{prose}</p><button><div>Send</div></button><p>More of it.</p></article>": f"{prose.strip()}\nMore of it.",
+        f"<article><p>{prose}</p><p class='ad'>Buy now</p><ul><li>one<li>two</ul></article>": f"{prose.strip()}\none\ntwo",
+    }
+    for inner, want in cases.items():
+        assert html_text.extract(page.format(inner)) == want
+    assert html_text.extract(f"<html><head><title>T</title><body><p>{prose}") == prose.strip()
+
+
+def test_extract_is_linear():
+    import time
+
+    began = time.perf_counter()
+    deep = "<div>" * 10_000 + "<p>words that are deep in the page</p>" + "<li>x" * 10_000 + "</section>" * 10_000
+    text = html_text.extract(deep)
+    assert text.startswith("words that are deep") and time.perf_counter() - began < 3
+
+
+def naive_lines(html):
+    """Lines (text, tags) of a page with nothing hidden but script and style, by splitting it at tags."""
+    out, text, tags = [], "", 0
+    html = re.sub(r"(?s)<!--.*?-->|<!DOCTYPE[^>]*>|<head>.*?</head>|<(script|style)\b.*?</\1>", "", html)
+    for piece in re.split(r"(<[^>]*>)", html):
+        m = re.match(r"</?(\w+)", piece)
+        if not m:
+            text += piece
+        elif m[1] in html_text._BLOCK:
+            if text.strip():
+                out.append([text, tags])
+                tags = 0
+            text, tags = "", tags + 1
+        else:
+            text, tags = text + (" " if m[1] == "br" else ""), tags + 1
+    return [(" ".join(t.split()), n) for t, n in [*out, [text, tags]] if t.strip()]
+
+
+def test_the_ratio_method(spark):
+    """Ratios, smoothing and threshold against sums written out; the page's lines against a split at tags."""
+    import html as lib
+    import math
+
+    import numpy as np
+
+    for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
+        elements, lines, texts = html_text.parse(r["html"])
+        naive = naive_lines(r["html"])
+        assert [(" ".join(lib.unescape(t).split()), n) for t, n in naive] == [(t, x.tags) for x, t in zip(lines, texts, strict=True)]
+        ratio = [len(t) / max(1, x.tags) for x, t in zip(lines, texts, strict=True)]
+        for sigma, cut in ((1.0, 0.5), (2.0, 1.0)):
+            near = [[math.exp(-0.5 * ((i - j) / sigma) ** 2) if abs(i - j) <= 3 * sigma else 0.0 for j in range(len(ratio))] for i in range(len(ratio))]
+            smoothed = [sum(a * b for a, b in zip(w, ratio, strict=True)) / sum(w) for w in near]
+            mean = sum(smoothed) / len(smoothed)
+            least = cut * math.sqrt(sum((x - mean) ** 2 for x in smoothed) / len(smoothed))
+            got = html_text.content_lines(np.array(ratio), sigma, cut).tolist()
+            assert got == [x >= least for x in smoothed]
+
+
 def test_extract_pages(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     got = {r["page_id"]: r for r in html_text.extract_pages(pages).collect()}
