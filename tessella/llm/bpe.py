@@ -7,8 +7,14 @@ the text is encoded again into the right chunk, until the new ids and the right
 boundary to the next; where they never do, the piece grows over the whole chunk. The result is exactly that of encoding
 the whole text.
 
-A boundary is sure between a visible ASCII sign and ASCII white space: no word of the byte-level pattern holds white space
-after anything else, so every scan, wherever it began, splits there, and what follows depends on what follows alone.
+A boundary is sure where the kind of sign changes (letter, number, white space, other) so that no word of the byte-level
+pattern reaches over it: every scan, wherever it began, splits there, and what follows depends on what follows alone.
+Only white space is joined with what follows it, and an apostrophe with letters. Signs that Unicode has named lately are
+of no sure kind.
+
+A word of very many signs (Chinese or Japanese without punctuation) has no boundary within. Its chunks are encoded alone
+and joined by what decides on byte-pair encodings: a row of tokens is that of its bytes if each two neighbours are that of
+theirs. So the tokens around a join are encoded again, a few more at a time, until they fit both neighbours.
 
 One map over the texts, no shuffle. Chunks are shared within a worker: to send every chunk to one owner would shuffle
 the whole corpus and its ids, several times the bytes that encoding reads.
@@ -21,11 +27,13 @@ import hashlib
 import json
 import os
 import re
+import unicodedata
 from array import array
 from collections import OrderedDict
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from tessella.llm.common import map_batches, table
@@ -68,10 +76,36 @@ def cut_points(text: str) -> list[int]:
     return cuts
 
 
+_SPACE = frozenset("\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+
+
+@functools.lru_cache(maxsize=1 << 16)
+def kind(c: str) -> str:
+    """S, L, N, O of a sign, or nothing if a library of another age might see it in another way."""
+    if c in _SPACE:
+        return "S"
+    now, old = unicodedata.category(c), unicodedata.ucd_3_2_0.category(c)
+    if old == "Cn" or (now[0] in "LN" or old[0] in "LN") and now[0] != old[0]:
+        return ""
+    return now[0] if now[0] in "LN" else "O"
+
+
+def sure(a: str, b: str) -> bool:
+    """Whether every scan splits between two signs that follow one another."""
+    x, y = kind(a), kind(b)
+    return bool(x and y) and x != "S" and x != y and not (a == "'" and y == "L")
+
+
 #: Fixed value: the byte-level pre-tokenizer's pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+#: A run of one kind in which a chunk may find no boundary.
+RUN = 2048
+_LONG = regex.compile(rf"\p{{L}}{{{RUN},}}|\p{{N}}{{{RUN},}}|[^\s\p{{L}}\p{{N}}]{{{RUN},}}|\s{{{RUN},}}")
+_WORDS = regex.compile(PATTERN)
+
+
 class Vocabulary:
     """A byte-level BPE tokenizer file: ranks of byte strings, added tokens.
 
@@ -111,12 +145,13 @@ class ChunkEncoder:
         self.core = tiktoken.Encoding("chunks", pat_str=PATTERN, mergeable_ranks=vocabulary.ranks, special_tokens={})
         self.added = vocabulary.added
         self.special = re.compile("|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True))) if self.added else None
-        top = max(vocabulary.ranks.values()) + 1
-        self.length, self.begins, self.ends = [0] * top, bytearray(top), bytearray(top)
-        for token, i in vocabulary.ranks.items():
-            self.length[i] = len(token)
-            self.begins[i] = token[0] in b" \t\n\x0b\x0c\r"
-            self.ends[i] = 33 <= token[-1] <= 126
+        self.bytes = {i: token for token, i in vocabulary.ranks.items()}
+        self.length = [len(self.bytes.get(i, b"")) for i in range(max(self.bytes) + 1)]
+        # most boundaries are where a token of white space begins after one that ends with a visible ASCII sign
+        self.first, self.last = bytearray(len(self.length)), bytearray(len(self.length))
+        for i, token in self.bytes.items():
+            self.first[i] = token[0] in b" \t\n\x0b\x0c\r"
+            self.last[i] = 33 <= token[-1] <= 126
         self.memo: OrderedDict[str, list[int]] = OrderedDict()
         self.room = memo_chars
         self.chunks = self.reused = 0
@@ -128,12 +163,16 @@ class ChunkEncoder:
             self.reused += 1
             self.memo.move_to_end(piece)
             return ids
-        ids = self.memo[piece] = array("I", self.core.encode_ordinary(piece))
-        self.room -= len(piece)
+        ids = array("I", self.core.encode_ordinary(piece))
+        self._keep(piece, ids)
+        return ids
+
+    def _keep(self, key: str, ids: array) -> None:
+        self.memo[key] = ids
+        self.room -= len(key)
         while self.room < 0:
             old, _ = self.memo.popitem(last=False)
             self.room += len(old)
-        return ids
 
     def encode(self, text: str) -> list[int]:
         if self.special is None or not self.special.search(text):
@@ -145,12 +184,23 @@ class ChunkEncoder:
             at = m.end()
         return out + self._plain(text[at:])
 
-    def _boundary(self, ids, a: int, b: int, step: int) -> int:
-        """The first token from a to b (exclusive) that begins at a sure boundary; -1 if none does."""
-        begins, ends = self.begins, self.ends
+    def _boundary(self, ids, data: bytes, a: int, b: int, step: int) -> int:
+        """The first token from a to b (exclusive) that begins at a sure boundary; -1 if none does. data: of all ids' bytes."""
+        if step * (b - a) <= 0:
+            return -1
+        first, last, length = self.first, self.last, self.length
+        at = sum([length[i] for i in ids[:a]]) if step > 0 else len(data) - sum([length[i] for i in ids[a:]])
         for k in range(a, b, step):
-            if begins[ids[k]] and ends[ids[k - 1]]:
+            if first[ids[k]] and last[ids[k - 1]]:
                 return k
+            if data[at] & 0xC0 != 0x80:  # a sign begins here
+                before = at - 1
+                while data[before] & 0xC0 == 0x80:
+                    before -= 1
+                c = data[at]
+                if sure(data[before:at].decode(), data[at : at + (1 if c < 0x80 else 2 if c < 0xE0 else 3 if c < 0xF0 else 4)].decode()):
+                    return k
+            at += length[ids[k]] if step > 0 else -length[ids[k - 1]]
         return -1
 
     def _bytes(self, ids) -> int:
@@ -158,6 +208,12 @@ class ChunkEncoder:
         return sum([length[i] for i in ids])
 
     def _plain(self, text: str) -> list[int]:
+        if len(text) >= RUN and _LONG.search(text):
+            return self._with_long_words(text)
+        return self._chunked(text)
+
+    def _chunked(self, text: str) -> list[int]:
+        """Chunks encoded alone, and their joins."""
         cuts = cut_points(text)
         if not cuts:
             return []
@@ -166,13 +222,13 @@ class ChunkEncoder:
         out: list[int] = []
         for piece in pieces[1:]:
             nxt, more = self._chunk(piece), piece.encode("utf-8")
-            k = self._boundary(cur, len(cur) - 1, first, -1)
+            k = self._boundary(cur, data, len(cur) - 1, max(first, 0), -1)
             k = first if k < 0 else k
             out += cur[first:k]
             tail = data[len(data) - self._bytes(cur[k:]) :]
-            j = self._boundary(nxt, 1, len(nxt), 1)
+            j = self._boundary(nxt, more, 1, len(nxt), 1)
             while j > 0:
-                j2 = self._boundary(nxt, j + 1, len(nxt), 1)
+                j2 = self._boundary(nxt, more, j + 1, len(nxt), 1)
                 if j2 < 0:
                     j = -1
                     break
@@ -189,6 +245,67 @@ class ChunkEncoder:
                 cur, first = self.core.encode_ordinary(data.decode("utf-8")), 0
         return out + list(cur[first:])
 
+    def _with_long_words(self, text: str) -> list[int]:
+        """A text with words of RUN signs or more: these alone, what stands between them in chunks.
+
+        White space before a long word is taken word by word, since how it splits depends on what follows.
+        """
+        out: list[int] = []
+        at, blanks = 0, []
+        for m in _WORDS.finditer(text):
+            word = m[0]
+            if len(word) < RUN:
+                if word.isspace():
+                    blanks.append(m.start())
+                else:
+                    blanks.clear()
+                continue
+            cut = [*blanks, m.start()] if blanks else [m.start()]
+            out += self._chunked(text[at : cut[0]])
+            for a, b in zip(cut, cut[1:], strict=False):
+                out += self.core._encode_single_piece(text[a:b])
+            out += self._word(word)
+            at = m.end()
+            blanks.clear()
+        return out + self._chunked(text[at:])
+
+    def _fits(self, a: int, b: int) -> bool:
+        return self.core._encode_single_piece(self.bytes[a] + self.bytes[b]) == [a, b]
+
+    def _word(self, word: str) -> list[int]:
+        """One long word: its chunks, joined where neighbouring tokens fit."""
+        cuts = cut_points(word)
+        out: list[int] = []
+        for a, b in zip([0, *cuts], cuts, strict=False):
+            ids = self._chunk_word(word[a:b])
+            if not out or self._fits(out[-1], ids[0]):
+                out += ids
+                continue
+            n = 2
+            while True:
+                left, right = min(n, len(out)), min(n, len(ids))
+                middle = self.core._encode_single_piece(b"".join(self.bytes[i] for i in (*out[-left:], *ids[:right])))
+                before = left == len(out) or self._fits(out[-left - 1], middle[0])
+                after = right == len(ids) or self._fits(middle[-1], ids[right])
+                if before and after:
+                    out[-left:] = [*middle, *ids[right:]]
+                    break
+                n *= 2
+        return out
+
+    def _chunk_word(self, piece: str) -> list[int]:
+        """A chunk of a long word, without a look for words in it."""
+        self.chunks += 1
+        key = "\0" + piece
+        ids = self.memo.get(key)
+        if ids is not None:
+            self.reused += 1
+            self.memo.move_to_end(key)
+            return ids
+        ids = array("I", self.core._encode_single_piece(piece))
+        self._keep(key, ids)
+        return ids
+
 
 def load_tokenizer(path: str):
     from tokenizers import Tokenizer
