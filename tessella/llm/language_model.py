@@ -1,17 +1,18 @@
 """Interpolated modified Kneser-Ney n-gram model, counted in Spark, stored as sorted hash arrays, mapped by workers.
 
-Words are 64-bit hashes; an n-gram's hash is made of that of its first n - 1 words and of its last word, so the n-grams of
-one order are the contexts of the next. Counting goes from the highest order down, a job for each: tasks count n-grams, an
-exchange brings equal ones together, and there a shard of the hash space is written, a record for each n-gram: its count,
-and as a context the sum of the counts that follow it and how many words follow it once, twice and more often. An n-gram
-gives two rows to the next lower order: its suffix, whose continuation count it raises, and its first words, as a context.
+The vocabulary is counted first: words are 64-bit hashes, which get numbers by falling count. An n-gram's hash is made of
+that of its first n - 1 words and of its last word's number, so the n-grams of one order are the contexts of the next.
+Counting goes from the highest order down, a job for each: tasks count n-grams, an exchange brings equal ones together,
+and there a shard of the hash space is written, a record for each n-gram: its count, and as a context the sum of the
+counts that follow it and how many words follow it once, twice and more often. An n-gram gives two rows to the next lower
+order: its suffix, whose continuation count it raises, and its first words, as a context.
 A shard is decided by an n-gram's first words and three bits of its last word, so that a very frequent context spreads over
 eight shards and a rare one stays together. The number of shards follows the corpus' bytes and a task holds one at a time,
 so memory depends neither on the corpus nor on the number of partitions.
 
-What crosses an exchange is added up before and packed: the words of a block once, then ids in sorted order. Each level is
-written to the shared folder, and the exchanges below the first run in `rounds`, each over a part of the shards, so that
-their files on disk are few. What is stored keeps 48 bits of a hash beyond its shard's number (a shard has about a million
+What crosses an exchange is added up before and packed: the words' numbers in sorted order, a few bytes an n-gram. Each
+level is written to the shared folder, and the exchanges below the first run in `rounds`, each over a part of the shards,
+so that their files on disk are few. What is stored keeps 48 bits of a hash beyond its shard's number (a shard has about a million
 n-grams, so a look-up of an n-gram that was never seen finds one by chance once in 3e8 times, whatever the size of the
 corpus) and all 64 of a word's; two different words share their hash at a chance of 3e-8 among a million, of 0.03 among a
 thousand million. Records are a byte each, a number into the shard's table of the commonest ones; others stand aside.
@@ -29,7 +30,7 @@ import os
 import uuid
 import zlib
 from collections import OrderedDict
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -40,9 +41,10 @@ from tessella.llm.common import WordHasher, arrow_map, delete_folder, local_path
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _CHUNK = 1_000_000  #: tokens that are scored together
-_COUNTED = 3_000_000  #: tokens that are counted together
+_COUNTED = 2_000_000  #: tokens that are counted together
 _OPEN = 2000  #: shards that a worker keeps mapped
-END, START = np.uint64(0x45BE7F0D1A3C9E21), np.uint64(0x5AF3107A4D2B86C9)
+END = np.uint64(0x45BE7F0D1A3C9E21)  #: the hash of a text's end
+START, NEVER = np.uint64(0), np.uint64(2**64 - 1)  #: numbers of what stands before a text, and of words not counted
 
 
 def held_out(doc_id) -> bool:
@@ -71,9 +73,9 @@ def chunks(at: np.ndarray, most: int):
 
 
 def padded(h: np.ndarray, at: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """Texts' tokens with order - 1 START signs before each text, and the places of the tokens in that.
+    """Texts' words with order - 1 START signs before each text, and the places of the words in that.
 
-    h: the tokens; at: where each text begins, one more at the end.
+    h: the words' numbers; at: where each text begins, one more at the end.
     """
     sizes = np.diff(at)
     place = np.arange(len(h)) + np.repeat(np.arange(1, len(sizes) + 1) * (order - 1), sizes)
@@ -89,18 +91,23 @@ def gram_keys(c: np.ndarray, w: np.ndarray, bits: int) -> np.ndarray:
         return shard << np.uint64(64 - bits) | mix64(c * _MULT ^ w) >> np.uint64(bits)
 
 
-def keys_by_order(h: np.ndarray, order: int, bits: int):
+def word_keys(w: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix64(w * _MULT + np.uint64(1))
+
+
+def keys_by_order(w: np.ndarray, order: int, bits: int):
     """For n = 1 to order the hash of the n-gram that ends at each place; the first n - 1 places count as after START signs."""
-    out = h
+    out = word_keys(w)
     yield out
     for _ in range(1, order):
-        out = gram_keys(np.concatenate((np.array([START]), out[:-1])), h, bits)
+        out = gram_keys(np.concatenate((word_keys(np.array([START])), out[:-1])), w, bits)
         yield out
 
 
 def keys_of(words: list[np.ndarray], bits: int) -> np.ndarray:
     """The hashes of n-grams given as columns of words."""
-    out = words[0]
+    out = word_keys(words[0])
     for w in words[1:]:
         out = gram_keys(out, w, bits)
     return out
@@ -126,11 +133,6 @@ def _shards(keys: np.ndarray, bits: int):
 
 # blocks that cross an exchange
 
-#: What a row says of an n-gram: its count, its count in the training tokens, and as a context the sum of the counts that
-#: follow it and how many words follow it once, twice and more often.
-_FIELDS = ("count", "raw", "total", "n1", "n2", "n3")
-
-
 def pack(arrays: list[np.ndarray]) -> bytes:
     """Arrays of whole numbers as one compressed block: the narrowest type for each, equal bytes side by side."""
     import zstandard
@@ -160,24 +162,22 @@ def unpack(block: bytes) -> list[np.ndarray]:
 
 
 def pack_rows(words: list[np.ndarray], fields: list[np.ndarray]) -> bytes:
-    """n-grams with their fields, in the order of their words' ids in the block: the words once, the first word's ids as
-    differences."""
-    names, ids = np.unique(np.concatenate(words), return_inverse=True)
-    ids = ids.reshape(len(words), -1)
-    order = np.lexsort(ids[::-1])
-    ids = ids[:, order].astype(np.uint64)
-    first = np.diff(ids[0], prepend=np.uint64(0))
-    return pack([np.diff(names, prepend=np.uint64(0)), first, *ids[1:], *(f[order] for f in fields)])
+    """n-grams with their fields, in the order of their words' numbers; the first word's as differences.
+
+    Fields are an n-gram's count and, as a context, the sum of the counts that follow it and how many words follow it once,
+    twice and more often.
+    """
+    order = np.lexsort(words[::-1])
+    first = np.diff(words[0][order], prepend=np.uint64(0))
+    return pack([first, *(w[order] for w in words[1:]), *(f[order] for f in fields)])
 
 
 def unpack_rows(block: bytes, n: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    names, first, *rest = unpack(block)
-    names = np.cumsum(names, dtype=np.uint64)
-    ids = [np.cumsum(first, dtype=np.uint64), *rest[: n - 1]]
-    return [names[i.astype(np.int64)] for i in ids], rest[n - 1 :]
+    first, *rest = unpack(block)
+    return [np.cumsum(first, dtype=np.uint64), *rest[: n - 1]], rest[n - 1 :]
 
 
-_NUMBERS = ("f1", "f2", "f3", "f4", "types", "total", "raw")
+_NUMBERS = ("f1", "f2", "f3", "f4", "total")
 _ROWS = "shard int, block binary, " + ", ".join(f"{x} long" for x in _NUMBERS)
 
 
@@ -196,34 +196,96 @@ def _blocks(keys: np.ndarray, bits: int, words: list[np.ndarray], fields: list[n
     return [(s, pack_rows([w[i:j] for w in words], [f[i:j] for f in fields])) for s, i, j in _shards(keys, bits)]
 
 
-def _count_tokens(docs: DataFrame, order: int, bits: int) -> DataFrame:
-    """The training texts' n-grams of the highest order, counted within chunks."""
+def _training(batches, hasher: WordHasher, most: int):
+    """(hashes, sizes of texts) of the training texts, about `most` tokens at a time."""
+    held, sizes, size = [], [], 0
+    for batch in slices(batches):
+        batch = batch.filter(pa.array([not held_out(x) for x in batch.column(0).to_pylist()], pa.bool_()))
+        h, at = tokens(batch.column(1), hasher)
+        for i, j in chunks(at, most):
+            held.append(h[at[i] : at[j]])
+            sizes += np.diff(at[i : j + 1]).tolist()
+            size += len(held[-1])
+            if size >= most:
+                yield np.concatenate(held), sizes
+                held, sizes, size = [], [], 0
+    if held:
+        yield np.concatenate(held), sizes
+
+
+def _count_words(docs: DataFrame) -> DataFrame:
+    """(word, n): hashes with their counts."""
     hasher = WordHasher(seed=4, lower=True)
 
-    def count(held: list[np.ndarray], sizes: list[int]) -> pa.RecordBatch:
-        h, place = padded(np.concatenate(held), np.concatenate(([0], np.cumsum(sizes))), order)
-        for key in keys_by_order(h, order, bits):
-            pass
-        k, at, (n,) = _sum_by(key[place], [np.ones(len(place), np.uint32)])
-        del key
-        at = place[at]
-        del place
-        return _row_batch(_blocks(k, bits, [h[at - i] for i in range(order - 1, -1, -1)], [n]))
+    def run(batches):
+        for h, _ in _training(batches, hasher, _COUNTED):
+            words, n = np.unique(h, return_counts=True)
+            yield pa.RecordBatch.from_pydict({"word": words.view(np.int64), "n": n.astype(np.int64)})
+
+    return arrow_map(docs, run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def _number_words(words: DataFrame, parts: int, bits: int, folder: str, path: str) -> tuple[int, int]:
+    """Numbers the words from 1 by falling count and writes what scoring looks up: a word's number and count.
+
+    The number is a place within a range of the sorted words after those of the ranges before; a row for each range
+    reaches the driver. Gives the numbers of words and of tokens.
+    """
+    spark = words.sparkSession
+    sorted_ = words.repartitionByRange(parts, F.desc("n"), "word").sortWithinPartitions(F.desc("n"), "word")
+    placed = sorted_.select("word", "n", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("place"))
+    placed = materialise(placed, folder, "words")
+    ranges = placed.groupBy("part").agg(F.count(F.lit(1)).alias("words"), F.sum("n").alias("tokens")).orderBy("part").collect()
+    before, rows = 1, []
+    for r in ranges:
+        rows.append((r["part"], before))
+        before += r["words"]
+    numbered = placed.join(F.broadcast(spark.createDataFrame(rows, "part int, before long")), "part")
+    shard = F.shiftrightunsigned("word", 64 - bits).cast("int")
+    numbered = numbered.select(shard.alias("shard"), "word", (F.col("before") + F.col("place")).alias("number"), "n")
 
     def run(batches):
-        held, sizes, size = [], [], 0
-        for batch in slices(batches):
-            batch = batch.filter(pa.array([not held_out(x) for x in batch.column(0).to_pylist()], pa.bool_()))
-            h, at = tokens(batch.column(1), hasher)
-            for i, j in chunks(at, _COUNTED):
-                held.append(h[at[i] : at[j]])
-                sizes += np.diff(at[i : j + 1]).tolist()
-                size += len(held[-1])
-                if size >= _COUNTED:
-                    yield count(held, sizes)
-                    held, sizes, size = [], [], 0
+        held, shard = [], -1
+
+        def write():
+            word, number, n = (np.concatenate([x[i] for x in held]) for i in range(3))
+            order = np.argsort(word)
+            write_shard(f"{path}/words-{shard}", word[order], bits, [number[order], n[order]], exact=True)
+
+        for batch in batches:
+            shards = batch.column(0).to_numpy()
+            cols = [batch.column(i).to_numpy().view(np.uint64) for i in (1, 2, 3)]
+            cut = np.flatnonzero(np.concatenate(([True], shards[1:] != shards[:-1]))) if len(shards) else []
+            for a, b in zip(cut, [*cut[1:], len(shards)], strict=True):
+                if shards[a] != shard and held:
+                    write()
+                    held = []
+                shard = int(shards[a])
+                held.append([c[a:b] for c in cols])
         if held:
-            yield count(held, sizes)
+            write()
+        yield pa.RecordBatch.from_pydict({"done": pa.array([True])})
+
+    arrow_map(numbered.repartition(parts, "shard").sortWithinPartitions("shard"), run, "done boolean").agg(F.count("done")).collect()
+    delete_folder(spark, f"{folder}/words")
+    return before - 1, sum(r["tokens"] for r in ranges)
+
+
+def _count_tokens(docs: DataFrame, order: int, bits: int, model: Model) -> DataFrame:
+    """The training texts' n-grams of the highest order, counted within chunks."""
+    hasher = WordHasher(seed=4, lower=True)
+
+    def run(batches):
+        for h, sizes in _training(batches, hasher, _COUNTED):
+            w, place = padded(model.numbers(h)[0], np.concatenate(([0], np.cumsum(sizes))), order)
+            del h
+            for key in keys_by_order(w, order, bits):
+                pass
+            k, at, (n,) = _sum_by(key[place], [np.ones(len(place), np.uint32)])
+            del key
+            at = place[at]
+            yield _row_batch(_blocks(k, bits, [w[at - i] for i in range(order - 1, -1, -1)], [n]))
+            del w, place, k, at, n
 
     return arrow_map(docs, run, _ROWS)
 
@@ -240,21 +302,19 @@ def _count_level(rows: DataFrame, n: int, order: int, bits: int, folder: str) ->
         fields = [np.concatenate(x) for x in zip(*(f for _, f in parts), strict=True)]
         del parts
         keys, first, fields = _sum_by(keys_of(words, bits), fields)
-        words = [w[first] for w in words]
-        count = fields[0]
-        write_shard(f"{folder}/order-{n}-{shard}", keys, bits, _kept(n, order, fields), exact=n == 1)
-        raw = fields[1] if n < order else count
-        numbers = [*(int((count == c).sum()) for c in (1, 2, 3, 4)), int((count > 0).sum()), int(count.sum()), int(raw.sum())]
+        words, count = [w[first] for w in words], fields[0]
+        write_shard(f"{folder}/order-{n}-{shard}", keys, bits, fields)
+        numbers = [*(int((count == c).sum()) for c in (1, 2, 3, 4)), int(count.sum())]
         if n == 1:
             return _row_batch([], numbers)
         real = count > 0  # not those that are contexts alone, which begin with START signs
-        words, count, raw = [w[real] for w in words], count[real], raw[real]
+        words, count = [w[real] for w in words], count[real]
         one, none = np.ones(len(count), np.uint64), np.zeros(len(count), np.uint64)
         both = [np.concatenate(x) for x in zip(words[1:], words[:-1], strict=True)]
-        said = (one, none), (raw, none), (none, count), *((none, x.astype(np.uint64)) for x in (count == 1, count == 2, count > 2))
+        said = (one, none), (none, count), *((none, x.astype(np.uint64)) for x in (count == 1, count == 2, count > 2))
         del keys, first, fields, words
         k, at, fields = _sum_by(keys_of(both, bits), [np.concatenate(x) for x in said])
-        del said, one, none, count, raw
+        del said, one, none, count
         return _row_batch(_blocks(k, bits, [w[at] for w in both], fields), numbers)
 
     def run(batches):
@@ -272,26 +332,22 @@ def _count_level(rows: DataFrame, n: int, order: int, bits: int, folder: str) ->
     return arrow_map(rows.select("shard", "block"), run, _ROWS)
 
 
-def _kept(n: int, order: int, fields: list[np.ndarray]) -> list[np.ndarray]:
-    """What is stored of an n-gram: its count; below the highest order what follows it; of a word its count in training."""
-    if n == order:
-        return fields[:1]
-    return [fields[0], *fields[2:], *(fields[1:2] if n == 1 else [])]
-
-
 # shards on disk
 
 
 def write_shard(path: str, keys: np.ndarray, bits: int, fields: list[np.ndarray], exact: bool = False) -> None:
     """A shard as one file, moved into place when it is complete, so a task that runs again does no harm.
 
-    keys: ascending, of one shard. Stored are 32 bits after the shard's own and 16 more (exact: all that are left); a byte
-    for each record, its number among the commonest 255 records; and the others' places and records.
+    keys: ascending, of one shard. Stored are 32 bits after the shard's own and 16 more; a byte for each record, its number
+    among the commonest 255 records; and the others' places and records. exact: all bits, and records as they are.
     """
     rest = keys << np.uint64(bits)
     high = (rest >> np.uint64(32)).astype("<u4")
     low = (rest & np.uint64(0xFFFFFFFF)).astype("<u4") if exact else (rest >> np.uint64(16) & np.uint64(0xFFFF)).astype("<u2")
-    records = np.stack(fields, axis=1) if len(keys) else np.empty((0, len(fields)), np.uint64)
+    records = np.stack(fields, axis=1)
+    width = "<u4" if not len(keys) or records.max() < 1 << 32 else "<u8"
+    if exact:
+        return _write(path, {"high": high, "low": low, "records": records.astype(width)})
     small = (records < 256).all(axis=1) & (len(fields) <= 8)
     packed = np.zeros(len(keys), np.uint64)
     for i in range(min(8, len(fields))):
@@ -304,8 +360,10 @@ def write_shard(path: str, keys: np.ndarray, bits: int, fields: list[np.ndarray]
     code[small] = number[which]
     rare = np.flatnonzero(code == 255)
     common = (kinds[best][:, None] >> (np.arange(len(fields), dtype=np.uint64) * np.uint64(8))) & np.uint64(255)
-    width = "<u4" if not len(rare) or records[rare].max() < 1 << 32 else "<u8"
-    arrays = {"high": high, "low": low, "code": code, "common": common.astype("<u4"), "rare": rare.astype("<u4"), "records": records[rare].astype(width)}
+    _write(path, {"high": high, "low": low, "code": code, "common": common.astype("<u4"), "rare": rare.astype("<u4"), "records": records[rare].astype(width)})
+
+
+def _write(path: str, arrays: dict[str, np.ndarray]) -> None:
     head, at = {}, 0
     for name, x in arrays.items():
         head[name] = (at, x.dtype.str, x.shape)
@@ -323,6 +381,8 @@ def write_shard(path: str, keys: np.ndarray, bits: int, fields: list[np.ndarray]
 class Shard:
     """A shard's file, mapped into memory."""
 
+    code = None
+
     def __init__(self, path: str):
         raw = np.memmap(path, np.uint8, "r")
         n = int.from_bytes(raw[:8].tobytes(), "little")
@@ -349,6 +409,9 @@ class Shard:
             at[todo] += 1
         known = np.flatnonzero(found >= 0)
         p = found[known]
+        if self.code is None:
+            out[known] = self.records[p]
+            return out
         code = self.code[p]
         usual = code < 255
         out[known[usual]] = self.common[code[usual]]
@@ -372,11 +435,11 @@ class Model:
     folder: str
     order: int
     bits: int
+    words: int
     train_tokens: int
-    types: int
-    continuations: int
-    discount: tuple[tuple[float, float, float], ...]
-    left: float  #: share of the unigrams' discounts
+    continuations: int = 0
+    discount: tuple[tuple[float, float, float], ...] = ()
+    left: float = 1.0  #: share of the unigrams' discounts
     open_files: OrderedDict = field(default_factory=OrderedDict, compare=False, hash=False, repr=False)
 
     def __getstate__(self):
@@ -393,30 +456,33 @@ class Model:
         self.open_files.move_to_end(name)
         return self.open_files[name]
 
-    def look_up(self, n: int, keys: np.ndarray) -> np.ndarray:
-        """The records of n-grams by their hashes, zeros for those that are not stored."""
+    def look_up(self, name: str, keys: np.ndarray, fields: int) -> np.ndarray:
+        """The records of hashes, zeros for those that are not stored."""
         q, back = np.unique(keys, return_inverse=True)
-        fields = 1 if n == self.order else 5
-        fields += n == 1 and self.order > 1
         out = np.zeros((len(q), fields), np.uint64)
         for s, a, b in _shards(q, self.bits):
-            held = self._map(f"order-{n}-{s}")
+            held = self._map(f"{name}-{s}")
             if held is not None:
                 out[a:b] = held.look_up(q[a:b], self.bits, fields)
         return out[back]
 
+    def numbers(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of words by their hashes, and their counts in training."""
+        found = self.look_up("words", h, 2)
+        return np.where(found[:, 0] > 0, found[:, 0], NEVER), found[:, 1].astype(np.int64)
+
     def log10(self, h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each token its log10 probability and its count in training. at: where texts begin, one more at the end."""
-        h, place = padded(h, at, self.order)
-        p = raw = before = None
-        for n, keys in enumerate(keys_by_order(h, self.order, self.bits), start=1):
+        w, raw = self.numbers(h)
+        w, place = padded(w, at, self.order)
+        p = before = None
+        for n, keys in enumerate(keys_by_order(w, self.order, self.bits), start=1):
             d = np.array((0.0, *self.discount[n - 1]))
-            records = self.look_up(n, keys)
+            records = self.look_up(f"order-{n}", keys, 1 if n == self.order else 5)
             count = records[place, 0].astype(np.int64)
             top = np.maximum(count - d[np.minimum(count, 3)], 0.0)
             if n == 1:
-                p = top / max(1, self.continuations) + self.left / (self.types + 1)
-                raw = records[place, -1].astype(np.int64)
+                p = top / max(1, self.continuations) + self.left / (self.words + 1)
             else:
                 total = before[:, 0].astype(np.float64)
                 rest = np.divide(before[:, 1:4] @ d[1:], total, out=np.ones(len(place)), where=total > 0)
@@ -441,7 +507,9 @@ def train(docs: DataFrame, order: int = 3, folder: str | None = None, shard_byte
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(3, math.ceil(math.log2(max(1, size / shard_bytes))))
     parts = max(1, min(1 << bits, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    rows, facts, held = _count_tokens(docs, order, bits), {}, []
+    words, total = _number_words(_count_words(docs), parts, bits, folder, path)
+    model = Model(path, order, bits, words, total)
+    rows, facts, held = _count_tokens(docs, order, bits, model), {}, []
     for n in range(order, 0, -1):
         times = 1 if n == order else min(rounds, 1 << bits)
         done = []
@@ -461,9 +529,9 @@ def train(docs: DataFrame, order: int = 3, folder: str | None = None, shard_byte
         delete_folder(spark, x)
     d = [discounts(*(facts[n][c] for c in ("f1", "f2", "f3", "f4"))) for n in range(1, order + 1)]
     one = facts[1]
-    over = one["types"] - one["f1"] - one["f2"]
+    over = words - one["f1"] - one["f2"]
     left = (d[0][0] * one["f1"] + d[0][1] * one["f2"] + d[0][2] * over) / one["total"] if one["total"] else 1.0
-    return Model(path, order, bits, one["raw"], one["types"], one["total"], tuple(d), left)
+    return replace(model, continuations=one["total"], discount=tuple(d), left=left)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -472,7 +540,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     Null and empty texts are their end alone. Null and repeated doc_ids are rows like others; other columns are ignored.
     """
     hasher = WordHasher(seed=4, lower=True)
-    norm = float(np.log10(model.train_tokens + model.types + 1))
+    norm = float(np.log10(model.train_tokens + model.words + 1))
 
     def run(batches):
         for batch in slices(batches):

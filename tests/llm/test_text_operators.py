@@ -306,6 +306,26 @@ def test_chunks_agree_with_the_library(docs):
     assert encoder.chunks > before and sum(map(len, encoder.memo)) <= 200_000
 
 
+def test_scripts_without_blanks():
+    """Joins stay local whatever the script: ids are the library's, and time grows with the text."""
+    import time
+
+    rng = random.Random(7)
+    han = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(n))
+    pick = lambda signs, n: "".join(rng.choice(signs) for _ in range(n))
+    texts = [
+        han(30_000), "。".join(han(rng.randrange(3, 40)) for _ in range(2000)), pick("abcdefghijklmnop", 30_000), "a" * 30_000, " " * 30_000 + "x",
+        ("  \n\n" + han(3000) + "'s " + han(2500) + " \n " + "1" * 5000 + " don't ") * 3, pick([chr(0x1F600 + i) for i in range(64)], 9000),
+        pick(list("ab1 é'") + ["\U00016e40", "\U0001fae0"], 30_000), pick(["日本", "12", "、。", " ", "　", "'s", "'ll", "\n", "é", "x"], 30_000),
+        " ".join(pick([chr(c) for c in range(0x430, 0x450)], rng.randrange(2, 9)) for _ in range(10_000)),
+    ]
+    encoder = bpe.ChunkEncoder(BPE)
+    assert [encoder.encode(t) for t in texts] == whole(texts)
+    began = time.perf_counter()
+    encoder.encode(han(1_000_000))
+    assert time.perf_counter() - began < 20
+
+
 def test_shared_passages_share_chunks():
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 8)))
