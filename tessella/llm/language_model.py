@@ -40,8 +40,8 @@ from pyspark.sql import functions as F
 from tessella.llm.common import WordHasher, arrow_map, delete_folder, local_path, materialise, mix64, shared_folder, slices, table
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
-_CHUNK = 1_000_000  #: tokens that are scored together
-_COUNTED = 2_000_000  #: tokens that are counted together
+_CHUNK = 500_000  #: tokens that are scored together
+_COUNTED = 1_000_000  #: tokens that are counted together
 _OPEN = 2000  #: shards that a worker keeps mapped
 END = np.uint64(0x45BE7F0D1A3C9E21)  #: the hash of a text's end
 START, NEVER = np.uint64(0), np.uint64(2**64 - 1)  #: numbers of what stands before a text, and of words not counted
@@ -492,7 +492,7 @@ class Model:
         return np.log10(p), raw
 
 
-def train(docs: DataFrame, order: int = 3, folder: str | None = None, shard_bytes: int = 16 << 20, rounds: int = 4) -> Model:
+def train(docs: DataFrame, order: int = 3, folder: str | None = None, shard_bytes: int = 8 << 20, rounds: int = 4) -> Model:
     """Counts the texts of docs (doc_id, text) whose crc32(doc_id as text) mod 7 is not 2, and stores the model.
 
     shard_bytes: of text for each shard, about; it bounds what a task holds. rounds: parts in which the levels below the
