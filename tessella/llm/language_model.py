@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from tessella.llm.common import WordHasher, arrow_map, delete_folder, local_path, materialise, mix64, shared_folder, slices, table
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
-_CHUNK = 500_000  #: tokens that are scored together
+_CHUNK = 1_000_000  #: tokens that are scored together
 _COUNTED = 1_000_000  #: tokens that are counted together
 _OPEN = 2000  #: shards that a worker keeps mapped
 END = np.uint64(0x45BE7F0D1A3C9E21)  #: the hash of a text's end
@@ -381,7 +381,7 @@ def _write(path: str, arrays: dict[str, np.ndarray]) -> None:
 class Shard:
     """A shard's file, mapped into memory."""
 
-    code = None
+    code = derived = None
 
     def __init__(self, path: str):
         raw = np.memmap(path, np.uint8, "r")
@@ -392,9 +392,11 @@ class Shard:
             size = t.itemsize * math.prod(shape)
             setattr(self, name, raw[8 + n + at : 8 + n + at + size].view(t).reshape(shape))
 
-    def look_up(self, keys: np.ndarray, bits: int, fields: int) -> np.ndarray:
-        """The records of ascending keys of this shard, zeros for those that are not stored."""
-        out = np.zeros((len(keys), fields), np.uint64)
+    def fill(self, keys: np.ndarray, bits: int, derive, out: list[np.ndarray]) -> None:
+        """Writes what derive makes of the records of ascending keys of this shard; the rest of out stays.
+
+        derive: from records (a row each) to a column for each array of out; always the same one for a shard.
+        """
         rest = keys << np.uint64(bits)
         high = (rest >> np.uint64(32)).astype("<u4")
         low = (rest & np.uint64(0xFFFFFFFF)).astype("<u4") if self.low.itemsize == 4 else (rest >> np.uint64(16) & np.uint64(0xFFFF)).astype("<u2")
@@ -410,13 +412,18 @@ class Shard:
         known = np.flatnonzero(found >= 0)
         p = found[known]
         if self.code is None:
-            out[known] = self.records[p]
-            return out
+            for o, x in zip(out, derive(self.records[p]), strict=True):
+                o[known] = x
+            return
+        if self.derived is None:
+            self.derived = [np.resize(np.append(x, 0.0), 256) for x in derive(self.common)]
         code = self.code[p]
-        usual = code < 255
-        out[known[usual]] = self.common[code[usual]]
-        out[known[~usual]] = self.records[np.searchsorted(self.rare, p[~usual])]
-        return out
+        rare = np.flatnonzero(code == 255)
+        others = derive(self.records[np.searchsorted(self.rare, p[rare])]) if len(rare) else self.derived
+        for o, x, y in zip(out, self.derived, others, strict=True):
+            o[known] = x[code]
+            if len(rare):
+                o[known[rare]] = y
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
@@ -456,20 +463,40 @@ class Model:
         self.open_files.move_to_end(name)
         return self.open_files[name]
 
-    def look_up(self, name: str, keys: np.ndarray, fields: int) -> np.ndarray:
-        """The records of hashes, zeros for those that are not stored."""
-        q, back = np.unique(keys, return_inverse=True)
-        out = np.zeros((len(q), fields), np.uint64)
+    def look_up(self, name: str, keys: np.ndarray, derive, width: int) -> list[np.ndarray]:
+        """Columns of what derive makes of the records of hashes, zeros for those that are not stored."""
+        order = np.argsort(keys)
+        q = keys[order]
+        out = [np.zeros(len(q)) for _ in range(width)]
         for s, a, b in _shards(q, self.bits):
             held = self._map(f"{name}-{s}")
             if held is not None:
-                out[a:b] = held.look_up(q[a:b], self.bits, fields)
-        return out[back]
+                held.fill(q[a:b], self.bits, derive, [o[a:b] for o in out])
+        back = np.empty(len(q), np.int64)
+        back[order] = np.arange(len(q))
+        return [o[back] for o in out]
 
     def numbers(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The numbers of words by their hashes, and their counts in training."""
-        found = self.look_up("words", h, 2)
-        return np.where(found[:, 0] > 0, found[:, 0], NEVER), found[:, 1].astype(np.int64)
+        number, count = self.look_up("words", h, lambda r: r.astype(np.float64).T, 2)
+        number = number.astype(np.uint64)
+        number[number == 0] = NEVER
+        return number, count
+
+    def _derive(self, n: int):
+        """What scoring needs of a record of order n: its count less the discount; below the highest order the sum of the
+        counts that follow it, and the share of that which the discounts leave for lower orders."""
+        d = np.array((0.0, *self.discount[n - 1]))
+        after = np.array(self.discount[n]) if n < self.order else None
+
+        def derive(r: np.ndarray) -> list[np.ndarray]:
+            r = r.astype(np.float64)
+            top = np.maximum(r[:, 0] - d[np.minimum(r[:, 0], 3).astype(np.int64)], 0.0)
+            if after is None:
+                return [top]
+            return [top, r[:, 1], np.divide(r[:, 2:5] @ after, r[:, 1], out=np.zeros(len(r)), where=r[:, 1] > 0)]
+
+        return derive
 
     def log10(self, h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each token its log10 probability and its count in training. at: where texts begin, one more at the end."""
@@ -477,18 +504,16 @@ class Model:
         w, place = padded(w, at, self.order)
         p = before = None
         for n, keys in enumerate(keys_by_order(w, self.order, self.bits), start=1):
-            d = np.array((0.0, *self.discount[n - 1]))
-            records = self.look_up(f"order-{n}", keys, 1 if n == self.order else 5)
-            count = records[place, 0].astype(np.int64)
-            top = np.maximum(count - d[np.minimum(count, 3)], 0.0)
+            top, *more = self.look_up(f"order-{n}", keys, self._derive(n), 1 if n == self.order else 3)
+            top = top[place]
             if n == 1:
                 p = top / max(1, self.continuations) + self.left / (self.words + 1)
             else:
-                total = before[:, 0].astype(np.float64)
-                rest = np.divide(before[:, 1:4] @ d[1:], total, out=np.ones(len(place)), where=total > 0)
-                p = np.divide(top, total, out=np.zeros(len(place)), where=total > 0) + rest * p
-            if n < self.order:
-                before = records[place - 1, 1:5]  # what the n words before a token say of what follows them
+                total, rest = before
+                seen = total > 0
+                p = np.where(seen, np.divide(top, total, out=np.zeros(len(place)), where=seen) + rest * p, p)
+            if more:
+                before = [x[place - 1] for x in more]  # what the n words before a token say of what follows them
         return np.log10(p), raw
 
 
