@@ -1,12 +1,10 @@
-"""Coordinates and calendars: day numbers, calendar patterns, recurrence, conversion between axes, timecode."""
+"""Calendars: day numbers of dates, and patterns that recur every year."""
 
 from __future__ import annotations
 
 import re
-from fractions import Fraction
 
-from tessella.functions.intervals import MINUS, PLUS, Cut, Interval, IntervalSet
-from tessella.functions.intervals import coordinate as exact
+from tessella.functions.intervals import Interval, IntervalSet
 from tessella.plans.syntax import QueryError
 
 
@@ -46,74 +44,6 @@ def day_sql(date: str) -> str:
     return f"(datediff(CAST({date} AS DATE), DATE'1970-01-01') + 2440588)"
 
 
-def coordinate(timeline, value) -> Fraction:
-    """Where on its axis a value of a query lies: a number, or the text of a coordinate."""
-    if isinstance(value, str):
-        if timeline.system in ("gregorian", "julian"):
-            return Fraction(day_number(value, timeline.system))
-        if timeline.system == "pattern":
-            m = re.fullmatch(r"(\d{1,2})-(\d{1,2})", value)
-            if not m or not 1 <= int(m[1]) <= 12 or not 1 <= int(m[2]) <= month_days(2000, int(m[1])):
-                raise QueryError("GMQL4003", f"{value!r} is no day of a year")
-            return Fraction(100 * int(m[1]) + int(m[2]))
-        try:
-            x = Fraction(value)
-        except ValueError:
-            raise QueryError("GMQL4003", f"{value!r} is no coordinate") from None
-    else:
-        x = exact(value)
-    return x * Fraction(timeline.scale) + Fraction(timeline.offset)
-
-
-def convert(x, source, target) -> Fraction:
-    """A coordinate of one timeline as one of another on the same axis."""
-    if source.axis != target.axis:
-        raise QueryError("GMQL4003", f"{source.id} and {target.id} share no axis")
-    return (exact(x) * Fraction(source.scale) + Fraction(source.offset) - Fraction(target.offset)) / Fraction(target.scale)
-
-
-def expand_window(window: IntervalSet, mappings) -> IntervalSet:
-    """A window with its images on every axis that exact maps lead to, either way along each.
-
-    A map with a range takes points inside it alone, since a range search needs a map that is total.
-    """
-    found = {i.axis: [i] for i in window.ivs}
-    steps = [*mappings, *(m.inverse() for m in mappings)]
-    grown = True
-    while grown:
-        grown = False
-        for m in steps:
-            if m.source in found and m.target not in found:
-                out = [x for i in found[m.source] if (x := _image(i, m)) is not None]
-                if out:
-                    found[m.target] = out
-                    grown = True
-    return IntervalSet(i for ivs in found.values() for i in ivs)
-
-
-def _image(i: Interval, m) -> Interval | None:
-    point = i.lo.at == i.hi.at
-    if (m.lo is not None or m.hi is not None) and not (point and (m.lo is None or m.lo <= i.lo.at) and (m.hi is None or i.hi.at <= m.hi)):
-        return None
-    move = lambda c: c if c in (MINUS, PLUS) else Cut(c.at * m.scale + m.offset, c.side)
-    if m.scale > 0:
-        return Interval(m.target, move(i.lo), move(i.hi))
-    flip = lambda c: {MINUS: PLUS, PLUS: MINUS}.get(c) or Cut(c.at * m.scale + m.offset, 1 - c.side)
-    return Interval(m.target, flip(i.hi), flip(i.lo))
-
-
-def convert_segments(x, segments: list[tuple]) -> list[Fraction]:
-    """Images of a coordinate under ((from, to), (from, to)) segments, ends included; none in a gap, several where they overlap."""
-    x, out = exact(x), []
-    for (a, b), (c, d) in segments:
-        a, b, c, d = map(exact, (a, b, c, d))
-        if a <= x <= b:
-            image = c if a == b else c + (x - a) * (d - c) / (b - a)
-            if image not in out:
-                out.append(image)
-    return out
-
-
 def occurrences(month: int, day: int, first: int, last: int, system: str = "gregorian") -> list[int]:
     """The day numbers of a yearly date in the years from first to last; a 29 February only in leap years."""
     number = gregorian_day if system == "gregorian" else julian_day
@@ -143,27 +73,3 @@ def recur(axis: str, start: tuple[int, int], end: tuple[int, int] | None, lo: in
         if e is not None and max(s, lo) < min(e + 1, hi):
             out.append(Interval.of(axis, max(s, lo), min(e + 1, hi), True, False))
     return IntervalSet(out)
-
-
-def timecode_frames(text: str, fps: int = 30, drop: bool = False) -> int:
-    """Frames of hh:mm:ss:ff; drop-frame leaves out two (60: four) numbers a minute, but not every tenth."""
-    h, m, s, f = map(int, re.split("[:;]", text))
-    minutes = 60 * h + m
-    frames = (minutes * 60 + s) * fps + f
-    if drop:
-        lost = 2 * (fps // 30)
-        if s == 0 and f < lost and m % 10:
-            raise QueryError("GMQL4003", f"{text!r} is a dropped frame")
-        frames -= lost * (minutes - minutes // 10)
-    return frames
-
-
-def iso_week_day(year: int, week: int, weekday: int = 1) -> int:
-    """The day number of an ISO week's day."""
-    jan4 = gregorian_day(year, 1, 4)
-    return jan4 - jan4 % 7 + 7 * (week - 1) + weekday - 1
-
-
-def format_pattern(template: str, **fields: int) -> str:
-    """`{day:02}/{month:02}` with numbers."""
-    return re.sub(r"\{(\w+)(?::0?(\d+))?\}", lambda m: str(fields[m[1]]).rjust(int(m[2] or 0), "0"), template)

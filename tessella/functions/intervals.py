@@ -149,15 +149,31 @@ def _set(ivs: str) -> str:
     return f"named_struct('universal', false, 'ivs', {ivs})"
 
 
+_REACH = f"struct<axis:string,hi:{CUT}>"
+
+
 def normalise_sql(ivs: str) -> str:
-    """Sorted and merged intervals of an array of intervals."""
-    last = "element_at(acc, -1)"
-    return (
-        f"aggregate(array_sort(filter({ivs}, i -> i.lo < i.hi)), CAST(array() AS array<{INTERVAL}>), (acc, x) -> CASE "
-        f"WHEN size(acc) > 0 AND {last}.axis = x.axis AND x.lo <= {last}.hi "
-        f"THEN concat(slice(acc, 1, size(acc) - 1), array(named_struct('axis', x.axis, 'lo', {last}.lo, 'hi', greatest({last}.hi, x.hi)))) "
-        f"ELSE concat(acc, array(x)) END)"
+    """Sorted and merged intervals of an array of intervals.
+
+    A few are folded. Of many, an interval begins a new one if all before it on its axis end before it; how far these reach
+    is carried through blocks of the square root of the number, since an array that grows in a fold is copied at each step.
+    """
+    none = f"CAST(array() AS array<{INTERVAL}>)"
+    few = (
+        f"aggregate(p, struct(CAST(NULL AS {INTERVAL}) AS l, {none} AS o), (a, x) -> CASE WHEN a.l IS NULL THEN struct(x AS l, a.o AS o) "
+        f"WHEN a.l.axis = x.axis AND x.lo <= a.l.hi THEN struct(named_struct('axis', x.axis, 'lo', a.l.lo, 'hi', greatest(a.l.hi, x.hi)) AS l, a.o AS o) "
+        f"ELSE struct(x AS l, array_append(a.o, a.l) AS o) END, a -> array_append(a.o, a.l))"
     )
+    blocks = "transform(sequence(0, CAST((size(p) - 1) / k AS INT)), n -> slice(p, n * k + 1, k))"
+    reach = "array_max(transform(z, x -> named_struct('axis', x.axis, 'hi', x.hi)))"
+    before = f"aggregate(transform(q, z -> {reach}), struct(CAST(NULL AS {_REACH}) AS m, CAST(array() AS array<{_REACH}>) AS o), (a, m) -> struct(greatest(a.m, m) AS m, array_append(a.o, a.m) AS o), a -> a.o)"
+    reached = "greatest(a.m, named_struct('axis', x.axis, 'hi', x.hi))"
+    step = f"struct({reached} AS m, array_append(a.o, struct(x.axis AS axis, x.lo AS lo, coalesce(a.m.axis <> x.axis OR a.m.hi < x.lo, true) AS first, {reached}.hi AS hi)) AS o)"
+    marked = f"flatten(zip_with(q, {before}, (z, c) -> aggregate(z, struct(c AS m, CAST(array() AS array<struct<axis:string,lo:{CUT},first:boolean,hi:{CUT}>>) AS o), (a, x) -> {step}, a -> a.o)))"
+    firsts = "filter(transform(e, (y, i) -> CASE WHEN y.first THEN i END), i -> i IS NOT NULL)"
+    whole = f"get(transform(array({firsts}), f -> transform(f, (i, n) -> named_struct('axis', get(e, i).axis, 'lo', get(e, i).lo, 'hi', get(e, coalesce(get(f, n + 1), size(e)) - 1).hi))), 0)"
+    many = f"get(transform(array(CAST(sqrt(size(p)) AS INT)), k -> get(transform(array({blocks}), q -> get(transform(array({marked}), e -> {whole}), 0)), 0)), 0)"
+    return f"get(transform(array(array_sort(filter({ivs}, i -> i.lo < i.hi))), p -> CASE WHEN size(p) < 2 THEN p WHEN size(p) < 64 THEN {few} ELSE {many} END), 0)"
 
 
 def intersect_sql(a: str, b: str) -> str:
@@ -219,9 +235,12 @@ def rows_sql(a: str) -> str:
 
 
 def display_sql(a: str) -> str:
-    """Text as IntervalSet shows it, for integer coordinates."""
-    lo = "CASE WHEN i.lo.w = -9223372036854775807L - 1 THEN '(-INF' ELSE concat(CASE WHEN i.lo.s = 0 THEN '[' ELSE '(' END, i.lo.w) END"
-    hi = f"CASE WHEN i.hi.w = {HIGH}L THEN '+INF)' ELSE concat(i.hi.w, CASE WHEN i.hi.s = 1 THEN ']' ELSE ')' END) END"
+    """Text as IntervalSet shows it: fractions as p/q, as decimals where q is over 10 000."""
+    q = "get(filter(sequence(2, 10000), q -> abs(CAST({c}.f AS DOUBLE) * q - round(CAST({c}.f AS DOUBLE) * q)) < 1e-9), 0)"
+    part = f"coalesce(get(transform(array({q}), q -> CASE WHEN q IS NOT NULL THEN concat({{c}}.w * q + CAST(round(CAST({{c}}.f AS DOUBLE) * q) AS BIGINT), '/', q) END), 0), CAST({{c}}.w + CAST({{c}}.f AS DOUBLE) AS STRING))"
+    shown = f"CASE WHEN {{c}}.f = 0 THEN CAST({{c}}.w AS STRING) ELSE {part} END"
+    lo = f"CASE WHEN i.lo.w = -9223372036854775807L - 1 THEN '(-INF' ELSE concat(CASE WHEN i.lo.s = 0 THEN '[' ELSE '(' END, {shown.format(c='i.lo')}) END"
+    hi = f"CASE WHEN i.hi.w = {HIGH}L THEN '+INF)' ELSE concat({shown.format(c='i.hi')}, CASE WHEN i.hi.s = 1 THEN ']' ELSE ')' END) END"
     return f"CASE WHEN {a}.universal THEN 'Anytime' WHEN size({a}.ivs) = 0 THEN 'Empty' ELSE array_join(transform({a}.ivs, i -> concat(i.axis, ': ', {lo}, ', ', {hi})), ', ') END"
 
 

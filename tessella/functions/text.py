@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,13 +16,19 @@ _RUN = rf"[{_CJK}]+|[\p{{L}}\p{{Nd}}_&&[^{_CJK}]]+"
 _EDGE = r"(?<=\p{Ll})(?=\p{Lu})|(?<=\p{L})(?=\p{Nd})|(?<=\p{Nd})(?=\p{L})|(?<=\p{Lu})(?=\p{Lu}\p{Ll})"
 
 
-def tokens_sql(text: str) -> str:
-    """All tokens of a text, in lower case: an identifier and its distinct parts; single CJK signs, then pairs."""
+def tokens_sql(text: str, needles: Sequence[str] | None = None) -> str:
+    """All tokens of a text, in lower case: an identifier and its distinct parts; single CJK signs, then pairs.
+
+    needles: only the runs of the text that hold one of these are cut into tokens; a token lies in its run.
+    """
     parts = f"flatten(transform(filter(split(r, '_'), p -> trim(p) <> ''), p -> split(p, {quoted(_EDGE)})))"
     word = f"filter(array_distinct(concat(array(r), {parts})), p -> trim(p) <> '')"
     signs = "filter(split(r, ''), c -> c <> '')"
     pairs = "CASE WHEN length(r) > 1 THEN transform(sequence(1, length(r) - 1), k -> substring(r, k, 2)) ELSE CAST(array() AS array<string>) END"
-    each = f"transform(regexp_extract_all({text}, {quoted(_RUN)}, 0), r -> CASE WHEN r RLIKE {quoted(f'^[{_CJK}]')} THEN concat({signs}, {pairs}) ELSE {word} END)"
+    runs = f"regexp_extract_all({text}, {quoted(_RUN)}, 0)"
+    if needles is not None:
+        runs = f"filter({runs}, r -> {' OR '.join(f'contains(lower(r), {quoted(n)})' for n in needles) or 'false'})"
+    each = f"transform({runs}, r -> CASE WHEN r RLIKE {quoted(f'^[{_CJK}]')} THEN concat({signs}, {pairs}) ELSE {word} END)"
     return f"transform(flatten({each}), t -> lower(t))"
 
 
@@ -68,33 +75,63 @@ def split_or(query: str) -> list[str]:
     return [c.strip() for c in (*out, query[start:]) if c.strip()]
 
 
-def query_score_sql(text: str, tokens: str, query: str) -> str:
+def clauses(query: str) -> list[list[tuple[str, object]]]:
+    """The query's clauses as (phrase | prefix | word, text or the terms of a word)."""
+    out = []
+    for clause in split_or(query):
+        parts: list[tuple[str, object]] = []
+        for phrase, raw in re.findall(r'"([^"]+)"|(\S+)', clause):
+            if phrase:
+                parts.append(("phrase", phrase.removesuffix("*")))
+            elif raw.endswith("*"):
+                parts.append(("prefix", raw[:-1].lower()))
+            else:
+                parts.append(("word", list(dict.fromkeys(analyze(raw)))))
+        if parts:
+            out.append(parts)
+    return out
+
+
+def needles_of(query: str) -> list[str]:
+    """What a run must hold to give a token that the query looks at."""
+    return sorted({n for c in clauses(query) for kind, x in c if kind != "phrase" for n in ([x] if kind == "prefix" else x)})
+
+
+def may_match_sql(text: str, query: str) -> str:
+    """A test that every matching text passes, in substrings alone.
+
+    Not on a sigma: what it becomes in lower case depends on what stands beside it.
+    """
+    every = []
+    for c in clauses(query):
+        parts = [n for kind, x in c for n in ([x.lower()] if kind == "phrase" else [x] if kind == "prefix" else x)]
+        every.append(" AND ".join(f"contains(low, {quoted(n)})" for n in parts if not set(n) & {"\u03c3", "\u03c2"}) or "true")
+    return f"exists(array(lower({text})), low -> {' OR '.join(f'({x})' for x in every)})" if every else "false"
+
+
+def query_score_sql(text: str, query: str, count: Callable[[str], str], starting: Callable[[str], str]) -> str:
     """The score of a text under a query: `a b` (both), `a OR b`, `"a phrase"`, `prefix*`; 0 where it does not match.
 
-    A clause's score adds up its terms': mean counts of the tokens of a word, 1 for a phrase, tokens with a prefix.
+    A clause's score adds up its terms': mean counts of the tokens of a word, 1 for a phrase, tokens with a prefix. count
+    and starting give SQL for how many tokens are a term, or begin with one.
     """
-    clauses = []
-    for clause in split_or(query):
+    out = []
+    for clause in clauses(query):
         tests, scores = [], []
-        for phrase, raw in re.findall(r'"([^"]+)"|(\S+)', clause):
-            if phrase:
-                tests.append(f"contains(lower({text}), lower({quoted(phrase.removesuffix('*'))}))")
+        for kind, x in clause:
+            if kind == "phrase":
+                tests.append(f"contains(lower({text}), lower({quoted(x)}))")
                 scores.append("1.0D")
-            elif raw.endswith("*"):
-                n = f"size(filter({tokens}, t -> startswith(t, {quoted(raw[:-1].lower())})))"
-                tests.append(f"{n} > 0")
-                scores.append(f"CAST({n} AS DOUBLE)")
+            elif kind == "prefix":
+                tests.append(f"{starting(x)} > 0")
+                scores.append(f"CAST({starting(x)} AS DOUBLE)")
+            elif x:
+                tests += [f"{count(t)} > 0" for t in x]
+                scores.append("(" + " + ".join(map(count, x)) + f") / CAST({len(x)} AS DOUBLE)")
             else:
-                terms = list(dict.fromkeys(analyze(raw)))
-                arr = "array(" + ", ".join(map(quoted, terms)) + ")"
-                if terms:
-                    tests.append(f"size(array_except({arr}, {tokens})) = 0")
-                    scores.append(f"size(filter({tokens}, t -> array_contains({arr}, t))) / CAST({len(terms)} AS DOUBLE)")
-                else:
-                    scores.append("0.0D")
-        if scores:
-            clauses.append(f"CASE WHEN {' AND '.join(tests) or 'true'} THEN {' + '.join(scores)} ELSE 0.0D END")
-    return f"greatest({', '.join(clauses)})" if len(clauses) > 1 else (clauses or ["0.0D"])[0]
+                scores.append("0.0D")
+        out.append(f"CASE WHEN {' AND '.join(tests) or 'true'} THEN {' + '.join(scores)} ELSE 0.0D END")
+    return f"greatest({', '.join(out)})" if len(out) > 1 else (out or ["0.0D"])[0]
 
 
 def matches_sql(text: str, tokens: str, query: str, mode: str, case_sensitive: bool = False) -> str:
@@ -108,23 +145,32 @@ def matches_sql(text: str, tokens: str, query: str, mode: str, case_sensitive: b
     return f"size(array_except({arr}, {tokens})) = 0" if mode == "ALL_TERMS" else f"arrays_overlap({arr}, {tokens})"
 
 
-def bm25(texts: DataFrame, query: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+def bm25(texts: DataFrame, query: str, k1: float = 1.2, b: float = 0.75, match: str | None = None, lengths: DataFrame | None = None) -> DataFrame:
     """texts (text_id, text) with a score for each: BM25 over all texts, distinct query terms; no terms score 1.
 
-    Documents, their lengths and the terms' document frequencies are counted in one aggregation, which has one row; it
-    joins the texts as a scalar subquery would. The texts are tokenised twice rather than kept.
+    match: SQL; only texts that it holds of are scored, after all have been counted. lengths: (text_id, n) of the texts, if
+    they were kept. Documents, their lengths and the terms' document frequencies are counted in one aggregation, which has
+    one row; the texts are tokenised twice rather than kept.
     """
     terms = list(dict.fromkeys(analyze(query)))
+    wanted = texts.where(match) if match else texts
     if not terms:
-        return texts.withColumn("score", F.lit(1.0))
-    toks = texts.select("*", F.expr(tokens_sql("text")).alias("_tokens"))
+        return wanted.withColumn("score", F.lit(1.0))
+
+    def sized(df: DataFrame) -> DataFrame:
+        if lengths is not None:
+            df = df.join(lengths.select("text_id", F.col("n").alias("_n")), "text_id")
+            return df.withColumn("_tokens", F.expr(tokens_sql("text", terms)))
+        return df.withColumn("_tokens", F.expr(tokens_sql("text"))).withColumn("_n", F.size("_tokens"))
+
+    toks = sized(texts)
     has: list[Column] = [F.sum(F.array_contains("_tokens", t).cast("long")) for t in terms]
-    stats = toks.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("_tokens")).alias("avgdl"), *[h.alias(f"df{i}") for i, h in enumerate(has)]).first()
+    stats = toks.agg(F.count(F.lit(1)).alias("n"), F.avg("_n").alias("avgdl"), *[h.alias(f"df{i}") for i, h in enumerate(has)]).first()
     total, avg = stats["n"], stats["avgdl"] or 1.0
     score = F.lit(0.0)
     for i, t in enumerate(terms):
         df = stats[f"df{i}"] or 0
         tf = F.expr(f"CAST(size(filter(_tokens, x -> x = {quoted(t)})) AS DOUBLE)")
         idf = F.log(F.lit(1 + (total - df + 0.5) / (df + 0.5)))
-        score = score + idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.size("_tokens") / F.lit(avg)))
-    return toks.withColumn("score", score).drop("_tokens")
+        score = score + idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("_n") / F.lit(avg)))
+    return sized(wanted).withColumn("score", score).drop("_tokens", "_n")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from fractions import Fraction
 
@@ -10,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessella.functions import intervals as iv
+from tessella.functions.temporal import Mapping
 from tessella.functions.values import VALUE
 
 NODES = f"id string, type_id string, types array<string>, kind string, url string, valid {iv.VALIDITY}, source string"
@@ -20,35 +22,20 @@ TEXTS = f"text_id string, owner string, kind string, path string, text string, v
 
 @dataclass(frozen=True)
 class Timeline:
-    """axis: the axis it measures; system: number, gregorian, julian, frame or pattern; offset: axis = coordinate * scale + offset.
+    """axis: the axis it measures; system: number, gregorian, julian, frame, timecode, era, dates or pattern; offset: axis =
+    coordinate * scale + offset; spec: what else the system needs, as JSON.
 
-    A pattern is a month and a day of every year, as 100 * month + day on an axis of its own; `real` is the calendar axis
-    on which it recurs.
+    dates is a pattern of dates that do not recur (a month, a quarter, an ISO week). A pattern is a month and a day of every
+    year, as 100 * month + day on an axis of its own; `real` is the calendar axis on which it recurs.
     """
 
     id: str
     axis: str
     system: str = "number"
-    scale: float = 1
-    offset: float = 0
-    real: str | None = None
-
-
-@dataclass(frozen=True)
-class Mapping:
-    """An exact map between axes: target = source * scale + offset, within [lo, hi] of the source where these are given."""
-
-    source: str
-    target: str
     scale: Fraction = Fraction(1)
     offset: Fraction = Fraction(0)
-    lo: Fraction | None = None
-    hi: Fraction | None = None
-
-    def inverse(self) -> Mapping:
-        ends = sorted(self.scale * x + self.offset for x in (self.lo, self.hi) if x is not None)
-        lo, hi = (ends[0], ends[-1]) if len(ends) == 2 else (None, None)
-        return Mapping(self.target, self.source, 1 / self.scale, -self.offset / self.scale, lo, hi)
+    real: str | None = None
+    spec: str | None = None
 
 
 @dataclass
@@ -56,7 +43,10 @@ class Graph:
     """The four tables and the small catalogs that queries are checked against.
 
     node_types and rel_types: each type's direct parents. properties: declared type of each (type, path), if known.
-    endpoints: (source types, target types) of a relation type; None leaves it open.
+    endpoints: (source types, target types) of a relation type; None leaves it open. own: paths of properties that nodes or
+    relations hold in a column `own` too, a struct by path: those with one value for an owner, valid whenever it is.
+    narrow: gives the rows of a table (nodes, rels, props) with a given id in a column, where a source can find them by its
+    own keys. postings: (term, text_id, tf) and lengths: (text_id, n) of the texts, if they were kept.
     """
 
     spark: SparkSession
@@ -70,12 +60,31 @@ class Graph:
     endpoints: dict[str, tuple[tuple[str, ...] | None, tuple[str, ...] | None]] = field(default_factory=dict)
     timelines: dict[str, Timeline] = field(default_factory=dict)
     mappings: tuple[Mapping, ...] = ()
+    own: frozenset[str] = frozenset()
+    narrow: Callable[[str, str, str], DataFrame] | None = None
+    postings: DataFrame | None = None
+    lengths: DataFrame | None = None
+
+    def with_id(self, table: str, column: str, ident: str) -> DataFrame:
+        """The rows of nodes, rels or props with an id in a column."""
+        found = self.narrow(table, column, ident) if self.narrow else getattr(self, table)
+        return found.where(F.col(column) == ident)
 
     @property
     def axes(self) -> list[str]:
         return list(dict.fromkeys(t.axis for t in self.timelines.values()))
 
 
+def kept(df: DataFrame, name: str, sql: str, test: str, kind: str = iv.VALIDITY) -> DataFrame:
+    """df with column `name` as given by sql, without the rows where the test (on v, the new value) fails.
+
+    The new column comes from a generator: a plain filter would be pushed below the projections that it reads, and their
+    expressions written into it again and again.
+    """
+    new = F.explode(F.expr(f"filter(array(CAST({sql} AS {kind})), v -> {test})")).alias("_new")
+    return df.select("*", new).drop(name).withColumnRenamed("_new", name)
+
+
 def ancestors(parents: dict[str, tuple[str, ...]]) -> dict[str, tuple[str, ...]]:
     """All types above each, nearest first; types on a cycle have none."""
 
@@ -150,7 +159,7 @@ def endpoint_errors(graph: Graph, rel_type: str) -> DataFrame:
 
 def backlinks(graph: Graph, node: str, rel_type: str | None = None, limit: int = 100) -> tuple[DataFrame, list[str]]:
     """(src, title, rel_id, validity) of relations of exactly this type to a node, by source; more than `limit` are diagnosed."""
-    rels = graph.rels.where(F.col("dst") == node)
+    rels = graph.with_id("rels", "dst", node)
     if rel_type:
         rels = rels.where(F.col("type_id") == rel_type)
     out = rels.join(titles(graph), rels["src"] == F.col("owner"), "left").select(
@@ -167,11 +176,12 @@ def titles(graph: Graph) -> DataFrame:
 
 def links(graph: Graph, node: str, direction: str = "both", rel_type: str | None = None, subtypes: bool = True) -> DataFrame:
     """(direction, rel_id, type_id, other) of the relations at a node."""
-    rels = graph.rels
-    if rel_type:
-        rels = rels.where(F.array_contains("types", rel_type) if subtypes else F.col("type_id") == rel_type)
-    out = rels.where(F.col("src") == node).select(F.lit("out").alias("direction"), "rel_id", "type_id", F.col("dst").alias("other"))
-    into = rels.where(F.col("dst") == node).select(F.lit("in").alias("direction"), "rel_id", "type_id", F.col("src").alias("other"))
+    def at(column: str) -> DataFrame:
+        rels = graph.with_id("rels", column, node)
+        return rels.where(F.array_contains("types", rel_type) if subtypes else F.col("type_id") == rel_type) if rel_type else rels
+
+    out = at("src").select(F.lit("out").alias("direction"), "rel_id", "type_id", F.col("dst").alias("other"))
+    into = at("dst").select(F.lit("in").alias("direction"), "rel_id", "type_id", F.col("src").alias("other"))
     return {"out": out, "in": into, "both": out.unionByName(into)}[direction].orderBy("direction", "type_id", "other", "rel_id")
 
 
@@ -182,13 +192,30 @@ def stats(graph: Graph) -> DataFrame:
     return kinds.unionByName(one(graph.rels, "Relation")).unionByName(one(graph.props, "Property")).unionByName(one(graph.texts, "Text"))
 
 
+def meets(window: iv.IntervalSet, column: str = "valid") -> F.Column:
+    """Whether a validity has a time in common with a window."""
+    hits = " OR ".join(f"(i.axis = '{i.axis}' AND i.lo < {i.hi.sql()} AND {i.lo.sql()} < i.hi)" for i in window.ivs) or "false"
+    return F.expr(f"{column}.universal OR exists({column}.ivs, i -> {hits})")
+
+
 def visible_at(df: DataFrame, axis: str, x) -> DataFrame:
     """Rows with their visibility at a coordinate: Full if they hold there or anytime, else Hidden."""
-    window = iv.IntervalSet([iv.Interval.of(axis, x, x)]).sql()
-    hit = F.expr(f"valid.universal OR exists(valid.ivs, i -> i.axis = '{axis}' AND i.lo <= {window}.ivs[0].lo AND {window}.ivs[0].hi <= i.hi)")
+    hit = meets(iv.IntervalSet([iv.Interval.of(axis, x, x)]))
     return df.withColumn("visibility", F.when(hit, "Full").otherwise("Hidden"))
 
 
+def view(graph: Graph, window: iv.IntervalSet) -> DataFrame:
+    """(id, visibility) in a window: Full of nodes that hold in it; AssertionOnly of others, known or not, that have a
+    property there or an end of a relation that holds there; else Hidden."""
+    rels = graph.rels.where(meets(window))
+    said = graph.props.where(meets(window)).select(F.col("owner").alias("id")).join(graph.nodes.select("id"), "id", "left_semi")
+    ends = rels.select(F.explode(F.array("src", "dst")).alias("id"))
+    said = said.unionByName(ends).distinct().withColumn("_said", F.lit(True))
+    full = graph.nodes.select("id", meets(window).alias("_full"))
+    kind = F.when(F.col("_full"), "Full").when(F.col("_said"), "AssertionOnly").otherwise("Hidden")
+    return full.join(said, "id", "full_outer").select("id", kind.alias("visibility"))
+
+
 def last_per(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     """One row for each key: the one that `order` puts last (a body property overrides one of the front matter)."""
     w = W.partitionBy(*keys).orderBy(F.col(order).desc())

@@ -15,9 +15,9 @@ from tessella.plans.syntax import RESERVED
 KIND_ORDER = ("Node", "Media", "NodeType", "RelType", "Timeline")
 
 
-def listing(graph: Graph, kind: str | None = None, type_id: str | None = None, subtypes: bool = True, at: tuple[str, object] | None = None) -> DataFrame:
+def listing(graph: Graph, kind: str | None = None, type_id: str | None = None, subtypes: bool = True, at: tuple[str, object] | None = None, ident: str | None = None) -> DataFrame:
     """(kind, id, type_id, title, source, validity) by kind, id and source; at: (axis, coordinate) leaves what holds there."""
-    df = graph.nodes
+    df = graph.nodes if ident is None else graph.with_id("nodes", "id", ident)
     if kind:
         df = df.where(F.col("kind") == kind)
     if type_id:
@@ -31,14 +31,14 @@ def listing(graph: Graph, kind: str | None = None, type_id: str | None = None, s
 
 def show(graph: Graph, ident: str) -> tuple[DataFrame, str]:
     """The rows of an id, and whether it is found: ok, unknown or ambiguous."""
-    df = listing(graph).where(F.col("id") == ident)
+    df = listing(graph, ident=ident)
     n = len(df.limit(2).collect())
     return df, ("unknown", "ok", "ambiguous")[n]
 
 
 def properties(graph: Graph, ident: str, at: tuple[str, object] | None = None) -> DataFrame:
     """(path, value, validity, fallback) of an owner by path; at: those that hold at a coordinate."""
-    df = graph.props.where(F.col("owner") == ident)
+    df = graph.with_id("props", "owner", ident)
     if at:
         df = visible_at(df, *at).where("visibility = 'Full'")
     value = F.expr("coalesce(value.s, CAST(value.i AS STRING), CAST(value.d AS STRING), CAST(value.b AS STRING))")

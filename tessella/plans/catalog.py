@@ -4,16 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import replace
+from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.functions import calendar, text
+from tessella.functions import calendar, temporal, text
 from tessella.functions import intervals as iv
 from tessella.operators import graph as ops
+from tessella.operators import postings
 from tessella.plans import structured as st
 from tessella.plans.planner import rows_of
-from tessella.sources.tables import NODE_TYPES, sales_graph
+from tessella.sources import markdown
+from tessella.sources.tables import sales_graph
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -67,12 +70,13 @@ pattern("scan_type", "MATCH (p:Party) RETURN ID(p) AS id", f"SELECT id FROM {_PA
 
 @graph_query("SELECT 'customer:' || c_custkey AS id FROM customer")
 def scan_type_exact(g, t):
-    return g.nodes.where("type_id = 'Customer'").select("id")
+    return st.run(g, st.GraphQuery(st.Nodes(type="Customer", derived=False), limit=None)).rows.select(F.col("root").alias("id"))
 
 
 @graph_query("SELECT 'order:' || o_orderkey AS id, 'SalesOrder' AS type_id FROM orders WHERE o_orderkey = 7")
 def scan_id(g, t):
-    return g.nodes.where("id = 'order:7'").select("id", "type_id")
+    found = st.run(g, st.GraphQuery(st.Nodes(id="order:7"))).rows.select(F.col("root").alias("id"))
+    return found.select("id", F.lit("SalesOrder").alias("type_id"))
 
 
 # joins
@@ -115,6 +119,17 @@ pattern(
     f"SELECT 'order:' || o_orderkey AS id, 'Calendar' AS axis, CAST({_O} AS DOUBLE) AS lo, true AS lo_inc, CAST({_O} + 120 AS DOUBLE) AS hi, true AS hi_inc FROM orders WHERE o_totalprice > 400000",
 )
 
+# the same axis in other words: the days of a period come from DuckDB's own calendar
+
+_SPAN = "(SELECT min(d) AS a, max(d) AS b FROM (SELECT unnest(generate_series(DATE '1990-01-01', DATE '1999-12-31', INTERVAL 1 DAY))::DATE AS d) WHERE {}) w"
+for _name, _clause, _days in (
+    ("valid_fiscal_quarter", 'Quarter AT "1997-Q3"', "year(d) = 1997 AND month(d) BETWEEN 1 AND 3"),
+    ("valid_iso_weeks", 'Week OVERLAPS ["1997-W52", "1998-W02"]', "strftime(d, '%G-W%V') IN ('1997-W52', '1998-W01', '1998-W02')"),
+    ("valid_julian", 'Julian AT "1996-02-29"', "d = DATE '1996-03-13'"),
+    ("valid_era", 'Term OVERLAPS ["First 7-07-20", "Second 1-08-01"]', "d BETWEEN DATE '1996-07-20' AND DATE '1996-08-01'"),
+):
+    pattern(_name, f"MATCH (o:SalesOrder) VALID ON {_clause} RETURN ID(o) AS id", f"{_ORDERS}, {_SPAN.format(_days)} WHERE CAST(o_orderdate AS DATE) <= b AND a <= CAST(o_orderdate AS DATE) + 120")
+
 # predicates
 
 for _name, _test, _sql in (
@@ -129,13 +144,12 @@ for _name, _test, _sql in (
     ("predicate_in", "c.mktsegment IN $segments", "c_mktsegment IN ('BUILDING', 'MACHINERY')"),
     ("boolean_or_not", "c.acctbal > 9000 OR NOT c.mktsegment = 'BUILDING'", "c_acctbal > 9000 OR NOT c_mktsegment = 'BUILDING'"),
     ("arithmetic", "c.acctbal * 2 - 100.5 > 9000 + c.acctbal / 4", "c_acctbal * 2 - 100.5 > 9000 + c_acctbal / 4"),
-    ("division_absent", "EXISTS(1 / (c.acctbal - c.acctbal))", "false"),
     ("exists", "EXISTS(c.acctbal)", "true"),
     ("is_not_missing", "c.acctbal IS NOT MISSING AND c.acctbal IS NOT NULL", "true"),
-    ("is_null", "c.acctbal IS NULL", "c_acctbal IS NULL"),
 ):
     pattern(_name, f"MATCH (c:Customer) WHERE {_test} RETURN ID(c) AS id", f"SELECT 'customer:' || c_custkey AS id FROM customer WHERE {_sql}", least=9000.0, segments=["BUILDING", "MACHINERY"])
 pattern("is_missing", "MATCH (p:Party) WHERE p.mktsegment IS MISSING RETURN ID(p) AS id", "SELECT 'supplier:' || s_suppkey AS id FROM supplier")
+pattern("division_absent", "MATCH (p:Part) WHERE NOT EXISTS(1 / (p.size % 3)) RETURN ID(p) AS id", "SELECT 'part:' || p_partkey AS id FROM part WHERE p_size % 3 = 0")
 pattern("modulo", "MATCH (p:Part) WHERE p.size % 7 = 3 RETURN ID(p) AS id, p.size % 7 AS m", "SELECT 'part:' || p_partkey AS id, CAST(CAST(p_size % 7 AS DOUBLE) AS VARCHAR) AS m FROM part WHERE p_size % 7 = 3")
 pattern(
     "entity_functions", "MATCH (c:Customer)-[r:placed]->(o:SalesOrder) WHERE o.totalprice > 450000.0 RETURN ID(r) AS r, TYPE(r) AS t, KIND(c) AS k, TITLE(c) AS title, SOURCE(o) AS s, START_NODE(r) AS a, END_NODE(r) AS b",
@@ -291,12 +305,13 @@ def fallback_property(g, t):
 # catalogs, checks, listings
 
 
-@graph_query(
-    "SELECT * FROM (VALUES ('Customer', 'Party'), ('Customer', 'Thing'), ('Document', 'Thing'), ('Nation', 'Place'), ('Nation', 'Thing'), ('Part', 'Thing'), ('Party', 'Thing'), ('Place', 'Thing'), ('Region', 'Place'), ('Region', 'Thing'), ('SalesOrder', 'Thing'), ('Supplier', 'Party'), ('Supplier', 'Thing'), ('User', 'Thing')) x(type, ancestor)"
-)
+_ABOVE = {"customer": ("Customer", "Party"), "supplier": ("Supplier", "Party"), "nation": ("Nation", "Place"), "region": ("Region", "Place"), "part": ("Part",), "orders": ("SalesOrder",), "documents": ("Document",), "events": ("User",)}
+
+
+@graph_query(" UNION ".join(f"SELECT '{t}' AS type, '{a}' AS ancestor FROM {table}" for table, (t, *up) in _ABOVE.items() for a in (*up, "Thing")))
 def ancestors(g, t):
-    rows = [(k, a) for k, up in ops.ancestors(NODE_TYPES).items() for a in up]
-    return g.spark.createDataFrame(rows, "type string, ancestor string")
+    """The types above that of each node."""
+    return g.nodes.select(F.col("type_id").alias("type"), F.explode("types").alias("ancestor")).where("type <> ancestor").distinct()
 
 
 @graph_query("SELECT 'line' AS kind, concat_ws('-', l_orderkey, l_linenumber) AS id, count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1")
@@ -309,9 +324,14 @@ def without_duplicates(g, t):
     return ops.without_duplicates(t("lineitem").selectExpr("'line' AS kind", "concat_ws('-', l_orderkey, l_linenumber) AS id")).select("id")
 
 
-@graph_query("SELECT rel_id, 'dst' AS \"end\" FROM (SELECT '' AS rel_id) WHERE false")
+@graph_query(
+    """WITH gone AS (SELECT p_partkey AS k FROM part WHERE p_size > 45)
+    SELECT concat_ws('-', 'line', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_shipdate AS DATE)) AS rel_id, 'dst' AS "end" FROM lineitem JOIN gone ON l_partkey = k
+    UNION ALL SELECT DISTINCT concat_ws('-', 'suppliedBy', l_partkey, l_suppkey), 'src' FROM lineitem JOIN gone ON l_partkey = k"""
+)
 def dangling_refs(g, t):
-    return ops.dangling(g)
+    """Relations of parts, where the large ones are no nodes."""
+    return ops.dangling(replace(g, nodes=g.nodes.where("type_id <> 'Part' OR own.size.i <= 45")))
 
 
 @graph_query("SELECT 'user:' || user_id AS ref, CASE WHEN c_custkey IS NULL THEN 'unknown' ELSE 'ok' END AS outcome FROM events LEFT JOIN customer ON c_custkey = user_id")
@@ -357,33 +377,113 @@ def visibility(g, t):
     return ops.visible_at(g.nodes.where("type_id = 'SalesOrder'"), "Calendar", _A).select("id", "visibility")
 
 
-@graph_query(f"SELECT o_orderkey AS k, CAST({_O} AS BIGINT) AS day FROM orders")
+@graph_query("SELECT o_orderkey AS k, CAST(julian(CAST(o_orderdate AS DATE)) AS BIGINT) AS day FROM orders")
 def calendar_daynumber(g, t):
     return t("orders").selectExpr("o_orderkey AS k", f"CAST({calendar.day_sql('o_orderdate')} AS BIGINT) AS day")
 
 
+_STEPS = (temporal.Mapping("A", "B", Fraction(1, 2)), temporal.Mapping("C", "B", Fraction(-4), Fraction(1000)))
+_CUTS = temporal.Mapping("Days", "Shifts", segments=(
+    temporal.Segment((Fraction(0), Fraction(40)), (Fraction(100), Fraction(120))), temporal.Segment((Fraction(60), Fraction(100)), (Fraction(120), Fraction(100))),
+    temporal.Segment((Fraction(90), Fraction(100)), (Fraction(0), Fraction(10))),
+))
+
+
+@graph_query("SELECT o_orderkey AS k, (CAST(o_totalprice AS DOUBLE) / 2 - 1000) / -4 AS at FROM orders")
+def convert_affine(g, t):
+    """Over two maps, the second against its direction."""
+    return t("orders").selectExpr("o_orderkey AS k", f"{temporal.line_sql('o_totalprice', _STEPS, 'A', 'C')} AS at")
+
+
 @graph_query(
-    "SELECT CAST(date_diff('day', DATE '1970-01-01', d) + 2440588 AS DOUBLE) AS lo, CAST(date_diff('day', DATE '1970-01-01', d) + 2440589 AS DOUBLE) AS hi FROM (SELECT unnest([DATE '1992-02-29', DATE '1996-02-29', DATE '2000-02-29', DATE '2004-02-29', DATE '2008-02-29']) AS d)"
+    """SELECT o_orderkey AS k, v AS at FROM (SELECT o_orderkey, unnest(list_distinct([CASE WHEN x <= 40 THEN 100 + x / 2 END, CASE WHEN x >= 60 THEN 150 - x / 2 END, CASE WHEN x >= 90 THEN x - 90 END])) AS v
+    FROM (SELECT o_orderkey, CAST(o_orderkey % 101 AS DOUBLE) AS x FROM orders)) WHERE v IS NOT NULL"""
 )
-def recurrence_window(g, t):
-    """Leap days within [1990-01-01, 2010-01-01)."""
-    found = calendar.recur("Calendar", (2, 29), None, calendar.day_number("1990-01-01"), calendar.day_number("2010-01-01"))
-    return _flat(g.spark.range(1).select(F.expr(found.sql()).alias("v"))).select("lo", "hi")
+def convert_segments(g, t):
+    """Segments with a gap, one that falls and one that overlaps it."""
+    rows = t("orders").selectExpr("o_orderkey AS k", "CAST(o_orderkey % 101 AS DOUBLE) AS x")
+    return rows.select("k", F.explode(F.expr(temporal.images_sql("x", _CUTS))).alias("at"))
 
 
-@graph_query("SELECT user_id AS k, CAST(epoch_us(ts) AS DOUBLE) / 2 - 1000 AS at FROM events")
-def convert_affine(g, t):
-    a, b = ops.Timeline("A", "x", scale=1), ops.Timeline("B", "x", scale=2, offset=2000)
-    k, c = calendar.convert(1, a, b) - calendar.convert(0, a, b), calendar.convert(0, a, b)
-    return t("events").selectExpr("user_id AS k", f"CAST(unix_micros(CAST(ts AS TIMESTAMP)) AS DOUBLE) * {float(k)!r}D + {float(c)!r}D AS at")
+@graph_query(
+    f"""SELECT 'order:' || o_orderkey AS id, CASE WHEN {_O} <= {_A} AND {_A} <= {_O} + 120 THEN 'Full' WHEN {_O} <= {_A} OR EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND {_L} <= {_A} AND {_A} <= {_L} + 30) THEN 'AssertionOnly' ELSE 'Hidden' END AS visibility FROM orders"""
+)
+def view(g, t):
+    """Orders in a window; one that is over is still the end of a relation."""
+    shown = ops.view(g, iv.IntervalSet([iv.Interval.of("Calendar", _A, _A)]))
+    return shown.where("startswith(id, 'order:')")
+
+
+# documents made of the parts: ingestion, values of all kinds, yearly times
+
+def parts_graph(spark: SparkSession, sf_dir: str):
+    """A graph of documents, one for each part, with a yearly time, a list, a text, a number that may be null, and a link to
+    the next part."""
+    heads = {
+        "Almanac": "kind: Timeline\ncoordinate: gregorian", "Season": "kind: Timeline\nsameAxisAs: Almanac\ncoordinate:\n  kind: calendar-pattern\n  fields: [month, day]\n  repeatsEvery: year",
+        "Item": "kind: NodeType\nprops:\n  label: {type: string}\n  size: {type: number}\n  marks: {type: array, items: {type: string}}\n  note: {type: text}", "next": "kind: RelType\nsources: [Item]\ntargets: [Item]",
+    }
+    fixed = spark.createDataFrame([(f"{k}.md", f"---\nid: {k}\n{v}\n---\n") for k, v in heads.items()], "path string, text string")
+    day = "concat(lpad(p_partkey % 12 + 1, 2, '0'), '-', lpad(p_partkey % 28 + 1, 2, '0'))"
+    text = f"""concat('---\\nid: i', p_partkey, '\\ntype: Item\\nvalidTime: [{{timeline: Season, from: ', {day}, '}}]\\nprops:\\n  label: ', p_name, '\\n  size: ', CASE WHEN p_size % 5 = 0 THEN 'null' ELSE CAST(p_size AS STRING) END,
+      '\\n  marks: ["', p_brand, '", "', p_type, '"]\\n  note: ', p_type, ' goods\\n---\\n# Item ', p_partkey, '\\n\\nSee @link{{}}[the next](i', p_partkey + 1, ' next).\\n')"""
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("concat('i', p_partkey, '.md') AS path", f"{text} AS text")
+    return markdown.load(fixed.unionByName(parts))
+
+
+def ingested(name: str, query: str, sql: str, **params) -> None:
+    QUERIES[name] = lambda spark, sf_dir: _flat(rows_of(parts_graph(spark, sf_dir)[0], query, params))
+    ORACLES[name] = sql
+
+
+_ITEMS = "SELECT 'i' || p_partkey AS id FROM part"
+ingested("is_null", "MATCH (p:Item) WHERE p.size IS NULL RETURN ID(p) AS id", f"{_ITEMS} WHERE p_size % 5 = 0")
+ingested("contains_element", "MATCH (p:Item) WHERE p.marks CONTAINS 'Brand#3' RETURN ID(p) AS id", f"{_ITEMS} WHERE p_brand = 'Brand#3'")
+ingested("in_property", "MATCH (p:Item) WHERE $mark IN p.marks AND NOT p.size IS NULL RETURN ID(p) AS id", f"{_ITEMS} WHERE p_type = 'ECONOMY' AND p_size % 5 <> 0", mark="ECONOMY")
+ingested("equal_arrays", "MATCH (p:Item) WHERE p.marks = $marks RETURN ID(p) AS id", f"{_ITEMS} WHERE p_brand = 'Brand#1' AND p_type = 'ECONOMY'", marks=["Brand#1", "ECONOMY"])
+ingested("unequal_objects", "MATCH (p:Item) WHERE p.note != $note RETURN ID(p) AS id", f"{_ITEMS} WHERE p_type <> 'ECONOMY'", note={"default": "ECONOMY goods"})
+ingested(
+    "recurrence_window", 'MATCH (p:Item) VALID ON Season OVERLAPS ["02-25", "03-04"] WITHIN ["1999-03-02", "2001-01-01") RETURN ID(p) AS id',
+    f"{_ITEMS} WHERE EXISTS (SELECT 1 FROM (SELECT unnest(generate_series(DATE '1999-03-02', DATE '2000-12-31', INTERVAL 1 DAY))::DATE AS d) WHERE month(d) = p_partkey % 12 + 1 AND day(d) = p_partkey % 28 + 1 AND (month(d) = 2 AND day(d) >= 25 OR month(d) = 3 AND day(d) <= 4))",
+)
+
+
+def _documents(name: str, sql: str):
+    def add(f):
+        QUERIES[name], ORACLES[name] = lambda spark, sf_dir: f(*parts_graph(spark, sf_dir)), sql
+        return f
+
+    return add
+
+
+@_documents("ingested_rels", "SELECT 'i' || p_partkey AS src, 'i' || (p_partkey + 1) AS dst, 'the next' AS label FROM part")
+def ingested_rels(g, problems):
+    return g.rels.select("src", "dst", "label")
+
+
+@_documents("ingested_texts", "SELECT 'i' || p_partkey AS owner, 'TITLE' AS kind, 'Item ' || p_partkey AS text FROM part UNION ALL SELECT 'i' || p_partkey, 'PARAGRAPH', 'See the next.' FROM part")
+def ingested_texts(g, problems):
+    return g.texts.where("kind IN ('TITLE', 'PARAGRAPH')").select("owner", "kind", "text")
+
+
+@_documents("ingested_diagnostics", "SELECT 'i' || max(p_partkey) || '.md' AS path, 'warning' AS severity, 'ReferenceError' AS category FROM part")
+def ingested_diagnostics(g, problems):
+    """The last part's link leads to no node."""
+    return problems.select("path", "severity", "category")
+
+
+@_documents("postings", "SELECT 'red' AS term, count(*) AS texts FROM part WHERE list_contains(string_split(p_name, ' '), 'red')")
+def postings_query(g, problems):
+    rows, _ = postings.build(g.texts.where("kind = 'PROPERTY_VALUE' AND path = 'label'"))
+    return rows.where("term = 'red'").groupBy("term").agg(F.count(F.lit(1)).alias("texts"))
 
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    query = 'MATCH (c:Customer)-[:placed]->(o:SalesOrder) WHERE o.totalprice >= $least VALID ON Calendar AT "1998-06-01" RETURN ID(c) AS id, ID(o) AS order_id ORDER BY id, order_id LIMIT 100'
-    return rows_of(sales_graph(spark, sf_dir), query, {"least": 1000.0})
+def flagship(spark: SparkSession, sf_dir: str, limit: int | None = None) -> DataFrame:
+    query = 'MATCH (c:Customer)-[:placed]->(o:SalesOrder) WHERE o.totalprice >= $least VALID ON Calendar AT "1998-06-01" RETURN ID(c) AS id, ID(o) AS order_id ORDER BY id, order_id'
+    return rows_of(sales_graph(spark, sf_dir), query + (f" LIMIT {limit}" if limit else ""), {"least": 1000.0})
 
 
 QUERIES["flagship"] = flagship
 ORACLES["flagship"] = (
-    f"SELECT 'customer:' || o_custkey AS id, 'order:' || o_orderkey AS order_id FROM orders WHERE o_totalprice >= 1000 AND {_O} <= {calendar.day_number('1998-06-01')} AND {calendar.day_number('1998-06-01')} <= {_O} + 120 ORDER BY id, order_id LIMIT 100"
+    f"SELECT 'customer:' || o_custkey AS id, 'order:' || o_orderkey AS order_id FROM orders WHERE o_totalprice >= 1000 AND {_O} <= {calendar.day_number('1998-06-01')} AND {calendar.day_number('1998-06-01')} <= {_O} + 120"
 )

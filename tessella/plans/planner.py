@@ -8,15 +8,16 @@ two validities: when it is true and when it was evaluated. Mistakes in a query b
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields, is_dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.functions import calendar, text
+from tessella.functions import calendar, temporal
 from tessella.functions import intervals as iv
-from tessella.functions.values import ENTRY, VALUE, arithmetic_sql, literal_sql, quoted, test_sql, value_sql
-from tessella.operators.graph import Graph, ancestors, titles
+from tessella.functions.values import ENTRY, VALUE, arithmetic_sql, literal_sql, plain_test_sql, quoted, same_sql, test_sql, value_sql
+from tessella.operators import postings
+from tessella.operators.graph import Graph, ancestors, kept, titles
 from tessella.plans import syntax as S
 from tessella.plans.syntax import QueryError
 
@@ -28,8 +29,10 @@ FUNCTIONS = {
     "FULLTEXT": (2, 2), "EXISTS": (1, 1), "ID": (1, 1), "TYPE": (1, 1), "KIND": (1, 1), "TITLE": (1, 1), "SOURCE": (1, 1), "START_NODE": (1, 1),
     "END_NODE": (1, 1), "TYPE_REF": (1, 1), "REL_TYPE_REF": (1, 1), "SCORE": (0, 0), "VALIDITY": (0, 1), "MATCHED_VALIDITY": (0, 0),
 }
-#: Limits of the execution profiles on result rows.
+#: Limits of the execution profiles on result rows, and on the bindings of the patterns.
 PROFILES = {"REFERENCE": None, "STATIC_WEB": 10_000, "SERVER": 100_000}
+BINDINGS = {"REFERENCE": None, "STATIC_WEB": 100_000, "SERVER": 1_000_000}
+_TURNED = {"=": "=", "!=": "!=", "<": ">", "<=": ">=", ">": "<", ">=": "<="}
 _COMPARE = ("=", "!=", "<", "<=", ">", ">=", "STARTS WITH", "ENDS WITH", "CONTAINS")
 
 
@@ -65,24 +68,47 @@ class Truth:
     score: str = "0.0D"
 
 
-def kept(df: DataFrame, name: str, sql: str, test: str, kind: str = iv.VALIDITY) -> DataFrame:
-    """df with column `name` as given by sql, without the rows where the test (on v, the new value) fails.
+def conjuncts(x) -> list:
+    return [*conjuncts(x.x), *conjuncts(x.y)] if isinstance(x, S.Binary) and x.op == "AND" else [x]
 
-    The new column comes from a generator: a plain filter would be pushed below the projections that it reads, and their
-    expressions written into it again and again.
-    """
-    new = F.explode(F.expr(f"filter(array(CAST({sql} AS {kind})), v -> {test})")).alias("_new")
-    return df.select("*", new).drop(name).withColumnRenamed("_new", name)
+
+def pattern_variables(p: list):
+    """(name, what, type) of the variables of a pattern."""
+    for x in p:
+        if x.var:
+            yield x.var, "relation" if isinstance(x, S.RelPattern) else "node", x.type
+
+
+def wanted_properties(query: S.Query) -> dict[str, set[str]]:
+    """The paths that a query names, by variable."""
+    out: dict[str, set[str]] = {}
+
+    def walk(x) -> None:
+        if isinstance(x, S.Prop):
+            out.setdefault(x.var, set()).add(x.path)
+        elif is_dataclass(x) and not isinstance(x, type):
+            for f in fields(x):
+                walk(getattr(x, f.name))
+        elif isinstance(x, (list, tuple)):
+            for y in x:
+                walk(y)
+
+    walk(query)
+    return out
 
 
 class Plan:
     def __init__(self, graph: Graph, query: S.Query, params: dict, profile: str):
-        self.g, self.q, self.params, self.most = graph, query, params, PROFILES[profile]
+        self.g, self.q, self.params, self.most, self.bindings = graph, query, params, PROFILES[profile], BINDINGS[profile]
         self.node_types = {t: (t, *up) for t, up in ancestors(graph.node_types).items()}
         self.rel_types = {t: (t, *up) for t, up in ancestors(graph.rel_types).items()}
         self.vars: dict[str, tuple[str, str | None]] = {}
         self.count = 0
         self.df: DataFrame | None = None
+        self.wanted = wanted_properties(query)
+        self.filters: dict[str, list[tuple[str, str]]] = {}  # by variable: (path or ID, test on it) that whole rows must pass
+        self.idents: dict[str, str] = {}
+        self.coarse: str | None = None
 
     # recurrence
 
@@ -123,21 +149,41 @@ class Plan:
 
     # patterns
 
-    def nodes(self, kind: str | None) -> DataFrame:
-        df = self.spelt(self.g.nodes)
+    def own(self, var: str | None) -> list[str]:
+        """The paths of a variable that its own row holds and that the query names."""
+        return sorted(p for p in self.wanted.get(var or "", ()) if p in self.g.own)
+
+    def held_rows(self, df: DataFrame, var: str | None) -> DataFrame:
+        """df without the rows that cannot be bound: by tests on their own values, and by the query's window.
+
+        The window's test is coarse: a universal time passes, the exact one comes when the binding is whole.
+        """
+        for path, test in self.filters.get(var or "", ()):
+            df = df.where(test.replace("{x}", f"own.`{path}`"))
+        if self.coarse is not None:
+            df = df.where(self.coarse)
+        return df
+
+    def row(self, var: str | None, *columns) -> F.Column:
+        return F.struct(*columns, *[F.col(f"own.`{p}`").alias(f"own.{p}") for p in self.own(var)])
+
+    def nodes(self, kind: str | None, var: str | None = None) -> DataFrame:
+        df = self.spelt(self.g.with_id("nodes", "id", self.idents[var]) if var in self.idents else self.g.nodes)
         if kind is not None:
             if kind not in self.node_types:
                 raise QueryError("GMQL2001", f"unknown node type {kind}")
             df = df.where(F.array_contains("types", kind))
-        return df.select(F.struct("id", "type_id", "kind", "source").alias("_e"), F.col("id").alias("_id"), F.col("valid").alias("_v"))
+        df = self.held_rows(df, var)
+        return df.select(self.row(var, "id", "type_id", "kind", "source").alias("_e"), F.col("id").alias("_id"), F.col("valid").alias("_v"))
 
-    def rels(self, kind: str | None, direction: str) -> DataFrame:
+    def rels(self, kind: str | None, direction: str, var: str | None = None) -> DataFrame:
         df = self.spelt(self.g.rels)
         if kind is not None:
             if kind not in self.rel_types:
                 raise QueryError("GMQL2002", f"unknown relation type {kind}")
             df = df.where(F.array_contains("types", kind))
-        row = [F.struct(F.col("rel_id").alias("id"), "type_id", "src", "dst", "source").alias("_r"), F.col("valid").alias("_v")]
+        df = self.held_rows(df, var)
+        row = [self.row(var, F.col("rel_id").alias("id"), "type_id", "src", "dst", "source").alias("_r"), F.col("valid").alias("_v")]
         out = df.select("src", "dst", *row)
         if direction == "in":
             return df.select(F.col("dst").alias("_from"), F.col("src").alias("_to"), *row)
@@ -166,7 +212,7 @@ class Plan:
     def add_node(self, p: S.NodePattern, key: str | None) -> str:
         """Joins a node: by the id in column `key`, or a first one."""
         name, bound = self.bind(p.var, "node", p.type)
-        nodes = self.nodes(p.type)
+        nodes = self.nodes(p.type, name)
         if bound:
             if key is not None:
                 self.df = self.df.where(F.col(key) == F.col(f"`{name}`.id")).drop(key)
@@ -186,7 +232,7 @@ class Plan:
         for rel, node in zip(items[1::2], items[2::2], strict=True):
             self.check_ends(rel, items[items.index(rel) - 1], node)
             name, bound = self.bind(rel.var, "relation", rel.type)
-            rels = self.rels(rel.type, rel.direction)
+            rels = self.rels(rel.type, rel.direction, name)
             if bound:
                 rels = rels.withColumn("_rid", F.col("_r.id"))
                 self.df = self.df.join(rels, (self.df[here]["id"] == rels["_from"]) & (self.df[name]["id"] == rels["_rid"])).drop("_r", "_rid", "_from")
@@ -234,14 +280,103 @@ class Plan:
         top = x.path.split(".")[0]
         if not kinds and x.path not in PSEUDO and not any(p.split(".")[0] == top for _, p in self.g.properties):
             raise QueryError("GMQL2006", f"unknown property {x.path}")
+        if x.path in self.g.own and x.path not in PSEUDO and x.path in self.own(x.var):
+            # its own row says it, for as long as it is valid itself
+            v = f"`{x.var}`.`own.{x.path}`"
+            entries = self.column(f"CASE WHEN {v}.tag IS NULL THEN array() ELSE array(named_struct('v', {v}, 't', _b)) END", ENTRIES)
+            return Value(entries, True, min(kinds) if len(kinds) == 1 else "any")
         rows = self.spelt(self.g.props.where(F.col("path") == x.path)).select("owner", F.struct(F.col("value").alias("v"), F.col("valid").alias("t")).alias("e"))
         entries = self.fetch(x.var, rows)
         if x.path in PSEUDO:
-            own = F.expr(f"struct({value_sql('string', 'text')} AS v, valid AS t)")
+            own = F.expr(f"struct(CAST({value_sql('string', 'text')} AS {VALUE}) AS v, valid AS t)")
             shown = self.fetch(x.var, self.spelt(self.g.texts.where(F.col("kind").isin(*PSEUDO[x.path]))).select("owner", own.alias("e")))
             entries = self.column(f"CASE WHEN size({entries}) > 0 THEN {entries} ELSE {shown} END", ENTRIES)
         return Value(entries, True, min(kinds) if len(kinds) == 1 else "any")
 
+    # conditions that rows or joins can decide
+
+    def literal(self, x):
+        """A literal or parameter as (value,); None for all else."""
+        if isinstance(x, S.Param):
+            return (self.params[x.name],) if x.name in self.params else None
+        return (x.value,) if isinstance(x, S.Lit) else None
+
+    def simple(self, x) -> tuple[str, str, str, tuple] | None:
+        """(variable, path or ID, operator, literal) of a comparison of a property or an id with a literal."""
+        if not isinstance(x, S.Binary) or x.op not in (*_COMPARE, "IN"):
+            return None
+        a, op, b = x.x, x.op, x.y
+        if self.literal(a) is not None and op in _TURNED:
+            a, op, b = b, _TURNED[op], a
+        value = self.literal(b)
+        if value is None or value[0] is None:
+            return None
+        if op == "IN" and not isinstance(value[0], (list, tuple)):
+            return None
+        if isinstance(a, S.Call) and a.name == "ID" and len(a.args) == 1 and isinstance(a.args[0], S.Var) and op == "=" and isinstance(value[0], str):
+            return a.args[0].name, "ID", op, value
+        if isinstance(a, S.Prop) and a.path not in PSEUDO:
+            return a.var, a.path, op, value
+        return None
+
+    def test(self, x: str, op: str, y) -> str:
+        """SQL for a value against a literal; the plain form goes first, for scans."""
+        if op == "IN":
+            return "(" + (" OR ".join(f"({x}.tag <> 'null' AND {same_sql(x, literal_sql(v))})" if plain_test_sql(x, "=", v) is None or isinstance(v, float) else self.same_plain(x, v) for v in y if v is not None) or "false") + ")"
+        return plain_test_sql(x, op, y) or test_sql(x, op, literal_sql(y))
+
+    @staticmethod
+    def same_plain(x: str, v) -> str:
+        return f"({x}.tag = 'string' AND {x}.s = {quoted(v)})" if isinstance(v, str) else f"({x}.tag = 'integer' AND {x}.i = {v}L)"
+
+    def plan_conditions(self) -> list:
+        """Splits the condition's conjuncts: those on an entity's own values filter its rows, an id narrows the scan; gives
+        the rest. All still count as conditions on the types of what they compare."""
+        rest = []
+        for x in conjuncts(self.q.where):
+            found = self.simple(x)
+            kinds = {v: (what, kind) for p in self.q.patterns for v, what, kind in pattern_variables(p)}
+            if found is None or found[0] not in kinds:
+                rest.append(x)
+                continue
+            var, path, op, value = found
+            if path == "ID":
+                if kinds[var][0] == "node":
+                    self.idents.setdefault(var, value[0])
+                rest.append(x)
+            elif path in self.g.own and self.comparable(path, op, value[0]):
+                self.filters.setdefault(var, []).append((path, self.test("{x}", op, value[0])))
+            else:
+                rest.append(x)
+        return rest
+
+    def comparable(self, path: str, op: str, value) -> bool:
+        """Whether a comparison is free of mistakes; one with a mistake is left to compare(), which says what it is."""
+        kinds = {k for (t, p), k in self.g.properties.items() if p == path}
+        if not kinds:
+            return False
+        kind = min(kinds) if len(kinds) == 1 else "any"
+        other = "boolean" if isinstance(value, bool) else "string" if isinstance(value, str) else "number" if isinstance(value, (int, float)) else "any"
+        return op not in ("<", "<=", ">", ">=") or "any" in (kind, other) or kind == other
+
+    def restrict(self, x) -> str | None:
+        """The time in which a simple comparison holds, for bindings that have any, by a join with the assertions that
+        satisfy it; None if it is not simple."""
+        found = self.simple(x)
+        if found is None or found[1] == "ID" or found[1] in self.g.own or found[0] not in self.vars:
+            return None
+        var, path, op, (value,) = found
+        if not any(p == path for _, p in self.g.properties) or not self.comparable(path, op, value):
+            return None
+        rows = self.spelt(self.g.props.where(F.col("path") == path).where(self.test("value", op, value)))
+        self.count += 1
+        name = f"_h{self.count}"
+        hits = rows.groupBy(F.col("owner").alias(f"{name}k")).agg(F.collect_list("valid").alias(f"{name}v"))
+        self.df = self.df.join(hits, F.col(f"`{var}`.id") == F.col(f"{name}k")).drop(f"{name}k")
+        times = self.column(iv.union_all_sql(f"{name}v"), iv.VALIDITY)
+        self.df = self.df.drop(f"{name}v")
+        return self.column(iv.intersect_sql(times, "_b"), iv.VALIDITY)
+
     def fetch(self, var: str, rows: DataFrame) -> str:
         """The entries (owner, e) of a variable's entity, clipped to the binding."""
         self.count += 1
@@ -345,9 +480,9 @@ class Plan:
 
     def member(self, a, b) -> Truth:
         if not isinstance(b, S.Param) or not isinstance(self.params.get(b.name), (list, tuple)):
-            return self.compare(self.value(self.evaluate(a)), "=", self.value(self.evaluate(b)))
+            return self.compare(self.value(self.evaluate(a)), "IN", self.value(self.evaluate(b)))
         x = self.value(self.evaluate(a))
-        tests = [test_sql("e.v", "=", literal_sql(v)) + f" AND e.v.tag = ({literal_sql(v)}).tag" for v in self.params[b.name]] or ["false"]
+        tests = [f"e.v.tag <> 'null' AND {same_sql('e.v', literal_sql(v))}" for v in self.params[b.name]] or ["false"]
         hit = " OR ".join(f"({t})" for t in tests)
         return Truth(self.column(iv.union_all_sql(f"transform(filter({x.entries}, e -> {hit}), e -> e.t)"), iv.VALIDITY), self.presence(x), x.temporal)
 
@@ -400,7 +535,8 @@ class Plan:
         field_ = {"ID": "id", "KIND": "kind", "SOURCE": "source", "START_NODE": "src", "END_NODE": "dst"}[name]
         return self.scalar(value_sql("node" if name.endswith("_NODE") else "string", f"`{var}`.{field_}"), "node" if name.endswith("_NODE") else "string")
 
-    def fulltext(self, scope, query) -> Truth:
+    def fulltext(self, scope, query, needed: bool = False) -> Truth:
+        """needed: bindings without a hit cannot stay."""
         if isinstance(query, S.Param):
             query = S.Lit(self.params.get(query.name))
         if not isinstance(query, S.Lit) or not isinstance(query.value, str):
@@ -413,12 +549,11 @@ class Plan:
             rows, var, temporal = rows.where(under), self.entity(S.Var(scope.var)), True
         else:
             var, temporal = self.entity(scope), False
-        rows = rows.withColumn("_tokens", F.expr(text.tokens_sql("text")))
-        rows = kept(rows, "_s", text.query_score_sql("text", "_tokens", query.value), "v > 0", "double")
+        rows = postings.scored(rows, self.g.postings, query.value)
         self.count += 1
         n = f"_f{self.count}"
         hits = rows.groupBy(F.col("owner").alias(f"{n}k")).agg(F.collect_list("valid").alias(f"{n}v"), F.max("_s").alias(f"{n}s"))
-        self.df = self.df.join(hits, F.col(f"`{var}`.id") == F.col(f"{n}k"), "left").drop(f"{n}k")
+        self.df = self.df.join(hits, F.col(f"`{var}`.id") == F.col(f"{n}k"), "inner" if needed else "left").drop(f"{n}k")
         times = self.column(f"filter(transform(coalesce({n}v, array()), v -> {iv.intersect_sql('v', '_b')}), v -> {iv.some_sql('v')})", f"array<{iv.VALIDITY}>")
         true = self.column(iv.union_all_sql(times), iv.VALIDITY)
         score = self.column(f"CASE WHEN {iv.some_sql(true)} THEN {n}s ELSE 0.0D END", "double")
@@ -426,14 +561,14 @@ class Plan:
 
     # VALID
 
-    def coordinate(self, timeline, x):
+    def coordinate(self, timeline, x) -> temporal.Span:
         if isinstance(x, S.Param):
             x = S.Lit(self.params.get(x.name))
         if isinstance(x, S.Unary) and x.op == "-" and isinstance(x.x, S.Lit):
             x = S.Lit(-x.x.value)
         if not isinstance(x, S.Lit) or x.value is None or isinstance(x.value, bool):
             raise QueryError("GMQL3002", "a coordinate is needed")
-        return calendar.coordinate(timeline, x.value)
+        return temporal.span(timeline, x.value)
 
     def window(self, v: S.Valid) -> iv.IntervalSet:
         timeline = self.g.timelines[v.timeline]
@@ -441,7 +576,7 @@ class Plan:
             r = v.range or S.Range(v.at, v.at, True, True)
             if r.lo is None or r.hi is None:
                 raise QueryError("GMQL3002", "a pattern needs both ends")
-            lo, hi = (int(self.coordinate(timeline, x)) for x in (r.lo, r.hi))
+            lo, hi = (int(self.coordinate(timeline, x).lo) for x in (r.lo, r.hi))
             if not (r.lo_inc and r.hi_inc):
                 if lo == hi:
                     return iv.NEVER
@@ -449,10 +584,31 @@ class Plan:
             return calendar.recur(timeline.real, divmod(lo, 100), divmod(hi, 100), *self.days())
         if v.op == "AT":
             at = self.coordinate(timeline, v.at)
-            return iv.IntervalSet([iv.Interval.of(timeline.axis, at, at)])
+            return iv.IntervalSet([temporal.interval(timeline.axis, at, at)])
         r = v.range
         lo, hi = (None if x is None else self.coordinate(timeline, x) for x in (r.lo, r.hi))
-        return iv.IntervalSet([iv.Interval.of(timeline.axis, lo, hi, r.lo_inc, r.hi_inc)])
+        return iv.IntervalSet([temporal.interval(timeline.axis, lo, hi, r.lo_inc, r.hi_inc)])
+
+    def coarse_window(self) -> str | None:
+        """A test on `valid` that every row of a binding that VALID accepts passes; None where there is none to be had.
+
+        What overlaps or covers the window as a whole does so with each of its parts; a part of DURING may be wider.
+        """
+        v = self.q.valid
+        if v is None or v.op not in ("AT", "OVERLAPS", "CONTAINS") or v.timeline not in self.g.timelines or self.g.timelines[v.timeline].system == "pattern":
+            return None
+        try:
+            w = temporal.expand_window(self.window(v), self.g.mappings)
+        except QueryError:  # said when the clause is applied
+            return None
+        if len({i.axis for i in w.ivs}) != len(w.ivs) or not w.ivs:
+            return None
+        if v.op == "CONTAINS" and len(w.ivs) > 1:
+            return None
+        one = "i.axis = '{a}' AND i.lo < {hi} AND {lo} < i.hi" if v.op != "CONTAINS" else "i.axis = '{a}' AND i.lo <= {lo} AND {hi} <= i.hi"
+        hits = " OR ".join(f"({one.format(a=i.axis, lo=i.lo.sql(), hi=i.hi.sql())})" for i in w.ivs)
+        # times on an axis of its own, which the window does not reach, are left to the exact test
+        return f"(valid.universal OR exists(valid.ivs, i -> {hits}))"
 
     def apply_valid(self) -> None:
         v = self.q.valid
@@ -474,7 +630,7 @@ class Plan:
                 self.df = kept(self.df, "_b", iv.on_axes_sql("_b", [axis]), iv.some_sql("v"))
             self.df = self.df.withColumn("_m", F.col("_b"))
             return
-        window = calendar.expand_window(self.window(v), self.g.mappings)
+        window = temporal.expand_window(self.window(v), self.g.mappings)
         scoped = iv.on_axes_sql("_b", dict.fromkeys((axis, *(i.axis for i in window.ivs))))
         self.df = kept(self.df.withColumn("_w", F.expr(window.sql())), "_b", scoped, iv.some_sql("v"))
         matched = f"struct({iv.intersect_sql('_b', '_w')} AS m, _b, _w)"
@@ -515,12 +671,30 @@ class Plan:
 
     def build(self) -> DataFrame:
         q = self.q
+        self.coarse = self.coarse_window()
+        rest = [] if q.where is None else self.plan_conditions()
         for p in self.joinable(q.patterns):
             self.add_pattern(p)
-        if q.where is not None:
-            t = self.truth(self.evaluate(q.where))
-            held = self.true_time(t)
-            self.df = kept(self.df.withColumn("_score", F.expr(f"_score + {t.score}")), "_b", held, iv.some_sql("v"))
+        if self.bindings is not None and any(len(p) > 1 for p in q.patterns) | (len(q.patterns) > 1) and self.df.limit(self.bindings + 1).count() > self.bindings:
+            raise QueryError("GMQL5001", f"more than {self.bindings} bindings")
+        if rest:
+            # all see the binding's whole time; what they leave of it is what they have in common
+            joined = [x for x in rest if isinstance(x, S.Call) and x.name == "FULLTEXT"]
+            times, scores = [], []
+            for x in [*(x for x in rest if x not in joined), *joined]:
+                held = self.restrict(x)
+                if held is None:
+                    t = self.truth(self.evaluate(x)) if x not in joined or len(x.args) != 2 else self.fulltext(*x.args, needed=True)
+                    held = self.true_time(t)
+                    if t.score != "0.0D":
+                        scores.append(t.score)
+                times.append(held)
+            held = times[0]
+            for x in times[1:]:
+                held = self.column(iv.intersect_sql(held, x), iv.VALIDITY)
+            if scores:
+                self.df = self.df.withColumn("_score", F.expr(" + ".join(["_score", *scores])))
+            self.df = kept(self.df, "_b", held, iv.some_sql("v"))
         self.apply_valid()
         names = {}
         for x, alias in q.returns:

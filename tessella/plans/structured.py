@@ -12,12 +12,12 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.functions import calendar
+from tessella.functions import temporal
 from tessella.functions import intervals as iv
 from tessella.functions import text as tx
-from tessella.functions.values import literal_sql, test_sql
-from tessella.operators.graph import Graph
-from tessella.plans.planner import Diagnostic, Result, kept
+from tessella.functions.values import literal_sql, plain_test_sql, test_sql
+from tessella.operators.graph import Graph, kept
+from tessella.plans.planner import Diagnostic, Result
 
 #: Operators of property predicates.
 OPERATORS = {"EQUALS": "=", "NOT_EQUALS": "!=", "LESS_THAN": "<", "LESS_THAN_OR_EQUALS": "<=", "GREATER_THAN": ">", "GREATER_THAN_OR_EQUALS": ">=", "CONTAINS": "CONTAINS"}
@@ -92,11 +92,9 @@ class Window:
 
     def set(self, graph: Graph) -> iv.IntervalSet:
         t = graph.timelines[self.timeline]
-        lo = calendar.coordinate(t, self.lo)
-        if self.hi is None:
-            return calendar.expand_window(iv.IntervalSet([iv.Interval.of(t.axis, lo, lo)]), graph.mappings)
-        window = iv.IntervalSet([iv.Interval.of(t.axis, lo, calendar.coordinate(t, self.hi), True, self.closed)])
-        return calendar.expand_window(window, graph.mappings)
+        lo = temporal.span(t, self.lo)
+        hi, closed = (lo, True) if self.hi is None else (temporal.span(t, self.hi), self.closed)
+        return temporal.expand_window(iv.IntervalSet([temporal.interval(t.axis, lo, hi, True, closed)]), graph.mappings)
 
 
 @dataclass(frozen=True)
@@ -121,9 +119,7 @@ class _Plan:
         return ["root", "focus", "key", *self.carried]
 
     def nodes(self, p: Nodes) -> DataFrame:
-        df = self.g.nodes
-        if p.id is not None:
-            df = df.where(F.col("id") == p.id)
+        df = self.g.nodes if p.id is None else self.g.with_id("nodes", "id", p.id)
         if p.type is not None:
             df = df.where(F.array_contains("types", p.type) if p.derived else F.col("type_id") == p.type)
         return df.select("id", F.col("valid").alias("_v"))
@@ -155,7 +151,7 @@ class _Plan:
                 return df.limit(0)
             case And(operands):
                 for y in operands:
-                    df = self.merge(self.evaluate(y, df))
+                    df = self.evaluate(y, df)  # each gives merged bindings
                 return df
             case Or(operands):
                 if not operands:
@@ -188,14 +184,16 @@ class _Plan:
         return kept(joined, "valid", iv.subtract_sql("valid", "_gone", self.g.axes), iv.some_sql("v")).drop("_gone")
 
     def property(self, p: Property, df: DataFrame, owner: str) -> DataFrame:
-        hit = test_sql("value", OPERATORS[p.operator], literal_sql(p.value))
+        op = OPERATORS[p.operator]
+        hit = (None if op == "CONTAINS" else plain_test_sql("value", op, p.value)) or test_sql("value", op, literal_sql(p.value), structured=True)
         rows = self.g.props.where(F.col("path") == p.path).where(hit)
         rows = rows.select(F.col("owner").alias("_o"), F.col("valid").alias("_v"), F.concat_ws("#", "owner", "path", F.expr(iv.display_sql("valid"))).alias("_id"))
         return self.meet(df.join(rows, F.col(owner) == F.col("_o")), "_id").drop("_o", "_id")
 
     def text(self, p: Text, df: DataFrame, owner: str) -> DataFrame:
         """Matching texts; the score adds BM25 over all texts of the graph."""
-        scored = tx.bm25(self.g.texts, p.text).where(tx.matches_sql("text", tx.tokens_sql("text"), p.text, p.mode, p.case_sensitive))
+        terms = list(dict.fromkeys(tx.analyze(p.text)))
+        scored = tx.bm25(self.g.texts, p.text, match=tx.matches_sql("text", tx.tokens_sql("text", terms), p.text, p.mode, p.case_sensitive), lengths=self.g.lengths)
         rows = scored.select(F.col("owner").alias("_o"), F.col("valid").alias("_v"), F.col("text_id").alias("_id"), F.col("score").alias("_s"))
         out = self.meet(df.join(rows, F.col(owner) == F.col("_o")), "_id")
         return out.withColumn("score", F.col("score") + F.col("_s")).drop("_o", "_id", "_s")

@@ -9,10 +9,14 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.operators.graph import NODES, PROPS, RELS, TEXTS, Graph, Mapping, Timeline
+from tessella.functions.temporal import of_json, to_json
+from tessella.operators import postings
+from tessella.operators.graph import NODES, PROPS, RELS, TEXTS, Graph, Timeline
 
-VERSION = 1
+VERSION = 2
 _TABLES = {"nodes": NODES, "rels": RELS, "props": PROPS, "texts": TEXTS}
+#: Tables that a bundle may have besides.
+_INDEX = {"postings": "term string, text_id string, tf bigint, positions array<int>", "lengths": "text_id string, n bigint"}
 
 
 class BundleError(ValueError):
@@ -25,16 +29,21 @@ def _files(spark: SparkSession):
     return path, lambda p: path(p).getFileSystem(conf)
 
 
+def _columns(spark: SparkSession, schema: str) -> list[str]:
+    return spark.createDataFrame([], schema).columns
+
+
 def _state(df: DataFrame) -> list:
     """Rows and an order-free digest of a table."""
     r = df.agg(F.count(F.lit(1)), F.sum(F.xxhash64(F.to_json(F.struct(*df.columns))).cast("decimal(38,0)"))).first()
     return [r[0], str(r[1])]
 
 
-def write(graph: Graph, folder: str, errors: int = 0) -> None:
+def write(graph: Graph, folder: str, errors: int = 0, index: bool = True) -> None:
     """Writes to a sibling, reads it back to check it, then swaps it in; a target that is not a bundle is not replaced.
 
-    Graphs with errors are refused.
+    Graphs with errors are refused. index: keeps the texts' postings too. Properties are sorted by path and value, so that
+    a reader with a condition on one skips what cannot have it.
     """
     if errors:
         raise BundleError(f"{errors} errors; no bundle is written")
@@ -45,14 +54,21 @@ def write(graph: Graph, folder: str, errors: int = 0) -> None:
         _manifest(spark, folder)
     staging, old = f"{folder}.{uuid.uuid4().hex}", f"{folder}.{uuid.uuid4().hex}"
     states = {}
-    for name in _TABLES:
-        getattr(graph, name).write.parquet(f"{staging}/{name}")
+    for name, schema in _TABLES.items():
+        df = getattr(graph, name).select(*_columns(spark, schema))
+        if name == "props":
+            df = df.repartitionByRange("path", "value.tag", "value.s", "value.i", "value.d", "owner").sortWithinPartitions("path", "value.tag", "value.s", "value.i", "value.d")
+        df.write.parquet(f"{staging}/{name}")
         states[name] = _state(spark.read.parquet(f"{staging}/{name}"))
+    if index:
+        for name, df in zip(_INDEX, postings.build(spark.read.schema(TEXTS).parquet(f"{staging}/texts")), strict=True):
+            df.write.parquet(f"{staging}/{name}")
+            states[name] = _state(spark.read.parquet(f"{staging}/{name}"))
     manifest = {
         "version": VERSION, "tables": states, "node_types": graph.node_types, "rel_types": graph.rel_types,
         "properties": [[*k, v] for k, v in graph.properties.items()], "endpoints": graph.endpoints,
-        "timelines": [[t.id, t.axis, t.system, t.scale, t.offset, t.real] for t in graph.timelines.values()],
-        "mappings": [[m.source, m.target, *(None if x is None else str(x) for x in (m.scale, m.offset, m.lo, m.hi))] for m in graph.mappings],
+        "timelines": [[t.id, t.axis, t.system, str(t.scale), str(t.offset), t.real, t.spec] for t in graph.timelines.values()],
+        "mappings": [to_json(m) for m in graph.mappings],
     }
     spark.createDataFrame([(json.dumps(manifest),)], "manifest string").coalesce(1).write.text(f"{staging}/manifest")
     read(spark, staging)
@@ -68,7 +84,7 @@ def _manifest(spark: SparkSession, folder: str) -> dict:
     path, fs_of = _files(spark)
     fs = fs_of(folder)
     found = {s.getPath().getName() for s in fs.listStatus(path(folder))} if fs.exists(path(folder)) else set()
-    if found != {*_TABLES, "manifest"}:
+    if found - set(_INDEX) != {*_TABLES, "manifest"}:
         raise BundleError(f"{folder}: {sorted(found)} are not the tables of a bundle")
     manifest = json.loads(spark.read.text(f"{folder}/manifest").first()[0])
     if manifest.get("version") != VERSION:
@@ -80,14 +96,15 @@ def read(spark: SparkSession, folder: str, check: bool = True) -> Graph:
     """The graph of a bundle. check: rows and digests agree with the manifest."""
     m = _manifest(spark, folder)
     tables = {name: spark.read.schema(schema).parquet(f"{folder}/{name}") for name, schema in _TABLES.items()}
+    kept = {name: spark.read.schema(schema).parquet(f"{folder}/{name}") for name, schema in _INDEX.items() if name in m["tables"]}
     if check:
-        for name, df in tables.items():
+        for name, df in {**tables, **kept}.items():
             if _state(df) != m["tables"][name]:
                 raise BundleError(f"{folder}: {name} does not agree with the manifest")
     endpoints = {k: tuple(None if e is None else tuple(e) for e in v) for k, v in m["endpoints"].items()}
     return Graph(
         spark, tables["nodes"], tables["rels"], tables["props"], tables["texts"], {k: tuple(v) for k, v in m["node_types"].items()},
-        {k: tuple(v) for k, v in m["rel_types"].items()}, {(a, b): c for a, b, c in m["properties"]}, endpoints, {t[0]: Timeline(*t) for t in m["timelines"]},
-        tuple(Mapping(a, b, *(None if x is None else Fraction(x) for x in rest)) for a, b, *rest in m["mappings"]),
+        {k: tuple(v) for k, v in m["rel_types"].items()}, {(a, b): c for a, b, c in m["properties"]}, endpoints, {t[0]: Timeline(*t[:3], Fraction(t[3]), Fraction(t[4]), *t[5:]) for t in m["timelines"]},
+        tuple(map(of_json, m["mappings"])), postings=kept.get("postings"), lengths=kept.get("lengths"),
     )
 

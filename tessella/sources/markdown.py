@@ -14,12 +14,15 @@ from dataclasses import dataclass
 from fractions import Fraction
 
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.functions import calendar
 from tessella.functions import intervals as iv
+from tessella.functions import temporal
+from tessella.functions.values import fields_of
 from tessella.operators import graph as ops
+from tessella.operators import schema
 from tessella.operators.graph import Graph, Timeline
 from tessella.plans.syntax import QueryError
 from tessella.sources import yaml_subset as yaml
@@ -30,10 +33,19 @@ _FENCE = re.compile(r" {0,3}(:{3,})(?:[ \t]+(.*))?\s*$")
 _DIRECTIVE = re.compile(r"(?<!\\)@(props|link)(?![\w-])")
 
 
+#: Folders that hold no documents of their own.
+SKIPPED = (".git", "node_modules", "build", "dist")
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """(path, text) of the .md files below a folder whose first line opens a front matter."""
-    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(path, wholetext=True)
-    return files.select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", "\r\n", "\n").alias("text")).where(F.col("text").rlike("^---[ \t]*\n")).dropDuplicates(["path"])
+    """(path, text) of the .md files below a folder whose first line opens a front matter; or of one file, whatever it is."""
+    files = spark.read.option("recursiveFileLookup", True)
+    if not path.endswith(".md"):
+        files = files.option("pathGlobFilter", "*.md")
+    files = files.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", "\r\n", "\n").alias("text"))
+    skipped = "/(?:" + "|".join(re.escape(x) for x in SKIPPED) + ")/"
+    files = files.where(~F.substring_index("path", path.rstrip("/"), -1).rlike(skipped))
+    return files.where(F.col("text").rlike("^---[ \t]*\n")).dropDuplicates(["path"])
 
 
 def split(text: str) -> tuple[str, str] | None:
@@ -209,7 +221,7 @@ def parse_body(body: str) -> Body:
 
     spans = []
     for m in _DIRECTIVE.finditer(masked):
-        if any(a <= m.start() < b for a, b in spans):
+        if spans and m.start() < spans[-1][1]:  # inside of the one before
             continue
         p = Inline(body, m.end())
         try:
@@ -276,10 +288,10 @@ def validity(times, timelines: dict[str, Timeline], problems: list[str]) -> iv.I
             problems.append(f"unknown timeline {e.get('timeline') if isinstance(e, dict) else e}")
             continue
         try:
-            lo, hi = (None if e.get(k) is None else calendar.coordinate(t, e[k]) for k in ("from", "to"))
-            if t.system == "pattern" and lo is not None and hi is not None and hi < lo:
-                hi += 10_000  # the end lies in the next year
-            out.append(iv.Interval.of(t.axis, lo, hi))
+            lo, hi = (None if e.get(k) is None else temporal.span(t, e[k]) for k in ("from", "to"))
+            if t.system == "pattern" and lo is not None and hi is not None and hi.lo < lo.lo:
+                hi = temporal.Span(hi.lo + 10_000, hi.hi + 10_000)  # the end lies in the next year
+            out.append(temporal.interval(t.axis, lo, hi))
         except (QueryError, ValueError) as x:
             problems.append(str(x))
     return iv.IntervalSet(out)
@@ -295,16 +307,7 @@ def _validity_json(s: iv.IntervalSet) -> dict:
     return {"universal": s.universal, "ivs": [{"axis": i.axis, "lo": cut(i.lo), "hi": cut(i.hi)} for i in s.ivs]}
 
 
-def _value(x, number: bool = False) -> dict:
-    tag, lane = {bool: ("boolean", "b"), int: ("integer", "i"), float: ("number", "d"), str: ("string", "s"), type(None): ("null", None)}.get(type(x), ("string", "s"))
-    if number and type(x) is int:
-        tag, lane, x = "number", "d", float(x)
-    if isinstance(x, (dict, list)):
-        tag, lane, x = ("object" if isinstance(x, dict) else "array"), "s", json.dumps(x, ensure_ascii=False, sort_keys=True)
-    return {"tag": tag} | ({lane: x} if lane else {})
-
-
-def expand(path: str, raw, inherited, number: bool = False) -> Iterator[tuple[str, object, object, bool]]:
+def expand(path: str, raw, inherited) -> Iterator[tuple[str, object, object, bool]]:
     """(path, value, validTime, fallback): variants of a property and the members of nested values."""
     variants = isinstance(raw, list) and raw and all(isinstance(x, dict) and "value" in x for x in raw)
     for entry in raw if variants else [{"value": raw}]:
@@ -313,28 +316,52 @@ def expand(path: str, raw, inherited, number: bool = False) -> Iterator[tuple[st
         yield path, value, times, not timed
         members = value.items() if isinstance(value, dict) else enumerate(value) if isinstance(value, list) else ()
         for k, v in members:
-            for p, x, t, f in expand(f"{path}.{k}", v, times, number):
+            for p, x, t, f in expand(f"{path}.{k}", v, times):
                 yield p, x, t, f and not timed
 
 
+def normalised(raw, s: schema.Schema | None, name: str, check, problems: list[str]):
+    """A property as its schema has it: each variant, or the one value; None where nothing is left."""
+    variants = isinstance(raw, list) and raw and all(isinstance(x, dict) and "value" in x for x in raw)
+    if variants and (s is None or s.kind != "array"):
+        out = []
+        for x in raw:
+            value = schema.normalise(x["value"], s, name, check, problems)
+            if value is not None or x["value"] is None:
+                out.append({**x, "value": value})
+        return out or None
+    return schema.normalise(raw, s, name, check, problems)
+
+
 def _rows(path: str, text: str, graph: dict) -> Iterator[tuple[str, dict]]:
     parts = split(text)
     if parts is None:
-        yield "diagnostic", {"path": path, "severity": "error", "message": "no front matter"}
+        yield "diagnostic", said(path, "error", "no front matter", text)
         return
     problems: list[str] = []
     try:
         head = yaml.parse(parts[0])
     except yaml.YamlError as e:
-        yield "diagnostic", {"path": path, "severity": "error", "message": str(e)}
+        yield "diagnostic", said(path, "error", str(e), text)
         return
     kind, ident = head.get("kind", "Node"), str(head.get("id") or "")
     if kind not in KINDS or not _ID.fullmatch(ident):
-        yield "diagnostic", {"path": path, "severity": "error", "message": f"unknown kind {kind}" if kind not in KINDS else "an id is needed"}
+        yield "diagnostic", said(path, "error", f"unknown kind {kind}" if kind not in KINDS else "an id is needed", text)
         return
     if kind not in ("Node", "Media"):
         return
-    timelines, types, rel_types, declared = graph["timelines"], graph["node_types"], graph["rel_types"], graph["properties"]
+    timelines, types, rel_types, schemas = graph["timelines"], graph["node_types"], graph["rel_types"], graph["schemas"]
+
+    def check(line: str, value) -> object:
+        """A coordinate as its timeline writes it."""
+        if line not in timelines:
+            raise ValueError(f"unknown timeline {line}")
+        try:
+            at = temporal.span(timelines[line], value)
+        except QueryError as e:
+            raise ValueError(str(e)) from None
+        return value if at.point and not isinstance(value, str) else str(value)
+
     own = str(head.get("type") or kind)
     if own not in types and own not in KINDS:
         problems.append(f"unknown type {own}")
@@ -344,13 +371,21 @@ def _rows(path: str, text: str, graph: dict) -> Iterator[tuple[str, dict]]:
     problems += body.problems
     yield "node", {"id": ident, "type_id": own, "types": list(up), "kind": kind, "url": head.get("url"), "valid": _validity_json(validity(times, timelines, problems)), "source": path}
     merged: dict[str, list] = {}
+    seen: set[str] = set()
     for source, inherited in (*((p, t if t is not None else times) for p, t in body.props), (head.get("props") or {}, times)):
         for name, raw in source.items():
-            number = any(declared.get(t, {}).get(name) == "number" for t in up)
-            for p, x, t, fallback in expand(name, raw, inherited, number):
-                # the body overrides the front matter where both set the same path for the same time
-                key = json.dumps(sorted(map(str, t)) if isinstance(t, list) and not fallback else None, sort_keys=True)
-                merged.setdefault(f"{p}\0{key}", [p, _value(x, number), t, fallback])
+            seen.add(name)
+            s = schema.lookup(schemas, up, name)
+            if s is None and any(t in schemas for t in up):
+                problems.append(f"unknown property {name}")
+            value = normalised(raw, s, name, check, problems)
+            if value is None and raw is not None:
+                continue
+            for p, x, t, fallback in expand(name, value, inherited):
+                # the body overrides the front matter where both set the same path for the same set of times
+                key = json.dumps(sorted(json.dumps(e, sort_keys=True, default=str) for e in t) if isinstance(t, list) and not fallback else None)
+                merged.setdefault(f"{p}\0{key}", [p, fields_of(x), t, fallback])
+    problems += [f"missing property {n}" for t in up for n, s in schemas.get(t, {}).items() if s.required and n not in seen and t == own]
     for p, value, t, fallback in merged.values():
         yield "prop", {"owner": ident, "path": p, "value": value, "valid": _validity_json(validity(t, timelines, problems)), "fallback": fallback}
     n = 0
@@ -370,20 +405,113 @@ def _rows(path: str, text: str, graph: dict) -> Iterator[tuple[str, dict]]:
         when = x["validTime"] if x["validTime"] is not None else times
         yield "rel", {"rel_id": x["key"], "src": ident, "dst": str(x["target"]), "type_id": kind_, "types": list(rel_types.get(kind_, (kind_,))), "label": x["label"], "valid": _validity_json(validity(when, timelines, problems)), "source": path}
         for name, raw in x["props"].items():
-            number = any(declared.get(t, {}).get(name) == "number" for t in rel_types.get(kind_, (kind_,)))
-            for p, v, t, fallback in expand(name, raw, when, number):
-                yield "prop", {"owner": x["key"], "path": p, "value": _value(v, number), "valid": _validity_json(validity(t, timelines, problems)), "fallback": fallback}
+            value = normalised(raw, schema.lookup(schemas, rel_types.get(kind_, (kind_,)), name), name, check, problems)
+            if value is None and raw is not None:
+                continue
+            for p, v, t, fallback in expand(name, value, when):
+                yield "prop", {"owner": x["key"], "path": p, "value": fields_of(v), "valid": _validity_json(validity(t, timelines, problems)), "fallback": fallback}
     for m in problems:
-        yield "diagnostic", {"path": path, "severity": "warning", "message": m}
+        yield "diagnostic", said(path, "warning", m, text)
+
+
+#: The categories of diagnostics, by what a message begins with or holds.
+CATEGORIES = (
+    ("unknown property", "SchemaError"), ("unknown", "ReferenceError"), ("duplicate", "DuplicateId"), ("missing property", "SchemaError"), ("must be", "TypeError"),
+    ("enumeration", "ConstraintError"), ("narrow", "ConstraintError"), ("inherited", "ConstraintError"), ("traits", "ConstraintError"), ("offset", "ConstraintError"),
+    ("GMQL4003", "TypeError"), ("joins", "ConstraintError"), ("no node", "ReferenceError"),
+)
+
+
+def said(path: str, severity: str, message: str, text: str = "") -> dict:
+    """A diagnostic with its category and the line of the first name in it that the document holds (1 where none does)."""
+    category = next((c for k, c in CATEGORIES if k in message), "SyntaxError")
+    line = 1
+    for word in reversed(re.findall(r"[^\s'\"]+", message)):
+        at = text.find(word)
+        if len(word) > 2 and at >= 0:
+            line = text.count("\n", 0, at) + 1
+            break
+    return {"path": path, "severity": severity, "message": message, "category": category, "line": line}
+
+
+def _system(head: dict, problems: list[str]) -> tuple[str, dict]:
+    """The coordinate system of a timeline document and what it needs to know."""
+    c = head.get("coordinate", "number")
+    spec = {"kind": c} if isinstance(c, str) else dict(c)
+    kind = str(spec.pop("kind", "number"))
+    if kind == "calendar":
+        return ("julian" if spec.get("calendar") == "julian" else "gregorian"), spec
+    if kind != "calendar-pattern":
+        if kind not in ("number", "gregorian", "julian", "frame", "timecode", "era"):
+            problems.append(f"unknown coordinate {kind}")
+            kind = "number"
+        return kind, spec
+    fields = [str(f) for f in spec.get("fields") or []]
+    repeats = spec.get("repeatsEvery")
+    wrong = not fields or set(fields) - set(temporal.FIELDS) or bool({"year", "weekYear"} & set(fields)) == bool(repeats)
+    wrong = wrong or "day" in fields and "month" not in fields or {"week", "weekYear"} & set(fields) and {"year", "month", "day", "quarter"} & set(fields)
+    if wrong or repeats and set(fields) != {"month", "day"}:
+        problems.append(f"coordinate fields {fields} do not go together")
+    return ("pattern" if repeats else "dates"), spec | {"fields": fields}
+
+
+def _times(x) -> list:
+    return x if isinstance(x, list) else [] if x is None else [x]
+
+
+def _mapping(ident: str, m: dict, known: dict[str, Timeline], problems: list[str]) -> temporal.Mapping | None:
+    """A map of a timeline document; its coordinates are those of the timelines at its two ends."""
+    other = str(m.get("timeline") or m.get("to"))
+    if other not in known:
+        problems.append(f"unknown timeline {other}")
+        return None
+    a, b = known[ident], known[other]
+
+    def at(t: Timeline, x) -> Fraction | None:
+        return None if x is None else temporal.span(t, x).lo
+
+    def ends(t: Timeline, r) -> tuple:
+        return (at(t, r.get("from")), at(t, r.get("to"))) if r else (None, None)
+
+    q = lambda x: Fraction(str(x))
+    try:
+        precision = m.get("precision", "exact")
+        precision = precision if isinstance(precision, dict) else {"kind": precision}
+        segments = tuple(temporal.Segment(ends(a, g.get("source")), ends(b, g.get("target")), q(g.get("scale", 1)), q(g.get("offset", 0))) for g in m.get("segments") or [])
+        pairs = tuple((at(a, p["from"]), tuple(at(b, x) for x in _times(p.get("to")))) for p in m.get("pairs") or [])
+        t = m.get("traits") or {}
+        many = {"one-to-one": (False, False), "many-to-one": (True, False), "one-to-many": (False, True), "many-to-many": (True, True)}
+        order = {"strictly-increasing": "strict", "strictly-decreasing": "falling", "monotonic": "monotonic", "non-monotonic": "none"}
+        told = {
+            "many": many.get(t.get("cardinality")), "total": {"total": True, "partial": False}.get(t.get("totality")), "order": order.get(t.get("order")),
+            "invertible": {"invertible": True, "non-invertible": False}.get(t.get("invertibility")), "form": t.get("continuity"),
+        }
+        out = temporal.Mapping(
+            a.axis, b.axis, q(m.get("scale", 1)), q(m.get("offset", 0)), *ends(a, m.get("range")), str(precision.get("kind", "exact")),
+            None if precision.get("error") is None else q(precision["error"]), segments, pairs, tuple(map(str, m.get("requires") or ())),
+            tuple((k, v) for k, v in told.items() if v is not None),
+        )
+    except (QueryError, ValueError, KeyError, AttributeError) as e:
+        problems.append(f"mapsTo {other}: {e}")
+        return None
+    if out.precision not in temporal.PRECISION:
+        problems.append(f"unknown precision {out.precision}")
+        return None
+    problems += [f"traits of mapsTo {other}: {x} is more than the map gives" for x in out.traits()[1]]
+    return out
 
 
 def catalogs(docs: DataFrame) -> tuple[dict, list[tuple[str, str]]]:
-    """Types and timelines out of the documents that declare them; only those reach the driver."""
+    """Types and timelines out of the documents that declare them; only those reach the driver.
+
+    Ids that stand more than once among the documents of a kind are left out. A timeline lies on its own axis, or with
+    sameAxisAs or derivedFrom on another's; derivedFrom may have a scale and an offset: coordinate = parent's * scale +
+    offset. An era counts the days of its parent's calendar.
+    """
     out: dict = {"node_types": {}, "rel_types": {}, "timelines": {}, "properties": {}, "endpoints": {}}
-    problems = []
+    problems: list[tuple[str, str]] = []
     rows = docs.where(F.col("text").rlike(r"(?m)^kind:\s*(NodeType|RelType|Timeline)\s*(#.*)?$")).orderBy("path").toLocalIterator()
-    same: dict[str, str] = {}
-    wanted: list[tuple] = []
+    heads: dict[tuple[str, str], list[tuple[str, dict]]] = {}
     for r in rows:
         parts = split(r["text"])
         try:
@@ -391,48 +519,116 @@ def catalogs(docs: DataFrame) -> tuple[dict, list[tuple[str, str]]]:
         except yaml.YamlError as e:
             problems.append((r["path"], str(e)))
             continue
-        kind, ident = head.get("kind"), str(head.get("id"))
-        up = head.get("extends") or []
-        up = tuple(map(str, up if isinstance(up, list) else [up]))
-        props = {str(k): (v.get("type") if isinstance(v, dict) else v) for k, v in (head.get("props") or {}).items()}
-        if kind in ("NodeType", "RelType"):
-            out["node_types" if kind == "NodeType" else "rel_types"][ident] = up
-            out["properties"][ident] = props
-            if kind == "RelType":
-                ends = [head.get(k) for k in ("sources", "targets")]
-                out["endpoints"][ident] = tuple(None if e is None else tuple(map(str, e if isinstance(e, list) else [e])) for e in ends)
-        elif kind == "Timeline":
-            c = head.get("coordinate", "number")
-            system = c if isinstance(c, str) else str(c.get("kind", "number"))
-            if head.get("sameAxisAs"):
-                same[ident] = str(head["sameAxisAs"])
-            maps = head.get("mapsTo") or []
-            for m in maps if isinstance(maps, list) else [maps]:
-                m = m if isinstance(m, dict) else {"timeline": m}
-                span = m.get("range") or {}
-                if m.get("precision", "exact") == "exact" and Fraction(str(m.get("scale", 1))) != 0:
-                    ends = [None if span.get(k) is None else Fraction(str(span[k])) for k in ("from", "to")]
-                    wanted.append((ident, str(m.get("timeline")), Fraction(str(m.get("scale", 1))), Fraction(str(m.get("offset", 0))), *ends))
-            out["timelines"][ident] = Timeline(ident, ident, "gregorian" if system == "calendar" else system, 1, (head.get("offset") or 0))
-    for t, other in same.items():
-        seen = {t}
-        while other in same and other not in seen:
-            seen.add(other)
-            other = same[other]
-        old = out["timelines"][t]
-        pattern = "pattern" in old.system
-        out["timelines"][t] = Timeline(t, f"~{t}" if pattern else other, "pattern" if pattern else old.system, old.scale, old.offset, other if pattern else None)
+        if head.get("kind") in ("NodeType", "RelType", "Timeline") and _ID.fullmatch(str(head.get("id") or "")):
+            heads.setdefault((head["kind"], str(head["id"])), []).append((r["path"], head))
+    problems += [(path, f"duplicate id {ident}") for (_, ident), xs in heads.items() if len(xs) > 1 for path, _ in xs]
+    single = {k: xs[0] for k, xs in heads.items() if len(xs) == 1}
+    own: dict[str, dict] = {"NodeType": {}, "RelType": {}}
+    lines: dict[str, tuple[str, dict]] = {}
+    for (kind, ident), (path, head) in single.items():
+        if kind == "Timeline":
+            lines[ident] = (path, head)
+            continue
+        out["node_types" if kind == "NodeType" else "rel_types"][ident] = tuple(map(str, _times(head.get("extends"))))
+        own[kind][ident] = {str(k): schema.Schema.of(v) for k, v in (head.get("props") or {}).items()}
+        if kind == "RelType":
+            ends = [head.get(k) for k in ("sources", "targets")]
+            out["endpoints"][ident] = tuple(None if e is None else tuple(map(str, _times(e))) for e in ends)
+    out["schemas"] = {}
+    for kind, key in (("NodeType", "node_types"), ("RelType", "rel_types")):
+        above = ops.ancestors(out[key])
+        for t, ups in out[key].items():
+            problems += [(single[kind, t][0], f"unknown type {u}") for u in ups if u not in out[key]]
+            if ups and not above[t] and any(u in out[key] for u in ups):
+                problems.append((single[kind, t][0], f"{t} extends itself"))
+        schemas, found = schema.resolve({t: ups if above[t] else () for t, ups in out[key].items()}, own[kind], above)
+        out["schemas"] |= schemas
+        problems += [(single[kind, t][0], m) for t, m in found]
+        for t, ps in own[kind].items():
+            out["properties"][t] = {p: s.kind or "any" for p, s in ps.items()}
+    _narrow_ends(out, problems, {t: p for (_, t), (p, _) in single.items()})
+
     known = out["timelines"]
-    out["mappings"] = tuple(ops.Mapping(known[a].axis, known[b].axis, *rest) for a, b, *rest in wanted if b in known)
-    problems += [(a, f"unknown timeline {b}") for a, b, *_ in wanted if b not in known]
+
+    def timeline(ident: str, seen: tuple[str, ...] = ()) -> Timeline | None:
+        """The timeline, after the one that it lies on."""
+        if ident in known:
+            return known[ident]
+        if ident not in lines or ident in seen:
+            return None
+        path, head = lines[ident]
+        wrong: list[str] = []
+        system, spec = _system(head, wrong)
+        derived = head.get("derivedFrom")
+        derived = derived if isinstance(derived, dict) else {"timeline": derived} if derived else {}
+        other = head.get("sameAxisAs") or derived.get("timeline")
+        parent = timeline(str(other), (*seen, ident)) if other else None
+        if other and parent is None:
+            wrong.append(f"unknown timeline {other}")
+        axis, scale, offset, real = parent.axis if parent else ident, Fraction(1), Fraction(str(head.get("offset") or 0)), None
+        if derived and system == "number" and parent:
+            k = Fraction(str(derived.get("scale", 1))) or Fraction(1)
+            scale, offset = parent.scale / k, parent.offset - Fraction(str(derived.get("offset", 0))) * parent.scale / k
+        if system == "pattern":
+            axis, real = f"~{ident}", axis
+        if system == "era":
+            spec["of"] = json.loads(parent.spec or "{}") | {"calendar": parent.system} if parent and parent.system in ("gregorian", "julian") else {}
+        try:
+            known[ident] = Timeline(ident, axis, system, scale, offset, real, json.dumps(spec, sort_keys=True, default=str))
+            temporal.system_of(known[ident])
+        except (KeyError, TypeError, ValueError) as e:
+            wrong.append(f"unknown coordinate of {ident}: {e}")
+            known[ident] = Timeline(ident, axis)
+        problems.extend((path, m) for m in wrong)
+        return known[ident]
+
+    maps: list[temporal.Mapping] = []
+    edges = []
+    for ident in lines:
+        timeline(ident)
+    for ident, (path, head) in lines.items():
+        wrong = []
+        for m in _times(head.get("mapsTo")):
+            one = _mapping(ident, m if isinstance(m, dict) else {"timeline": m}, known, wrong)
+            maps += [one] if one else []
+        for m in _times(head.get("mappings")):
+            ends = (ident, str(m["to"])) if m.get("to") else (str(m.get("from")), ident)
+            if not set(ends) <= set(known):
+                wrong.append(f"unknown timeline {ends[0] if ends[1] == ident else ends[1]}")
+            else:
+                edges.append((*ends, Fraction(str(m.get("offset", 0)))))
+        problems.extend((path, m) for m in wrong)
+    unlike = temporal.offsets(edges)[1]
+    problems += [(lines[a][0], f"offset from {a} to {b} differs by the way that is taken") for a, b in unlike]
+    maps += [temporal.Mapping(known[a].axis, known[b].axis, offset=k) for a, b, k in edges if known[a].axis != known[b].axis]
+    out["mappings"] = tuple(maps)
     return out, problems
 
 
+def _narrow_ends(out: dict, problems: list, paths: dict) -> None:
+    """A relation type's ends lie within those of the types above it."""
+    above = ops.ancestors(out["rel_types"])
+    types = {t: {t, *up} for t, up in ops.ancestors(out["node_types"]).items()}
+    for t, ends in list(out["endpoints"].items()):
+        merged = []
+        for i, mine in enumerate(ends):
+            for up in above.get(t, ()):
+                theirs = out["endpoints"].get(up, (None, None))[i]
+                if mine is None:
+                    mine = theirs
+                elif theirs is not None and not all(types.get(x, {x}) & set(theirs) for x in mine):
+                    problems.append((paths[t], f"ends of {t} do not narrow those of {up}"))
+            merged.append(mine)
+        out["endpoints"][t] = tuple(merged)
+
+
 def load(docs: DataFrame) -> tuple[Graph, DataFrame]:
     """The graph of documents (path, text), and diagnostics (path, severity, message).
 
     Ids that stand more than once among nodes are left out, each with a diagnostic; relations to unknown nodes stay, and
-    match nothing. Properties become texts too, and fallbacks hold where no timed value does.
+    match nothing; relations between nodes of other types than theirs are diagnosed and kept. Properties become texts
+    too, and fallbacks hold where no timed value does. What the documents give is kept on disk once they are parsed, for as
+    long as the session lives or until release().
     """
     spark = docs.sparkSession
     cat, problems = catalogs(docs)
@@ -440,7 +636,7 @@ def load(docs: DataFrame) -> tuple[Graph, DataFrame]:
         "timelines": cat["timelines"],
         "node_types": {t: (t, *up) for t, up in ops.ancestors(cat["node_types"]).items()},
         "rel_types": {t: (t, *up) for t, up in ops.ancestors(cat["rel_types"]).items()},
-        "properties": cat["properties"],
+        "schemas": cat["schemas"],
     }
 
     def run(batches):
@@ -449,15 +645,17 @@ def load(docs: DataFrame) -> tuple[Graph, DataFrame]:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], names=["table", "json"])
 
-    parsed = docs.select("path", "text").mapInArrow(run, "table string, json string")
+    parsed = docs.select("path", "text").mapInArrow(run, "table string, json string").persist(StorageLevel.DISK_ONLY)
 
     def table(name: str, schema: str) -> DataFrame:
         return parsed.where(F.col("table") == name).select(F.from_json("json", schema).alias("x")).select("x.*")
 
     nodes = table("node", ops.NODES)
-    found = table("diagnostic", "path string, severity string, message string")
+    shape = "path string, severity string, message string, category string, line int"
+    found = table("diagnostic", shape)
     twice = ops.duplicate_ids(nodes.select(F.lit("Node").alias("kind"), "id"))
-    bad = nodes.join(twice.select("id"), "id").select(F.col("source").alias("path"), F.lit("error").alias("severity"), F.concat(F.lit("duplicate id "), "id").alias("message"))
+    note = lambda df, severity, message, category: df.select(F.col("source").alias("path"), F.lit(severity).alias("severity"), message.alias("message"), F.lit(category).alias("category"), F.lit(1).alias("line"))
+    bad = note(nodes.join(twice.select("id"), "id"), "error", F.concat(F.lit("duplicate id "), "id"), "DuplicateId")
     nodes = nodes.join(twice.select("id"), "id", "left_anti").select(*nodes.columns)
     rels = table("rel", ops.RELS)
     props = ops.resolve_fallbacks(table("prop", ops.PROPS), list(dict.fromkeys(t.axis for t in cat["timelines"].values())))
@@ -465,7 +663,25 @@ def load(docs: DataFrame) -> tuple[Graph, DataFrame]:
     texts = texts.unionByName(ops.derived_texts(props, rels))
     diagnostics = found.unionByName(bad)
     if problems:
-        diagnostics = diagnostics.unionByName(spark.createDataFrame([(p, "error", m) for p, m in problems], "path string, severity string, message string"))
+        rows = [tuple(said(p, "error", m).values()) for p, m in problems]
+        diagnostics = diagnostics.unionByName(spark.createDataFrame(rows, shape))
     declared = {(t, p): k for t, ps in cat["properties"].items() for p, k in ps.items()}
     g = Graph(spark, nodes, rels, props, texts, cat["node_types"], cat["rel_types"], declared, cat["endpoints"], cat["timelines"], cat["mappings"])
+    lost = ops.dangling(g).join(rels.select("rel_id", "source"), "rel_id")
+    diagnostics = diagnostics.unionByName(note(lost, "warning", F.concat("rel_id", F.lit(": "), "end", F.lit(" is no node")), "ReferenceError"))
+    for t, ends in cat["endpoints"].items():
+        if ends != (None, None):
+            unfit = ops.endpoint_errors(g, t).join(rels.select("rel_id", "source"), "rel_id")
+            diagnostics = diagnostics.unionByName(note(unfit, "warning", F.concat("rel_id", F.lit(f": {t} joins nodes of other types")), "ConstraintError"))
+    _parsed[id(g)] = parsed
     return g, diagnostics.orderBy("path", "severity", "message")
+
+
+_parsed: dict[int, DataFrame] = {}
+
+
+def release(graph: Graph) -> None:
+    """Frees what load() keeps of the documents; the graph can still be read, and parses them again."""
+    kept = _parsed.pop(id(graph), None)
+    if kept is not None:
+        kept.unpersist()

@@ -21,6 +21,7 @@ def watch(spark: SparkSession, documents: str, target: str, checkpoint: str, onc
             session = batch.sparkSession
             graph, diagnostics = markdown.load(markdown.read(session, documents))
             bundle.write(graph, target, errors=diagnostics.where("severity = 'error'").count())
+            markdown.release(graph)
 
     writer = files.writeStream.option("checkpointLocation", checkpoint).foreachBatch(rebuild)
     return (writer.trigger(availableNow=True) if once else writer).start()

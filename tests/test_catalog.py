@@ -46,3 +46,24 @@ def test_plans(spark):
     # only the tables that the types and paths need are read
     assert "lineitem" not in physical and "supplier" not in physical and "part.parquet" not in physical
     assert "ReadSchema: struct<o_orderkey:bigint,o_totalprice:double,o_orderdate:timestamp_ntz>" in physical
+
+
+@pytest.mark.parametrize(
+    ("name", "pushed"),
+    [
+        ("predicate_ge", "GreaterThanOrEqual(c_acctbal,9000.0)"), ("predicate_eq", "EqualTo(c_mktsegment,MACHINERY)"), ("predicate_starts_ends", "StringStartsWith(c_name,Customer#0000001)"),
+        ("predicate_in", "c_mktsegment"), ("flagship", "GreaterThanOrEqual(o_totalprice,1000.0)"), ("scan_id", "EqualTo(o_orderkey,7)"), ("links", "EqualTo(c_nationkey,3)"),
+        ("structured_and", "GreaterThan(c_acctbal,9000.0)"), ("join_shared_variable", "GreaterThanOrEqual(l_quantity,50.0)"),
+    ],
+)
+def test_conditions_reach_the_scan(spark, name, pushed):
+    text = plan(catalog.QUERIES[name](spark, SF))
+    found = [x for x in text[text.index("== Physical Plan =="):].split("PushedFilters: [")[1:]]
+    assert any(pushed in x.split("ReadSchema")[0] for x in found)
+
+
+def test_conditions_need_no_join(spark):
+    """A condition on an entity's own value filters its rows; no table of properties is read."""
+    text = plan(catalog.QUERIES["predicate_ge"](spark, SF))
+    physical = text[text.index("== Physical Plan =="):]
+    assert "Join" not in physical and "Exchange" not in physical

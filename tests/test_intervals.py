@@ -82,5 +82,19 @@ def test_columns_against_class(spark):
         assert read(r["u"]) == want(a.union(b))
         assert read(r["s"]) == want(a if a.universal and not b else a.within("ab").subtract(b))
         assert r["c"] == a.contains(b) and r["e"] == bool(a)
-        if all(x.at.denominator == 1 for i in a.ivs for x in (i.lo, i.hi)):
-            assert r["d"] == repr(a)
+        assert r["d"] == repr(a)
+
+
+def test_many_intervals(spark):
+    """Hundreds of intervals of one owner, in a row that is merged in two levels."""
+    import random
+
+    rng = random.Random(5)
+    for n, width in ((70, 3), (400, 2), (1500, 40), (3000, 1)):
+        sets = [IntervalSet([Interval.of(rng.choice("ab"), lo := rng.randrange(4 * n), lo + rng.randrange(width + 1), rng.random() < 0.5, rng.random() < 0.5)]) for _ in range(n)]
+        rows = [(i.axis, i.lo.at.numerator, i.lo.side, i.hi.at.numerator, i.hi.side) for s in sets for i in s.ivs]
+        cut = lambda w, s: f"named_struct('w', {w}, 'f', CAST(0 AS DECIMAL(38,37)), 's', CAST({s} AS INT))"
+        df = spark.createDataFrame(rows, "axis string, lw long, ls long, hw long, hs long").selectExpr(f"CAST(named_struct('axis', axis, 'lo', {cut('lw', 'ls')}, 'hi', {cut('hw', 'hs')}) AS {iv.INTERVAL}) AS i")
+        got = df.groupBy().agg({"i": "collect_list"}).toDF("ivs").selectExpr(f"{iv.normalise_sql('ivs')} AS u").first()["u"]
+        want = IntervalSet(i for s in sets for i in s.ivs).ivs
+        assert [(x["axis"], x["lo"]["w"], x["lo"]["s"], x["hi"]["w"], x["hi"]["s"]) for x in got] == [(i.axis, i.lo.at, i.lo.side, i.hi.at, i.hi.side) for i in want]

@@ -9,7 +9,7 @@ import pytest
 from tessella.operators import render
 from tessella.plans.planner import rows_of, run
 from tessella.sources import bundle, demo, markdown
-from tests.test_markdown import DOCS, ids, story  # noqa: F401
+from tests.test_markdown import SOUND, ids, railway  # noqa: F401
 
 
 def test_demo(spark):
@@ -21,16 +21,20 @@ def test_demo(spark):
     assert demo.documents(spark, 1).count() == 24
 
 
-def test_bundle(spark, story, tmp_path):  # noqa: F811
-    g, _ = story
+def test_bundle(spark, railway, tmp_path):  # noqa: F811
+    g, _ = railway
     folder = str(tmp_path / "bundle")
     bundle.write(g, folder)
     back = bundle.read(spark, folder)
-    query = "MATCH (a:Person)-[r:friendOf]->(b) WHERE r.weight > 0.5 VALID ON MainStory AT 120 RETURN ID(a)"
-    assert ids(back, query) == ids(g, query) == ["alice"]
+    query = "MATCH (a:Stop)-[t:trackTo]->(b) WHERE t.length > 3 VALID ON Works AT 60 RETURN ID(a)"
+    assert ids(back, query) == ids(g, query) == ["harbour"]
+    assert back.postings is not None
+    for text in ("holidays", "trains OR holidays", "trai* here", "水車", '"closed on"', "waits"):  # by postings, but for the phrase
+        query = f"MATCH (s:Stop) WHERE FULLTEXT(s, '{text}') RETURN ID(s) AS id, SCORE() AS score ORDER BY id"
+        assert rows_of(back, query).collect() == rows_of(g, query).collect()
     with pytest.raises(bundle.BundleError):
         bundle.write(g, folder, errors=1)
-    g.nodes.limit(1).write.mode("append").parquet(f"{folder}/nodes")
+    back.nodes.limit(1).write.mode("append").parquet(f"{folder}/nodes")
     with pytest.raises(bundle.BundleError):
         bundle.read(spark, folder)
     (tmp_path / "other").mkdir()
@@ -39,22 +43,22 @@ def test_bundle(spark, story, tmp_path):  # noqa: F811
         bundle.write(g, str(tmp_path / "other"))
 
 
-def test_render(story):  # noqa: F811
-    g, _ = story
-    df = rows_of(g, "MATCH (p:Person) RETURN ID(p) AS id, p.age AS age, VALIDITY() AS v ORDER BY id")
+def test_render(railway):  # noqa: F811
+    g, _ = railway
+    df = rows_of(g, "MATCH (s:Stop) WHERE s.tracks > 0 RETURN ID(s) AS id, s.tracks AS tracks, VALIDITY() AS v ORDER BY id")
     assert [r[0] for r in render.tsv(df).collect()] == [
-        "alice\t15.0 @ MainStory: [100, 199]; 20.0 @ MainStory: (199, 300]\tMainStory: [100, 300]", "bob\t18.0 @ MainStory: [100, 300]\tMainStory: [100, 300]"
+        "harbour\t2.0 @ Works: [40, 64]; 6.0 @ Works: (64, 90]\tWorks: [40, 90]", "mill\t4.0 @ Works: [40, 90]\tWorks: [40, 90]"
     ]
-    assert json.loads(render.json_rows(df.select("id")).first()[0]) == {"id": "alice"}
-    assert render.markdown_table(df.select("id")) == "| id |\n| --- |\n| alice |\n| bob |"
+    assert json.loads(render.json_rows(df.select("id")).first()[0]) == {"id": "harbour"}
+    assert render.markdown_table(df.select("id")) == "| id |\n| --- |\n| harbour |\n| mill |"
 
 
-def test_embed(story):  # noqa: F811
-    g, _ = story
-    text = 'x\n::: embed:query="MATCH (p:Person) RETURN ID(p) AS id ORDER BY id"\nold\n:::\n::: embed:back-link=friendOf\n:::\n'
-    out, problems = render.embed(g, "bob", text)
-    assert not problems and "| alice |\n| bob |\n:::" in out and "| alice | Alice | MainStory: [100, 180] |" in out
-    same, problems = render.embed(g, "bob", text.replace("RETURN", "RETURN LIMIT 101,") + '::: embed:query="MATCH (p) RETURN ID(p) LIMIT 101"\n:::\n')
+def test_embed(railway):  # noqa: F811
+    g, _ = railway
+    text = 'x\n::: embed:query="MATCH (s:Stop) WHERE s.tracks > 0 RETURN ID(s) AS id ORDER BY id"\nold\n:::\n::: embed:back-link=trackTo\n:::\n'
+    out, problems = render.embed(g, "mill", text)
+    assert not problems and "| harbour |\n| mill |\n:::" in out and "| harbour | Harbour Street | Works: [40, 70] |" in out
+    same, problems = render.embed(g, "mill", text.replace("RETURN", "RETURN LIMIT 101,") + '::: embed:query="MATCH (s) RETURN ID(s) LIMIT 101"\n:::\n')
     assert same.startswith("x\n") and {d.code for d in problems} == {"GMQL1001", "GMQL5001"}
 
 
@@ -63,10 +67,9 @@ def test_rebuild(spark, tmp_path):
 
     docs = tmp_path / "docs"
     docs.mkdir()
-    for name, text in DOCS.items():
-        if not name.startswith(("bad", "twice")):
-            (docs / name).write_text(text)
+    for name, text in SOUND.items():
+        (docs / name).write_text(text)
     watch(spark, str(docs), str(tmp_path / "out"), str(tmp_path / "cp"), once=True).awaitTermination()
     g = bundle.read(spark, str(tmp_path / "out"))
-    assert ids(g, "MATCH (p:Person) RETURN ID(p)") == ["alice", "bob"]
-    assert run(g, "MATCH (p:Nope) RETURN p").diagnostics[0].code == "GMQL2001"
+    assert ids(g, "MATCH (s:Stop) RETURN ID(s)") == ["harbour", "mill"]
+    assert run(g, "MATCH (s:Port) RETURN s").diagnostics[0].code == "GMQL2001"
