@@ -16,8 +16,10 @@ A word of very many signs (Chinese or Japanese without punctuation) has no bound
 and joined by what decides on byte-pair encodings: a row of tokens is that of its bytes if each two neighbours are that of
 theirs. So the tokens around a join are encoded again, a few more at a time, until they fit both neighbours.
 
-One map over the texts, no shuffle. Chunks are shared within a worker: to send every chunk to one owner would shuffle
-the whole corpus and its ids, several times the bytes that encoding reads.
+Chunks that the corpus has more than once are encoded once for all: only the chunks' 128-bit hashes are exchanged to find
+them (16 bytes for about 1300); those that repeat are encoded where one exchange brings one copy of each, and their ids
+lie in the shared folder as sorted hash arrays, which workers map into memory. Other chunks are encoded where they are
+met. Texts themselves are never exchanged. Without that folder (`reuse` is None) chunks are shared within a worker.
 """
 
 from __future__ import annotations
@@ -25,18 +27,23 @@ from __future__ import annotations
 import functools
 import hashlib
 import json
+import math
 import os
 import re
 import unicodedata
+import uuid
 from array import array
 from collections import OrderedDict
 
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessella.llm.common import map_batches, table
+from tessella.llm.common import arrow_map, delete_folder, local_path, map_batches, materialise, shared_folder, slices, table
+from tessella.llm.language_model import Shard, shards_of, write_shard
 
 MASK_BITS = 10  #: a chunk is about 2 ** MASK_BITS bytes beyond the least length
 LEAST, MOST = 256, 8192
@@ -154,16 +161,25 @@ class ChunkEncoder:
             self.last[i] = 33 <= token[-1] <= 126
         self.memo: OrderedDict[str, list[int]] = OrderedDict()
         self.room = memo_chars
+        self.given: dict[str, np.ndarray] = {}  #: ids of chunks that were encoded elsewhere
         self.chunks = self.reused = 0
 
+    def alone(self, piece: str) -> list[int]:
+        """A chunk's ids, as if nothing stood beside it."""
+        return self.core.encode_ordinary(piece)
+
     def _chunk(self, piece: str) -> list[int]:
         self.chunks += 1
+        ids = self.given.get(piece)
+        if ids is not None:
+            self.reused += 1
+            return ids.tolist()
         ids = self.memo.get(piece)
         if ids is not None:
             self.reused += 1
             self.memo.move_to_end(piece)
             return ids
-        ids = array("I", self.core.encode_ordinary(piece))
+        ids = array("I", self.alone(piece))
         self._keep(piece, ids)
         return ids
 
@@ -331,23 +347,142 @@ def sha256_text(text: str) -> str:
     return hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
 
 
-def encode(docs: DataFrame, path: str, key: str = "doc_id", digests: bool = False) -> DataFrame:
+def chunk_hashes(texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+    """The chunks of texts that may be shared, and their hashes, two columns of 64 bits."""
+    pieces = [t[a:b] for t in texts if t for c in [cut_points(t)] for a, b in zip([0, *c], c, strict=False) if b - a >= LEAST]
+    raw = b"".join(xxhash.xxh3_128_digest(p.encode("utf-8", "surrogatepass")) for p in pieces)
+    return pieces, np.frombuffer(raw, "<u8").reshape(-1, 2)
+
+
+class Reuse:
+    """Arrays of the shared folder that a chunk's hash leads to; name: repeated (no values), or chunks (their ids)."""
+
+    def __init__(self, folder: str, bits: int, name: str):
+        self.folder, self.bits, self.name = folder, bits, name
+        self.open: dict[int, tuple] = {}
+
+    def __getstate__(self):
+        return self.__dict__ | {"open": {}}
+
+    def _map(self, shard: int) -> tuple | None:
+        if shard not in self.open:
+            path = f"{self.folder}/{self.name}-{shard}"
+            ids = np.memmap(f"{path}.ids", "<u4", "r") if os.path.exists(f"{path}.ids") and os.path.getsize(f"{path}.ids") else np.empty(0, "<u4")
+            self.open[shard] = (Shard(path), ids) if os.path.exists(path) else None
+        return self.open[shard]
+
+    def find(self, hashes: np.ndarray) -> list[tuple[int, np.ndarray]]:
+        """(place, ids) of the hashes that are stored."""
+        order = np.argsort(hashes[:, 0])
+        q, out = hashes[order, 0], []
+        for s, a, b in shards_of(q, self.bits):
+            held = self._map(s)
+            if held is None:
+                continue
+            columns = [np.zeros(b - a, np.uint64) for _ in range(3)]
+            held[0].fill(q[a:b], self.bits, lambda r: list(r.T), columns)
+            for k in np.flatnonzero((columns[0] == hashes[order[a:b], 1]) & (columns[0] != 0)).tolist():
+                at, n = int(columns[1][k]), int(columns[2][k])
+                out.append((int(order[a + k]), held[1][at : at + n]))
+        return out
+
+
+def _write_chunks(rows: DataFrame, folder: str, name: str, bits: int, path: str | None) -> None:
+    """Writes a file for each shard of rows (h1, h2, and text where path names a tokenizer); a task holds one at a time."""
+    columns = ["h1", "h2"] + (["text"] if path else [])
+
+    def write(shard: int, h: np.ndarray, texts: list[str]) -> None:
+        ids = [worker_encoder(path)[0].alone(t) for t in texts] if path else [()] * len(h)
+        order = np.argsort(h[:, 0], kind="stable")
+        order = order[np.concatenate(([True], h[order[1:], 0] != h[order[:-1], 0]))]  # of two with one key the first is kept
+        sizes = np.array([len(ids[k]) for k in order], np.uint64)
+        file = f"{folder}/{name}-{shard}"
+        if path:
+            temp = f"{folder}/.{name}-{shard}.{uuid.uuid4().hex}"
+            with open(temp, "wb") as f:
+                for k in order:
+                    f.write(np.asarray(ids[k], "<u4").tobytes())
+            os.replace(temp, f"{file}.ids")
+        write_shard(file, h[order, 0], bits, [h[order, 1], np.cumsum(sizes, dtype=np.uint64) - sizes, sizes], exact=True)
+
+    def run(batches):
+        held, texts, shard = [], [], -1
+        for batch in batches:
+            for s, a, b, *t in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns)), strict=True):
+                if s != shard:
+                    if held:
+                        write(shard, np.array(held, np.int64).view(np.uint64), texts)
+                    held, texts, shard = [], [], s
+                held.append((a, b))
+                texts += t
+        if held:
+            write(shard, np.array(held, np.int64).view(np.uint64), texts)
+        yield pa.RecordBatch.from_pydict({"done": pa.array([True])})
+
+    shard = F.shiftrightunsigned("h1", 64 - bits).cast("int").alias("shard")
+    dealt = rows.select(shard, *columns).repartition(1 << bits, "shard").sortWithinPartitions("shard")
+    arrow_map(dealt, run, "done boolean").agg(F.count("done")).collect()
+
+
+def repeated_chunks(docs: DataFrame, path: str, folder: str, per_shard: int = 4000) -> Reuse | None:
+    """Encodes each chunk that docs (text) hold more than once, and stores the ids; None if there is none.
+
+    per_shard: about how many chunks a task holds.
+    """
+    spark, place = docs.sparkSession, local_path(folder)
+    os.makedirs(place, exist_ok=True)
+
+    def hashes(batches):
+        for batch in slices(batches, 500):
+            h = chunk_hashes(batch.column(0).to_pylist())[1].view(np.int64)
+            yield pa.RecordBatch.from_pydict({"h1": h[:, 0].copy(), "h2": h[:, 1].copy()})
+
+    texts = docs.select(F.col("text").cast("string").alias("text"))
+    many = arrow_map(texts, hashes, "h1 long, h2 long").groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1 AND h2 <> 0")
+    many = materialise(many.select("h1", "h2"), folder, "many")
+    n = many.count()
+    if not n:
+        return None
+    bits = max(3, math.ceil(math.log2(n / per_shard)))
+    _write_chunks(many, place, "repeated", bits, None)
+    known = Reuse(place, bits, "repeated")
+
+    def copies(batches):
+        for batch in slices(batches, 500):
+            pieces, h = chunk_hashes(batch.column(0).to_pylist())
+            hit = sorted({(int(h[k, 0]), int(h[k, 1])): k for k, _ in known.find(h)}.values())
+            at = h[hit].view(np.int64)
+            yield pa.RecordBatch.from_pydict({"h1": at[:, 0].copy(), "h2": at[:, 1].copy(), "text": pa.array([pieces[k] for k in hit], pa.string())})
+
+    one = arrow_map(texts, copies, "h1 long, h2 long, text string").groupBy("h1", "h2").agg(F.first("text").alias("text"))
+    _write_chunks(one, place, "chunks", bits, path)
+    delete_folder(spark, f"{folder}/many")
+    return Reuse(place, bits, "chunks")
+
+
+def encode(docs: DataFrame, path: str, key: str = "doc_id", digests: bool = False, reuse: Reuse | None = None) -> DataFrame:
     """For each row of docs its key, `ids` and `decoded`, or with digests their SHA-256 and the number of tokens.
 
     Null and empty texts have no ids and decode to the empty text. Repeated rows and null keys are encoded like others;
-    other columns are ignored. path: the tokenizer file, which every worker must be able to open.
+    other columns are ignored. path: the tokenizer file, which every worker must be able to open. reuse: the corpus'
+    repeated chunks (repeated_chunks).
     """
     kind = dict(docs.dtypes)[key]
 
     def run(batch: pa.RecordBatch) -> dict:
         encoder, decoder = worker_encoder(path)
         out: dict[str, list] = {"n": [], "ids": [], "decoded": []}
-        for text in batch.column(1).to_pylist():
+        texts = batch.column(1).to_pylist()
+        if reuse is not None:
+            pieces, h = chunk_hashes(texts)
+            encoder.given = {pieces[k]: ids for k, ids in reuse.find(h)}
+        for text in texts:
             ids = encoder.encode(text) if text else []
             decoded = decoder.decode(ids, skip_special_tokens=False)
             out["n"].append(len(ids))
             out["ids"].append(sha256_ids(ids) if digests else array("I", ids))
             out["decoded"].append(sha256_text(decoded) if digests else decoded)
+        encoder.given = {}
         keys, decoded = batch.column(0), pa.array(out["decoded"], pa.string())
         if digests:
             return {key: keys, "n_tokens": pa.array(out["n"], pa.int64()), "ids_sha256": pa.array(out["ids"], pa.string()), "decoded_sha256": decoded}
@@ -360,4 +495,5 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", digests: bool = Fals
 def op7_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), digests=True)
+    docs, path = table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")
+    return encode(docs, path, digests=True, reuse=repeated_chunks(docs, path, shared_folder(spark)))

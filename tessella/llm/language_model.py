@@ -121,7 +121,7 @@ def _sum_by(keys: np.ndarray, values: list[np.ndarray]) -> tuple[np.ndarray, np.
     return k[first], order[first], [np.add.reduceat(v[order], first) if len(first) else v[:0] for v in values]
 
 
-def _shards(keys: np.ndarray, bits: int):
+def shards_of(keys: np.ndarray, bits: int):
     """(shard, from, to) of ascending keys."""
     if not len(keys):
         return
@@ -193,7 +193,7 @@ def _row_batch(rows: list[tuple[int, bytes]], numbers: list[int] | None = None)
 
 def _blocks(keys: np.ndarray, bits: int, words: list[np.ndarray], fields: list[np.ndarray]) -> list[tuple[int, bytes]]:
     """Packed rows by shard. keys: ascending."""
-    return [(s, pack_rows([w[i:j] for w in words], [f[i:j] for f in fields])) for s, i, j in _shards(keys, bits)]
+    return [(s, pack_rows([w[i:j] for w in words], [f[i:j] for f in fields])) for s, i, j in shards_of(keys, bits)]
 
 
 def _training(batches, hasher: WordHasher, most: int):
@@ -468,7 +468,7 @@ class Model:
         order = np.argsort(keys)
         q = keys[order]
         out = [np.zeros(len(q)) for _ in range(width)]
-        for s, a, b in _shards(q, self.bits):
+        for s, a, b in shards_of(q, self.bits):
             held = self._map(f"{name}-{s}")
             if held is not None:
                 held.fill(q[a:b], self.bits, derive, [o[a:b] for o in out])

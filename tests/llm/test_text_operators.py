@@ -346,6 +346,26 @@ def test_chunks_property(text):
 _ENCODER = bpe.ChunkEncoder(BPE)
 
 
+def test_chunks_of_the_corpus_are_encoded_once(spark, docs, tmp_path):
+    """Chunks in more than one place are stored; ids with them are the library's; each is met as often as counted."""
+    from collections import Counter
+
+    rng = random.Random(9)
+    passage = " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 8))) for _ in range(3000))
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()] + [(5000 + i, f"{'x' * i} {passage} {'日本語' * i}") for i in range(9)] + [(6000, None), (6001, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    reuse = bpe.repeated_chunks(df, BPE, str(tmp_path / "reuse"))
+    pieces, h = bpe.chunk_hashes([t for _, t in rows])
+    many = {p for p, n in Counter(pieces).items() if n > 1}
+    found = {pieces[k]: ids.tolist() for k, ids in reuse.find(h)}
+    assert set(found) == many and len(many) > 5
+    alone = bpe.ChunkEncoder(BPE)
+    assert all(ids == alone.alone(p) for p, ids in found.items())
+    got = {r["doc_id"]: r["ids"] for r in bpe.encode(df, BPE, reuse=reuse).collect()}
+    assert got == {i: ids for (i, _), ids in zip(rows, whole([t or "" for _, t in rows]), strict=True)}
+    assert bpe.repeated_chunks(df.where("doc_id < 0"), BPE, str(tmp_path / "none")) is None
+
+
 def test_encode_edges(spark, odd):
     got = bpe.encode(odd, BPE)
     assert got.columns == ["doc_id", "ids", "decoded"]
