@@ -47,10 +47,11 @@ def interleave(rows: DataFrame, key: str, source: str, shards: int = 16, seed: i
     if total == 0:
         return rows.select(*names).selectExpr("*", "CAST(NULL AS INT) AS shard", "CAST(NULL AS BIGINT) AS slot", "CAST(NULL AS BIGINT) AS position")
     ranges = max(16, math.ceil(total / (range_rows or max(256, math.isqrt(total)))))
+    # the whole row counts, so that rows of one key, or without one, spread over the ranges too
     hashed = packed.withColumns(
         {
             "_source": F.coalesce(F.concat(F.lit("s"), F.col("_source")), F.lit("")),
-            "_h": F.xxhash64(F.lit(seed), F.col("_key")),
+            "_h": F.xxhash64(F.lit(seed), F.col("_key"), F.col("_all")),
             "_tie": F.xxhash64(F.lit(seed + 1), F.col("_all")),
         }
     )
