@@ -1,8 +1,8 @@
 """The queries of the corpus operators and, where SQL can express them, their DuckDB SQL.
 
-The base columns of several of them are plain SQL, but every query also returns its method's own columns (verdicts of
-zstandard, spans of a trained model, ids of a tokenizer), which SQL cannot give; these queries are tested against
-brute-force versions instead. Sharding alone is SQL throughout but for the hash that seeds its shuffle, which DuckDB lacks.
+Substring dedup and near-duplicates return what their contracts name alone, which SQL can say by brute force: all windows,
+and all pairs that share a shingle. The others also return their method's own columns (verdicts of zstandard, spans of a
+trained model, ids of a tokenizer, a checksum that DuckDB lacks), so they are tested against brute-force versions instead.
 """
 
 from __future__ import annotations
@@ -36,5 +36,33 @@ def queries() -> dict:
     return {f.__name__: f for f in _ALL}
 
 
+_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+
+#: Every window of 50 words with the least doc_id in which it starts; a word goes if the last such start lies within 49 words.
+SUBSTRINGS = f"""
+WITH t AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS ws FROM documents),
+w AS (SELECT doc_id, i, md5(array_to_string(ws[i : i + 49], ' ')) AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM t WHERE len(ws) >= 50)),
+f AS (SELECT k, min(doc_id) AS m FROM w GROUP BY k),
+h AS (SELECT DISTINCT doc_id, i FROM w JOIN f USING (k) WHERE m < doc_id),
+s AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS j FROM t),
+c AS (SELECT s.doc_id, word, j, max(i) OVER (PARTITION BY s.doc_id ORDER BY j) AS last FROM s LEFT JOIN h ON h.doc_id = s.doc_id AND i = j),
+g AS (SELECT doc_id, count(*) FILTER (j - last < 50) AS gone, string_agg(word, ' ' ORDER BY j) FILTER (last IS NULL OR j - last >= 50) AS kept FROM c GROUP BY doc_id)
+SELECT t.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM t LEFT JOIN g USING (doc_id)
+"""
+
+#: All pairs of documents that share a two-word shingle, their exact similarity, and what can be reached by links.
+NEAR_DUPLICATES = f"""
+WITH RECURSIVE t AS (SELECT doc_id, {_WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) < 2 THEN ws ELSE list_distinct([ws[i] || ' ' || ws[i + 1] for i in range(1, len(ws))]) END AS sh FROM t),
+e AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS x FROM s),
+l AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+      GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))),
+u AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(id, c) AS (SELECT doc_id, doc_id FROM s UNION SELECT u.b, r.c FROM r JOIN u ON u.a = r.id),
+m AS (SELECT id, min(c) AS c FROM r GROUP BY id)
+SELECT doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, c AS component_id, doc_id = c AS kept FROM s JOIN m ON id = doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {op6_superkmer_dedup.__name__: SUBSTRINGS, op9_bottomk_near_dups.__name__: NEAR_DUPLICATES}

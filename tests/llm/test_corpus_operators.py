@@ -194,6 +194,22 @@ def test_minimiser_runs(values):
     assert first.tolist() == [int(x) for x in np.cumsum([0, *windows[:-1]])] if len(first) else True
 
 
+def test_oracles(spark):
+    """The registered SQL gives what the queries give, and names only queries that exist."""
+    import duckdb
+
+    from tessella.llm import queries
+
+    every, c = queries.queries(), duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    assert set(queries.oracle_sql()) <= set(every)
+    for name, sql in queries.oracle_sql().items():
+        df, want = every[name](spark, SF), c.execute(sql)
+        names = [x[0] for x in want.description]
+        assert sorted(df.columns) == sorted(names)
+        assert sorted(map(tuple, df.select(*names).collect())) == sorted(want.fetchall())
+
+
 # language model
 
 
@@ -284,6 +300,42 @@ def test_held_out_accuracy(classifier):
     assert right / len(held) > 0.95
 
 
+#: Notices and sentences in other words than those of the templates.
+OTHER_WORDS = (
+    ("mit", "Copyright 2019 The Authors. This project is distributed under the terms of the MIT license."),
+    ("mit", "The software is provided under the MIT License, see LICENSE.txt"),
+    ("apache", "This product is licensed to you under the Apache License, Version 2.0."),
+    ("apache", "Distributed under the Apache 2.0 license."),
+    ("gpl", "This file is part of a program that is distributed under the GNU General Public License version 2."),
+    ("gpl", "You should have received a copy of the GNU General Public License along with this program."),
+    ("lgpl", "You should have received a copy of the GNU Lesser General Public License along with this library."),
+    ("agpl", "Available under the terms of the GNU Affero General Public License version 3 or later."),
+    ("bsd", "Licensed under the 3-clause BSD license."),
+    ("bsd", "Use of this code is governed by a BSD-style license."),
+    ("cc", "Except where otherwise noted, content on this site is licensed under a Creative Commons Attribution 4.0 International license."),
+    ("cc", "Text is available under the Creative Commons Attribution-ShareAlike License."),
+    ("mpl", "This file is subject to the terms of the Mozilla Public License, version 2.0."),
+    ("isc", "Licensed under the ISC license."),
+    ("public-domain", "This work has been released into the public domain by its author."),
+    ("reserved", "Copyright 2015 by the publisher. All rights reserved worldwide."),
+    ("unknown", "The driver must carry his license at all times."),
+    ("unknown", "The apache tribe lived in the south west of the country."),
+    ("unknown", "The general public may visit the gardens free of charge."),
+    ("unknown", "Rights to the film were sold to a studio last spring."),
+    ("unknown", "Students need the permission of the dean to change their courses."),
+    ("unknown", "The new version of the game was released under great applause."),
+)
+
+
+def test_other_words_than_the_templates(spark, classifier):
+    """The classifier names most of them; what the templates confirm is never of another family."""
+    best = [max(p, key=p.get) for p in (classifier.probabilities(t) for _, t in OTHER_WORDS)]
+    assert sum(b == f for b, (f, _) in zip(best, OTHER_WORDS, strict=True)) >= 0.8 * len(OTHER_WORDS)
+    df = spark.createDataFrame(list(enumerate(t for _, t in OTHER_WORDS)), "doc_id long, text string")
+    found = {r["doc_id"]: r["family"] for r in licenses.scan(df, classifier).collect() if r["family"] != "unknown"}
+    assert len(found) >= 8 and all(OTHER_WORDS[i][0] == f for i, f in found.items())
+
+
 def test_license_scan(spark, docs, classifier):
     extra = [(1, "the license of my heart\nReleased under the MIT License. Have fun\nCopyright (c) 2021 ACME. All rights reserved.\nplain"), (2, None), (3, ""), (4, "\n".join(licenses.ORDINARY))]
     df = spark.createDataFrame(extra, "doc_id long, text string").unionByName(docs.selectExpr("doc_id + 100", "text").toDF("doc_id", "text"))
@@ -390,3 +442,19 @@ def test_pipeline(spark, docs):
         if "[" not in r["decoded"]:
             assert r["decoded"] == rows[i]
     assert all(len(s) == 2 and callable(s[1]) for s in corpus_pipeline.STAGES)
+
+
+def test_pipeline_edges(spark, docs, odd, tmp_path):  # noqa: F811
+    """Nulls, empty and long texts, repeated rows and clashing columns beside sound documents; and no documents at all."""
+    import corpus_pipeline
+
+    sound = docs.select("doc_id", "text").limit(40).selectExpr("doc_id + 1000 AS doc_id", "text", "'s' AS shard", "1 AS row", "'i' AS ids", "'k' AS kept", "2 AS _h", "3 AS n", "4 AS at", "'src' AS source")
+    every = odd.unionByName(sound)
+    spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    every.write.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, every, str(tmp_path)).columns == every.columns
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    assert got.columns == ["doc_id", "ids", "decoded"] and 0 < got.count() <= 40 and got.where("doc_id < 1000 OR doc_id IS NULL").count() == 0
+    empty(spark, every).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
