@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tessella.llm import bpe, decontaminate, near_dups, quality, secrets
-from tessella.llm.common import materialise, shared_folder, table
+from tessella.llm.common import delete_folder, materialise, shared_folder, table
 
 #: SQL cannot express zstandard ratios, trained models or a tokenizer; tests hold the stages against brute force.
 ORACLE_SQL = None
@@ -51,9 +51,15 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written to the shared folder and read again."""
+    """All stages over documents, each written to the shared folder and read again; what the next has read goes.
+
+    The last table stays under spark.checkpoint.dir for as long as the result is used.
+    """
     folder = shared_folder(spark)
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for i, (name, stage) in enumerate(STAGES):
         docs = materialise(stage(spark, docs, sf_dir), folder, f"{i}-{name}")
+        if before:
+            delete_folder(spark, f"{folder}/{before}")
+        before = f"{i}-{name}"
     return docs
