@@ -45,9 +45,10 @@ def day_sql(date: str) -> str:
 
 
 def occurrences(month: int, day: int, first: int, last: int, system: str = "gregorian") -> list[int]:
-    """The day numbers of a yearly date in the years from first to last; a 29 February only in leap years."""
+    """The day numbers of a yearly date in the years from first to last; a 29 February only in leap years; 99 is the last."""
     number = gregorian_day if system == "gregorian" else julian_day
-    return [number(y, month, day) for y in range(first, last + 1) if day <= month_days(y, month, system)]
+    each = ((y, month_days(y, month, system)) for y in range(first, last + 1))
+    return [number(y, month, min(day, n)) for y, n in each if day <= n or day == 99]
 
 
 def year_of(day: int) -> int:

@@ -22,11 +22,12 @@ from tessella.plans.syntax import QueryError
 
 @dataclass(frozen=True)
 class Span:
-    """A point, or a period [lo, hi)."""
+    """A point, or a period [lo, hi); closed: [lo, hi]."""
 
     lo: Fraction
     hi: Fraction
     point: bool = True
+    closed: bool = False
 
 
 def wrong(text) -> QueryError:
@@ -348,12 +349,19 @@ def system_of(timeline) -> System:
 def span(timeline, value) -> Span:
     """Where on its axis a coordinate of a query or document lies.
 
-    A yearly pattern's days are 100 * month + day on an axis of their own.
+    A yearly pattern's days are 100 * month + day on an axis of their own, 99 a month's last; a month or a quarter reaches
+    from its first day to its last, which may lie 10000 further, in the next year.
     """
     system = system_of(timeline)
     if timeline.system != "pattern":
         return system.span(value)
     v = system.read(value)
+    if "day" not in v:
+        first = v["month"] if "month" in v else (system.quarter - 1 + 3 * (v["quarter"] - 1)) % 12 + 1
+        last = first if "month" in v else first + 2
+        if not 1 <= v.get("quarter", 1) <= 4 or not 1 <= first <= 12:
+            raise wrong(value)
+        return Span(Fraction(100 * first + 1), Fraction(100 * last + 99 if last <= 12 else 10_000 + 100 * (last - 12) + 99), False, True)
     if not 1 <= v["month"] <= 12 or not 1 <= v["day"] <= month_days(2000, v["month"]):
         raise wrong(value)
     x = Fraction(100 * v["month"] + v["day"])
@@ -363,7 +371,7 @@ def span(timeline, value) -> Span:
 def interval(axis: str, lo: Span | None, hi: Span | None, lo_inc: bool = True, hi_inc: bool = True) -> Interval:
     """From one coordinate to another; a period counts whole where its end is included, and not at all where it is not."""
     first = MINUS if lo is None else Cut(lo.lo, 0) if lo_inc else Cut(lo.lo, 1) if lo.point else Cut(lo.hi, 0)
-    last = PLUS if hi is None else (Cut(hi.lo, 1) if hi.point else Cut(hi.hi, 0)) if hi_inc else Cut(hi.lo, 0)
+    last = PLUS if hi is None else Cut(hi.hi, int(hi.point or hi.closed)) if hi_inc else Cut(hi.lo, 0)
     return Interval(axis, first, last)
 
 

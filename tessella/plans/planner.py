@@ -576,7 +576,7 @@ class Plan:
             r = v.range or S.Range(v.at, v.at, True, True)
             if r.lo is None or r.hi is None:
                 raise QueryError("GMQL3002", "a pattern needs both ends")
-            lo, hi = (int(self.coordinate(timeline, x).lo) for x in (r.lo, r.hi))
+            lo, hi = int(self.coordinate(timeline, r.lo).lo), int(self.coordinate(timeline, r.hi).hi) % 10_000
             if not (r.lo_inc and r.hi_inc):
                 if lo == hi:
                     return iv.NEVER

@@ -10,7 +10,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from fractions import Fraction
 
 import pyarrow as pa
@@ -289,8 +289,10 @@ def validity(times, timelines: dict[str, Timeline], problems: list[str]) -> iv.I
             continue
         try:
             lo, hi = (None if e.get(k) is None else temporal.span(t, e[k]) for k in ("from", "to"))
-            if t.system == "pattern" and lo is not None and hi is not None and hi.lo < lo.lo:
-                hi = temporal.Span(hi.lo + 10_000, hi.hi + 10_000)  # the end lies in the next year
+            if t.system == "pattern" and lo is not None:
+                hi = lo if hi is None and not lo.point else hi
+                if hi is not None and hi.hi < lo.lo:
+                    hi = replace(hi, lo=hi.lo + 10_000, hi=hi.hi + 10_000)  # the end lies in the next year
             out.append(temporal.interval(t.axis, lo, hi))
         except (QueryError, ValueError) as x:
             problems.append(str(x))
@@ -450,7 +452,7 @@ def _system(head: dict, problems: list[str]) -> tuple[str, dict]:
     repeats = spec.get("repeatsEvery")
     wrong = not fields or set(fields) - set(temporal.FIELDS) or bool({"year", "weekYear"} & set(fields)) == bool(repeats)
     wrong = wrong or "day" in fields and "month" not in fields or {"week", "weekYear"} & set(fields) and {"year", "month", "day", "quarter"} & set(fields)
-    if wrong or repeats and set(fields) != {"month", "day"}:
+    if wrong or repeats and set(fields) not in ({"month", "day"}, {"month"}, {"quarter"}):
         problems.append(f"coordinate fields {fields} do not go together")
     return ("pattern" if repeats else "dates"), spec | {"fields": fields}
 

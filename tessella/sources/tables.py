@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from dataclasses import dataclass
 
@@ -95,20 +96,32 @@ def _own(known: dict[str, str]) -> str:
     return "named_struct(" + ", ".join(f"'{p}', {known.get(p, NO_VALUE)}" for p in OWN) + ")"
 
 
+_graphs: dict[tuple[str, str], tuple[tuple, Graph]] = {}
+
+
+def _state(spark: SparkSession, sf_dir: str) -> tuple:
+    """The files or folders of a folder with their lengths and times of change: one listing, no job."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return tuple(sorted((str(s.getPath()), s.getLen(), s.getModificationTime()) for s in fs.listStatus(path)))
+
+
 def sales_graph(spark: SparkSession, sf_dir: str) -> Graph:
-    """The graph over the tables of a folder.
+    """The graph over the tables of a folder. Its plans are analysed once for a session, until a table changes."""
+    key, state = (spark.sparkContext.applicationId, sf_dir), _state(spark, sf_dir)
+    if key not in _graphs or _graphs[key][0] != state:
+        _graphs[key] = (state, _build(spark, sf_dir))
+    return _graphs[key][1]
+
 
-    Every branch names its type and path as constants, so a filter on them leaves only the tables that it needs; values in
+def _build(spark: SparkSession, sf_dir: str) -> Graph:
+    """Every branch names its type and path as constants, so a filter on them leaves only the tables that it needs; values in
     `own` are the tables' columns, so filters on them reach the scan, as do ids, by the keys they are made of.
     """
-    schemas = {}
 
+    @functools.cache
     def t(name: str) -> DataFrame:
-        """The table; its schema is read from the files once, not for each branch."""
-        path = f"{sf_dir}/{name}.parquet"
-        if name not in schemas:
-            schemas[name] = spark.read.parquet(path).schema
-        return spark.read.schema(schemas[name]).parquet(path)
+        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
     cast = {"integer": "BIGINT", "number": "DOUBLE", "string": "STRING"}
     nodes: list[Branch] = []

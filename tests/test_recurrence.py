@@ -61,6 +61,28 @@ def test_fairs_against_days(fairs):
             assert not r.diagnostics and {x[0] for x in r.rows.collect()} == {f for f, d in held.items() if fits(d)}
 
 
+def test_months_and_quarters_recur(spark):
+    """A month and a fiscal quarter of every year, against days counted with datetime."""
+    spec = "kind: calendar-pattern\n  repeatsEvery: year\n  fields: [{}]"
+    rows = [
+        ("c.md", "---\nid: Almanac\nkind: Timeline\ncoordinate: gregorian\n---\n"),
+        ("m.md", f"---\nid: Moon\nkind: Timeline\nsameAxisAs: Almanac\ncoordinate:\n  {spec.format('month')}\n---\n"),
+        ("q.md", f"---\nid: Rent\nkind: Timeline\nsameAxisAs: Almanac\ncoordinate:\n  {spec.format('quarter')}\n  quarterStartMonth: 12\n---\n"),
+        ("k.md", "---\nid: Due\nkind: NodeType\n---\n"),
+        ("a.md", "---\nid: feb\ntype: Due\nvalidTime: [{timeline: Moon, from: '02'}]\n---\n"), ("b.md", "---\nid: autumn\ntype: Due\nvalidTime: [{timeline: Moon, from: '09', to: '11'}]\n---\n"),
+        ("d.md", "---\nid: winter\ntype: Due\nvalidTime: [{timeline: Rent, from: Q1}]\n---\n"),
+    ]
+    g, problems = markdown.load(spark.createDataFrame(rows, "path string, text string"))
+    assert problems.count() == 0
+    months = {"feb": {2}, "autumn": {9, 10, 11}, "winter": {12, 1, 2}}
+    for first, after in ((datetime.date(2023, 2, 28), datetime.date(2024, 2, 29)), (datetime.date(2023, 12, 31), datetime.date(2024, 2, 1)), (datetime.date(2024, 3, 1), datetime.date(2024, 12, 1))):
+        inside = [first + k * ONE for k in range((after - first).days)]
+        for line_, clause, fits in (("Moon", 'AT "02"', {2}), ("Rent", 'AT "Q1"', {12, 1, 2}), ("Moon", 'OVERLAPS ["10", "12"]', {10, 11, 12})):
+            r = run(g, f'MATCH (d:Due) VALID ON {line_} {clause} WITHIN ["{first}", "{after}") RETURN ID(d) AS id')
+            want = {n for n, ms in months.items() if any(d.month in ms & fits for d in inside)}
+            assert not r.diagnostics and {x[0] for x in r.rows.collect()} == want
+
+
 @pytest.mark.parametrize(
     ("clause", "code"),
     [
