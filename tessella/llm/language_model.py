@@ -40,8 +40,8 @@ from pyspark.sql import functions as F
 from tessella.llm.common import WordHasher, arrow_map, delete_folder, local_path, materialise, mix64, shared_folder, slices, table
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
-_CHUNK = 1_000_000  #: tokens that are scored together
-_COUNTED = 1_000_000  #: tokens that are counted together
+_CHUNK = 500_000  #: tokens that are scored together
+_COUNTED = 600_000  #: tokens that are counted together
 _OPEN = 2000  #: shards that a worker keeps mapped
 END = np.uint64(0x45BE7F0D1A3C9E21)  #: the hash of a text's end
 START, NEVER = np.uint64(0), np.uint64(2**64 - 1)  #: numbers of what stands before a text, and of words not counted
