@@ -42,6 +42,7 @@ def main(args: list[str], spark: SparkSession, out=sys.stdout) -> int:
     p.add_argument("--type")
     p.add_argument("--exact-type", action="store_true")
     p.add_argument("--direction", choices=("out", "in", "both"), default="both")
+    p.add_argument("--valid-time", help="timeline:coordinate or timeline:from..to")
     p.add_argument("--strict", action="store_true")
     p.add_argument("--param", action="append", default=[])
     p.add_argument("--query-file")
@@ -62,16 +63,23 @@ def main(args: list[str], spark: SparkSession, out=sys.stdout) -> int:
         g = bundle.read(spark, a.index)
     else:
         g, problems = markdown.load(markdown.read(spark, rest[0]))
+    window = None
+    if a.valid_time:
+        try:
+            window = inspect.window_of(g, a.valid_time)
+        except planner.QueryError as e:
+            print(e, file=out)
+            return 1
     if a.command == "list":
-        emit(inspect.listing(g, a.kind, a.type, not a.exact_type), a.json, out)
+        emit(inspect.listing(g, a.kind, a.type, not a.exact_type, window=window), a.json, out)
     elif a.command == "show":
         rows, state = inspect.show(g, wanted)
         emit(rows, a.json, out)
         return 0 if state == "ok" else 1
     elif a.command == "props":
-        emit(inspect.properties(g, wanted), a.json, out)
+        emit(inspect.properties(g, wanted, window=window), a.json, out)
     elif a.command == "links":
-        emit(ops.links(g, wanted, a.direction, a.type, not a.exact_type), a.json, out)
+        emit(ops.links(g, wanted, a.direction, a.type, not a.exact_type, window), a.json, out)
     elif a.command == "lint":
         rows, code = inspect.lint(problems, a.strict)
         emit(rows, a.json, out)

@@ -64,6 +64,7 @@ class Graph:
     narrow: Callable[[str, str, str], DataFrame] | None = None
     postings: DataFrame | None = None
     lengths: DataFrame | None = None
+    parsed: DataFrame | None = None  #: what is kept of the documents that it was read from
 
     def with_id(self, table: str, column: str, ident: str) -> DataFrame:
         """The rows of nodes, rels or props with an id in a column."""
@@ -174,10 +175,11 @@ def titles(graph: Graph) -> DataFrame:
     return graph.texts.where("kind = 'TITLE'").groupBy("owner").agg(F.min_by("text", "text_id").alias("title"))
 
 
-def links(graph: Graph, node: str, direction: str = "both", rel_type: str | None = None, subtypes: bool = True) -> DataFrame:
-    """(direction, rel_id, type_id, other) of the relations at a node."""
+def links(graph: Graph, node: str, direction: str = "both", rel_type: str | None = None, subtypes: bool = True, window: iv.IntervalSet | None = None) -> DataFrame:
+    """(direction, rel_id, type_id, other) of the relations at a node; window: of those that hold in it."""
     def at(column: str) -> DataFrame:
         rels = graph.with_id("rels", column, node)
+        rels = rels if window is None else rels.where(meets(window))
         return rels.where(F.array_contains("types", rel_type) if subtypes else F.col("type_id") == rel_type) if rel_type else rels
 
     out = at("src").select(F.lit("out").alias("direction"), "rel_id", "type_id", F.col("dst").alias("other"))

@@ -8,15 +8,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions import intervals as iv
-from tessella.operators.graph import Graph, titles, visible_at
-from tessella.plans.syntax import RESERVED
+from tessella.functions import temporal
+from tessella.operators.graph import Graph, meets, titles, view, visible_at
+from tessella.plans.syntax import RESERVED, QueryError
 
 #: The order in which kinds are listed.
 KIND_ORDER = ("Node", "Media", "NodeType", "RelType", "Timeline")
 
 
-def listing(graph: Graph, kind: str | None = None, type_id: str | None = None, subtypes: bool = True, at: tuple[str, object] | None = None, ident: str | None = None) -> DataFrame:
-    """(kind, id, type_id, title, source, validity) by kind, id and source; at: (axis, coordinate) leaves what holds there."""
+def listing(graph: Graph, kind: str | None = None, type_id: str | None = None, subtypes: bool = True, at: tuple[str, object] | None = None, ident: str | None = None, window: iv.IntervalSet | None = None) -> DataFrame:
+    """(kind, id, type_id, title, source, validity) by kind, id and source; at: (axis, coordinate) leaves what holds there.
+
+    window: leaves what is seen in it (graph.view), with a column that says how.
+    """
     df = graph.nodes if ident is None else graph.with_id("nodes", "id", ident)
     if kind:
         df = df.where(F.col("kind") == kind)
@@ -26,7 +30,11 @@ def listing(graph: Graph, kind: str | None = None, type_id: str | None = None, s
         df = visible_at(df, *at).where("visibility = 'Full'")
     order = F.array_position(F.array(*map(F.lit, KIND_ORDER)), F.col("kind"))
     shown = df.join(titles(graph), df["id"] == F.col("owner"), "left")
-    return shown.orderBy(order, "id", "source").select("kind", "id", "type_id", F.coalesce("title", "id").alias("title"), "source", F.expr(iv.display_sql("valid")).alias("validity"))
+    columns = ["kind", "id", "type_id", F.coalesce("title", "id").alias("title"), "source", F.expr(iv.display_sql("valid")).alias("validity")]
+    if window is not None:
+        shown = shown.join(view(graph, window).where("visibility <> 'Hidden'"), "id")
+        columns.append("visibility")
+    return shown.orderBy(order, "id", "source").select(*columns)
 
 
 def show(graph: Graph, ident: str) -> tuple[DataFrame, str]:
@@ -36,11 +44,26 @@ def show(graph: Graph, ident: str) -> tuple[DataFrame, str]:
     return df, ("unknown", "ok", "ambiguous")[n]
 
 
-def properties(graph: Graph, ident: str, at: tuple[str, object] | None = None) -> DataFrame:
-    """(path, value, validity, fallback) of an owner by path; at: those that hold at a coordinate."""
+def window_of(graph: Graph, text: str) -> iv.IntervalSet:
+    """`timeline:coordinate` or `timeline:from..to`, either end of which may be left out, on every axis that it reaches."""
+    line, _, rest = text.partition(":")
+    if line not in graph.timelines:
+        raise QueryError("GMQL4002", f"unknown timeline {line}")
+    t = graph.timelines[line]
+    lo, sep, hi = rest.partition("..")
+    first, last = (temporal.span(t, x) if x else None for x in (lo, hi if sep else lo))
+    if first is not None and last is not None and last.hi < first.lo:
+        raise QueryError("GMQL4003", f"{text}: the end lies before the beginning")
+    return temporal.expand_window(iv.IntervalSet([temporal.interval(t.axis, first, last)]), graph.mappings)
+
+
+def properties(graph: Graph, ident: str, at: tuple[str, object] | None = None, window: iv.IntervalSet | None = None) -> DataFrame:
+    """(path, value, validity, fallback) of an owner by path; at: those that hold at a coordinate; window: in a window."""
     df = graph.with_id("props", "owner", ident)
     if at:
         df = visible_at(df, *at).where("visibility = 'Full'")
+    if window is not None:
+        df = df.where(meets(window))
     value = F.expr("coalesce(value.s, CAST(value.i AS STRING), CAST(value.d AS STRING), CAST(value.b AS STRING))")
     return df.select("path", value.alias("value"), F.expr(iv.display_sql("valid")).alias("validity"), "fallback").orderBy("path", "validity")
 

@@ -675,15 +675,11 @@ def load(docs: DataFrame) -> tuple[Graph, DataFrame]:
         if ends != (None, None):
             unfit = ops.endpoint_errors(g, t).join(rels.select("rel_id", "source"), "rel_id")
             diagnostics = diagnostics.unionByName(note(unfit, "warning", F.concat("rel_id", F.lit(f": {t} joins nodes of other types")), "ConstraintError"))
-    _parsed[id(g)] = parsed
+    g.parsed = parsed
     return g, diagnostics.orderBy("path", "severity", "message")
 
 
-_parsed: dict[int, DataFrame] = {}
-
-
 def release(graph: Graph) -> None:
     """Frees what load() keeps of the documents; the graph can still be read, and parses them again."""
-    kept = _parsed.pop(id(graph), None)
-    if kept is not None:
-        kept.unpersist()
+    if graph.parsed is not None:
+        graph.parsed.unpersist()

@@ -60,6 +60,10 @@ def test_commands(spark, tmp_path):
     assert call("search", "MATCH (s:Port) RETURN s", str(docs))[0] == 1
     assert call("lint", str(docs))[0] == 0
     assert call("links", "mill", str(docs), "--direction", "in")[1].startswith("in\tharbour@")
+    assert call("links", "mill", str(docs), "--direction", "in", "--valid-time", "Works:71..")[1] == ""
+    assert [x.split("\t")[1] for x in call("list", str(docs), "--kind", "Node", "--valid-time", "Works:95")[1].splitlines()] == ["page"]
+    assert "owner" in call("props", "mill", str(docs), "--valid-time", "Works:..50")[1] and "owner" not in call("props", "mill", str(docs), "--valid-time", "Works:60")[1]
+    assert call("list", str(docs), "--valid-time", "Works:9..3")[0] == 1
     assert call("embed", str(docs))[0] == 0 and "| src |" in (docs / "page.md").read_text()
     assert call("index", str(docs), "--output", str(tmp_path / "b"))[0] == 0
     assert "harbour" in call("list", "--index", str(tmp_path / "b"), "--type", "Stop")[1]
