@@ -60,7 +60,8 @@ def arrow_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[
     """
     conf = df.sparkSession.conf
     for key, most in _BATCH.items():
-        now = int(str(conf.get(key)).removesuffix("b"))
+        m = re.fullmatch(r"(-?\d+)([kmg]?)b?", str(conf.get(key)).strip().lower())
+        now = int(m[1]) << {"": 0, "k": 10, "m": 20, "g": 30}[m[2]] if m else 0
         if not 0 < now <= most:
             conf.set(key, most)
     return df.mapInArrow(run, schema)

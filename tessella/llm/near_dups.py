@@ -2,7 +2,9 @@
 
 A text's set holds the hashes of its word shingles; its sketch is the set's k least values.
 
-* Equal sets become one node (the least id with that set), so copies cost one row each and no pair.
+* Equal sets become one node (the least id with that set), so copies cost one row each and no pair. Sets are told apart by
+  128 bits of the 64-bit hashes of their shingles, so two that differ in one word could be taken for equal only where
+  two of the corpus' words share their hash: at a chance of 3e-8 for a million different words, 0.03 for a thousand million.
 * Of two sets with a Jaccard similarity of t or more the sketches share r values at least, but for a chance of about
   2e-8 (with k = 48, r = 22: 48 draws at 0.8 with under 22 hits); small sets are whole in their sketches, where r is
   exact. So, in any fixed order of values, the first k - r + 1 values of both share one, and the first k - r + m share m.
