@@ -141,6 +141,9 @@ class _Lines(HTMLParser):
     def handle_starttag(self, tag, attrs):
         if self.hidden and self._breaks_out(tag):
             self.hidden = 0
+        if self.hidden:
+            self.hidden += tag == self.hidden_by
+            return
         if tag in _VOID:
             if tag == "hr":
                 self._end_line()
@@ -148,9 +151,6 @@ class _Lines(HTMLParser):
                 self.line.text.append(" ")
             self.line.tags += 1
             return
-        if self.hidden:
-            self.hidden += tag == self.hidden_by
-            return
         if (tag in _HIDDEN or tag in _PHRASING) and tag not in self.shown:
             self.hidden, self.hidden_by = 1, tag
             return
