@@ -250,12 +250,13 @@ def _candidates(least: float) -> str:
     return f"filter({every}, x -> x.stem OR {_likely('x.w', least)})"
 
 
-def scan(docs: DataFrame, model: Classifier, threshold: float = 0.5, least: float = 0.6) -> DataFrame:
+def scan(docs: DataFrame, model: Classifier, threshold: float = 0.5, least: float = 0.6, close: float = 0.5) -> DataFrame:
     """A row for each paragraph of docs (doc_id, text): a line that has a stem or whose family is confirmed, or several
     lines that hold a notice together.
 
-    doc_id, paragraph (the number of its first line from 0), family (the likeliest class, or unknown if its probability is
-    under the threshold or no template confirms it), predicted, probability, template (its number, -1 if none), likeness
+    doc_id, paragraph (the number of its first line from 0), family (unknown if the likeliest class is, if its probability is
+    under the threshold or no template confirms it; of classes that are `close` to it in probability or more, the one whose
+    template is most alike), predicted (the likeliest class), probability, template (its number, -1 if none), likeness
     (the share of the template's distinct words that the paragraph has; `least` or more confirms) and lines (how many).
     Paragraphs of several lines are confirmed, hold no line confirmed as the same family and share no line: the likest go
     first, then the shortest. Null and empty texts have no paragraphs; null and repeated doc_ids are rows like others;
@@ -298,10 +299,11 @@ def scan(docs: DataFrame, model: Classifier, threshold: float = 0.5, least: floa
     step(top="array_max(x.z)")
     step(probability="1 / aggregate(x.z, 0.0D, (s, v) -> s + exp(v - x.top))", class_="cast(array_position(x.z, x.top) - 1 as int)")
     step(best=f"""array_max(transform(array({templates}), (t, i) ->
-      named_struct('likeness', CASE WHEN t.owner = x.class_ THEN size(array_intersect(t.words, x.w)) / size(t.words) ELSE 0.0D END, 'number', -i)))""")
-    sure = f"x.probability >= {threshold!r}D AND x.best.likeness >= {least!r}D"
+      named_struct('likeness', CASE WHEN exp(get(x.z, t.owner) - x.top) >= {close!r}D THEN size(array_intersect(t.words, x.w)) / size(t.words) ELSE 0.0D END,
+                   'own', t.owner = x.class_, 'number', -i, 'owner', t.owner)))""")
+    sure = f"x.class_ <> {classes.index(UNKNOWN)} AND x.probability >= {threshold!r}D AND x.best.likeness >= {least!r}D"
     rows = rows.withColumn("c", F.expr(f"""transform(c, x -> struct(
-      -x.best.likeness AS unlike, x.n AS n, x.i AS i, x.stem AS stem, CASE WHEN {sure} THEN get({families}, x.class_) ELSE '{UNKNOWN}' END AS family,
+      -x.best.likeness AS unlike, x.n AS n, x.i AS i, x.stem AS stem, CASE WHEN {sure} THEN get({families}, x.best.owner) ELSE '{UNKNOWN}' END AS family,
       get({families}, x.class_) AS predicted, x.probability AS probability, CASE WHEN x.best.likeness > 0 THEN -x.best.number ELSE -1 END AS template))"""))
     # a stretch of lines that a line or a better stretch speaks for goes
     shared = "y.i < x.i + x.n AND x.i < y.i + y.n"
