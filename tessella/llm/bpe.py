@@ -110,9 +110,17 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: A run of one kind in which a chunk may find no boundary.
 RUN = 2048
 _LONG = regex.compile(rf"\p{{L}}{{{RUN},}}|\p{{N}}{{{RUN},}}|[^\s\p{{L}}\p{{N}}]{{{RUN},}}|\s{{{RUN},}}")
+_GAP = re.compile(rf"\s{{{RUN}}}")
 _WORDS = regex.compile(PATTERN)
 
 
+def has_long_word(text: str) -> bool:
+    """Whether a run of RUN signs of one kind is in the text; most texts are told by their longest stretch without a blank."""
+    if len(text) < RUN or max(map(len, text.split(" "))) < RUN and not _GAP.search(text):
+        return False
+    return bool(_LONG.search(text))
+
+
 class Vocabulary:
     """A byte-level BPE tokenizer file: ranks of byte strings, added tokens.
 
@@ -224,7 +232,7 @@ class ChunkEncoder:
         return sum([length[i] for i in ids])
 
     def _plain(self, text: str) -> list[int]:
-        if len(text) >= RUN and _LONG.search(text):
+        if has_long_word(text):
             return self._with_long_words(text)
         return self._chunked(text)
 
