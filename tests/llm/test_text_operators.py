@@ -209,7 +209,7 @@ def test_markov_model(spark, ratios):
 
     right = sum((ratio(r["text"]) >= 10) == r["random"] for r in held)
     assert right / len(held) > 0.97
-    text = "x Zx9Qw3Rt7Lk2Mn8Vb4Pq1 GraphSearchEngineFactoryBean some-path/to-the-article/again ==================== erberbeeinheitkeiter"
+    text = "x Zx9Qw3Rt7Lk2Mn8Vb4Pq1 OrderHistoryExportManagerFactory some-path/to-the-article/again ==================== erberbeeinheitkeiter"
     row = secrets.scan(spark.createDataFrame([(1, text)], "doc_id long, text string"), ratios).first()
     assert row["spans"] == "markov:2:23"
 
