@@ -184,9 +184,7 @@ class _Plan:
         return kept(joined, "valid", iv.subtract_sql("valid", "_gone", self.g.axes), iv.some_sql("v")).drop("_gone")
 
     def property(self, p: Property, df: DataFrame, owner: str) -> DataFrame:
-        op = OPERATORS[p.operator]
-        hit = (None if op == "CONTAINS" else plain_test_sql("value", op, p.value)) or test_sql("value", op, literal_sql(p.value), structured=True)
-        rows = self.g.props.where(F.col("path") == p.path).where(hit)
+        rows = self.g.props.where(F.col("path") == p.path).where(_hit(p, "value"))
         rows = rows.select(F.col("owner").alias("_o"), F.col("valid").alias("_v"), F.concat_ws("#", "owner", "path", F.expr(iv.display_sql("valid"))).alias("_id"))
         return self.meet(df.join(rows, F.col(owner) == F.col("_o")), "_id").drop("_o", "_id")
 
@@ -202,13 +200,19 @@ class _Plan:
         rels = self.g.rels
         if p.type is not None:
             rels = rels.where(F.array_contains("types", p.type) if p.derived else F.col("type_id") == p.type)
-        ends = [F.col("rel_id").alias("_rid"), F.col("valid").alias("_v")]
+        # what a relation's own row says needs no join: it holds for as long as the relation does
+        own = [y for y in p.properties if y.path in self.g.own]
+        for y in own:
+            rels = rels.where(_hit(y, f"own.`{y.path}`"))
+        said = F.array(*[F.concat_ws("#", "rel_id", F.lit(y.path), F.expr(iv.display_sql("valid"))) for y in own]).cast("array<string>")
+        ends = [F.col("rel_id").alias("_rid"), F.col("valid").alias("_v"), said.alias("_said")]
         out = rels.select(F.col("src").alias("_from"), F.col("dst").alias("_to"), *ends)
         back = rels.select(F.col("dst").alias("_from"), F.col("src").alias("_to"), *ends)
         rels = {"OUTGOING": out, "INCOMING": back, "EITHER": out.unionByName(back.where("_from <> _to"))}[p.direction]
         self.count += 1
         here, rid = f"_h{self.count}", f"_r{self.count}"
         df = self.meet(df.join(rels, F.col("focus") == F.col("_from")), "_rid").drop("_from").withColumnRenamed("_rid", rid)
+        df = df.withColumn("matched", F.array_union("matched", "_said")).drop("_said")
         df = self.meet(df.join(self.nodes(p.target), F.col("_to") == F.col("id")), None).drop("id")
         if p.variable is not None:
             known = F.element_at(F.col("vars"), F.lit(p.variable))
@@ -217,7 +221,7 @@ class _Plan:
             df = df.withColumn("vars", added).withColumn("key", F.expr("array_join(array_sort(transform(map_entries(vars), e -> concat(e.key, '=', e.value))), ';')"))
         df = df.withColumn(here, F.col("focus")).withColumn("focus", F.col("_to")).drop("_to")
         self.carried += [here, rid]
-        for y in p.properties:
+        for y in (y for y in p.properties if y not in own):
             df = self.merge(self.property(y, df, rid))
         if p.label is not None:
             df = self.merge(self.text(p.label, df, rid))
@@ -226,6 +230,12 @@ class _Plan:
         return df.withColumn("focus", F.col(here)).drop(here, rid)
 
 
+def _hit(p: Property, x: str) -> str:
+    """SQL for whether a value satisfies a predicate; the plain form, if there is one, is for scans."""
+    op = OPERATORS[p.operator]
+    return (None if op == "CONTAINS" else plain_test_sql(x, op, p.value)) or test_sql(x, op, literal_sql(p.value), structured=True)
+
+
 def run(graph: Graph, query: GraphQuery) -> Result:
     """root, score, validity (struct), matched and a column for each variable, best first; or diagnostics."""
     found = list(_problems(graph, query))
