@@ -67,3 +67,15 @@ def test_conditions_need_no_join(spark):
     text = plan(catalog.QUERIES["predicate_ge"](spark, SF))
     physical = text[text.index("== Physical Plan =="):]
     assert "Join" not in physical and "Exchange" not in physical
+
+
+def test_what_a_binding_used(spark):
+    """The assertions behind a row: the relation, and its property with the time in which it holds."""
+    from tessella.plans import structured as st
+
+    line = st.Relation("hasLine", properties=(st.Property("quantity", "GREATER_THAN", 40.0),), variable="p")
+    rows = st.run(sales_graph(spark, SF), st.GraphQuery(st.Nodes(type="SalesOrder"), line, limit=None)).rows.collect()
+    assert rows
+    for r in rows:
+        lines = {x for x in r["matched"] if x.startswith("line-") and "#" not in x}
+        assert lines and {x.split("#")[0] for x in r["matched"] if "#quantity#Calendar: [" in x} == lines
