@@ -1,7 +1,7 @@
 """The queries of the corpus operators and, where SQL can express them, their DuckDB SQL.
 
-Substring dedup and near-duplicates return what their contracts name alone, which SQL can say by brute force: all windows,
-and all pairs that share a shingle. The others also return their method's own columns (verdicts of zstandard, spans of a
+Substring dedup, near-duplicates, clustering, the set join and search return what their contracts name alone, which SQL can
+say by brute force: all windows, all pairs that share a shingle, all distances, all scores. The others also return their method's own columns (verdicts of zstandard, spans of a
 trained model, ids of a tokenizer, a checksum that DuckDB lacks), so they are tested against brute-force versions instead.
 """
 
@@ -17,6 +17,7 @@ from tessella.llm.near_dups import op9_bottomk_near_dups
 from tessella.llm.quality import op1_compression_bands
 from tessella.llm.search import op13_impact_search
 from tessella.llm.secrets import op3_markov_secrets
+from tessella.llm.set_join import op12_heavy_light_join
 from tessella.llm.sharding import op2_interleaved_shards
 from tessella.llm.substrings import op6_superkmer_dedup
 
@@ -32,6 +33,7 @@ _ALL = (
     op9_bottomk_near_dups,
     op10_pigeonhole_matches,
     op11_interval_centroids,
+    op12_heavy_light_join,
     op13_impact_search,
 )
 
@@ -54,22 +56,25 @@ g AS (SELECT doc_id, count(*) FILTER (j - last < 50) AS gone, string_agg(word, '
 SELECT t.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM t LEFT JOIN g USING (doc_id)
 """
 
-#: All pairs of documents that share a two-word shingle, their exact similarity, and what can be reached by links.
-NEAR_DUPLICATES = f"""
-WITH RECURSIVE t AS (SELECT doc_id, {_WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS ws FROM documents),
-s AS (SELECT doc_id, CASE WHEN len(ws) < 2 THEN ws ELSE list_distinct([ws[i] || ' ' || ws[i + 1] for i in range(1, len(ws))]) END AS sh FROM t),
+def _lowered(column: str) -> str:
+    return f"translate(coalesce({column}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _linked(size: int, percent: int, last: str) -> str:
+    """All pairs of documents that share a shingle of so many words, their exact similarity, and what can be reached by links."""
+    words = " || ' ' || ".join(f"ws[i + {k}]" if k else "ws[i]" for k in range(size))
+    return f"""
+WITH RECURSIVE t AS (SELECT doc_id, {_WORDS.format(_lowered("text"))} AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < {size} THEN [array_to_string(ws, ' ')] ELSE list_distinct([{words} for i in range(1, len(ws) - {size - 2})]) END AS sh FROM t),
 e AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS x FROM s),
-l AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
-      GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))),
+l AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n)
+      GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= {percent} * (any_value(a.n) + any_value(b.n) - count(*))),
 u AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 r(id, c) AS (SELECT doc_id, doc_id FROM s UNION SELECT u.b, r.c FROM r JOIN u ON u.a = r.id),
 m AS (SELECT id, min(c) AS c FROM r GROUP BY id)
-SELECT doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, c AS component_id, doc_id = c AS kept FROM s JOIN m ON id = doc_id
+SELECT doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, {last} FROM s JOIN m ON id = doc_id
 """
 
-def _lowered(column: str) -> str:
-    return f"translate(coalesce({column}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-
 
 def _clusters(k: int = 16, rounds: int = 3, dims: int = 64) -> str:
     """All distances of all vectors in each round; distance and number are one integer, so that the least has the smaller number."""
@@ -110,4 +115,10 @@ FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc
 
 
 def oracle_sql() -> dict[str, str]:
-    return {op11_interval_centroids.__name__: _clusters(), op13_impact_search.__name__: SEARCH, op6_superkmer_dedup.__name__: SUBSTRINGS, op9_bottomk_near_dups.__name__: NEAR_DUPLICATES}
+    return {
+        op6_superkmer_dedup.__name__: SUBSTRINGS,
+        op9_bottomk_near_dups.__name__: _linked(2, 80, "c AS component_id, doc_id = c AS kept"),
+        op11_interval_centroids.__name__: _clusters(),
+        op12_heavy_light_join.__name__: _linked(4, 85, "c AS component_id"),
+        op13_impact_search.__name__: SEARCH,
+    }
