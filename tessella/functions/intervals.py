@@ -8,6 +8,11 @@ In columns a cut is struct<w, f, s>: the floor of the coordinate, its fraction w
 with denominators below 10^18 differ by more than 10^-36, so the decimals order coordinates exactly, and structs compare
 field by field. Unbounded ends have the least and greatest long. A validity is struct<universal, ivs>, where ivs is
 sorted by axis and cut, and disjoint; universal (valid at any time) differs from an empty set and from NULL.
+
+Two sets meet in a sweep over their cuts in order. In a set begins and ends alternate, so of an event that is the k-th of
+its own set and stands at place p of all, k says whether its own set holds from there on, and p - k, the number of the
+other set's events before it, whether the other one does. Nothing is carried from event to event: the cost is that of
+sorting. Small sets are compared pair by pair, which gives the same.
 """
 
 from __future__ import annotations
@@ -86,12 +91,22 @@ class IntervalSet:
     def __repr__(self) -> str:
         return "Anytime" if self.universal else ", ".join(map(str, self.ivs)) or "Empty"
 
+    def _sweep(self, other: IntervalSet, want) -> IntervalSet:
+        """What lies between neighbouring cuts where want(in this, in the other); see the module."""
+        events = sorted((i.axis, cut, side, 2 * k + end) for side, s in enumerate((self, other)) for k, i in enumerate(s.ivs) for end, cut in enumerate((i.lo, i.hi)))
+        out = []
+        for p, (axis, cut, side, k) in enumerate(events[:-1]):
+            held = (k % 2 == 0, (p - k) % 2 == 1)
+            if want(*(held if side == 0 else held[::-1])):
+                out.append(Interval(axis, cut, events[p + 1][1]))
+        return IntervalSet(out)
+
     def intersect(self, other: IntervalSet) -> IntervalSet:
         if self.universal:
             return other
         if other.universal:
             return self
-        return IntervalSet(Interval(a.axis, max(a.lo, b.lo), min(a.hi, b.hi)) for a in self.ivs for b in other.ivs if a.axis == b.axis)
+        return self._sweep(other, lambda a, b: a and b)
 
     def union(self, other: IntervalSet) -> IntervalSet:
         return IntervalSet((*self.ivs, *other.ivs), self.universal or other.universal)
@@ -104,10 +119,7 @@ class IntervalSet:
             if other.ivs:
                 raise ValueError("a universal set less a finite one")
             return self
-        left = list(self.ivs)
-        for b in other.ivs:
-            left = [p for a in left for p in ((a,) if a.axis != b.axis else (Interval(a.axis, a.lo, min(a.hi, b.lo)), Interval(a.axis, max(a.lo, b.hi), a.hi))) if p.lo < p.hi]
-        return IntervalSet(left)
+        return self._sweep(other, lambda a, b: a and not b)
 
     def within(self, axes: Iterable[str]) -> IntervalSet:
         """A universal set as all of the given axes."""
@@ -118,7 +130,7 @@ class IntervalSet:
         """Whether each interval of the other lies inside one of this."""
         if self.universal:
             return True
-        return not other.universal and all(any(a.axis == b.axis and a.lo <= b.lo and b.hi <= a.hi for a in self.ivs) for b in other.ivs)
+        return not other.universal and not other.subtract(self)
 
     def at(self, axis: str, x) -> bool:
         return bool(self.intersect(IntervalSet([Interval.of(axis, x, x)])))
@@ -176,9 +188,27 @@ def normalise_sql(ivs: str) -> str:
     return f"get(transform(array(array_sort(filter({ivs}, i -> i.lo < i.hi))), p -> CASE WHEN size(p) < 2 THEN p WHEN size(p) < 64 THEN {few} ELSE {many} END), 0)"
 
 
+_EVENT = f"struct<axis:string,c:{CUT},o:int,k:int>"
+#: Pairs of intervals up to which two sets are compared pair by pair.
+_FEW = 64
+
+
+def _sweep_sql(a: str, b: str, held: str) -> str:
+    """The intervals between neighbouring cuts of two arrays of disjoint intervals where `held`, which names the
+    conditions {a} and {b} (the first and the second set hold from this cut on)."""
+    of = lambda ivs, o: f"flatten(transform({ivs}, (x, i) -> array(named_struct('axis', x.axis, 'c', x.lo, 'o', {o}, 'k', 2 * i), named_struct('axis', x.axis, 'c', x.hi, 'o', {o}, 'k', 2 * i + 1))))"
+    events = f"array_sort(CAST(concat({of(a, 0)}, {of(b, 1)}) AS array<{_EVENT}>))"
+    own, other = "e.k % 2 = 0", "(n - e.k) % 2 = 1"
+    test = held.format(a=f"CASE WHEN e.o = 0 THEN {own} ELSE {other} END", b=f"CASE WHEN e.o = 1 THEN {own} ELSE {other} END")
+    pieces = f"transform(q, (e, n) -> CASE WHEN {test} THEN named_struct('axis', e.axis, 'lo', e.c, 'hi', get(q, n + 1).c) END)"
+    return f"get(transform(array({events}), q -> filter({pieces}, z -> z.lo < z.hi)), 0)"
+
+
 def intersect_sql(a: str, b: str) -> str:
     pairs = f"flatten(transform({a}.ivs, x -> transform(filter({b}.ivs, y -> y.axis = x.axis), y -> named_struct('axis', x.axis, 'lo', greatest(x.lo, y.lo), 'hi', least(x.hi, y.hi)))))"
-    return f"CASE WHEN {a}.universal THEN {b} WHEN {b}.universal THEN {a} ELSE {_set(f'filter({pairs}, z -> z.lo < z.hi)')} END"
+    few = f"filter({pairs}, z -> z.lo < z.hi)"
+    met = f"CASE WHEN size({a}.ivs) * size({b}.ivs) <= {_FEW} THEN {few} ELSE {_sweep_sql(f'{a}.ivs', f'{b}.ivs', '{a} AND {b}')} END"
+    return f"CASE WHEN {a}.universal THEN {b} WHEN {b}.universal THEN {a} ELSE {_set(met)} END"
 
 
 def union_sql(a: str, b: str) -> str:
@@ -198,7 +228,8 @@ def subtract_sql(a: str, b: str, axes: Iterable[str] = ()) -> str:
         f"aggregate({b}.ivs, {base}, (acc, y) -> flatten(transform(acc, x -> CASE WHEN x.axis <> y.axis THEN array(x) ELSE "
         f"filter(array(named_struct('axis', x.axis, 'lo', x.lo, 'hi', least(x.hi, y.lo)), named_struct('axis', x.axis, 'lo', greatest(x.lo, y.hi), 'hi', x.hi)), z -> z.lo < z.hi) END)))"
     )
-    return f"CASE WHEN {b}.universal THEN {NEVER.sql()} WHEN {a}.universal AND size({b}.ivs) = 0 THEN {a} ELSE {_set(cut)} END"
+    left = f"CASE WHEN size({b}.ivs) = 0 THEN {base} WHEN size({b}.ivs) <= 4 THEN {cut} ELSE get(transform(array({base}), w -> {_sweep_sql('w', f'{b}.ivs', '{a} AND NOT ({b})')}), 0) END"
+    return f"CASE WHEN {b}.universal THEN {NEVER.sql()} WHEN {a}.universal AND size({b}.ivs) = 0 THEN {a} ELSE {_set(left)} END"
 
 
 def within_sql(a: str, axes: Iterable[str]) -> str:
@@ -214,7 +245,8 @@ def on_axes_sql(a: str, axes: Iterable[str]) -> str:
 
 
 def contains_sql(a: str, b: str) -> str:
-    inside = f"forall({b}.ivs, y -> exists({a}.ivs, x -> x.axis = y.axis AND x.lo <= y.lo AND y.hi <= x.hi))"
+    few = f"forall({b}.ivs, y -> exists({a}.ivs, x -> x.axis = y.axis AND x.lo <= y.lo AND y.hi <= x.hi))"
+    inside = f"CASE WHEN size({a}.ivs) * size({b}.ivs) <= {_FEW} THEN {few} ELSE size({_sweep_sql(f'{b}.ivs', f'{a}.ivs', '{a} AND NOT ({b})')}) = 0 END"
     return f"({a}.universal OR (NOT {b}.universal AND {inside}))"
 
 

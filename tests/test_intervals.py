@@ -98,3 +98,55 @@ def test_many_intervals(spark):
         got = df.groupBy().agg({"i": "collect_list"}).toDF("ivs").selectExpr(f"{iv.normalise_sql('ivs')} AS u").first()["u"]
         want = IntervalSet(i for s in sets for i in s.ivs).ivs
         assert [(x["axis"], x["lo"]["w"], x["lo"]["s"], x["hi"]["w"], x["hi"]["s"]) for x in got] == [(i.axis, i.lo.at, i.lo.side, i.hi.at, i.hi.side) for i in want]
+
+
+def _many(n: int, step: int, wide: int, first: int = 0) -> str:
+    """A validity of n intervals of which every second one is closed; on two axes."""
+    zero = "CAST(0 AS DECIMAL(38,37))"
+    cut = lambda w, s: f"named_struct('w', CAST({w} AS BIGINT), 'f', {zero}, 's', CAST({s} AS INT))"
+    one = f"named_struct('axis', CASE WHEN i < {n // 2} THEN 'a' ELSE 'b' END, 'lo', {cut(f'i * {step} + {first}', 0)}, 'hi', {cut(f'i * {step} + {first + wide}', 'i % 2')})"
+    return f"CAST(named_struct('universal', false, 'ivs', transform(sequence(0, {n - 1}), i -> {one})) AS {iv.VALIDITY})"
+
+
+def _on_driver(n: int, step: int, wide: int, first: int = 0) -> IntervalSet:
+    return IntervalSet(Interval.of("a" if i < n // 2 else "b", i * step + first, i * step + first + wide, True, i % 2 == 1) for i in range(n))
+
+
+def test_long_sets_take_linear_time(spark):
+    """8000 intervals of one owner in under two seconds, and what the driver's class and points say."""
+    import time
+
+    spark.sql(f"SELECT {_many(8000, 10, 6)} AS a, {_many(7000, 11, 4, 3)} AS b").write.mode("overwrite").saveAsTable("long_sets")
+    try:
+        table = spark.table("long_sets")
+        a, b = _on_driver(8000, 10, 6), _on_driver(7000, 11, 4, 3)
+        for sql, want in ((iv.subtract_sql("a", "b"), a.subtract(b)), (iv.intersect_sql("a", "b"), a.intersect(b)), (iv.subtract_sql("b", "a"), b.subtract(a))):
+            table.selectExpr(f"{sql} AS v").collect()
+            began = time.perf_counter()
+            (row,) = table.selectExpr(f"({sql}).ivs AS v").collect()
+            took = time.perf_counter() - began
+            assert [(i["axis"], i["lo"]["w"], i["lo"]["s"], i["hi"]["w"], i["hi"]["s"]) for i in row["v"]] == [(i.axis, i.lo.at, i.lo.side, i.hi.at, i.hi.side) for i in want.ivs]
+            assert took < 2
+        assert table.selectExpr(f"{iv.contains_sql('a', 'b')} AS x", f"{iv.contains_sql('a', 'a')} AS y").first()[:] == (False, True)
+    finally:
+        spark.sql("DROP TABLE long_sets")
+
+
+def test_sweep_agrees_with_pairs(spark):
+    """Sets on both sides of the size at which the sweep takes over."""
+    import random
+
+    rng = random.Random(11)
+    some = lambda n: IntervalSet(Interval.of(rng.choice("ab"), x := rng.randrange(120), x + rng.randrange(4), rng.random() < 0.5, rng.random() < 0.5) for _ in range(n))
+    pairs = [(some(rng.randrange(40)), some(rng.randrange(40))) for _ in range(25)]
+    df = None
+    for k, (a, b) in enumerate(pairs):
+        one = spark.range(1).selectExpr(f"{k} AS k", f"{a.sql()} AS a", f"{b.sql()} AS b", f"{a.intersect(b).sql()} AS i", f"{a.subtract(b).sql()} AS s", f"{str(b.contains(a)).lower()} AS c", f"{a.intersect(b).sql()} AS d")
+        df = one if df is None else df.unionByName(one)
+    got = df.selectExpr(f"{iv.intersect_sql('a', 'b')} = i AS i", f"{iv.subtract_sql('a', 'b')} = s AS s", f"{iv.contains_sql('b', 'a')} = c AS c", f"{iv.contains_sql('a', 'd')} AS d").collect()
+    assert all(all(r) for r in got)
+    for a, b in pairs:
+        for axis in "ab":
+            at = [Fraction(n, 2) for n in range(-2, 250)]
+            on = lambda s: {p for p in at if s.at(axis, p)}  # noqa: E731, B023
+            assert on(a.intersect(b)) == on(a) & on(b) and on(a.subtract(b)) == on(a) - on(b)
