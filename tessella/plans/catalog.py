@@ -92,6 +92,19 @@ pattern(
     "join_shared_variable", "MATCH (o:SalesOrder)-[l:hasLine]->(p:Part), (p)-[:suppliedBy]->(s:Supplier) WHERE l.quantity >= 50.0 AND p.size = 1 RETURN ID(o) AS o, ID(p) AS p, ID(s) AS s",
     f"SELECT 'order:' || l.l_orderkey AS o, 'part:' || l.l_partkey AS p, 'supplier:' || s.l_suppkey AS s FROM lineitem l JOIN orders ON o_orderkey = l.l_orderkey JOIN part ON p_partkey = l.l_partkey JOIN (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) s ON s.l_partkey = l.l_partkey WHERE l.l_quantity >= 50 AND p_size = 1 AND greatest({_O}, {_L}) <= least({_O} + 120, {_L} + 30)",
 )
+pattern(
+    "join_order", "MATCH (c:Customer), (o:SalesOrder), (c)-[:placed]->(o) WHERE o.totalprice > 300000.0 RETURN ID(c) AS c, ID(o) AS o",
+    "SELECT 'customer:' || o_custkey AS c, 'order:' || o_orderkey AS o FROM orders WHERE o_totalprice > 300000",
+)
+pattern(
+    "join_from_middle", "MATCH (c)-[:placed]->(o:SalesOrder)-[l:hasLine]->(p), (c)-[:inNation]->(n), (p:Part) WHERE ID(n) = 'nation:7' AND o.totalprice > 200000.0 RETURN ID(c) AS c, ID(o) AS o, ID(l) AS l, ID(p) AS p",
+    f"SELECT 'customer:' || o_custkey AS c, 'order:' || o_orderkey AS o, concat_ws('-', 'line', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_shipdate AS DATE)) AS l, 'part:' || l_partkey AS p FROM orders JOIN customer ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey WHERE c_nationkey = 7 AND o_totalprice > 200000 AND greatest({_O}, {_L}) <= least({_O} + 120, {_L} + 30)",
+)
+pattern(
+    "join_parts", "MATCH (a:Region), (n:Nation)-[:inRegion]->(r:Region), (b:Supplier)-[:inNation]->(n) WHERE a.name = 'ASIA' AND r.name = 'EUROPE' RETURN ID(a) AS a, ID(n) AS n, ID(b) AS b",
+    "SELECT 'region:' || a.r_regionkey AS a, 'nation:' || n_nationkey AS n, 'supplier:' || s_suppkey AS b FROM region a, nation JOIN region r ON n_regionkey = r.r_regionkey JOIN supplier ON s_nationkey = n_nationkey WHERE a.r_name = 'ASIA' AND r.r_name = 'EUROPE'",
+)
+pattern("join_shared_relation", "MATCH (c:Customer)-[r:placed]->(o), (x)-[r]->(y:SalesOrder) WHERE y.totalprice > 300000.0 RETURN ID(x) AS x, ID(o) AS o, ID(r) AS r", "SELECT 'customer:' || o_custkey AS x, 'order:' || o_orderkey AS o, 'placed-' || o_orderkey AS r FROM orders WHERE o_totalprice > 300000")
 pattern("join_cartesian", "MATCH (a:Region), (b:Region) RETURN ID(a) AS a, ID(b) AS b", "SELECT 'region:' || a.r_regionkey AS a, 'region:' || b.r_regionkey AS b FROM region a CROSS JOIN region b")
 pattern("join_repeated_variable", "MATCH (c:Customer)-[:inNation]->(n:Nation)<-[:inNation]-(c) RETURN ID(c) AS c, ID(n) AS n", "SELECT 'customer:' || c_custkey AS c, 'nation:' || c_nationkey AS n FROM customer")
 _TEMPORAL = f"FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE greatest({_O}, {_L}) <= least({_O} + 120, {_L} + 30)"

@@ -210,27 +210,36 @@ class Plan:
         return kept(df, "_b", iv.intersect_sql("_b", "_v"), iv.some_sql("v")).drop("_v")
 
     def add_node(self, p: S.NodePattern, key: str | None) -> str:
-        """Joins a node: by the id in column `key`, or a first one."""
+        """Joins a node: by the id in column `key`, or a first one.
+
+        A node that is bound already has been met with its times; only another type is still to be looked at.
+        """
         name, bound = self.bind(p.var, "node", p.type)
-        nodes = self.nodes(p.type, name)
         if bound:
             if key is not None:
                 self.df = self.df.where(F.col(key) == F.col(f"`{name}`.id")).drop(key)
+            if p.type in (None, self.vars[name][1]):
+                return name
+        nodes = self.nodes(p.type, name)
+        if bound:
             self.df = self.meet(self.df.join(nodes.drop("_e"), self.df[name]["id"] == F.col("_id")).drop("_id"))
         elif self.df is None:
             self.df = nodes.select(F.col("_e").alias(name), F.col("_v").alias("_b"), F.lit(0.0).alias("_score"))
-        elif key is None:  # patterns without a common variable: every pair, as asked
+        elif key is None:  # at a relation that is bound already and may be passed either way
             self.df = self.meet(self.df.crossJoin(nodes.select(F.col("_e").alias(name), "_v")))
         else:
             self.df = self.meet(self.df.join(nodes, F.col(key) == F.col("_id")).withColumnRenamed("_e", name).drop("_id", key))
         return name
 
     def add_pattern(self, items: list) -> None:
-        first = items[0]
-        # begin at an end that is bound already, so that the join has a key
-        here = self.add_node(first, None)
+        """Joins a pattern from its first node on; that one is bound, or its relation is, or nothing."""
+        key = None
+        if self.df is not None and items[0].var not in self.vars and items[1].var in self.vars and items[1].direction != "either":
+            self.count += 1
+            key = f"_to{self.count}"
+            self.df = self.df.withColumn(key, F.col(f"`{items[1].var}`.{'src' if items[1].direction == 'out' else 'dst'}"))
+        here = self.add_node(items[0], key)
         for rel, node in zip(items[1::2], items[2::2], strict=True):
-            self.check_ends(rel, items[items.index(rel) - 1], node)
             name, bound = self.bind(rel.var, "relation", rel.type)
             rels = self.rels(rel.type, rel.direction, name)
             if bound:
@@ -244,6 +253,32 @@ class Plan:
             self.df = self.df.withColumnRenamed("_to", key)
             here = self.add_node(node, key)
 
+    def add_patterns(self, patterns: list[list]) -> None:
+        """Joins all patterns: those that share variables, however indirectly, among themselves along these; what shares
+        none as every pair in the end, each part being complete by then."""
+        parts = []
+        for group in connected(patterns):
+            self.df = None
+            for p in self.joinable(group):
+                self.add_pattern(p)
+            parts.append(self.df)
+        self.df = parts[0]
+        for other in parts[1:]:
+            self.df = self.meet(self.df.crossJoin(other.drop("_score").withColumnRenamed("_b", "_v")))
+
+    def check_patterns(self) -> None:
+        """Says what is wrong with the patterns, in the order in which they are written."""
+        seen: dict[str, str] = {}
+        for p in self.q.patterns:
+            for i, x in enumerate(p):
+                what, known, code = ("node", self.node_types, "GMQL2001") if isinstance(x, S.NodePattern) else ("relation", self.rel_types, "GMQL2002")
+                if x.var and seen.setdefault(x.var, what) != what:
+                    raise QueryError("GMQL2003", f"{x.var} is a {seen[x.var]}")
+                if x.type is not None and x.type not in known:
+                    raise QueryError(code, f"unknown {what} type {x.type}")
+                if what == "relation":
+                    self.check_ends(x, p[i - 1], p[i + 1])
+
     def check_ends(self, rel: S.RelPattern, left: S.NodePattern, right: S.NodePattern) -> None:
         ends = self.g.endpoints.get(rel.type or "")
         if not ends:
@@ -673,8 +708,8 @@ class Plan:
         q = self.q
         self.coarse = self.coarse_window()
         rest = [] if q.where is None else self.plan_conditions()
-        for p in self.joinable(q.patterns):
-            self.add_pattern(p)
+        self.check_patterns()
+        self.add_patterns(q.patterns)
         if self.bindings is not None and any(len(p) > 1 for p in q.patterns) | (len(q.patterns) > 1) and self.df.limit(self.bindings + 1).count() > self.bindings:
             raise QueryError("GMQL5001", f"more than {self.bindings} bindings")
         if rest:
@@ -724,19 +759,49 @@ class Plan:
             out = out.limit(n)
         return out.select(*names)
 
+    def worth(self, x) -> int:
+        """How few rows a node of a pattern may have, by what the query says of it: its id, a test on its row, a type."""
+        return 3 if x.var in self.idents else 2 if x.var in self.filters else 1 if x.type is not None else 0
+
     def joinable(self, patterns: list[list]) -> list[list]:
-        """Patterns turned about where only their last node is bound, so that joins have keys."""
-        bound: set[str] = set()
-        out = []
-        for p in patterns:
-            if len(p) > 1 and bound and p[0].var not in bound and p[-1].var in bound:
-                flip = {"out": "in", "in": "out", "either": "either"}
-                p = [S.RelPattern(x.var, x.type, flip[x.direction]) if isinstance(x, S.RelPattern) else x for x in reversed(p)]
+        """The patterns of a connected group in an order, and cut and turned, such that each begins at a bound node.
+
+        The first begins at the node of which the query says most. Then single nodes come, which only narrow what there
+        is, then paths from a bound node on, those that hold more tests first; ties as they are written.
+        """
+        left, bound, out = list(enumerate(patterns)), set(), []
+        best = lambda p: max(map(self.worth, p[::2]))
+        while left:
+            linked = [(n, p) for n, p in left if not bound or any(x.var in bound for x in p[::2])] or [(n, p) for n, p in left if any(x.var in bound for x in p)]
+            n, p = min(linked, key=lambda e: (bool(bound) and len(e[1]) > 1, -best(e[1]), e[0]))
+            left.remove((n, p))
+            starts = [i for i in range(0, len(p), 2) if p[i].var in bound] or [i - 1 for i in range(1, len(p), 2) if p[i].var in bound] or [i for i in range(0, len(p), 2) if self.worth(p[i]) == best(p)]
+            at = starts[0]
+            if 0 < at < len(p) - 1 and p[at].var is None and not bound:  # both halves have to name where they meet
+                at = 0
+            out += [half for half in (p[at:], turned(p[: at + 1])) if len(half) > 1] or [p]
             bound |= {x.var for x in p if x.var}
-            out.append(p)
         return out
 
 
+def turned(p: list) -> list:
+    """A pattern from its other end."""
+    flip = {"out": "in", "in": "out", "either": "either"}
+    return [S.RelPattern(x.var, x.type, flip[x.direction]) if isinstance(x, S.RelPattern) else x for x in reversed(p)]
+
+
+def connected(patterns: list[list]) -> list[list[list]]:
+    """The patterns in groups that share nodes, each in the order in which it is written."""
+    groups: list[tuple[set, list]] = []
+    for n, p in enumerate(patterns):
+        names, members = {x.var for x in p if x.var}, [(n, p)]
+        for g in [g for g in groups if g[0] & names]:
+            groups.remove(g)
+            names, members = names | g[0], members + g[1]
+        groups.append((names, members))
+    return [[p for _, p in sorted(m, key=lambda e: e[0])] for _, m in sorted(groups, key=lambda g: min(n for n, _ in g[1]))]
+
+
 def run(graph: Graph, query: str, params: dict | None = None, profile: str = "REFERENCE") -> Result:
     """The lazy result of a query, or diagnostics."""
     try:

@@ -48,6 +48,44 @@ def test_plans(spark):
     assert "ReadSchema: struct<o_orderkey:bigint,o_totalprice:double,o_orderdate:timestamp_ntz>" in physical
 
 
+@pytest.mark.parametrize("query", [
+    "MATCH (c:Customer), (o:SalesOrder), (c)-[:placed]->(o) RETURN ID(c) AS c, ID(o) AS o",
+    "MATCH (o:SalesOrder), (n:Nation), (c)-[:inNation]->(n), (c:Customer)-[:placed]->(o) RETURN ID(c) AS c, ID(n) AS n",
+    "MATCH (c:Customer)-[r:placed]->(o), (x)-[r]->(y) RETURN ID(x) AS x, ID(y) AS y",
+    "MATCH (r:Region), (p)-[:suppliedBy]->(s)-[:inNation]->(n)-[:inRegion]->(r), (p:Part) RETURN ID(p) AS p, ID(r) AS r",
+])
+def test_connected_patterns_need_no_nested_loop(spark, query):
+    text = plan(rows_of(sales_graph(spark, SF), query))
+    physical = text[text.index("== Physical Plan =="):]
+    assert "CartesianProduct" not in physical and "BroadcastNestedLoopJoin" not in physical and "Cross" not in physical
+
+
+def test_order_of_patterns(spark):
+    """The node of which most is known comes first, then what hangs on it; parts without a common variable meet last."""
+    from tessella.plans import planner
+
+    def order(query):
+        p = planner.Plan(sales_graph(spark, SF), planner.S.parse(query), {}, "REFERENCE")
+        p.plan_conditions() if p.q.where is not None else None
+        return [[[x.var for x in half[::2]] for half in p.joinable(g)] for g in planner.connected(p.q.patterns)]
+
+    assert order("MATCH (c:Customer), (o:SalesOrder), (c)-[:placed]->(o) WHERE o.totalprice > 5.0 RETURN ID(c) AS c") == [[["o"], ["o", "c"], ["c"]]]
+    assert order("MATCH (c:Customer)-[:placed]->(o:SalesOrder) RETURN ID(c) AS c") == [[["c", "o"]]]
+    assert order("MATCH (p)-[:suppliedBy]->(s)-[:inNation]->(n) WHERE ID(s) = 'supplier:1' RETURN ID(p) AS p") == [[["s", "n"], ["s", "p"]]]
+    assert order("MATCH (a:Region), (n:Nation)-[:inRegion]->(r), (b:Supplier)-[:inNation]->(n), (c:Part) RETURN ID(a) AS a") == [[["a"]], [["n", "r"], ["n", "b"]], [["c"]]]
+
+
+def test_mistakes_in_patterns_come_in_written_order(spark):
+    from tessella.plans.planner import run
+
+    g = sales_graph(spark, SF)
+    code = lambda q: run(g, q).diagnostics[0].code
+    assert code("MATCH (a:Nothing), (b:SalesOrder)-[:nothing]->(c) RETURN ID(a) AS a") == "GMQL2001"
+    assert code("MATCH (b:SalesOrder)-[:nothing]->(c), (a:Nothing) RETURN ID(a) AS a") == "GMQL2002"
+    assert code("MATCH (b)-[b:placed]->(c) RETURN ID(c) AS c") == "GMQL2003"
+    assert code("MATCH (a:Region), (b:SalesOrder)-[:inNation]->(c) RETURN ID(a) AS a") == "GMQL3005"
+
+
 @pytest.mark.parametrize(
     ("name", "pushed"),
     [
