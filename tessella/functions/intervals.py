@@ -255,6 +255,40 @@ def some_sql(a: str) -> str:
     return f"({a}.universal OR size({a}.ivs) > 0)"
 
 
+#: Powers of two by which lengths of time are told apart in buckets.
+LEVELS = tuple(range(0, 42, 2))
+BUCKET = "t_axis string, t_level int, t_bucket bigint"
+
+
+def bucket_sql(a: str, apart: Iterable[str] = ()) -> list[str]:
+    """The columns of BUCKET: where on its axis a validity lies, by its length and its begin.
+
+    The level is the least of LEVELS whose power of two is over the length, the bucket the begin divided by that power. So
+    what begins in bucket b ends before bucket b + 2, and rows sorted by axis, level and bucket lie as their times do,
+    the long ones apart from the short. No level stands for what a window cannot rule out: universal times, open ones,
+    those on several axes or on one of `apart` (recurring times, which are spelt out on another axis).
+    """
+    ivs = f"{a}.ivs"
+    lo, hi = f"array_min(transform({ivs}, i -> i.lo)).w", f"array_max(transform({ivs}, i -> i.hi)).w"
+    off = " OR ".join(f"{ivs}[0].axis = '{x}'" for x in apart) or "false"
+    one = f"NOT {a}.universal AND size({ivs}) > 0 AND forall({ivs}, i -> i.axis = {ivs}[0].axis) AND {lo} > {-(2**61)}L AND {hi} < {2**61}L AND NOT ({off})"
+    powers = ", ".join(map(str, LEVELS))
+    level = f"CASE WHEN {one} THEN array_min(filter(array({powers}), l -> shiftright({hi} - {lo}, l) = 0)) END"
+    return [f"CASE WHEN {level} IS NOT NULL THEN {ivs}[0].axis END AS t_axis", f"CAST({level} AS INT) AS t_level", f"shiftright({lo}, {level}) AS t_bucket"]
+
+
+def bucket_test(window: IntervalSet) -> str:
+    """A test on the columns of BUCKET that all pass which have a time in common with the window, fit for a scan."""
+    hits = []
+    for i in window.ivs:
+        for level in LEVELS:
+            lo = None if i.lo == MINUS else (i.lo.at.numerator // i.lo.at.denominator >> level) - 1
+            hi = None if i.hi == PLUS else i.hi.at.numerator // i.hi.at.denominator >> level
+            ends = [f"t_bucket >= {lo}L"] * (lo is not None) + [f"t_bucket <= {hi}L"] * (hi is not None)
+            hits.append(" AND ".join([f"t_axis = {i.axis!r}", f"t_level = {level}", *ends]))
+    return "(t_level IS NULL" + "".join(f" OR ({h})" for h in hits) + ")"
+
+
 def rows_sql(a: str) -> str:
     """An array with a flat struct for each interval: axis, lo, lo_inc, hi, hi_inc; a universal validity has one of NULLs.
 

@@ -109,18 +109,19 @@ def may_match_sql(text: str, query: str) -> str:
     return f"exists(array(lower({text})), low -> {' OR '.join(f'({x})' for x in every)})" if every else "false"
 
 
-def query_score_sql(text: str, query: str, count: Callable[[str], str], starting: Callable[[str], str]) -> str:
+def query_score_sql(text: str, query: str, count: Callable[[str], str], starting: Callable[[str], str], holding: Callable[[str], str] | None = None) -> str:
     """The score of a text under a query: `a b` (both), `a OR b`, `"a phrase"`, `prefix*`; 0 where it does not match.
 
     A clause's score adds up its terms': mean counts of the tokens of a word, 1 for a phrase, tokens with a prefix. count
-    and starting give SQL for how many tokens are a term, or begin with one.
+    and starting give SQL for how many tokens are a term, or begin with one; holding, if given, for whether a phrase is
+    there (over 0), else the text itself says so.
     """
     out = []
     for clause in clauses(query):
         tests, scores = [], []
         for kind, x in clause:
             if kind == "phrase":
-                tests.append(f"contains(lower({text}), lower({quoted(x)}))")
+                tests.append(f"{holding(x)} > 0" if holding else f"contains(lower({text}), lower({quoted(x)}))")
                 scores.append("1.0D")
             elif kind == "prefix":
                 tests.append(f"{starting(x)} > 0")

@@ -46,7 +46,8 @@ class Graph:
     endpoints: (source types, target types) of a relation type; None leaves it open. own: paths of properties that nodes or
     relations hold in a column `own` too, a struct by path: those with one value for an owner, valid whenever it is.
     narrow: gives the rows of a table (nodes, rels, props) with a given id in a column, where a source can find them by its
-    own keys. postings: (term, text_id, tf) and lengths: (text_id, n) of the texts, if they were kept.
+    own keys. postings: (term, text_id, tf), lengths: (text_id, n) and words: (term, text_id, places) of the texts, if they
+    were kept. bucketed: whether the tables have the columns of intervals.BUCKET.
     """
 
     spark: SparkSession
@@ -64,6 +65,8 @@ class Graph:
     narrow: Callable[[str, str, str], DataFrame] | None = None
     postings: DataFrame | None = None
     lengths: DataFrame | None = None
+    words: DataFrame | None = None
+    bucketed: bool = False
     parsed: DataFrame | None = None  #: what is kept of the documents that it was read from
 
     def with_id(self, table: str, column: str, ident: str) -> DataFrame:
@@ -71,6 +74,10 @@ class Graph:
         found = self.narrow(table, column, ident) if self.narrow else getattr(self, table)
         return found.where(F.col(column) == ident)
 
+    def candidates(self, df: DataFrame, window: iv.IntervalSet | None) -> DataFrame:
+        """The rows of one of the tables that may have a time in common with the window: what the buckets do not rule out."""
+        return df.where(iv.bucket_test(window)) if self.bucketed and window is not None and not window.universal else df
+
     @property
     def axes(self) -> list[str]:
         return list(dict.fromkeys(t.axis for t in self.timelines.values()))
@@ -178,7 +185,7 @@ def titles(graph: Graph) -> DataFrame:
 def links(graph: Graph, node: str, direction: str = "both", rel_type: str | None = None, subtypes: bool = True, window: iv.IntervalSet | None = None) -> DataFrame:
     """(direction, rel_id, type_id, other) of the relations at a node; window: of those that hold in it."""
     def at(column: str) -> DataFrame:
-        rels = graph.with_id("rels", column, node)
+        rels = graph.candidates(graph.with_id("rels", column, node), window)
         rels = rels if window is None else rels.where(meets(window))
         return rels.where(F.array_contains("types", rel_type) if subtypes else F.col("type_id") == rel_type) if rel_type else rels
 
@@ -209,8 +216,8 @@ def visible_at(df: DataFrame, axis: str, x) -> DataFrame:
 def view(graph: Graph, window: iv.IntervalSet) -> DataFrame:
     """(id, visibility) in a window: Full of nodes that hold in it; AssertionOnly of others, known or not, that have a
     property there or an end of a relation that holds there; else Hidden."""
-    rels = graph.rels.where(meets(window))
-    said = graph.props.where(meets(window)).select(F.col("owner").alias("id")).join(graph.nodes.select("id"), "id", "left_semi")
+    rels = graph.candidates(graph.rels, window).where(meets(window))
+    said = graph.candidates(graph.props, window).where(meets(window)).select(F.col("owner").alias("id")).join(graph.nodes.select("id"), "id", "left_semi")
     ends = rels.select(F.explode(F.array("src", "dst")).alias("id"))
     said = said.unionByName(ends).distinct().withColumn("_said", F.lit(True))
     full = graph.nodes.select("id", meets(window).alias("_full"))

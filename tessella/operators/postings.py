@@ -1,7 +1,14 @@
-"""Texts found by their tokens: by postings where these were kept, else by a scan that cuts only what may match."""
+"""Texts found by their tokens and phrases: by postings where these were kept, else by a scan that cuts only what may match.
+
+A phrase is a stretch of the lower-case text, so tokens alone cannot find it: what stands between them matters, and its ends
+may lie inside words. `words` therefore keeps, of each run of letters and digits, its number in the text and what stands
+before and after it. A phrase is cut in the same way; its inner runs are looked up as they are, the outer ones by how words
+end or begin, and their places are intersected, each moved back by its number in the phrase. No text is read.
+"""
 
 from __future__ import annotations
 
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,9 +16,11 @@ from tessella.functions import text as tx
 from tessella.functions.values import quoted
 from tessella.operators.graph import kept
 
+_RUN = r"[\p{L}\p{N}_]+"
+
 
-def build(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(term, text_id, tf, positions) and (text_id, n) of texts (text_id, text).
+def build(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(term, text_id, tf, positions), (text_id, n) and (term, text_id, places) of texts (text_id, text).
 
     Terms are sorted within ranges, so a look-up reads the files and row groups that hold its terms alone. A text that holds
     a term very often has one row for it; a term in very many texts has a row for each, spread over ranges.
@@ -19,31 +28,73 @@ def build(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     tokens = texts.select("text_id", F.expr(tx.tokens_sql("text")).alias("tokens"))
     each = tokens.select("text_id", F.posexplode("tokens").alias("at", "term"))
     rows = each.groupBy("term", "text_id").agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("at")).alias("positions"))
-    return rows.repartitionByRange("term", "text_id").sortWithinPartitions("term", "text_id"), tokens.select("text_id", F.size("tokens").cast("long").alias("n"))
+    low = texts.select("text_id", F.lower("text").alias("low"))
+    gaps = low.select("text_id", F.regexp_extract_all("low", F.lit(_RUN), F.lit(0)).alias("runs"), F.split("low", _RUN).alias("gaps"))
+    runs = gaps.select("text_id", "gaps", F.posexplode("runs").alias("at", "term"))
+    place = F.struct("at", F.get("gaps", F.col("at")).alias("before"), F.get("gaps", F.col("at") + 1).alias("after"))
+    words = runs.groupBy("term", "text_id").agg(F.array_sort(F.collect_list(place)).alias("places"))
+    return (
+        rows.repartitionByRange("term", "text_id").sortWithinPartitions("term", "text_id"), tokens.select("text_id", F.size("tokens").cast("long").alias("n")),
+        words.repartitionByRange("term", "text_id").sortWithinPartitions("term", "text_id"),
+    )
+
+
+def phrase_parts(phrase: str) -> list[tuple[str, str]]:
+    """For each run of a phrase a test on `term` and one on a place `x` of it; none if the phrase has no run."""
+    low = phrase.lower()
+    runs, gaps = regex.findall(_RUN, low), regex.split(_RUN, low)
+    out = []
+    for i, run in enumerate(runs):
+        first, last, before, after = i == 0, i == len(runs) - 1, gaps[i], gaps[i + 1]
+        open_left, open_right = first and not before, last and not after
+        test = ("contains" if open_left and open_right else "endswith" if open_left else "startswith" if open_right else None)
+        term = f"term = {quoted(run)}" if test is None else f"{test}(term, {quoted(run)})"
+        left = f"endswith(x.before, {quoted(before)})" if first else f"x.before = {quoted(before)}"
+        right = f"startswith(x.after, {quoted(after)})" if last else f"x.after = {quoted(after)}"
+        out.append((term, f"{left} AND {right}"))
+    return out
+
+
+def phrase_texts(words: DataFrame, phrase: str) -> DataFrame:
+    """(text_id) of the texts that hold a phrase with a run, each once."""
+    parts = phrase_parts(phrase)
+    rows = words.where(" OR ".join(f"({term})" for term, _ in parts))
+    held = [F.expr(f"CASE WHEN {term} THEN transform(filter(places, x -> {test}), x -> x.at - {i}) ELSE array() END").alias(f"p{i}") for i, (term, test) in enumerate(parts)]
+    sets = rows.select("text_id", *held).groupBy("text_id").agg(*[F.flatten(F.collect_list(f"p{i}")).alias(f"p{i}") for i in range(len(parts))])
+    common = "p0"
+    for i in range(1, len(parts)):
+        common = f"array_intersect({common}, p{i})"
+    return sets.where(f"size({common}) > 0").select("text_id")
 
 
-def scored(texts: DataFrame, postings: DataFrame | None, query: str) -> DataFrame:
+def scored(texts: DataFrame, postings: DataFrame | None, query: str, words: DataFrame | None = None) -> DataFrame:
     """The rows of texts that match the query, with their score `_s`."""
     parts = [x for c in tx.clauses(query) for x in c]
-    if postings is not None and parts and all(kind != "phrase" for kind, _ in parts):
-        return _by_postings(texts, postings, query)
+    if postings is not None and parts and all(kind != "phrase" or words is not None and phrase_parts(x) for kind, x in parts):
+        return _by_postings(texts, postings, query, words)
     rows = texts.where(tx.may_match_sql("text", query)).withColumn("_tokens", F.expr(tx.tokens_sql("text", tx.needles_of(query))))
     count = lambda t: f"size(filter(_tokens, t -> t = {quoted(t)}))"
     starting = lambda t: f"size(filter(_tokens, t -> startswith(t, {quoted(t)})))"
     return kept(rows, "_s", tx.query_score_sql("text", query, count, starting), "v > 0", "double").drop("_tokens")
 
 
-def _by_postings(texts: DataFrame, postings: DataFrame, query: str) -> DataFrame:
+def _by_postings(texts: DataFrame, postings: DataFrame, query: str, held: DataFrame | None) -> DataFrame:
     words = sorted({t for c in tx.clauses(query) for kind, x in c if kind == "word" for t in x})
     prefixes = sorted({x for c in tx.clauses(query) for kind, x in c if kind == "prefix"})
+    phrases = sorted({x for c in tx.clauses(query) for kind, x in c if kind == "phrase"})
     wanted = F.col("term").isin(*words) if words else F.lit(False)
     for p in prefixes:
         wanted = wanted | F.col("term").startswith(p)
-    names = {("w", t): f"_w{i}" for i, t in enumerate(words)} | {("p", t): f"_p{i}" for i, t in enumerate(prefixes)}
-    sums = [F.sum(F.when(F.col("term") == t if k == "w" else F.col("term").startswith(t), F.col("tf")).otherwise(0)).alias(n) for (k, t), n in names.items()]
-    if not sums:
+    names = {("w", t): f"_w{i}" for i, t in enumerate(words)} | {("p", t): f"_p{i}" for i, t in enumerate(prefixes)} | {("q", t): f"_q{i}" for i, t in enumerate(phrases)}
+    if not names:
         return texts.withColumn("_s", F.lit(0.0)).where(F.lit(False))
-    hits = postings.where(wanted).groupBy("text_id").agg(*sums)
-    score = tx.query_score_sql("''", query, lambda t: names["w", t], lambda t: names["p", t])
+    hit = lambda k, t: F.when(F.col("term") == t if k == "w" else F.col("term").startswith(t), F.col("tf")).otherwise(0)
+    rows = [postings.where(wanted).select("text_id", *[(hit(k, t) if k != "q" else F.lit(0)).cast("long").alias(n) for (k, t), n in names.items()])] if words or prefixes else []
+    rows += [phrase_texts(held, p).select("text_id", *[F.lit(int((k, t) == ("q", p))).cast("long").alias(n) for (k, t), n in names.items()]) for p in phrases]
+    every = rows[0]
+    for other in rows[1:]:
+        every = every.unionByName(other)
+    hits = every.groupBy("text_id").agg(*[F.sum(n).alias(n) for n in names.values()])
+    score = tx.query_score_sql("''", query, lambda t: names["w", t], lambda t: names["p", t], lambda t: names["q", t])
     hits = hits.select("text_id", F.expr(score).cast("double").alias("_s")).where("_s > 0")
     return texts.join(hits, "text_id")

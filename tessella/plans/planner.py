@@ -109,6 +109,7 @@ class Plan:
         self.filters: dict[str, list[tuple[str, str]]] = {}  # by variable: (path or ID, test on it) that whole rows must pass
         self.idents: dict[str, str] = {}
         self.coarse: str | None = None
+        self.coarse_set: iv.IntervalSet | None = None
 
     # recurrence
 
@@ -161,7 +162,7 @@ class Plan:
         for path, test in self.filters.get(var or "", ()):
             df = df.where(test.replace("{x}", f"own.`{path}`"))
         if self.coarse is not None:
-            df = df.where(self.coarse)
+            df = self.g.candidates(df, self.coarse_set).where(self.coarse)
         return df
 
     def row(self, var: str | None, *columns) -> F.Column:
@@ -584,7 +585,7 @@ class Plan:
             rows, var, temporal = rows.where(under), self.entity(S.Var(scope.var)), True
         else:
             var, temporal = self.entity(scope), False
-        rows = postings.scored(rows, self.g.postings, query.value)
+        rows = postings.scored(rows, self.g.postings, query.value, self.g.words)
         self.count += 1
         n = f"_f{self.count}"
         hits = rows.groupBy(F.col("owner").alias(f"{n}k")).agg(F.collect_list("valid").alias(f"{n}v"), F.max("_s").alias(f"{n}s"))
@@ -641,6 +642,7 @@ class Plan:
         if v.op == "CONTAINS" and len(w.ivs) > 1:
             return None
         one = "i.axis = '{a}' AND i.lo < {hi} AND {lo} < i.hi" if v.op != "CONTAINS" else "i.axis = '{a}' AND i.lo <= {lo} AND {hi} <= i.hi"
+        self.coarse_set = w
         hits = " OR ".join(f"({one.format(a=i.axis, lo=i.lo.sql(), hi=i.hi.sql())})" for i in w.ivs)
         # times on an axis of its own, which the window does not reach, are left to the exact test
         return f"(valid.universal OR exists(valid.ivs, i -> {hits}))"

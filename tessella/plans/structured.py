@@ -118,8 +118,12 @@ class _Plan:
     def names(self) -> list[str]:
         return ["root", "focus", "key", *self.carried]
 
+    def held(self, df: DataFrame) -> DataFrame:
+        """The rows of a table that the query's window does not rule out: each assertion has to meet it."""
+        return df if self.q.window is None else self.g.candidates(df, self.q.window.set(self.g))
+
     def nodes(self, p: Nodes) -> DataFrame:
-        df = self.g.nodes if p.id is None else self.g.with_id("nodes", "id", p.id)
+        df = self.held(self.g.nodes if p.id is None else self.g.with_id("nodes", "id", p.id))
         if p.type is not None:
             df = df.where(F.array_contains("types", p.type) if p.derived else F.col("type_id") == p.type)
         return df.select("id", F.col("valid").alias("_v"))
@@ -184,7 +188,7 @@ class _Plan:
         return kept(joined, "valid", iv.subtract_sql("valid", "_gone", self.g.axes), iv.some_sql("v")).drop("_gone")
 
     def property(self, p: Property, df: DataFrame, owner: str) -> DataFrame:
-        rows = self.g.props.where(F.col("path") == p.path).where(_hit(p, "value"))
+        rows = self.held(self.g.props.where(F.col("path") == p.path)).where(_hit(p, "value"))
         rows = rows.select(F.col("owner").alias("_o"), F.col("valid").alias("_v"), F.concat_ws("#", "owner", "path", F.expr(iv.display_sql("valid"))).alias("_id"))
         return self.meet(df.join(rows, F.col(owner) == F.col("_o")), "_id").drop("_o", "_id")
 
@@ -197,7 +201,7 @@ class _Plan:
         return out.withColumn("score", F.col("score") + F.col("_s")).drop("_o", "_id", "_s")
 
     def relation(self, p: Relation, df: DataFrame) -> DataFrame:
-        rels = self.g.rels
+        rels = self.held(self.g.rels)
         if p.type is not None:
             rels = rels.where(F.array_contains("types", p.type) if p.derived else F.col("type_id") == p.type)
         # what a relation's own row says needs no join: it holds for as long as the relation does

@@ -3,26 +3,41 @@
 from __future__ import annotations
 
 import json
+import tempfile
 import uuid
 from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.functions import intervals as iv
 from tessella.functions.temporal import of_json, to_json
 from tessella.operators import postings
 from tessella.operators.graph import NODES, PROPS, RELS, TEXTS, Graph, Timeline
 
-VERSION = 2
+VERSION = 3
 _TABLES = {"nodes": NODES, "rels": RELS, "props": PROPS, "texts": TEXTS}
 #: Tables that a bundle may have besides.
-_INDEX = {"postings": "term string, text_id string, tf bigint, positions array<int>", "lengths": "text_id string, n bigint"}
+_INDEX = {
+    "postings": "term string, text_id string, tf bigint, positions array<int>", "lengths": "text_id string, n bigint",
+    "words": "term string, text_id string, places array<struct<at:int,before:string,after:string>>",
+}
 
 
 class BundleError(ValueError):
     """A folder that is no bundle, or one that does not agree with its manifest."""
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder for bundles that a session keeps: under spark.checkpoint.dir, which all executors share; of this machine
+    where that is unset, in a local session alone."""
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not base and not context.master.startswith("local"):
+        raise BundleError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"{(base or tempfile.gettempdir()).rstrip('/')}/bundle-{uuid.uuid4().hex}"
+
+
 def _files(spark: SparkSession):
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     conf = spark.sparkContext._jsc.hadoopConfiguration()
@@ -42,8 +57,8 @@ def _state(df: DataFrame) -> list:
 def write(graph: Graph, folder: str, errors: int = 0, index: bool = True) -> None:
     """Writes to a sibling, reads it back to check it, then swaps it in; a target that is not a bundle is not replaced.
 
-    Graphs with errors are refused. index: keeps the texts' postings too. Properties are sorted by path and value, so that
-    a reader with a condition on one skips what cannot have it.
+    Graphs with errors are refused. index: keeps the texts' postings too. Nodes and relations are sorted by the buckets of
+    their times, so that a reader with a window skips what lies outside it; properties by path and value, for conditions.
     """
     if errors:
         raise BundleError(f"{errors} errors; no bundle is written")
@@ -53,9 +68,11 @@ def write(graph: Graph, folder: str, errors: int = 0, index: bool = True) -> Non
     if fs.exists(path(folder)):
         _manifest(spark, folder)
     staging, old = f"{folder}.{uuid.uuid4().hex}", f"{folder}.{uuid.uuid4().hex}"
-    states = {}
+    states, apart = {}, [t.axis for t in graph.timelines.values() if t.system == "pattern"]
     for name, schema in _TABLES.items():
-        df = getattr(graph, name).select(*_columns(spark, schema))
+        df = getattr(graph, name).select(*_columns(spark, schema)).selectExpr("*", *iv.bucket_sql("valid", apart))
+        if name in ("nodes", "rels"):
+            df = df.repartitionByRange("t_axis", "t_level", "t_bucket", df.columns[0]).sortWithinPartitions("t_axis", "t_level", "t_bucket", df.columns[0])
         if name == "props":
             df = df.repartitionByRange("path", "value.tag", "value.s", "value.i", "value.d", "owner").sortWithinPartitions("path", "value.tag", "value.s", "value.i", "value.d")
         df.write.parquet(f"{staging}/{name}")
@@ -95,7 +112,7 @@ def _manifest(spark: SparkSession, folder: str) -> dict:
 def read(spark: SparkSession, folder: str, check: bool = True) -> Graph:
     """The graph of a bundle. check: rows and digests agree with the manifest."""
     m = _manifest(spark, folder)
-    tables = {name: spark.read.schema(schema).parquet(f"{folder}/{name}") for name, schema in _TABLES.items()}
+    tables = {name: spark.read.schema(f"{schema}, {iv.BUCKET}").parquet(f"{folder}/{name}") for name, schema in _TABLES.items()}
     kept = {name: spark.read.schema(schema).parquet(f"{folder}/{name}") for name, schema in _INDEX.items() if name in m["tables"]}
     if check:
         for name, df in {**tables, **kept}.items():
@@ -105,6 +122,6 @@ def read(spark: SparkSession, folder: str, check: bool = True) -> Graph:
     return Graph(
         spark, tables["nodes"], tables["rels"], tables["props"], tables["texts"], {k: tuple(v) for k, v in m["node_types"].items()},
         {k: tuple(v) for k, v in m["rel_types"].items()}, {(a, b): c for a, b, c in m["properties"]}, endpoints, {t[0]: Timeline(*t[:3], Fraction(t[3]), Fraction(t[4]), *t[5:]) for t in m["timelines"]},
-        tuple(map(of_json, m["mappings"])), postings=kept.get("postings"), lengths=kept.get("lengths"),
+        tuple(map(of_json, m["mappings"])), postings=kept.get("postings"), lengths=kept.get("lengths"), words=kept.get("words"), bucketed=True,
     )
 

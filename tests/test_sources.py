@@ -29,7 +29,8 @@ def test_bundle(spark, railway, tmp_path):  # noqa: F811
     query = "MATCH (a:Stop)-[t:trackTo]->(b) WHERE t.length > 3 VALID ON Works AT 60 RETURN ID(a)"
     assert ids(back, query) == ids(g, query) == ["harbour"]
     assert back.postings is not None
-    for text in ("holidays", "trains OR holidays", "trai* here", "水車", '"closed on"', "waits"):  # by postings, but for the phrase
+    assert back.words is not None and back.bucketed
+    for text in ("holidays", "trains OR holidays", "trai* here", "水車", '"closed on"', '"losed o"', '" on"', '"on holidays."', '"n h" trains', '"closed" OR waits', '"closed  on"', "waits"):
         query = f"MATCH (s:Stop) WHERE FULLTEXT(s, '{text}') RETURN ID(s) AS id, SCORE() AS score ORDER BY id"
         assert rows_of(back, query).collect() == rows_of(g, query).collect()
     with pytest.raises(bundle.BundleError):
@@ -43,6 +44,65 @@ def test_bundle(spark, railway, tmp_path):  # noqa: F811
         bundle.write(g, str(tmp_path / "other"))
 
 
+def test_phrases_need_no_text(spark, tmp_path):
+    """By places of words: what a scan of the texts finds, without reading any."""
+    import random
+
+    from tessella.operators import postings
+
+    rng = random.Random(5)
+    words, signs = ["a", "ab", "aba", "b_a", "ÄB", "水", "9"], [" ", " ", ", ", "-", "\n", ""]
+    texts = [("".join(rng.choice(words) + rng.choice(signs) for _ in range(rng.randrange(12))),) for _ in range(300)] + [("",), ("..",), (None,)]
+    df = spark.createDataFrame([(str(i), *t) for i, t in enumerate(texts)], "text_id string, text string")
+    _, _, held = postings.build(df)
+    held.write.parquet(str(tmp_path / "words"))
+    held = spark.read.parquet(str(tmp_path / "words"))
+    for phrase in ("a", "ab", "b a", "a, b", ", a", "ab aba ab", "a a a", "ba-", "äb", "AB\nA", "水9", "a-b_a ", "a ab aba b"):
+        assert postings.phrase_parts(phrase)
+        got = {r[0] for r in postings.phrase_texts(held, phrase).collect()}
+        assert got == {str(i) for i, (t,) in enumerate(texts) if t and phrase.lower() in t.lower()}, phrase
+    assert postings.phrase_parts("..") == []
+    physical = postings.phrase_texts(held, "ab aba ab")._jdf.queryExecution().toString()
+    assert "EqualTo(term,aba)" in physical and "StringStartsWith(term,ab)" in physical and "text:" not in physical.split("ReadSchema")[-1]
+
+
+def test_windows_read_buckets(spark, tmp_path):
+    """A window becomes a filter of the scan; nothing that it has to find is ruled out."""
+    import random
+
+    from tessella.functions import intervals as iv
+    from tessella.functions.intervals import ANYTIME, Interval, IntervalSet
+    from tessella.operators.graph import Graph, NODES, PROPS, RELS, TEXTS, Timeline, meets
+
+    rng = random.Random(9)
+    sets = [ANYTIME, IntervalSet(), IntervalSet([Interval.of("t", 5, None)]), IntervalSet([Interval.of("t", None, -7)]), IntervalSet([Interval.of("u", 1, 2)]), IntervalSet([Interval.of("t", 1, 2), Interval.of("u", 1, 2)]), IntervalSet([Interval.of("p", 1, 2)])]
+    for _ in range(60):
+        lo, size = rng.randrange(-5000, 5000), rng.choice([0, 1, 3, 60, 900, 10**6, 2**50])
+        sets.append(IntervalSet([Interval.of("t", lo, lo + size, rng.random() < 0.5 or size == 0, True), *[Interval.of("t", lo + 2 * size, lo + 3 * size)] * (rng.random() < 0.2)]))
+    nodes = None
+    for i in range(0, len(sets), 50):
+        rows = " UNION ALL ".join(f"SELECT 'n{k}' AS id, 'T' AS type_id, array('T') AS types, 'Node' AS kind, CAST(NULL AS STRING) AS url, {s.sql()} AS valid, 'x' AS source" for k, s in enumerate(sets[i : i + 50], i))
+        nodes = spark.sql(rows) if nodes is None else nodes.unionByName(spark.sql(rows))
+    none = lambda schema: spark.createDataFrame([], schema)
+    g = Graph(spark, nodes, none(RELS), none(PROPS), none(TEXTS), {"T": ()}, timelines={a: Timeline(a, a, *(("pattern",) if a == "p" else ())) for a in "tup"})
+    assert nodes.schema.fieldNames() == spark.createDataFrame([], NODES).columns
+    bundle.write(g, str(tmp_path / "b"))
+    back = bundle.read(spark, str(tmp_path / "b"))
+    for lo, hi in ((0, 0), (-3, 40), (4999, 10**7), (-(2**40), -(2**39)), (17, None), (None, -4990)):
+        w = IntervalSet([Interval.of("t", lo, hi)])
+        kept = {r["id"] for r in back.candidates(back.nodes, w).select("id").collect()}
+        assert {f"n{k}" for k, s in enumerate(sets) if s.intersect(w)} <= kept
+        assert "n4" not in kept and "n6" in kept  # on another axis; one that recurs may come to lie on this
+        exact = {r["id"] for r in back.candidates(back.nodes, w).where(meets(w)).select("id").collect()}
+        assert exact == {f"n{k}" for k, s in enumerate(sets) if s.intersect(w)}
+    few = back.candidates(back.nodes, IntervalSet([Interval.of("t", 3, 3)]))
+    assert few.count() < len(sets) / 2
+    df = rows_of(back, "MATCH (n:T) VALID ON t AT 3 RETURN ID(n) AS id")
+    physical = df._jdf.queryExecution().toString()
+    assert "EqualTo(t_axis,t),EqualTo(t_level,0)" in physical.split("PushedFilters", 1)[1]
+    assert {r[0] for r in df.collect()} == {f"n{k}" for k, s in enumerate(sets) if s.universal or s.intersect(IntervalSet([Interval.of("t", 3, 3)]))} - ({"n0"} if "n0" not in {r[0] for r in rows_of(g, "MATCH (n:T) VALID ON t AT 3 RETURN ID(n) AS id").collect()} else set())
+
+
 def test_render(railway):  # noqa: F811
     g, _ = railway
     df = rows_of(g, "MATCH (s:Stop) WHERE s.tracks > 0 RETURN ID(s) AS id, s.tracks AS tracks, VALIDITY() AS v ORDER BY id")
