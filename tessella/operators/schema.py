@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, replace
 
@@ -77,8 +78,9 @@ def lookup(schemas: dict[str, dict[str, Schema]], types: Iterable[str], name: st
     return next((schemas[t][name] for t in types if name in schemas.get(t, ())), None)
 
 
-def normalise(raw, s: Schema | None, name: str, check: Callable[[str, object], object], problems: list[str]):
-    """A value as its schema has it, or raw values without one; None and a problem where it is of another kind.
+def normalise(raw, s: Schema | None, name: str, check: Callable[[str, object], object], problems):
+    """A value as its schema has it, or raw values without one; None and a problem where it is of another kind. problems
+    takes them by add(message, path from the value).
 
     check gives a coordinate of a timeline in its written form, and raises ValueError. Values that are not among the
     options are a problem but stay.
@@ -86,12 +88,12 @@ def normalise(raw, s: Schema | None, name: str, check: Callable[[str, object], o
     if s is None or s.kind is None or raw is None:
         return raw
 
-    def among(x, where: str) -> None:
+    def among(x, where: str, *path) -> None:
         if s.options is not None and canonical(x) not in s.options:
-            problems.append(f"{where} is none of the values of its enumeration")
+            problems.add(f"{where} is none of the values of its enumeration", path)
 
     def fail():
-        problems.append(f"{name} must be {s.kind}")
+        problems.add(f"{name} must be {s.kind}")
 
     if s.kind not in ("array", "text"):
         among(raw, name)
@@ -106,17 +108,18 @@ def normalise(raw, s: Schema | None, name: str, check: Callable[[str, object], o
             if not isinstance(raw, dict):
                 return fail()
             for k, v in raw.items():
-                among(v, f"{name}.{k}")
+                among(v, f"{name}.{k}", k)
             return raw
         case "array":
             if not isinstance(raw, list):
                 return fail()
             out = []
-            for x in raw:
+            for i, x in enumerate(raw):
                 timed = isinstance(x, dict) and "value" in x and set(x) <= {"value", "validTime"}
                 value = x["value"] if timed else x
-                among(value, f"{name}[]")
-                y = normalise(value, s.items, f"{name}[]", check, problems)
+                path = (i, "value") if timed else (i,)
+                among(value, f"{name}[]", *path)
+                y = normalise(value, s.items, f"{name}[]", check, problems.under(path))
                 if y is not None or value is None:
                     out.append({**x, "value": y} if timed else y)
             return out
@@ -126,7 +129,7 @@ def normalise(raw, s: Schema | None, name: str, check: Callable[[str, object], o
             try:
                 return check(str(line), value)
             except ValueError as e:
-                problems.append(f"{name}: {e}")
+                problems.add(f"{name}: {e}")
                 return None
         case "duration":
             if not isinstance(raw, dict) or "from" not in raw and "to" not in raw:
@@ -135,5 +138,32 @@ def normalise(raw, s: Schema | None, name: str, check: Callable[[str, object], o
             try:
                 return [None if raw.get(k) is None else check(str(line), raw[k]) for k in ("from", "to")]
             except ValueError as e:
-                problems.append(f"{name}: {e}")
+                problems.add(f"{name}: {e}")
                 return None
+
+
+def times_of(element) -> str | None:
+    """What tells the groups of an array's elements apart: the set of times that an element names, in any order; None of
+    one that names none."""
+    if not isinstance(element, dict) or "validTime" not in element or set(element) != {"value", "validTime"}:
+        return None
+    times = element["validTime"]
+    return json.dumps(sorted({json.dumps(t, sort_keys=True, default=str) for t in times} if isinstance(times, list) else [json.dumps(times, sort_keys=True, default=str)]))
+
+
+def merge_elements(below: list, above: list, times=times_of) -> list:
+    """The elements of two arrays: those of `above` take the place of the elements of `below` with the same times, where the
+    first of these stood; times that only one of both has keep their elements, those of `above` in the end. An empty
+    `above` leaves no element without times."""
+    new: dict = {} if above else {None: []}
+    for x in above:
+        new.setdefault(times(x), []).append(x)
+    out, done = [], set()
+    for x in below:
+        group = times(x)
+        if group not in new:
+            out.append(x)
+        elif group not in done:
+            out += new[group]
+            done.add(group)
+    return out + [x for group, xs in new.items() if group not in done for x in xs]

@@ -26,6 +26,7 @@ from tessella.operators import schema
 from tessella.operators.graph import Graph, Timeline
 from tessella.plans.syntax import QueryError
 from tessella.sources import yaml_subset as yaml
+from tessella.sources.places import KEY, Places, Problems
 
 KINDS = ("Node", "Media", "NodeType", "RelType", "Timeline")
 _ID = re.compile(r"[^\s/\\]+")
@@ -48,11 +49,21 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return files.where(F.col("text").rlike("^---[ \t]*\n")).dropDuplicates(["path"])
 
 
+_PARTS = re.compile(r"---[ \t]*\n(.*?)^(?:---|\.\.\.)[ \t]*(?:\n|\Z)(.*)\Z", re.S | re.M)
+
+
 def split(text: str) -> tuple[str, str] | None:
-    m = re.match(r"---[ \t]*\n(.*?)^(?:---|\.\.\.)[ \t]*(?:\n|\Z)(.*)\Z", text, re.S | re.M)
+    m = _PARTS.match(text)
     return (m[1], m[2]) if m else None
 
 
+def head_of(text: str) -> tuple[dict, Places]:
+    """The front matter of a text that has one, and where its parts stand; errors say where they are."""
+    m = _PARTS.match(text)
+    places = Places(*m.span(1))
+    return yaml.parse(m[1], places, m.start(1)), places
+
+
 def mask_code(body: str) -> str:
     """Code blanked, with all places kept, so that nothing in it counts as a directive."""
     out, fence, paragraph = [], None, False
@@ -79,7 +90,7 @@ class Inline:
     """`{k=v, k(key=en)=v, k(validTime=T(from=1, to=2))=v}` and what stands around it."""
 
     def __init__(self, text: str, at: int):
-        self.t, self.i = text, at
+        self.t, self.i, self.places = text, at, Places(at, len(text))
 
     def space(self):
         while self.i < len(self.t) and self.t[self.i].isspace():
@@ -104,61 +115,75 @@ class Inline:
         self.i = m.end()
         return m[0]
 
-    def value(self):
+    def value(self, path: tuple = ()):
         self.space()
+        start = self.i
         c = self.t[self.i : self.i + 1]
         if c == '"':
             m = re.compile(r'"(?:[^"\\]|\\.)*"', re.S).match(self.t, self.i)
             if not m:
                 raise yaml.YamlError("unclosed quote")
             self.i = m.end()
-            return yaml.unquote(m[0])
-        if c == "{":
-            return self.object()
-        if c == "[":
+            out = yaml.unquote(m[0])
+        elif c == "{":
+            out = self.object(path)
+        elif c == "[":
             self.i += 1
             out = []
             while not self.take("]"):
-                out.append(self.value())
+                out.append(self.value((*path, len(out))))
                 self.take(",")
-            return out
-        return yaml.scalar(self.word())
+        else:
+            out = yaml.scalar(self.word())
+        self.places.put(path, start, self.i)
+        return out
 
-    def times(self) -> list[dict]:
-        """`T(from=1, to=2)`, or several in brackets."""
+    def times(self, path: tuple = (), n: int = 0) -> list[dict]:
+        """`T(from=1, to=2)`, or several in brackets; the first is the n-th of its path."""
         if self.take("["):
             out = []
             while not self.take("]"):
-                out += self.times()
+                out += self.times(path, n + len(out))
                 self.take(",")
             return out
+        self.space()
+        start, here = self.i, (*path, n)
         entry = {"timeline": self.word()}
+        self.places.put((*here, "timeline"), start, self.i)
         self.need("(")
         while not self.take(")"):
             key = self.word()
             self.need("=")
-            entry[key] = self.value()
+            entry[key] = self.value((*here, key))
             self.take(",")
+        self.places.put(here, start, self.i)
         return [entry]
 
-    def options(self) -> dict:
+    def options(self, path: tuple = ()) -> dict:
         out: dict = {}
         if self.take("("):
             while not self.take(")"):
                 key = self.word()
                 self.need("=")
-                out[key] = self.times() if key == "validTime" else self.value()
+                out[key] = self.times((*path, key)) if key == "validTime" else self.value((*path, key))
                 self.take(",")
         return out
 
-    def object(self) -> dict:
+    def object(self, path: tuple = ()) -> dict:
         self.need("{")
         out: dict = {}
         while not self.take("}"):
+            self.space()
+            start = self.i
             key = self.word()
-            opts = self.options()
+            self.places.put((*path, key, KEY), start, self.i)
+            held = out.get(key)
+            # one more variant, if this is to be one
+            n = len(held) if isinstance(held, list) else int(key in out)
+            opts = self.options((*path, key, n))
             self.need("=")
-            value = self.value()
+            variant = "validTime" in opts or isinstance(held, list)
+            value = self.value((*path, key, str(opts["key"])) if "key" in opts else (*path, key, n, "value") if variant else (*path, key))
             if "key" in opts:
                 entry = out.setdefault(key, {})
                 entry[str(opts["key"])] = value
@@ -175,14 +200,14 @@ class Inline:
 
 @dataclass
 class Body:
-    props: list[tuple[dict, list | None]]
+    props: list[tuple[dict, list | None, Places]]
     links: list[dict]
     texts: list[tuple[str, str, list | None]]
-    problems: list[str]
+    problems: list[tuple[str, int, int]]
 
 
-def parse_body(body: str) -> Body:
-    """Directives and text fragments, each with the validTime of its innermost block."""
+def parse_body(body: str, base: int = 0) -> Body:
+    """Directives and text fragments, each with the validTime of its innermost block; places count from base."""
     masked = mask_code(body)
     out = Body([], [], [], [])
     lines = masked.split("\n")
@@ -193,7 +218,7 @@ def parse_body(body: str) -> Body:
     time_at: list[list | None] = []
     fenced: list[bool] = []
     stack: list[tuple[int, list | None, bool]] = []
-    for line in lines:
+    for line, begin in zip(lines, starts, strict=True):
         m = _FENCE.match(line)
         here = None
         if m:
@@ -206,7 +231,7 @@ def parse_body(body: str) -> Body:
                     try:
                         times = Inline(header, k + len("validTime=")).times()
                     except yaml.YamlError as e:
-                        out.problems.append(str(e))
+                        out.problems.append((str(e), base + begin + m.start(2), base + begin + m.end(2)))
                 stack.append((size, times, embed or bool(stack) and stack[-1][2]))
             elif stack and stack[-1][0] == size:
                 stack.pop()
@@ -227,19 +252,25 @@ def parse_body(body: str) -> Body:
         try:
             times = p.options().get("validTime", time_of(m.start()))
             if m[1] == "props":
-                out.props.append((p.object(), times))
+                made = p.object()
+                p.places.put((), m.start(), p.i)
+                out.props.append((made, times, p.places.moved(base)))
             else:
-                found = p.object() if body[p.i : p.i + 1] == "{" else {}
+                found = p.object(("props",)) if body[p.i : p.i + 1] == "{" else {}
                 p.need("[")
                 label = re.compile(r"((?:[^\]\\]|\\.)*)\]", re.S).match(body, p.i)
                 target = re.compile(r"\(\s*(\S+)(?:[ \t]+\"?([^\s\")]+)\"?)?\s*\)").match(body, label.end() if label else p.i)
                 if not label or not target:
                     raise yaml.YamlError("a link needs [label](target type)")
                 p.i = target.end()
-                out.links.append({"label": re.sub(r"\\([\]\\])", r"\1", label[1]), "target": target[1], "type": target[2], "props": found, "validTime": times, "at": m.start()})
+                p.places.put((), m.start(), p.i)
+                p.places.put(("target",), *target.span(1))
+                if target[2]:
+                    p.places.put(("type",), *target.span(2))
+                out.links.append({"label": re.sub(r"\\([\]\\])", r"\1", label[1]), "target": target[1], "type": target[2], "props": found, "validTime": times, "at": m.start(), "places": p.places.moved(base)})
             spans.append((m.start(), p.i))
         except yaml.YamlError as e:
-            out.problems.append(str(e))
+            out.problems.append((str(e), base + m.start(), base + max(p.i, m.end())))
 
     shown = list(body)
     for a, b in spans:
@@ -277,15 +308,19 @@ def parse_body(body: str) -> Body:
     return out
 
 
-def validity(times, timelines: dict[str, Timeline], problems: list[str]) -> iv.IntervalSet:
-    """No validTime holds anytime; entries of unknown timelines and reversed ranges are left out, and all of them left out is never."""
+def validity(times, timelines: dict[str, Timeline], problems: Problems) -> iv.IntervalSet:
+    """No validTime holds anytime; entries of unknown timelines and reversed ranges are left out, and all of them left out is never.
+
+    problems looks at the validTime.
+    """
     if times is None:
         return iv.ANYTIME
     out = []
-    for e in times if isinstance(times, list) else [times]:
+    for n, e in enumerate(times if isinstance(times, list) else [times]):
         t = timelines.get(str(e.get("timeline"))) if isinstance(e, dict) else None
+        where = (n,) if isinstance(times, list) else ()
         if t is None:
-            problems.append(f"unknown timeline {e.get('timeline') if isinstance(e, dict) else e}")
+            problems.add(f"unknown timeline {e.get('timeline') if isinstance(e, dict) else e}", (*where, "timeline"))
             continue
         try:
             lo, hi = (None if e.get(k) is None else temporal.span(t, e[k]) for k in ("from", "to"))
@@ -295,7 +330,7 @@ def validity(times, timelines: dict[str, Timeline], problems: list[str]) -> iv.I
                     hi = replace(hi, lo=hi.lo + 10_000, hi=hi.hi + 10_000)  # the end lies in the next year
             out.append(temporal.interval(t.axis, lo, hi))
         except (QueryError, ValueError) as x:
-            problems.append(str(x))
+            problems.add(str(x), where)
     return iv.IntervalSet(out)
 
 
@@ -309,49 +344,63 @@ def _validity_json(s: iv.IntervalSet) -> dict:
     return {"universal": s.universal, "ivs": [{"axis": i.axis, "lo": cut(i.lo), "hi": cut(i.hi)} for i in s.ivs]}
 
 
-def expand(path: str, raw, inherited) -> Iterator[tuple[str, object, object, bool]]:
-    """(path, value, validTime, fallback): variants of a property and the members of nested values."""
+def expand(path: str, raw, inherited, at: tuple = ()) -> Iterator[tuple[str, object, object, bool, tuple | None]]:
+    """(path, value, validTime, fallback, place): variants of a property and the members of nested values; place: the path in
+    the document of a validTime that is not inherited."""
     variants = isinstance(raw, list) and raw and all(isinstance(x, dict) and "value" in x for x in raw)
-    for entry in raw if variants else [{"value": raw}]:
+    for n, entry in enumerate(raw if variants else [{"value": raw}]):
         timed = entry.get("validTime") is not None
         times, value = entry.get("validTime", inherited), entry["value"]
-        yield path, value, times, not timed
+        place = (*at, n, "validTime") if timed else None
+        yield path, value, times, not timed, place
         members = value.items() if isinstance(value, dict) else enumerate(value) if isinstance(value, list) else ()
         for k, v in members:
-            for p, x, t, f in expand(f"{path}.{k}", v, times):
-                yield p, x, t, f and not timed
+            for p, x, t, f, q in expand(f"{path}.{k}", v, times, (*at, n, "value", k) if variants else (*at, k)):
+                yield p, x, t, f and not timed, q or place
 
 
-def normalised(raw, s: schema.Schema | None, name: str, check, problems: list[str]):
+def normalised(raw, s: schema.Schema | None, name: str, check, problems: Problems):
     """A property as its schema has it: each variant, or the one value; None where nothing is left."""
     variants = isinstance(raw, list) and raw and all(isinstance(x, dict) and "value" in x for x in raw)
     if variants and (s is None or s.kind != "array"):
         out = []
-        for x in raw:
-            value = schema.normalise(x["value"], s, name, check, problems)
+        for i, x in enumerate(raw):
+            value = schema.normalise(x["value"], s, name, check, problems.under((i, "value")))
             if value is not None or x["value"] is None:
                 out.append({**x, "value": value})
         return out or None
     return schema.normalise(raw, s, name, check, problems)
 
 
+def expand_elements(path: str, elements: list[tuple[object, Problems]], inherited) -> Iterator[tuple]:
+    """An array and its elements as expand() gives them, with the mistakes of each element's own time in place of a path."""
+    timed = [schema.times_of(x) is not None for x, _ in elements]
+    values = [x["value"] if t or isinstance(x, dict) and set(x) == {"value"} else x for (x, _), t in zip(elements, timed, strict=True)]
+    yield path, values, inherited, True, None
+    for i, ((x, where), t, value) in enumerate(zip(elements, timed, values, strict=True)):
+        for n, (p, v, times, fallback, q) in enumerate(expand(f"{path}.{i}", value, x["validTime"] if t else inherited)):
+            yield p, v, times, not t and fallback, where.under(("validTime",)) if t and (n == 0 or q is None) else None
+
+
 def _rows(path: str, text: str, graph: dict) -> Iterator[tuple[str, dict]]:
-    parts = split(text)
-    if parts is None:
-        yield "diagnostic", said(path, "error", "no front matter", text)
+    m = _PARTS.match(text)
+    if m is None:
+        end = text.find("\n")
+        yield "diagnostic", said(path, "error", "no front matter", text, 0, len(text) if end < 0 else end)
         return
-    problems: list[str] = []
     try:
-        head = yaml.parse(parts[0])
+        head, places = head_of(text)
     except yaml.YamlError as e:
-        yield "diagnostic", said(path, "error", str(e), text)
+        yield "diagnostic", said(path, "error", str(e), text, *(e.span or m.span(1)))
         return
     kind, ident = head.get("kind", "Node"), str(head.get("id") or "")
     if kind not in KINDS or not _ID.fullmatch(ident):
-        yield "diagnostic", said(path, "error", f"unknown kind {kind}" if kind not in KINDS else "an id is needed", text)
+        wrong = (f"unknown kind {kind}", ("kind",)) if kind not in KINDS else ("an id is needed", ("id",))
+        yield "diagnostic", said(path, "error", wrong[0], text, *places.find(wrong[1]))
         return
     if kind not in ("Node", "Media"):
         return
+    top = Problems(places)
     timelines, types, rel_types, schemas = graph["timelines"], graph["node_types"], graph["rel_types"], graph["schemas"]
 
     def check(line: str, value) -> object:
@@ -364,56 +413,86 @@ def _rows(path: str, text: str, graph: dict) -> Iterator[tuple[str, dict]]:
             raise ValueError(str(e)) from None
         return value if at.point and not isinstance(value, str) else str(value)
 
+    def place(what: str, key: str, start: int, end: int) -> tuple[str, dict]:
+        return "place", {"what": what, "id": key, "source": path, "line": text.count("\n", 0, start) + 1, "start": start, "end": end}
+
     own = str(head.get("type") or kind)
     if own not in types and own not in KINDS:
-        problems.append(f"unknown type {own}")
+        top.add(f"unknown type {own}", ("type",))
     up = types.get(own, (own,))
     times = head.get("validTime")
-    body = parse_body(parts[1])
-    problems += body.problems
-    yield "node", {"id": ident, "type_id": own, "types": list(up), "kind": kind, "url": head.get("url"), "valid": _validity_json(validity(times, timelines, problems)), "source": path}
+    when_whole = top.under(("validTime",))
+    body = parse_body(m[2], m.start(2))
+    top.found += body.problems
+    yield "node", {"id": ident, "type_id": own, "types": list(up), "kind": kind, "url": head.get("url"), "valid": _validity_json(validity(times, timelines, when_whole)), "source": path}
+    yield place("node", ident, *places.find(("id",)))
     merged: dict[str, list] = {}
+    arrays: dict[tuple[str, str], list] = {}
     seen: set[str] = set()
-    for source, inherited in (*((p, t if t is not None else times) for p, t in body.props), (head.get("props") or {}, times)):
+
+    def add(p: str, x, t, fallback: bool, where: Problems) -> None:
+        # the body overrides the front matter where both set the same path for the same set of times
+        key = json.dumps(sorted(json.dumps(e, sort_keys=True, default=str) for e in t) if isinstance(t, list) and not fallback else None)
+        merged.setdefault(f"{p}\0{key}", [p, fields_of(x), t, fallback, where])
+
+    sources = [(p, t if t is not None else times, top.under((), q)) for p, t, q in body.props]
+    for layer, (source, inherited, here) in enumerate((*sources, (head.get("props") or {}, times, top.under(("props",)))), 1):
         for name, raw in source.items():
             seen.add(name)
             s = schema.lookup(schemas, up, name)
             if s is None and any(t in schemas for t in up):
-                problems.append(f"unknown property {name}")
-            value = normalised(raw, s, name, check, problems)
+                here.add(f"unknown property {name}", (name, KEY))
+            mine = here.under((name,))
+            value = normalised(raw, s, name, check, mine)
             if value is None and raw is not None:
                 continue
-            for p, x, t, fallback in expand(name, value, inherited):
-                # the body overrides the front matter where both set the same path for the same set of times
-                key = json.dumps(sorted(json.dumps(e, sort_keys=True, default=str) for e in t) if isinstance(t, list) and not fallback else None)
-                merged.setdefault(f"{p}\0{key}", [p, fields_of(x), t, fallback])
-    problems += [f"missing property {n}" for t in up for n, s in schemas.get(t, {}).items() if s.required and n not in seen and t == own]
-    for p, value, t, fallback in merged.values():
-        yield "prop", {"owner": ident, "path": p, "value": value, "valid": _validity_json(validity(t, timelines, problems)), "fallback": fallback}
+            if s is not None and s.kind == "array" and isinstance(value, list):
+                elements = [(x, mine.under((i,))) for i, x in enumerate(value)]
+                group = arrays.setdefault((name, json.dumps(inherited, sort_keys=True, default=str)), [inherited, []])
+                group[1].append((layer if layer <= len(sources) else 0, elements))  # the front matter lies below
+                continue
+            for p, x, t, fallback, q in expand(name, value, inherited):
+                add(p, x, t, fallback, mine.under(q) if q else when_whole)
+    for (name, _), (inherited, layers) in arrays.items():
+        (_, whole), *above_it = sorted(layers, key=lambda x: x[0])
+        for _, above in above_it:
+            whole = schema.merge_elements(whole, above, lambda e: schema.times_of(e[0]))
+        for p, x, t, fallback, where in expand_elements(name, whole, inherited):
+            add(p, x, t, fallback, where or when_whole)
+    for t in up:
+        for n, s in schemas.get(t, {}).items():
+            if s.required and n not in seen and t == own:
+                top.add(f"missing property {n}", ("id",))
+    for p, value, t, fallback, where in merged.values():
+        yield "prop", {"owner": ident, "path": p, "value": value, "valid": _validity_json(validity(t, timelines, where)), "fallback": fallback}
     n = 0
     if not any(k == "TITLE" for k, _, _ in body.texts) and head.get("title"):
         body.texts.insert(0, ("TITLE", str(head["title"]), None))
     for k, t, when in body.texts:
-        valid = validity(when if when is not None else times, timelines, problems)
+        valid = validity(when if when is not None else times, timelines, when_whole)
         yield "text", {"text_id": f"{ident}#{n:05d}", "owner": ident, "kind": k, "path": None, "text": t, "valid": _validity_json(valid)}
         n += 1
-    links = [{**x, "key": f"{ident}@{x['at']}"} for x in body.links]
+    links = [{**x, "key": f"{ident}@{x['at']}", "here": top.under((), x["places"])} for x in body.links]
     for i, x in enumerate(head.get("relations") or []):
-        links.append({"label": x.get("label"), "target": x.get("target"), "type": x.get("type"), "props": x.get("props") or {}, "validTime": x.get("validTime"), "key": f"{ident}!{i}"})
+        links.append({"label": x.get("label"), "target": x.get("target"), "type": x.get("type"), "props": x.get("props") or {}, "validTime": x.get("validTime"), "key": f"{ident}!{i}", "here": top.under(("relations", i))})
     for x in links:
-        kind_ = str(x["type"] or "")
+        kind_, here = str(x["type"] or ""), x["here"]
         if kind_ not in rel_types:
-            problems.append(f"unknown relation type {kind_}")
+            here.add(f"unknown relation type {kind_}", ("type",))
         when = x["validTime"] if x["validTime"] is not None else times
-        yield "rel", {"rel_id": x["key"], "src": ident, "dst": str(x["target"]), "type_id": kind_, "types": list(rel_types.get(kind_, (kind_,))), "label": x["label"], "valid": _validity_json(validity(when, timelines, problems)), "source": path}
+        whole = here.under(("validTime",)) if x["validTime"] is not None else when_whole
+        yield "rel", {"rel_id": x["key"], "src": ident, "dst": str(x["target"]), "type_id": kind_, "types": list(rel_types.get(kind_, (kind_,))), "label": x["label"], "valid": _validity_json(validity(when, timelines, whole)), "source": path}
+        yield place("rel", x["key"], *here.places.find(here.path))
+        yield place("dst", x["key"], *here.places.find((*here.path, "target")))
         for name, raw in x["props"].items():
-            value = normalised(raw, schema.lookup(schemas, rel_types.get(kind_, (kind_,)), name), name, check, problems)
+            mine = here.under(("props", name))
+            value = normalised(raw, schema.lookup(schemas, rel_types.get(kind_, (kind_,)), name), name, check, mine)
             if value is None and raw is not None:
                 continue
-            for p, v, t, fallback in expand(name, value, when):
-                yield "prop", {"owner": x["key"], "path": p, "value": fields_of(v), "valid": _validity_json(validity(t, timelines, problems)), "fallback": fallback}
-    for m in problems:
-        yield "diagnostic", said(path, "warning", m, text)
+            for p, v, t, fallback, q in expand(name, value, when):
+                yield "prop", {"owner": x["key"], "path": p, "value": fields_of(v), "valid": _validity_json(validity(t, timelines, mine.under(q) if q else whole)), "fallback": fallback}
+    for message, start, end in dict.fromkeys(top.found):
+        yield "diagnostic", said(path, "warning", message, text, start, end)
 
 
 #: The categories of diagnostics, by what a message begins with or holds.
@@ -424,19 +503,13 @@ CATEGORIES = (
 )
 
 
-def said(path: str, severity: str, message: str, text: str = "") -> dict:
-    """A diagnostic with its category and the line of the first name in it that the document holds (1 where none does)."""
+def said(path: str, severity: str, message: str, text: str, start: int, end: int) -> dict:
+    """A diagnostic with its category and the stretch of the document, in code points, that it is about."""
     category = next((c for k, c in CATEGORIES if k in message), "SyntaxError")
-    line = 1
-    for word in reversed(re.findall(r"[^\s'\"]+", message)):
-        at = text.find(word)
-        if len(word) > 2 and at >= 0:
-            line = text.count("\n", 0, at) + 1
-            break
-    return {"path": path, "severity": severity, "message": message, "category": category, "line": line}
+    return {"path": path, "severity": severity, "message": message, "category": category, "line": text.count("\n", 0, start) + 1, "start": start, "end": end}
 
 
-def _system(head: dict, problems: list[str]) -> tuple[str, dict]:
+def _system(head: dict, problems: Problems) -> tuple[str, dict]:
     """The coordinate system of a timeline document and what it needs to know."""
     c = head.get("coordinate", "number")
     spec = {"kind": c} if isinstance(c, str) else dict(c)
@@ -445,7 +518,7 @@ def _system(head: dict, problems: list[str]) -> tuple[str, dict]:
         return ("julian" if spec.get("calendar") == "julian" else "gregorian"), spec
     if kind != "calendar-pattern":
         if kind not in ("number", "gregorian", "julian", "frame", "timecode", "era"):
-            problems.append(f"unknown coordinate {kind}")
+            problems.add(f"unknown coordinate {kind}", ("coordinate", "kind"))
             kind = "number"
         return kind, spec
     fields = [str(f) for f in spec.get("fields") or []]
@@ -453,7 +526,7 @@ def _system(head: dict, problems: list[str]) -> tuple[str, dict]:
     wrong = not fields or set(fields) - set(temporal.FIELDS) or bool({"year", "weekYear"} & set(fields)) == bool(repeats)
     wrong = wrong or "day" in fields and "month" not in fields or {"week", "weekYear"} & set(fields) and {"year", "month", "day", "quarter"} & set(fields)
     if wrong or repeats and set(fields) not in ({"month", "day"}, {"month"}, {"quarter"}):
-        problems.append(f"coordinate fields {fields} do not go together")
+        problems.add(f"coordinate fields {fields} do not go together", ("coordinate", "fields"))
     return ("pattern" if repeats else "dates"), spec | {"fields": fields}
 
 
@@ -461,11 +534,11 @@ def _times(x) -> list:
     return x if isinstance(x, list) else [] if x is None else [x]
 
 
-def _mapping(ident: str, m: dict, known: dict[str, Timeline], problems: list[str]) -> temporal.Mapping | None:
+def _mapping(ident: str, m: dict, known: dict[str, Timeline], problems: Problems) -> temporal.Mapping | None:
     """A map of a timeline document; its coordinates are those of the timelines at its two ends."""
     other = str(m.get("timeline") or m.get("to"))
     if other not in known:
-        problems.append(f"unknown timeline {other}")
+        problems.add(f"unknown timeline {other}", ("timeline" if m.get("timeline") else "to",))
         return None
     a, b = known[ident], known[other]
 
@@ -494,42 +567,56 @@ def _mapping(ident: str, m: dict, known: dict[str, Timeline], problems: list[str
             tuple((k, v) for k, v in told.items() if v is not None),
         )
     except (QueryError, ValueError, KeyError, AttributeError) as e:
-        problems.append(f"mapsTo {other}: {e}")
+        problems.add(f"mapsTo {other}: {e}")
         return None
     if out.precision not in temporal.PRECISION:
-        problems.append(f"unknown precision {out.precision}")
+        problems.add(f"unknown precision {out.precision}", ("precision",))
         return None
-    problems += [f"traits of mapsTo {other}: {x} is more than the map gives" for x in out.traits()[1]]
+    for x in out.traits()[1]:
+        problems.add(f"traits of mapsTo {other}: {x} is more than the map gives", ("traits",))
     return out
 
 
-def catalogs(docs: DataFrame) -> tuple[dict, list[tuple[str, str]]]:
-    """Types and timelines out of the documents that declare them; only those reach the driver.
+@dataclass
+class _Declared:
+    """A document that declares a type or a timeline."""
+
+    path: str
+    text: str
+    head: dict
+    problems: Problems
+
+
+def catalogs(docs: DataFrame) -> tuple[dict, list[dict]]:
+    """Types and timelines out of the documents that declare them, and diagnostics; only these documents reach the driver.
 
     Ids that stand more than once among the documents of a kind are left out. A timeline lies on its own axis, or with
     sameAxisAs or derivedFrom on another's; derivedFrom may have a scale and an offset: coordinate = parent's * scale +
     offset. An era counts the days of its parent's calendar.
     """
     out: dict = {"node_types": {}, "rel_types": {}, "timelines": {}, "properties": {}, "endpoints": {}}
-    problems: list[tuple[str, str]] = []
+    diagnostics: list[dict] = []
     rows = docs.where(F.col("text").rlike(r"(?m)^kind:\s*(NodeType|RelType|Timeline)\s*(#.*)?$")).orderBy("path").toLocalIterator()
-    heads: dict[tuple[str, str], list[tuple[str, dict]]] = {}
+    heads: dict[tuple[str, str], list[_Declared]] = {}
     for r in rows:
-        parts = split(r["text"])
+        if split(r["text"]) is None:
+            continue
         try:
-            head = yaml.parse(parts[0]) if parts else {}
-        except yaml.YamlError as e:
-            problems.append((r["path"], str(e)))
+            head, places = head_of(r["text"])
+        except yaml.YamlError:  # said where the documents are parsed
             continue
         if head.get("kind") in ("NodeType", "RelType", "Timeline") and _ID.fullmatch(str(head.get("id") or "")):
-            heads.setdefault((head["kind"], str(head["id"])), []).append((r["path"], head))
-    problems += [(path, f"duplicate id {ident}") for (_, ident), xs in heads.items() if len(xs) > 1 for path, _ in xs]
+            heads.setdefault((head["kind"], str(head["id"])), []).append(_Declared(r["path"], r["text"], head, Problems(places)))
+    for (_, ident), xs in heads.items():
+        for x in xs if len(xs) > 1 else ():
+            x.problems.add(f"duplicate id {ident}", ("id",))
     single = {k: xs[0] for k, xs in heads.items() if len(xs) == 1}
     own: dict[str, dict] = {"NodeType": {}, "RelType": {}}
-    lines: dict[str, tuple[str, dict]] = {}
-    for (kind, ident), (path, head) in single.items():
+    lines: dict[str, _Declared] = {}
+    for (kind, ident), x in single.items():
+        head = x.head
         if kind == "Timeline":
-            lines[ident] = (path, head)
+            lines[ident] = x
             continue
         out["node_types" if kind == "NodeType" else "rel_types"][ident] = tuple(map(str, _times(head.get("extends"))))
         own[kind][ident] = {str(k): schema.Schema.of(v) for k, v in (head.get("props") or {}).items()}
@@ -540,15 +627,19 @@ def catalogs(docs: DataFrame) -> tuple[dict, list[tuple[str, str]]]:
     for kind, key in (("NodeType", "node_types"), ("RelType", "rel_types")):
         above = ops.ancestors(out[key])
         for t, ups in out[key].items():
-            problems += [(single[kind, t][0], f"unknown type {u}") for u in ups if u not in out[key]]
+            mine = single[kind, t].problems.under(("extends",))
+            for i, u in enumerate(ups):
+                if u not in out[key]:
+                    mine.add(f"unknown type {u}", (i,))
             if ups and not above[t] and any(u in out[key] for u in ups):
-                problems.append((single[kind, t][0], f"{t} extends itself"))
+                mine.add(f"{t} extends itself")
         schemas, found = schema.resolve({t: ups if above[t] else () for t, ups in out[key].items()}, own[kind], above)
         out["schemas"] |= schemas
-        problems += [(single[kind, t][0], m) for t, m in found]
+        for t, m in found:
+            single[kind, t].problems.add(m, ("props", m.split()[1]))  # "property <name> ..."
         for t, ps in own[kind].items():
             out["properties"][t] = {p: s.kind or "any" for p, s in ps.items()}
-    _narrow_ends(out, problems, {t: p for (_, t), (p, _) in single.items()})
+    _narrow_ends(out, {t: x.problems for (kind, t), x in single.items() if kind == "RelType"})
 
     known = out["timelines"]
 
@@ -558,15 +649,14 @@ def catalogs(docs: DataFrame) -> tuple[dict, list[tuple[str, str]]]:
             return known[ident]
         if ident not in lines or ident in seen:
             return None
-        path, head = lines[ident]
-        wrong: list[str] = []
+        head, wrong = lines[ident].head, lines[ident].problems
         system, spec = _system(head, wrong)
         derived = head.get("derivedFrom")
         derived = derived if isinstance(derived, dict) else {"timeline": derived} if derived else {}
         other = head.get("sameAxisAs") or derived.get("timeline")
         parent = timeline(str(other), (*seen, ident)) if other else None
         if other and parent is None:
-            wrong.append(f"unknown timeline {other}")
+            wrong.add(f"unknown timeline {other}", ("sameAxisAs",) if head.get("sameAxisAs") else ("derivedFrom", "timeline"))
         axis, scale, offset, real = parent.axis if parent else ident, Fraction(1), Fraction(str(head.get("offset") or 0)), None
         if derived and system == "number" and parent:
             k = Fraction(str(derived.get("scale", 1))) or Fraction(1)
@@ -579,35 +669,37 @@ def catalogs(docs: DataFrame) -> tuple[dict, list[tuple[str, str]]]:
             known[ident] = Timeline(ident, axis, system, scale, offset, real, json.dumps(spec, sort_keys=True, default=str))
             temporal.system_of(known[ident])
         except (KeyError, TypeError, ValueError) as e:
-            wrong.append(f"unknown coordinate of {ident}: {e}")
+            wrong.add(f"unknown coordinate of {ident}: {e}", ("coordinate",))
             known[ident] = Timeline(ident, axis)
-        problems.extend((path, m) for m in wrong)
         return known[ident]
 
     maps: list[temporal.Mapping] = []
     edges = []
     for ident in lines:
         timeline(ident)
-    for ident, (path, head) in lines.items():
-        wrong = []
-        for m in _times(head.get("mapsTo")):
-            one = _mapping(ident, m if isinstance(m, dict) else {"timeline": m}, known, wrong)
+    for ident, x in lines.items():
+        several = isinstance(x.head.get("mapsTo"), list)
+        for i, m in enumerate(_times(x.head.get("mapsTo"))):
+            one = _mapping(ident, m if isinstance(m, dict) else {"timeline": m}, known, x.problems.under(("mapsTo", i) if several else ("mapsTo",)))
             maps += [one] if one else []
-        for m in _times(head.get("mappings")):
+        several = isinstance(x.head.get("mappings"), list)
+        for i, m in enumerate(_times(x.head.get("mappings"))):
             ends = (ident, str(m["to"])) if m.get("to") else (str(m.get("from")), ident)
             if not set(ends) <= set(known):
-                wrong.append(f"unknown timeline {ends[0] if ends[1] == ident else ends[1]}")
+                x.problems.add(f"unknown timeline {ends[0] if ends[1] == ident else ends[1]}", (*(("mappings", i) if several else ("mappings",)), "to" if m.get("to") else "from"))
             else:
                 edges.append((*ends, Fraction(str(m.get("offset", 0)))))
-        problems.extend((path, m) for m in wrong)
-    unlike = temporal.offsets(edges)[1]
-    problems += [(lines[a][0], f"offset from {a} to {b} differs by the way that is taken") for a, b in unlike]
+    for a, b in temporal.offsets(edges)[1]:
+        lines[a].problems.add(f"offset from {a} to {b} differs by the way that is taken", ("mappings",))
     maps += [temporal.Mapping(known[a].axis, known[b].axis, offset=k) for a, b, k in edges if known[a].axis != known[b].axis]
     out["mappings"] = tuple(maps)
-    return out, problems
+    for xs in heads.values():
+        for x in xs:
+            diagnostics += [said(x.path, "error", message, x.text, start, end) for message, start, end in dict.fromkeys(x.problems.found)]
+    return out, diagnostics
 
 
-def _narrow_ends(out: dict, problems: list, paths: dict) -> None:
+def _narrow_ends(out: dict, problems: dict[str, Problems]) -> None:
     """A relation type's ends lie within those of the types above it."""
     above = ops.ancestors(out["rel_types"])
     types = {t: {t, *up} for t, up in ops.ancestors(out["node_types"]).items()}
@@ -619,13 +711,14 @@ def _narrow_ends(out: dict, problems: list, paths: dict) -> None:
                 if mine is None:
                     mine = theirs
                 elif theirs is not None and not all(types.get(x, {x}) & set(theirs) for x in mine):
-                    problems.append((paths[t], f"ends of {t} do not narrow those of {up}"))
+                    problems[t].add(f"ends of {t} do not narrow those of {up}", (("sources", "targets")[i],))
             merged.append(mine)
         out["endpoints"][t] = tuple(merged)
 
 
 def load(docs: DataFrame) -> tuple[Graph, DataFrame]:
-    """The graph of documents (path, text), and diagnostics (path, severity, message).
+    """The graph of documents (path, text), and diagnostics (path, severity, message, category, line, start, end): start and
+    end in code points of the document.
 
     Ids that stand more than once among nodes are left out, each with a diagnostic; relations to unknown nodes stay, and
     match nothing; relations between nodes of other types than theirs are diagnosed and kept. Properties become texts
@@ -633,7 +726,7 @@ def load(docs: DataFrame) -> tuple[Graph, DataFrame]:
     long as the session lives or until release().
     """
     spark = docs.sparkSession
-    cat, problems = catalogs(docs)
+    cat, declared_badly = catalogs(docs)
     closed = {
         "timelines": cat["timelines"],
         "node_types": {t: (t, *up) for t, up in ops.ancestors(cat["node_types"]).items()},
@@ -653,30 +746,35 @@ def load(docs: DataFrame) -> tuple[Graph, DataFrame]:
         return parsed.where(F.col("table") == name).select(F.from_json("json", schema).alias("x")).select("x.*")
 
     nodes = table("node", ops.NODES)
-    shape = "path string, severity string, message string, category string, line int"
+    shape = "path string, severity string, message string, category string, line int, start int, end int"
     found = table("diagnostic", shape)
+    places = table("place", "what string, id string, source string, line int, start int, end int")
+
+    def note(df: DataFrame, what: str, severity: str, message, category: str) -> DataFrame:
+        """Diagnostics of (id, source) at what their documents hold under the id."""
+        at = places.where(F.col("what") == what).drop("what")
+        shown = [F.col("source").alias("path"), F.lit(severity).alias("severity"), message.alias("message"), F.lit(category).alias("category"), "line", "start", "end"]
+        return df.join(at, ["id", "source"]).select(*shown)
+
     twice = ops.duplicate_ids(nodes.select(F.lit("Node").alias("kind"), "id"))
-    note = lambda df, severity, message, category: df.select(F.col("source").alias("path"), F.lit(severity).alias("severity"), message.alias("message"), F.lit(category).alias("category"), F.lit(1).alias("line"))
-    bad = note(nodes.join(twice.select("id"), "id"), "error", F.concat(F.lit("duplicate id "), "id"), "DuplicateId")
+    bad = note(nodes.join(twice.select("id"), "id"), "node", "error", F.concat(F.lit("duplicate id "), "id"), "DuplicateId")
     nodes = nodes.join(twice.select("id"), "id", "left_anti").select(*nodes.columns)
     rels = table("rel", ops.RELS)
     props = ops.resolve_fallbacks(table("prop", ops.PROPS), list(dict.fromkeys(t.axis for t in cat["timelines"].values())))
     texts = table("text", ops.TEXTS)
     texts = texts.unionByName(ops.derived_texts(props, rels))
     diagnostics = found.unionByName(bad)
-    if problems:
-        rows = [tuple(said(p, "error", m).values()) for p, m in problems]
-        diagnostics = diagnostics.unionByName(spark.createDataFrame(rows, shape))
+    if declared_badly:
+        diagnostics = diagnostics.unionByName(spark.createDataFrame([tuple(x.values()) for x in declared_badly], shape))
     declared = {(t, p): k for t, ps in cat["properties"].items() for p, k in ps.items()}
     g = Graph(spark, nodes, rels, props, texts, cat["node_types"], cat["rel_types"], declared, cat["endpoints"], cat["timelines"], cat["mappings"])
-    lost = ops.dangling(g).join(rels.select("rel_id", "source"), "rel_id")
-    diagnostics = diagnostics.unionByName(note(lost, "warning", F.concat("rel_id", F.lit(": "), "end", F.lit(" is no node")), "ReferenceError"))
+    of = lambda df: df.join(rels.select("rel_id", "source"), "rel_id").withColumnRenamed("rel_id", "id")
+    diagnostics = diagnostics.unionByName(note(of(ops.dangling(g)).withColumnRenamed("end", "end_of"), "dst", "warning", F.concat("id", F.lit(": "), "end_of", F.lit(" is no node")), "ReferenceError"))
     for t, ends in cat["endpoints"].items():
         if ends != (None, None):
-            unfit = ops.endpoint_errors(g, t).join(rels.select("rel_id", "source"), "rel_id")
-            diagnostics = diagnostics.unionByName(note(unfit, "warning", F.concat("rel_id", F.lit(f": {t} joins nodes of other types")), "ConstraintError"))
+            diagnostics = diagnostics.unionByName(note(of(ops.endpoint_errors(g, t)), "rel", "warning", F.concat("id", F.lit(f": {t} joins nodes of other types")), "ConstraintError"))
     g.parsed = parsed
-    return g, diagnostics.orderBy("path", "severity", "message")
+    return g, diagnostics
 
 
 def release(graph: Graph) -> None:

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import re
 
+from tessella.sources.places import KEY, Places
+
 
 class YamlError(ValueError):
-    pass
+    """span: where in the text, if that is known."""
+
+    span: tuple[int, int] | None = None
 
 
 _INT, _NUM = re.compile(r"[-+]?\d+"), re.compile(r"[-+]?(\d+\.\d*|\.\d+|\d+(?=[eE]))([eE][-+]?\d+)?")
@@ -67,38 +71,48 @@ def split_key(text: str) -> tuple[str, str] | None:
 
 
 class _Flow:
-    def __init__(self, text: str):
-        self.t, self.i = text, 0
+    def __init__(self, text: str, places: Places | None = None, base: int = 0):
+        self.t, self.i, self.places, self.base = text, 0, places, base
+
+    def put(self, path: tuple, start: int, end: int) -> None:
+        if self.places is not None:
+            self.places.put(path, self.base + start, self.base + end)
 
     def space(self):
         while self.i < len(self.t) and self.t[self.i].isspace():
             self.i += 1
 
-    def value(self):
+    def value(self, path: tuple = ()):
         self.space()
+        start = self.i
         c = self.t[self.i : self.i + 1]
         if c == "[":
-            return self.many("]", lambda out: out.append(self.value()), [])
-        if c == "{":
-            return self.many("}", self.pair, {})
-        if c in ('"', "'") and c:
+            out = self.many("]", lambda held: held.append(self.value((*path, len(held)))), [])
+        elif c == "{":
+            out = self.many("}", lambda held: self.pair(held, path), {})
+        elif c in ('"', "'") and c:
             end = self.i + 1
             while end < len(self.t) and not (self.t[end] == c and not (c == '"' and self.t[end - 1] == "\\")):
                 end += 1
             raw, self.i = self.t[self.i : end + 1], end + 1
-            return unquote(raw)
-        m = re.compile(r"[^,\[\]{}]*").match(self.t, self.i)
-        self.i = m.end()
-        return scalar(m[0])
-
-    def pair(self, out: dict):
+            out = unquote(raw)
+        else:
+            m = re.compile(r"[^,\[\]{}]*").match(self.t, self.i)
+            self.i = m.end()
+            self.put(path, start, start + len(m[0].rstrip()))
+            return scalar(m[0])
+        self.put(path, start, self.i)
+        return out
+
+    def pair(self, out: dict, path: tuple):
         self.space()
         m = re.compile(r"\s*(\"[^\"]*\"|'[^']*'|[^:,{}\[\]]+?)\s*:(?=\s|$)\s*").match(self.t, self.i)
         if not m:
             raise YamlError(f"a key is needed in {self.t}")
         self.i = m.end()
-        key = m[1]
-        out[str(scalar(key)) if key[0] in "\"'" else key] = self.value()
+        key = str(scalar(m[1])) if m[1][0] in "\"'" else m[1]
+        self.put((*path, key, KEY), *m.span(1))
+        out[key] = self.value((*path, key))
 
     def many(self, close: str, one, out):
         self.i += 1
@@ -115,58 +129,96 @@ class _Flow:
                 self.i += 1
 
 
-def flow(text: str):
-    f = _Flow(text)
-    out = f.value()
+def flow(text: str, path: tuple = (), places: Places | None = None, base: int = 0):
+    f = _Flow(text, places, base)
+    out = f.value(path)
     f.space()
     if f.i < len(text):
         raise YamlError(f"unexpected text after {text[: f.i]}")
     return out
 
 
-def _inline(text: str):
-    return flow(text) if text[:1] in "[{" and text[:1] else scalar(text)
-
-
-def parse(text: str):
-    lines = [(len(s) - len(s.lstrip(" ")), s.strip()) for s in map(strip_comment, text.split("\n")) if s.strip()]
+def parse(text: str, places: Places | None = None, base: int = 0):
+    """The value of a text; places gets where its parts stand, text[0] standing at base."""
+    lines, at = [], base
+    for raw in text.split("\n"):
+        s = strip_comment(raw)
+        if s.strip():
+            lines.append((len(s) - len(s.lstrip(" ")), s.strip(), at + len(s) - len(s.lstrip())))
+        at += len(raw) + 1
     if not lines:
         return {}
-    out, rest = _block(lines, 0, lines[0][0])
+    reader = _Reader(lines, places)
+    out, rest = reader.block(0, lines[0][0], ())
     if rest < len(lines):
-        raise YamlError(f"unexpected indentation at {lines[rest][1]}")
+        raise reader.wrong(f"unexpected indentation at {lines[rest][1]}", rest)
     return out
 
 
-def _block(lines, i: int, indent: int):
-    if lines[i][1].startswith("- ") or lines[i][1] == "-":
-        out: list = []
-        while i < len(lines) and lines[i][0] == indent and (lines[i][1].startswith("- ") or lines[i][1] == "-"):
-            rest = lines[i][1][1:].strip()
-            if not rest:
-                if i + 1 < len(lines) and lines[i + 1][0] > indent:
-                    value, i = _block(lines, i + 1, lines[i + 1][0])
+class _Reader:
+    """Blocks of lines (indentation, text, place)."""
+
+    def __init__(self, lines: list[tuple[int, str, int]], places: Places | None):
+        self.lines, self.places = lines, places
+
+    def put(self, path: tuple, start: int, end: int) -> None:
+        if self.places is not None:
+            self.places.put(path, start, end)
+
+    def wrong(self, message: str, i: int) -> YamlError:
+        e = YamlError(message)
+        e.span = (self.lines[i][2], self.lines[i][2] + len(self.lines[i][1]))
+        return e
+
+    def inline(self, text: str, i: int, path: tuple):
+        """What stands at the end of line i."""
+        at = self.lines[i][2] + len(self.lines[i][1]) - len(text)
+        self.put(path, at, at + len(text))
+        try:
+            return flow(text, path, self.places, at) if text[:1] in "[{" and text[:1] else scalar(text)
+        except YamlError as e:
+            e.span = (at, at + len(text))
+            raise
+
+    def nested(self, i: int, indent: int, path: tuple):
+        """A block that begins at line i, if it is one of the line before."""
+        if i < len(self.lines) and (self.lines[i][0] > indent):
+            value, rest = self.block(i, self.lines[i][0], path)
+            self.put(path, self.lines[i][2], self.lines[rest - 1][2] + len(self.lines[rest - 1][1]))
+            return value, rest
+        return None, i
+
+    def block(self, i: int, indent: int, path: tuple):
+        lines = self.lines
+        item = lambda k: lines[k][1].startswith("- ") or lines[k][1] == "-"
+        if item(i):
+            out: list = []
+            while i < len(lines) and lines[i][0] == indent and item(i):
+                here = (*path, len(out))
+                rest = lines[i][1][1:].strip()
+                if not rest:
+                    value, i = self.nested(i + 1, indent, here)
+                elif rest[0] not in "[{\"'" and split_key(rest):
+                    lines[i] = (indent + len(lines[i][1]) - len(rest), rest, lines[i][2] + len(lines[i][1]) - len(rest))
+                    value, i = self.nested(i, indent, here)
                 else:
-                    value, i = None, i + 1
-            elif rest[0] not in "[{\"'" and split_key(rest):
-                inner = indent + len(lines[i][1]) - len(rest)
-                lines[i] = (inner, rest)
-                value, i = _block(lines, i, inner)
+                    value, i = self.inline(rest, i, here), i + 1
+                out.append(value)
+            return out, i
+        made: dict = {}
+        while i < len(lines) and lines[i][0] == indent:
+            pair = split_key(lines[i][1])
+            if pair is None:
+                raise self.wrong(f"a key is needed at {lines[i][1]}", i)
+            key, rest = pair
+            self.put((*path, key, KEY), lines[i][2], lines[i][2] + len(lines[i][1][: lines[i][1].rindex(rest) if rest else None].rstrip().removesuffix(":").rstrip()))
+            if rest:
+                value, i = self.inline(rest, i, (*path, key)), i + 1
+            elif i + 1 < len(lines) and lines[i + 1][0] == indent and item(i + 1):
+                start = i + 1
+                value, i = self.block(start, indent, (*path, key))
+                self.put((*path, key), lines[start][2], lines[i - 1][2] + len(lines[i - 1][1]))
             else:
-                value, i = _inline(rest), i + 1
-            out.append(value)
-        return out, i
-    made: dict = {}
-    while i < len(lines) and lines[i][0] == indent:
-        pair = split_key(lines[i][1])
-        if pair is None:
-            raise YamlError(f"a key is needed at {lines[i][1]}")
-        key, rest = pair
-        if rest:
-            value, i = _inline(rest), i + 1
-        elif i + 1 < len(lines) and (lines[i + 1][0] > indent or lines[i + 1][0] == indent and lines[i + 1][1].startswith("- ")):
-            value, i = _block(lines, i + 1, lines[i + 1][0])
-        else:
-            value, i = None, i + 1
-        made[key] = value
-    return made, i
+                value, i = self.nested(i + 1, indent, (*path, key))
+            made[key] = value
+        return made, i
