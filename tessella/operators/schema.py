@@ -78,9 +78,9 @@ def lookup(schemas: dict[str, dict[str, Schema]], types: Iterable[str], name: st
     return next((schemas[t][name] for t in types if name in schemas.get(t, ())), None)
 
 
-def normalise(raw, s: Schema | None, name: str, check: Callable[[str, object], object], problems):
+def normalise(raw, s: Schema | None, name: str, check: Callable[[str, object], object], problems, stayed: list[int] | None = None):
     """A value as its schema has it, or raw values without one; None and a problem where it is of another kind. problems
-    takes them by add(message, path from the value).
+    takes them by add(message, path from the value). stayed: gets the places of an array's elements that are left.
 
     check gives a coordinate of a timeline in its written form, and raises ValueError. Values that are not among the
     options are a problem but stay.
@@ -122,6 +122,8 @@ def normalise(raw, s: Schema | None, name: str, check: Callable[[str, object], o
                 y = normalise(value, s.items, f"{name}[]", check, problems.under(path))
                 if y is not None or value is None:
                     out.append({**x, "value": y} if timed else y)
+                    if stayed is not None:
+                        stayed.append(i)
             return out
         case "instant":
             line, value = (raw.get("timeline"), raw.get("value", raw.get("at"))) if isinstance(raw, dict) else (None, raw)

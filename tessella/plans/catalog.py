@@ -538,6 +538,65 @@ for _name, _phrase in (("bundle_phrase", "the erst"), ("bundle_phrase_signs", "e
     bundled(_name, f'MATCH (d:Document) WHERE FULLTEXT(d.body, $words) RETURN ID(d) AS id, SCORE() AS score', f"SELECT 'document:' || doc_id AS id, CAST(1 AS DOUBLE) AS score {_PHRASES.format(_phrase)}", words=f'"{_phrase}"')
 
 
+# documents with mistakes, and arrays in front matter and body
+
+_TYPES = {
+    "Item": "kind: NodeType\nprops:\n  label: {type: string}\n  size: {type: number}\n  grade: {type: string, enum: [A, B]}\n  marks: {type: array, items: {type: string}}",
+    "next": "kind: RelType\nsources: [Item]\ntargets: [Item]", "Count": "kind: Timeline",
+}
+
+
+def _item_documents(spark: SparkSession, sf_dir: str, lines: str, body: str, also: str = "") -> DataFrame:
+    """A document for each part: SQL for the rest of its front matter and for its body; also: SQL for more rows (path, text)."""
+    fixed = spark.createDataFrame([(f"{k}.md", f"---\nid: {k}\n{v}\n---\n") for k, v in _TYPES.items()], "path string, text string")
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").withColumn("text", F.expr(_item_text(lines, body)))
+    out = fixed.unionByName(parts.selectExpr("'i' || p_partkey || '.md' AS path", "text"))
+    return out.unionByName(parts.where(also).selectExpr("'copy' || p_partkey || '.md' AS path", "text")) if also else out
+
+
+def _item_text(lines: str, body: str) -> str:
+    """SQL of both engines for a part's document."""
+    return f"('---' || chr(10) || 'id: i' || p_partkey || chr(10) || 'type: Item' || chr(10) || 'props:' || chr(10) || '  label: ' || p_name || chr(10) || {lines} || chr(10) || '---' || chr(10) || '# Item' || chr(10) || {body} || chr(10))"
+
+
+_FAULTS = """(CASE p_partkey % 6 WHEN 0 THEN '  colour: red' WHEN 1 THEN '  size: big' WHEN 3 THEN '  grade: C' WHEN 4 THEN '  marks: ["a", "b"' ELSE '  size: 1' END)"""
+_FAULTY_BODY = "(CASE WHEN p_partkey % 6 = 2 THEN 'See @link{}[it](gone' || p_partkey || ' next).' ELSE 'Text.' END)"
+_NEEDLE = """(CASE p_partkey % 6 WHEN 0 THEN 'colour' WHEN 1 THEN 'big' WHEN 2 THEN 'gone' || p_partkey WHEN 3 THEN 'C' WHEN 4 THEN '["a", "b"' ELSE 'i' || p_partkey END)"""
+_BEFORE = """(CASE p_partkey % 6 WHEN 3 THEN 'grade: ' WHEN 5 THEN 'id: ' ELSE '' END)"""
+
+
+def ingested_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A mistake of each category, and the stretch of its document that it is about."""
+    g, problems = markdown.load(_item_documents(spark, sf_dir, _FAULTS, _FAULTY_BODY, "p_partkey % 6 = 5"))
+    return problems.select("path", "category", "line", F.col("start").alias("begin"), F.col("end").alias("finish"))
+
+
+QUERIES["ingested_ranges"] = ingested_ranges
+ORACLES["ingested_ranges"] = f"""
+WITH d AS (SELECT p_partkey, {_item_text(_FAULTS, _FAULTY_BODY)} AS text, {_NEEDLE} AS needle, {_BEFORE} AS lead FROM part),
+r AS (SELECT *, strpos(text, lead || needle) - 1 + length(lead) AS a FROM d)
+SELECT unnest(CASE WHEN p_partkey % 6 = 5 THEN ['i', 'copy'] ELSE ['i'] END) || p_partkey || '.md' AS path,
+  ['SchemaError', 'TypeError', 'ReferenceError', 'ConstraintError', 'SyntaxError', 'DuplicateId'][p_partkey % 6 + 1] AS category,
+  CAST(length(substr(text, 1, a)) - length(replace(substr(text, 1, a), chr(10), '')) + 1 AS INTEGER) AS line, CAST(a AS INTEGER) AS "begin", CAST(a + length(needle) AS INTEGER) AS finish FROM r
+"""
+
+_MARKS = "('  marks: [\"' || p_brand || '\", {value: old, validTime: [{timeline: Count, from: 1, to: 2}]}, {value: keep, validTime: [{timeline: Count, from: 5, to: 6}]}]')"
+_MORE = "(CASE p_partkey % 3 WHEN 0 THEN 'Text.' WHEN 1 THEN '@props{marks=[\"' || p_type || '\"]}' ELSE '@props{marks=[{value=\"' || p_type || '\", validTime=[{timeline=Count, to=2, from=1}]}]}' END)"
+
+
+def ingested_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elements of the body take the place of those with the same times."""
+    g, _ = markdown.load(_item_documents(spark, sf_dir, _MARKS, _MORE))
+    return g.props.where("startswith(path, 'marks.')").selectExpr("owner AS id", "path", "value.s AS value", "CASE WHEN NOT valid.universal THEN valid.ivs[0].lo.w END AS since")
+
+
+QUERIES["ingested_arrays"] = ingested_arrays
+ORACLES["ingested_arrays"] = """
+SELECT 'i' || p_partkey AS id, 'marks.' || i AS path, [CASE WHEN p_partkey % 3 = 1 THEN p_type ELSE p_brand END, CASE WHEN p_partkey % 3 = 2 THEN p_type ELSE 'old' END, 'keep'][i + 1] AS value,
+  [NULL, 1, 5][i + 1]::BIGINT AS since FROM part, (SELECT unnest([0, 1, 2]) AS i)
+"""
+
+
 def flagship(spark: SparkSession, sf_dir: str, limit: int | None = None) -> DataFrame:
     query = 'MATCH (c:Customer)-[:placed]->(o:SalesOrder) WHERE o.totalprice >= $least VALID ON Calendar AT "1998-06-01" RETURN ID(c) AS id, ID(o) AS order_id ORDER BY id, order_id'
     return rows_of(sales_graph(spark, sf_dir), query + (f" LIMIT {limit}" if limit else ""), {"least": 1000.0})

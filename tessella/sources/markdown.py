@@ -349,7 +349,7 @@ def expand(path: str, raw, inherited, at: tuple = ()) -> Iterator[tuple[str, obj
     the document of a validTime that is not inherited."""
     variants = isinstance(raw, list) and raw and all(isinstance(x, dict) and "value" in x for x in raw)
     for n, entry in enumerate(raw if variants else [{"value": raw}]):
-        timed = entry.get("validTime") is not None
+        timed, n = entry.get("validTime") is not None, entry.get(_NTH, n)
         times, value = entry.get("validTime", inherited), entry["value"]
         place = (*at, n, "validTime") if timed else None
         yield path, value, times, not timed, place
@@ -359,7 +359,10 @@ def expand(path: str, raw, inherited, at: tuple = ()) -> Iterator[tuple[str, obj
                 yield p, x, t, f and not timed, q or place
 
 
-def normalised(raw, s: schema.Schema | None, name: str, check, problems: Problems):
+_NTH = "\0n"  #: in a variant: its number as it is written
+
+
+def normalised(raw, s: schema.Schema | None, name: str, check, problems: Problems, stayed: list[int] | None = None):
     """A property as its schema has it: each variant, or the one value; None where nothing is left."""
     variants = isinstance(raw, list) and raw and all(isinstance(x, dict) and "value" in x for x in raw)
     if variants and (s is None or s.kind != "array"):
@@ -367,9 +370,9 @@ def normalised(raw, s: schema.Schema | None, name: str, check, problems: Problem
         for i, x in enumerate(raw):
             value = schema.normalise(x["value"], s, name, check, problems.under((i, "value")))
             if value is not None or x["value"] is None:
-                out.append({**x, "value": value})
+                out.append({**x, "value": value, _NTH: i})
         return out or None
-    return schema.normalise(raw, s, name, check, problems)
+    return schema.normalise(raw, s, name, check, problems, stayed)
 
 
 def expand_elements(path: str, elements: list[tuple[object, Problems]], inherited) -> Iterator[tuple]:
@@ -443,11 +446,12 @@ def _rows(path: str, text: str, graph: dict) -> Iterator[tuple[str, dict]]:
             if s is None and any(t in schemas for t in up):
                 here.add(f"unknown property {name}", (name, KEY))
             mine = here.under((name,))
-            value = normalised(raw, s, name, check, mine)
+            stayed: list[int] = []
+            value = normalised(raw, s, name, check, mine, stayed)
             if value is None and raw is not None:
                 continue
             if s is not None and s.kind == "array" and isinstance(value, list):
-                elements = [(x, mine.under((i,))) for i, x in enumerate(value)]
+                elements = [(x, mine.under((i,))) for i, x in zip(stayed, value, strict=True)]
                 group = arrays.setdefault((name, json.dumps(inherited, sort_keys=True, default=str)), [inherited, []])
                 group[1].append((layer if layer <= len(sources) else 0, elements))  # the front matter lies below
                 continue

@@ -5,8 +5,10 @@ from __future__ import annotations
 import pytest
 
 from tessella.functions.intervals import display_sql
+from tessella.operators import schema
 from tessella.plans.planner import run
 from tessella.sources import markdown, yaml_subset
+from tessella.sources.places import KEY, Places
 
 DOCS = {
     "line.md": "---\nid: Works\nkind: Timeline\n---\n",
@@ -103,6 +105,61 @@ def test_diagnostics(railway):
     assert any("1871-02-30" in m for m in said) and any("enumeration" in m for m in said)
 
 
+def test_where_mistakes_stand(railway):
+    """Each diagnostic's stretch of its document is what it is about."""
+    about = {}
+    for r in railway[1].collect():
+        about.setdefault((r["path"], r["message"]), DOCS[r["path"]][r["start"] : r["end"]])
+    odd = {m: x for (p, m), x in about.items() if p == "odd.md"}
+    assert odd["tracks must be number"] == "many" and odd["unknown property colour"] == "colour"
+    assert next(x for m, x in odd.items() if "1871-02-30" in m) == "1871-02-30" and next(x for m, x in odd.items() if "enumeration" in m) == "tar"
+    assert next(x for m, x in odd.items() if "is no node" in m) == "nowhere"
+    assert {x for (p, m), x in about.items() if p.startswith("depot")} == {"depot"} and next(x for (p, _), x in about.items() if p == "torn.md") == "[half"
+
+
+def test_where_inline_mistakes_stand(spark):
+    types = {k: DOCS[k] for k in DOCS if k in SOUND and "kind:" in DOCS[k]}
+    body = """---
+id: yard
+type: Stop
+validTime: [{timeline: Works, from: 1}, {timeline: Wrks, from: 2}]
+---
+# Yard
+
+@props{tracks="few", notice(key=en)="x", tracks(validTime=Nowhere(from=1))=3}
+
+::: strike validTime=Works(from=1
+@link{weight=[}[there](mill trackTo)
+:::
+See @link{}[that](mill track) and @link{}[this]{mill}.
+"""
+    _, problems = markdown.load(spark.createDataFrame([*types.items(), ("yard.md", body)], "path string, text string"))
+    found = {(r["message"], body[r["start"] : r["end"]], r["line"]) for r in problems.where("path = 'yard.md'").collect()}
+    said = {m: (x, n) for m, x, n in found}
+    assert said["tracks must be number"] == ('"few"', 8) and ("unknown timeline Wrks", "Wrks", 4) in found and ("unknown timeline Nowhere", "Nowhere", 8) in found
+    assert said["unknown relation type track"] == ("track", 13)
+    assert any("validTime=Works(from=1" in x and n == 10 for _, x, n in found) and any(x.startswith("@link{weight=[") and n == 11 for _, x, n in found)
+    assert ("a link needs [label](target type)", n := 13) in {(m, n) for m, _, n in found}
+
+
+def test_places_of_yaml():
+    text = 'a: 1 # x\nb:\n  - {c: "d e", f: [g, h]}\n  - i: j\n    "k l": m\n'
+    places = Places(0, len(text))
+    yaml_subset.parse(text, places)
+    at = {k: text[slice(*v)] for k, v in places.at.items()}
+    assert at["b", 0, "c"] == '"d e"' and at["b", 0, "f", 1] == "h" and at["b", 1, "k l"] == "m" and at["b", 1, "k l", KEY] == '"k l"' and at["a",] == "1"
+    assert at["b", 1] == 'i: j\n    "k l": m' and places.find(("b", 1, "i", "z", 4)) == places.at["b", 1, "i"]
+
+
+def test_merged_arrays():
+    x, y, z = ([{"timeline": "T", "from": n}] for n in range(3))
+    t = lambda v, when: {"value": v, "validTime": when}
+    merge = schema.merge_elements
+    assert merge(["a", t("b", x), "c", t("d", y)], [t("e", y), "f", t("g", z), t("h", y)]) == ["f", t("b", x), t("e", y), t("h", y), t("g", z)]
+    assert merge(["a", t("b", x)], []) == [t("b", x)] and merge([], ["a"]) == ["a"] and merge([t("a", [*x, *y])], [t("b", [*y, *x])]) == [t("b", [*y, *x])]
+    assert merge(["a"], [{"value": "b"}]) == [{"value": "b"}] and merge([t("a", x)], ["b"]) == [t("a", x), "b"]
+
+
 def test_tables(railway):
     g, _ = railway
     assert sorted(r[0] for r in g.nodes.select("id").collect()) == ["harbour", "mill", "shed"]
