@@ -38,15 +38,26 @@ _DIRECTIVE = re.compile(r"(?<!\\)@(props|link)(?![\w-])")
 SKIPPED = (".git", "node_modules", "build", "dist")
 
 
+#: A test on `text`: whether a document declares a type or a timeline.
+DECLARES = r"text RLIKE r'(?m)^kind:\s*(NodeType|RelType|Timeline)\s*(#.*)?$'"
+
+
+def documents(files: DataFrame, path: str) -> DataFrame:
+    """(path, text) of read files: those outside of skipped folders whose first line opens a front matter, and a file that
+    is named itself, whatever it holds."""
+    files = files.select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", "\r\n", "\n").alias("text"))
+    if path.endswith(".md"):
+        return files
+    skipped = "/(?:" + "|".join(re.escape(x) for x in SKIPPED) + ")/"
+    return files.where(~F.substring_index("path", path.rstrip("/"), -1).rlike(skipped)).where(F.col("text").rlike("^---[ \t]*\n"))
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     """(path, text) of the .md files below a folder whose first line opens a front matter; or of one file, whatever it is."""
     files = spark.read.option("recursiveFileLookup", True)
     if not path.endswith(".md"):
         files = files.option("pathGlobFilter", "*.md")
-    files = files.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", "\r\n", "\n").alias("text"))
-    skipped = "/(?:" + "|".join(re.escape(x) for x in SKIPPED) + ")/"
-    files = files.where(~F.substring_index("path", path.rstrip("/"), -1).rlike(skipped))
-    return files.where(F.col("text").rlike("^---[ \t]*\n")).dropDuplicates(["path"])
+    return documents(files.text(path, wholetext=True), path).dropDuplicates(["path"])
 
 
 _PARTS = re.compile(r"---[ \t]*\n(.*?)^(?:---|\.\.\.)[ \t]*(?:\n|\Z)(.*)\Z", re.S | re.M)
@@ -600,7 +611,7 @@ def catalogs(docs: DataFrame) -> tuple[dict, list[dict]]:
     """
     out: dict = {"node_types": {}, "rel_types": {}, "timelines": {}, "properties": {}, "endpoints": {}}
     diagnostics: list[dict] = []
-    rows = docs.where(F.col("text").rlike(r"(?m)^kind:\s*(NodeType|RelType|Timeline)\s*(#.*)?$")).orderBy("path").toLocalIterator()
+    rows = docs.where(DECLARES).orderBy("path").toLocalIterator()
     heads: dict[tuple[str, str], list[_Declared]] = {}
     for r in rows:
         if split(r["text"]) is None:

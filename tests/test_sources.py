@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import json
+import shutil
+from dataclasses import replace
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessella.operators import render
 from tessella.plans.planner import rows_of, run
@@ -35,9 +38,11 @@ def test_bundle(spark, railway, tmp_path):  # noqa: F811
         assert rows_of(back, query).collect() == rows_of(g, query).collect()
     with pytest.raises(bundle.BundleError):
         bundle.write(g, folder, errors=1)
-    back.nodes.limit(1).write.mode("append").parquet(f"{folder}/nodes")
+    (part, *_) = (tmp_path / "bundle").glob("v-*/nodes/part=*/*.parquet")
+    shutil.copy(part, part.with_name("part-more.parquet"))
     with pytest.raises(bundle.BundleError):
         bundle.read(spark, folder)
+    assert bundle.read(spark, folder, check=False).nodes.count() > g.nodes.count()
     (tmp_path / "other").mkdir()
     (tmp_path / "other" / "x").write_text("")
     with pytest.raises(bundle.BundleError):
@@ -122,6 +127,60 @@ def test_embed(railway):  # noqa: F811
     assert same.startswith("x\n") and {d.code for d in problems} == {"GMQL1001", "GMQL5001"}
 
 
+def test_versions(spark, railway, tmp_path):  # noqa: F811
+    """There is a bundle at every moment, and who has opened a version goes on reading it."""
+    g, _ = railway
+    folder = str(tmp_path / "bundle")
+    bundle.write(g, folder)
+    held, first = bundle.read(spark, folder), bundle._current(spark, folder)
+    bundle.write(g, folder)
+    assert bundle._current(spark, folder) != first and held.nodes.count() == g.nodes.count() == bundle.read(spark, folder).nodes.count()
+    bundle.write(g, folder)
+    assert len(list((tmp_path / "bundle").glob("v-*"))) == 2  # the current one and the one before it
+    assert not (tmp_path / "bundle" / first).exists()
+    (tmp_path / "bundle" / "current").write_text("v-none\n")
+    (tmp_path / "bundle" / ".current.crc").unlink(missing_ok=True)
+    with pytest.raises(bundle.BundleError):
+        bundle.read(spark, folder)
+    lost = replace(g, props=g.props.unionByName(g.props.limit(1).withColumn("owner", F.lit("nobody"))))
+    with pytest.raises(bundle.BundleError, match="nobody"):
+        bundle.write(lost, str(tmp_path / "lost"))
+
+
+def _content(g):
+    tables = [g.nodes.selectExpr("id", "type_id", "source", "to_json(valid) AS v"), g.rels.selectExpr("rel_id", "dst", "source", "to_json(valid) AS v"), g.props.selectExpr("owner", "path", "to_json(value) AS x", "to_json(valid) AS v")]
+    tables += [g.texts.selectExpr("text_id", "owner", "text"), g.postings.selectExpr("term", "text_id", "tf"), g.words.selectExpr("term", "text_id", "to_json(places) AS p"), g.lengths.selectExpr("text_id", "n")]
+    return [sorted(map(tuple, t.collect()), key=str) for t in tables]
+
+
+def test_changed_documents_rewrite_their_own_rows(spark, tmp_path):
+    from tessella.streaming import rebuild
+
+    docs = dict(SOUND) | {f"stop{i}.md": f"---\nid: stop{i}\ntype: Stop\nprops: {{sign: Stop {i}, notice: {{default: x}}, tracks: {i}, goods: [grain]}}\n---\n# Stop {i}\n\nTo @link{{}}[the mill](mill trackTo).\n" for i in range(24)}
+    table = lambda d: spark.createDataFrame(list(d.items()), "path string, text string")
+    folder = str(tmp_path / "out")
+    assert not rebuild.apply(spark, table(docs), folder)  # there is none yet
+    rebuild.rebuild(spark, table(docs), folder)
+    before = bundle._manifest(spark, folder)[1]["tables"]
+    first = bundle._current(spark, folder)
+    changed = {"stop3.md": docs["stop3.md"].replace("tracks: 3", "tracks: 33").replace("the mill", "a mill"), "stop9.md": docs["stop9.md"].replace("id: stop9", "id: halt9"), "new.md": docs["stop1.md"].replace("stop1", "fresh")}
+    assert rebuild.apply(spark, table(changed), folder)
+    after = bundle._manifest(spark, folder)[1]["tables"]
+    touched = {k for k in after["nodes"] if after["nodes"][k][0] != first}
+    want = {str(r[0]) for r in spark.createDataFrame([(x,) for x in ("stop3", "stop9", "halt9", "fresh")], "doc string").select(bundle._part("doc")).collect()}
+    assert touched == want & set(after["nodes"]) and set(before["nodes"]) - set(after["nodes"]) <= want
+    assert all(after[t][k] == before[t][k] for t in after for k in before[t] if k not in want)
+    rebuild.rebuild(spark, table(docs | changed), str(tmp_path / "whole"))
+    assert _content(bundle.read(spark, folder)) == _content(bundle.read(spark, str(tmp_path / "whole")))
+    assert ids(bundle.read(spark, folder), "MATCH (s:Stop) WHERE s.tracks = 33 RETURN ID(s)") == ["stop3"]
+    # what needs all documents, or may not be written
+    assert not rebuild.apply(spark, table({"line.md": SOUND["line.md"].replace("Works", "Works2")}), folder)
+    assert not rebuild.apply(spark, table({"other.md": changed["stop3.md"]}), folder)  # an id of another file
+    with pytest.raises(bundle.BundleError):
+        rebuild.apply(spark, table({"stop3.md": "---\nid: [torn\n---\n"}), folder)
+    assert ids(bundle.read(spark, folder), "MATCH (s:Stop) WHERE s.tracks = 33 RETURN ID(s)") == ["stop3"]
+
+
 def test_rebuild(spark, tmp_path):
     from tessella.streaming.rebuild import watch
 
