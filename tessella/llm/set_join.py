@@ -14,11 +14,15 @@ subsets that light sets list, against the list entries of heavy ones and what ea
 * What two nodes list together makes them a candidate if sizes, the places of what they share, and parity signatures
   allow a link. A signature has a bit for each residue of the hashes modulo 1024, set if the set holds an odd number of
   such shingles; every bit that differs is a shingle that only one of both has, so a signature never costs a link.
-* In each list two leaders meet the rest, so a group of near copies costs as many pairs as it has members. Candidates are
-  verified on full sets of words and linked ones joined into components.
+* In each list a leader meets the rest, so a group of near copies costs as many pairs as it has members. Candidates are
+  looked at with longer signatures, then verified on the full sets of 64-bit hashes of their shingles, and linked ones joined
+  into components; rounds with other leaders join more.
 * Then the lists that still hold several components are joined in blocks: a long list is cut into parts of at most a few
   hundred nodes, every two parts meet under a key of their own, and only candidates from different components leave the
   join. No link between components is missed, no task holds a whole list, and within a component nothing is paired.
+
+Sets are compared by 64-bit hashes throughout, so a result could be wrong only where two words of the corpus share their
+hash: at a chance of 3e-8 for a million different words, 0.03 for a thousand million.
 """
 
 from __future__ import annotations
@@ -30,12 +34,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import WordHasher, arrow_map, bloom, bloom_hits, delete_folder, filter_batches, map_batches, materialise, mix64, shared_folder, signed, slices, table
+from tessella.llm.common import WordHasher, arrow_map, bloom, bloom_hits, delete_folder, map_batches, materialise, mix64, shared_folder, signed, slices, table
 from tessella.llm.graph import components
-from tessella.llm.near_dups import shingle_hashes, shingle_set
+from tessella.llm.near_dups import shingle_hashes
 
 _SLOTS = 1 << 20  #: of the count table
 _BITS = 1024  #: of a signature
+_WIDE_BITS = 8192  #: of the longer one
 _SIGNATURE = [f"g{i}" for i in range(_BITS // 64)]
 _SEED = 12
 
@@ -43,12 +48,13 @@ _SEED = 12
 @dataclass(frozen=True)
 class Params:
     """shingle: words; percent: the similarity; part: nodes of a list that meet others in one task; boundary: the largest
-    light set (None: by cost)."""
+    light set (None: by cost); rounds: with leaders."""
 
     shingle: int = 4
     percent: int = 85
     part: int = 400
     boundary: int | None = None
+    rounds: int = 2
 
     def own_least(self, n: int) -> int:
         """Shingles that a set of n shares at least with any partner."""
@@ -155,8 +161,10 @@ def _boundary(fronts: DataFrame, p: Params) -> int:
     return boundary([tuple(r) for r in costs.select("size", "light", "heavy").collect()])
 
 
-def _entries(fronts: DataFrame, light: int, p: Params) -> DataFrame:
-    """(key, id, n, left): what nodes list; left is what a set has from the first shared shingle on."""
+def _entries(fronts: DataFrame, light: int, p: Params, held: np.ndarray | None = None) -> DataFrame:
+    """(key, id, n, left): what nodes list; left is what a set has from the first shared shingle on. held: a Bloom filter of
+    the keys that are asked for."""
+    sent = fronts.sparkSession.sparkContext.broadcast(held)
 
     def run(batch: pa.RecordBatch) -> dict | None:
         ids, ns, keys, left, row = batch.column(0), batch.column(1).to_numpy(), [], [], []
@@ -177,19 +185,32 @@ def _entries(fronts: DataFrame, light: int, p: Params) -> DataFrame:
                 row.append(np.full(n - least + 1, i))
         if not keys:
             return None
-        at = np.concatenate(row)
-        return {"key": signed(np.concatenate(keys)), "id": ids.take(pa.array(at)), "n": ns[at], "left": np.concatenate(left)}
+        at, key, rest = np.concatenate(row), signed(np.concatenate(keys)), np.concatenate(left)
+        if sent.value is not None:
+            asked = bloom_hits(sent.value, key)
+            at, key, rest = at[asked], key[asked], rest[asked]
+        return {"key": key, "id": ids.take(pa.array(at)), "n": ns[at], "left": rest}
 
     return map_batches(fronts.select("id", "n", "front"), run, "key long, id long, n long, left long", rows=500)
 
 
-def _texts(wanted: DataFrame, nodes: DataFrame, rows: DataFrame, folder: str, name: str) -> DataFrame:
-    """(id, text) of the nodes with the wanted ids. A Bloom filter of fixed size holds other texts back before the exchange."""
+def _whole_sets(wanted: DataFrame, nodes: DataFrame, rows: DataFrame, folder: str, name: str, p: Params) -> DataFrame:
+    """(id, n, wide, hashes) of the nodes with the wanted ids: the longer signature, and the whole set in ascending order. A
+    Bloom filter of fixed size holds other texts back before the exchange."""
+    hasher = WordHasher(seed=_SEED, lower=True)
     wanted = materialise(wanted.distinct(), folder, f"{name}-ids")
     sent = rows.sparkSession.sparkContext.broadcast(bloom(wanted))
-    likely = filter_batches(rows.select(F.col("doc_id").alias("id"), "row", "text"), lambda batch: bloom_hits(sent.value, batch.column(0).to_numpy()))
-    out = likely.join(nodes.join(wanted, "id").select("id", "row"), ["id", "row"]).dropDuplicates(["id", "row"])
-    return materialise(out.select("id", "text"), folder, name)
+
+    def run(batch: pa.RecordBatch) -> dict:
+        likely = batch.filter(pa.array(bloom_hits(sent.value, batch.column(0).to_numpy())))
+        hashes, at = hasher.column(likely.column(2))
+        sets = [shingle_hashes(hashes[at[i] : at[i + 1]], p.shingle) for i in range(likely.num_rows)]
+        wide = [np.packbits(np.bincount((s & np.uint64(_WIDE_BITS - 1)).astype(np.int64), minlength=_WIDE_BITS).astype(np.uint8) & 1).tobytes() for s in sets]
+        return {"id": likely.column(0), "row": likely.column(1), "n": pa.array(map(len, sets), pa.int64()), "wide": pa.array(wide, pa.binary()), "hashes": pa.array([s.tobytes() for s in sets], pa.binary())}
+
+    made = map_batches(rows.select(F.col("doc_id").alias("id"), "row", "text"), run, "id long, row long, n long, wide binary, hashes binary")
+    out = made.join(nodes.join(wanted, "id").select("id", "row"), ["id", "row"]).dropDuplicates(["id", "row"])
+    return materialise(out.select("id", "n", "wide", "hashes"), folder, name)
 
 
 def _side(df: DataFrame, side: str, *columns: str) -> DataFrame:
@@ -212,30 +233,34 @@ def _signatures_fit(p: Params):
 
 
 def _verify(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, folder: str, name: str, p: Params) -> DataFrame:
-    """The pairs (a, b) that are linked by their full sets of words."""
-    texts = _texts(pairs.select(F.explode(F.array("a", "b")).alias("id")), nodes, rows, folder, f"{name}-texts")
-    joined = pairs.select("a", "b").join(_side(texts, "a", "id", "text"), F.col("a") == F.col("id_a")).join(_side(texts, "b", "id", "text"), F.col("b") == F.col("id_b"))
+    """The pairs (a, b) that are linked: the longer signatures first, then the full sets of what these leave."""
+    sets = _whole_sets(pairs.select(F.explode(F.array("a", "b")).alias("id")), nodes, rows, folder, f"{name}-sets", p)
 
-    def run(batches):
-        held: dict[str, set] = {}
-
-        def whole(text: str) -> set:
-            if text not in held:
-                if len(held) >= 32:
-                    held.clear()
-                held[text] = shingle_set(text, p.shingle)
-            return held[text]
-
-        for batch in slices(batches, rows=200, nbytes=4 << 20):
-            linked = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = whole(x), whole(y)
-                common = len(x & y)
-                linked.append(100 * common >= p.percent * (len(x) + len(y) - common))
-            yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
-
-    links = materialise(arrow_map(joined.select("a", "b", "text_a", "text_b"), run, "a long, b long"), folder, name)
-    for step in ("texts", "texts-ids"):
+    def beside(pairs: DataFrame, column: str) -> DataFrame:
+        out = pairs.select("a", "b").join(_side(sets, "a", "id", "n", column), F.col("a") == F.col("id_a")).join(_side(sets, "b", "id", "n", column), F.col("b") == F.col("id_b"))
+        return out.select("a", "b", "n_a", "n_b", f"{column}_a", f"{column}_b")
+
+    def near(batches):
+        for batch in slices(batches):
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for i in (4, 5))
+            both = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+            yield batch.select(["a", "b"]).filter(pa.array(apart * (100 + p.percent) <= both * (100 - p.percent)))
+
+    def linked(batches):
+        for batch in slices(batches, nbytes=8 << 20):
+            hits = []
+            for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = np.concatenate((x, y))
+                both.sort(kind="stable")  # two sorted runs
+                common = int(np.count_nonzero(both[1:] == both[:-1]))
+                hits.append(100 * common >= p.percent * (len(x) + len(y) - common))
+            yield batch.select(["a", "b"]).filter(pa.array(hits, pa.bool_()))
+
+    likely = materialise(arrow_map(beside(pairs, "wide"), near, "a long, b long"), folder, f"{name}-likely")
+    links = materialise(arrow_map(beside(likely, "hashes"), linked, "a long, b long"), folder, name)
+    for step in ("sets", "sets-ids", "likely"):
         delete_folder(rows.sparkSession, f"{folder}/{name}-{step}")
     return links
 
@@ -276,31 +301,40 @@ def components_of_nodes(nodes: DataFrame, rows: DataFrame, counts: np.ndarray, f
     light = p.boundary if p.boundary is not None else _boundary(fronts, p)
     entries = _entries(fronts, light, p)
 
-    # lists of two nodes or more; two alone whose sizes are too far apart have nothing to look for there
-    leads = entries.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z"), F.count(F.lit(1)).alias("m"), F.min("n").alias("least"), F.max("n").alias("most"))
-    leads = leads.where(f"a < z AND (m > 2 OR least * 100 >= most * {p.percent})").select("key", F.array("a", "z").alias("leads"))
-    leads = materialise(leads, folder, "leads")
-    lists = materialise(entries.join(leads, "key"), folder, "lists")
-    delete_folder(spark, f"{folder}/leads")
-
-    # leaders: a pair that they miss is found in the end
-    met = lists.select(F.explode("leads").alias("a"), F.col("id").alias("b"), "left").where("a <> b").groupBy("a", "b").agg(F.max("left").alias("left_b"))
-    pairs = met.join(_side(fronts, "a", "id", "n", *_SIGNATURE), F.col("a") == F.col("id_a")).join(_side(fronts, "b", "id", "n", *_SIGNATURE), F.col("b") == F.col("id_b"))
-    enough = F.col("left_b") * (100 + p.percent) >= (F.col("n_a") + F.col("n_b")) * p.percent
-    pairs = materialise(pairs.where(_sizes_fit(p) & enough & _signatures_fit(p)).select("a", "b"), folder, "pairs")
-    links = _verify(pairs, nodes, rows, folder, "links-0", p)
-    labels = _merge(spark.createDataFrame([], "id long, label long"), links, folder, "round-0")
+    # lists of two nodes or more; keys alone are counted, and only what may be in such a list is exchanged as a whole
+    shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key")
+    shared = materialise(shared, folder, "shared")
+    entries = _entries(fronts, light, p, bloom(shared))
+    lists = materialise(entries.join(shared, "key").select("key", "id", "n", "left"), folder, "lists")
+    delete_folder(spark, f"{folder}/shared")
+
+    labels = spark.createDataFrame([], "id long, label long")
+    for turn in range(p.rounds):
+        # the leader of a list is of its least or its greatest component; a pair that leaders miss is found in the end
+        named = _named(lists, labels)
+        lead = (F.min if turn % 2 == 0 else F.max)(F.struct("label", "id")).alias("lead")
+        leads = named.groupBy("key").agg(lead, F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
+        leads = materialise(leads.select("key", F.col("lead.id").alias("a"), F.col("lead.label").alias("la")), folder, f"leads-{turn}")
+        met = named.join(leads, "key").where("label <> la").groupBy("a", F.col("id").alias("b")).agg(F.max("left").alias("left_b"))
+        pairs = met.join(_side(fronts, "a", "id", "n", *_SIGNATURE), F.col("a") == F.col("id_a")).join(_side(fronts, "b", "id", "n", *_SIGNATURE), F.col("b") == F.col("id_b"))
+        enough = F.col("left_b") * (100 + p.percent) >= (F.col("n_a") + F.col("n_b")) * p.percent
+        pairs = materialise(pairs.where(_sizes_fit(p) & enough & _signatures_fit(p)).select("a", "b"), folder, f"pairs-{turn}")
+        labels = _merge(labels, _verify(pairs, nodes, rows, folder, f"links-{turn}", p), folder, f"round-{turn}")
 
     # lists that still hold several components
-    named = lists.select("key", "id", "n", "left").join(labels, "id", "left").select("key", "id", "n", "left", F.coalesce("label", "id").alias("label"))
+    named = _named(lists, labels)
     apart = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
     left = materialise(named.join(apart, "key"), folder, "apart")
     delete_folder(spark, f"{folder}/lists")
     pairs = materialise(_blocked_pairs(left, fronts, folder, p), folder, "last-pairs")
     for name in ("apart", "parts"):
         delete_folder(spark, f"{folder}/{name}")
-    links = _verify(pairs, nodes, rows, folder, "links-1", p)
-    return _merge(labels, links, folder, "round-1")
+    return _merge(labels, _verify(pairs, nodes, rows, folder, "last-links", p), folder, "last")
+
+
+def _named(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """lists with the component that each node belongs to so far."""
+    return lists.join(labels, "id", "left").select("key", "id", "n", "left", F.coalesce("label", "id").alias("label"))
 
 
 def set_join(docs: DataFrame, p: Params = Params(), folder: str | None = None) -> DataFrame:

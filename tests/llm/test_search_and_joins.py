@@ -13,7 +13,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tessella.llm import centroids, search, set_join
+from tessella.llm import centroids, near_dups, search, set_join
 from tests.llm.test_corpus_operators import brute_near, planted
 from tests.llm.test_text_operators import LONG, SF, empty, odd  # noqa: F401
 
@@ -90,7 +90,7 @@ def brute_join(rows, p):
         return near
     from tests.llm.test_corpus_operators import Union
 
-    sets = [(i, set_join.shingle_set(t, p.shingle)) for i, t in rows if t and i is not None]
+    sets = [(i, near_dups.shingle_set(t, p.shingle)) for i, t in rows if t and i is not None]
     union = Union()
     for x, (i, a) in enumerate(sets):
         for j, b in sets[:x]:
@@ -109,7 +109,7 @@ def test_set_join(spark, shingle, percent, boundary, part):
     got = set_join.set_join(df, p).collect()
     assert len(got) == len(rows)
     for r in got:
-        assert (r["n_shingles"], r["component_id"]) == (len(set_join.shingle_set(texts[r["doc_id"]], shingle)), union.root(r["doc_id"]))
+        assert (r["n_shingles"], r["component_id"]) == (len(near_dups.shingle_set(texts[r["doc_id"]], shingle)), union.root(r["doc_id"]))
 
 
 def test_set_join_query(spark):
