@@ -44,8 +44,20 @@ def day_sql(date: str) -> str:
     return f"(datediff(CAST({date} AS DATE), DATE'1970-01-01') + 2440588)"
 
 
+def week_one(year: int) -> int:
+    """The Monday of the week with 4 January."""
+    at = gregorian_day(year, 1, 4)
+    return at - at % 7
+
+
 def occurrences(month: int, day: int, first: int, last: int, system: str = "gregorian") -> list[int]:
-    """The day numbers of a yearly date in the years from first to last; a 29 February only in leap years; 99 is the last."""
+    """The day numbers of a yearly date in the years from first to last; a 29 February only in leap years; 99 is the last.
+
+    From month 20 on, 100 * month + day is 2000 + 10 * week + day of a week; a 53rd week only in the years that have one.
+    """
+    if month >= 20:
+        week, at = divmod(100 * month + day - 2000, 10)
+        return [week_one(y) + 7 * (week - 1) + at - 1 for y in range(first, last + 1) if week_one(y) + 7 * (week - 1) < week_one(y + 1)]
     number = gregorian_day if system == "gregorian" else julian_day
     each = ((y, month_days(y, month, system)) for y in range(first, last + 1))
     return [number(y, month, min(day, n)) for y, n in each if day <= n or day == 99]

@@ -311,9 +311,14 @@ def display_sql(a: str) -> str:
 
 
 def _day_sql(year: str, code: str) -> str:
-    """The day number of 100 * month + day in a year, 99 being the month's last; NULL where the year has no such day."""
+    """The day number of 100 * month + day in a year, 99 being the month's last; NULL where the year has no such day. From
+    2000 on it is 2000 + 10 * week + day of a week, in the year of the week."""
+    fourth = lambda y: f"(datediff(make_date({y}, 1, 4), DATE'1970-01-01') + 2440588)"
+    monday = lambda y: f"({fourth(y)} - pmod({fourth(y)}, 7))"
+    week = f"({monday(year)} + 7 * CAST((({code}) - 2000) DIV 10 - 1 AS INT))"
+    weeks = f"WHEN ({code}) >= 2000 THEN CASE WHEN {week} < {monday(f'({year} + 1)')} THEN {week} + CAST(({code}) % 10 AS INT) - 1 END"
     first = f"make_date({year}, CAST(({code}) DIV 100 AS INT), 1)"
-    return f"CASE WHEN ({code}) % 100 = 99 THEN datediff(last_day({first}), DATE'1970-01-01') + 2440588 WHEN ({code}) % 100 <= day(last_day({first})) THEN datediff(date_add({first}, CAST(({code}) % 100 AS INT) - 1), DATE'1970-01-01') + 2440588 END"
+    return f"CASE {weeks} WHEN ({code}) % 100 = 99 THEN datediff(last_day({first}), DATE'1970-01-01') + 2440588 WHEN ({code}) % 100 <= day(last_day({first})) THEN datediff(date_add({first}, CAST(({code}) % 100 AS INT) - 1), DATE'1970-01-01') + 2440588 END"
 
 
 def recur_sql(a: str, pattern: str, real: str, years: tuple[int, int], lo: int, hi: int) -> str:

@@ -350,12 +350,17 @@ def span(timeline, value) -> Span:
     """Where on its axis a coordinate of a query or document lies.
 
     A yearly pattern's days are 100 * month + day on an axis of their own, 99 a month's last; a month or a quarter reaches
-    from its first day to its last, which may lie 10000 further, in the next year.
+    from its first day to its last, which may lie 10000 further, in the next year. Days of weeks are 2000 + 10 * week + day,
+    of a week from Monday, 1, to Sunday, 7.
     """
     system = system_of(timeline)
     if timeline.system != "pattern":
         return system.span(value)
     v = system.read(value)
+    if "week" in v:
+        if not 1 <= v["week"] <= 53:
+            raise wrong(value)
+        return Span(Fraction(2001 + 10 * v["week"]), Fraction(2007 + 10 * v["week"]), False, True)
     if "day" not in v:
         first = v["month"] if "month" in v else (system.quarter - 1 + 3 * (v["quarter"] - 1)) % 12 + 1
         last = first if "month" in v else first + 2

@@ -597,6 +597,26 @@ SELECT 'i' || p_partkey AS id, 'marks.' || i AS path, [CASE WHEN p_partkey % 3 =
 """
 
 
+def yearly_weeks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of a week of every year, in a window with a year of 53 weeks."""
+    fixed = {
+        "Almanac": "kind: Timeline\ncoordinate: gregorian", "Weeks": "kind: Timeline\nsameAxisAs: Almanac\ncoordinate:\n  kind: calendar-pattern\n  fields: [week]\n  repeatsEvery: year", "Item": "kind: NodeType",
+    }
+    types = spark.createDataFrame([(f"{k}.md", f"---\nid: {k}\n{v}\n---\n") for k, v in fixed.items()], "path string, text string")
+    text = "concat('---\nid: i', p_partkey, '\ntype: Item\nvalidTime: [{timeline: Weeks, from: W', lpad(p_partkey % 53 + 1, 2, '0'), '}]\n---\n')"
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("concat('i', p_partkey, '.md') AS path", f"{text} AS text")
+    query = 'MATCH (p:Item) VALID ON Weeks OVERLAPS ["W51", "W02"] WITHIN ["1998-03-02", "1999-12-22") RETURN ID(p) AS id, MATCHED_VALIDITY() AS v'
+    return _flat(rows_of(markdown.load(types.unionByName(parts))[0], query))
+
+
+QUERIES["yearly_weeks"] = yearly_weeks
+ORACLES["yearly_weeks"] = f"""
+WITH d AS (SELECT unnest(generate_series(DATE '1998-03-02', DATE '1999-12-21', INTERVAL 1 DAY))::DATE AS d),
+w AS (SELECT isoyear(d) AS y, week(d) AS w, min({_DAY.format("d")}) AS lo, max({_DAY.format("d")}) AS hi FROM d WHERE week(d) >= 51 OR week(d) <= 2 GROUP BY ALL)
+SELECT 'i' || p_partkey AS id, 'Almanac' AS axis, CAST(lo AS DOUBLE) AS lo, true AS lo_inc, CAST(hi + 1 AS DOUBLE) AS hi, false AS hi_inc FROM part JOIN w ON w.w = p_partkey % 53 + 1
+"""
+
+
 def flagship(spark: SparkSession, sf_dir: str, limit: int | None = None) -> DataFrame:
     query = 'MATCH (c:Customer)-[:placed]->(o:SalesOrder) WHERE o.totalprice >= $least VALID ON Calendar AT "1998-06-01" RETURN ID(c) AS id, ID(o) AS order_id ORDER BY id, order_id'
     return rows_of(sales_graph(spark, sf_dir), query + (f" LIMIT {limit}" if limit else ""), {"least": 1000.0})

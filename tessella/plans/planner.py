@@ -249,11 +249,17 @@ class Plan:
             else:
                 self.df = self.df.join(rels, self.df[here]["id"] == rels["_from"]).withColumnRenamed("_r", name).drop("_from")
             self.df = self.meet(self.df)
+            self.bounded()
             self.count += 1
             key = f"_to{self.count}"
             self.df = self.df.withColumnRenamed("_to", key)
             here = self.add_node(node, key)
 
+    def bounded(self) -> None:
+        """Refuses more bindings than the profile allows, as soon as a join gives them; the count stops there."""
+        if self.bindings is not None and self.df.limit(self.bindings + 1).count() > self.bindings:
+            raise QueryError("GMQL5001", f"more than {self.bindings} bindings")
+
     def add_patterns(self, patterns: list[list]) -> None:
         """Joins all patterns: those that share variables, however indirectly, among themselves along these; what shares
         none as every pair in the end, each part being complete by then."""
@@ -266,6 +272,7 @@ class Plan:
         self.df = parts[0]
         for other in parts[1:]:
             self.df = self.meet(self.df.crossJoin(other.drop("_score").withColumnRenamed("_b", "_v")))
+            self.bounded()
 
     def check_patterns(self) -> None:
         """Says what is wrong with the patterns, in the order in which they are written."""
@@ -712,8 +719,6 @@ class Plan:
         rest = [] if q.where is None else self.plan_conditions()
         self.check_patterns()
         self.add_patterns(q.patterns)
-        if self.bindings is not None and any(len(p) > 1 for p in q.patterns) | (len(q.patterns) > 1) and self.df.limit(self.bindings + 1).count() > self.bindings:
-            raise QueryError("GMQL5001", f"more than {self.bindings} bindings")
         if rest:
             # all see the binding's whole time; what they leave of it is what they have in common
             joined = [x for x in rest if isinstance(x, S.Call) and x.name == "FULLTEXT"]

@@ -540,7 +540,7 @@ def _system(head: dict, problems: Problems) -> tuple[str, dict]:
     repeats = spec.get("repeatsEvery")
     wrong = not fields or set(fields) - set(temporal.FIELDS) or bool({"year", "weekYear"} & set(fields)) == bool(repeats)
     wrong = wrong or "day" in fields and "month" not in fields or {"week", "weekYear"} & set(fields) and {"year", "month", "day", "quarter"} & set(fields)
-    if wrong or repeats and set(fields) not in ({"month", "day"}, {"month"}, {"quarter"}):
+    if wrong or repeats and set(fields) not in ({"month", "day"}, {"month"}, {"quarter"}, {"week"}):
         problems.add(f"coordinate fields {fields} do not go together", ("coordinate", "fields"))
     return ("pattern" if repeats else "dates"), spec | {"fields": fields}
 

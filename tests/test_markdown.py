@@ -247,6 +247,19 @@ def test_limit_of_a_profile(railway):
     assert [d.code for d in run(railway[0], "MATCH (s:Stop) RETURN ID(s) LIMIT 10001", profile="STATIC_WEB").diagnostics] == ["GMQL5001"]
 
 
+def test_limit_of_bindings_stops_at_the_join(railway, monkeypatch):
+    from tessella.plans import planner
+
+    counted = []
+    bounded = planner.Plan.bounded
+    monkeypatch.setattr(planner.Plan, "bounded", lambda plan: (counted.append(len(plan.vars)), bounded(plan))[1])
+    query = "MATCH (s:Stop)-[t:trackTo]->(u), (x:Stop) RETURN ID(s)"
+    assert not run(railway[0], query, profile="STATIC_WEB").diagnostics and len(counted) == 2  # a hop, and what shares nothing
+    monkeypatch.setitem(planner.BINDINGS, "STATIC_WEB", 0)
+    counted.clear()
+    assert [d.code for d in run(railway[0], query, profile="STATIC_WEB").diagnostics] == ["GMQL5001"] and len(counted) == 1
+
+
 def test_read(spark, tmp_path):
     for name, text in DOCS.items():
         (tmp_path / name).write_text(text)
@@ -254,7 +267,7 @@ def test_read(spark, tmp_path):
     (tmp_path / "node_modules").mkdir()
     (tmp_path / "node_modules" / "theirs.md").write_text(DOCS["mill.md"])
     assert markdown.read(spark, str(tmp_path)).count() == len(DOCS)
-    assert markdown.read(spark, str(tmp_path / "mill.md")).count() == 1
+    assert markdown.read(spark, str(tmp_path / "mill.md")).count() == 1 == markdown.read(spark, str(tmp_path / "plain.md")).count()
 
 
 def test_schemas_narrow(spark):

@@ -248,3 +248,15 @@ def test_windows_cross_axes(spark):
     assert hit("ON Scene AT 1") == ["shot"] and hit("ON Scene AT 3") == [] and hit("ON Scene OVERLAPS [0, 1]") == []
     assert hit('ON Code AT "00:01:00:24"') == ["shot"] and hit('ON Code AT "00:01:01:01"') == []
     assert hit("ON Later AT 122") == ["shot"] and hit("ON Later AT 124") == []
+
+
+def test_weeks_of_every_year():
+    """Occurrences of days of weeks against datetime; the 53rd week only where a year has one."""
+    for week, day in ((1, 1), (9, 7), (52, 4), (53, 1), (53, 7)):
+        want = []
+        for year in range(1995, 2030):
+            try:
+                want.append(datetime.date.fromisocalendar(year, week, day).toordinal() + 1721425)
+            except ValueError:
+                continue
+        assert calendar.occurrences(*divmod(2000 + 10 * week + day, 100), 1995, 2029) == want
