@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import arrow_map, delete_folder, local_path, map_batches, materialise, shared_folder, slices, table
+from tessella.llm.common import MAPPED, arrow_map, delete_folder, local_path, map_batches, mapped, materialise, shared_folder, slices, table
 from tessella.llm.language_model import Shard, shards_of, write_shard
 
 MASK_BITS = 10  #: a chunk is about 2 ** MASK_BITS bytes beyond the least length
@@ -367,16 +367,19 @@ class Reuse:
 
     def __init__(self, folder: str, bits: int, name: str):
         self.folder, self.bits, self.name = folder, bits, name
-        self.open: dict[int, tuple] = {}
+        self.open: OrderedDict[int, tuple | None] = OrderedDict()
 
     def __getstate__(self):
-        return self.__dict__ | {"open": {}}
+        return self.__dict__ | {"open": OrderedDict()}
 
     def _map(self, shard: int) -> tuple | None:
         if shard not in self.open:
             path = f"{self.folder}/{self.name}-{shard}"
-            ids = np.memmap(f"{path}.ids", "<u4", "r") if os.path.exists(f"{path}.ids") and os.path.getsize(f"{path}.ids") else np.empty(0, "<u4")
+            ids = mapped(f"{path}.ids", "<u4") if os.path.exists(f"{path}.ids") else np.empty(0, "<u4")
             self.open[shard] = (Shard(path), ids) if os.path.exists(path) else None
+            if len(self.open) > MAPPED:
+                self.open.popitem(last=False)
+        self.open.move_to_end(shard)
         return self.open[shard]
 
     def find(self, hashes: np.ndarray) -> list[tuple[int, np.ndarray]]:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import contextlib
+import mmap
+import os
 import re
 import tempfile
 import uuid
@@ -143,6 +145,18 @@ def local_path(folder: str) -> str:
     return url.path
 
 
+#: Files that a worker keeps mapped at a time; a process may have some 65 thousand maps on usual settings.
+MAPPED = 2000
+
+
+def mapped(path: str, dtype) -> np.ndarray:
+    """A file as an array, mapped into memory. The map holds no file handle, of which a process may have few."""
+    with open(path, "rb") as f:
+        if not os.fstat(f.fileno()).st_size:
+            return np.empty(0, dtype)
+        return np.frombuffer(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, trackfd=False), dtype)
+
+
 _MASK = (1 << 64) - 1
 
 

@@ -37,12 +37,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import WordHasher, arrow_map, delete_folder, local_path, materialise, mix64, shared_folder, slices, table
+from tessella.llm.common import MAPPED, WordHasher, arrow_map, delete_folder, local_path, mapped, materialise, mix64, shared_folder, slices, table
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _CHUNK = 500_000  #: tokens that are scored together
 _COUNTED = 600_000  #: tokens that are counted together
-_OPEN = 2000  #: shards that a worker keeps mapped
 END = np.uint64(0x45BE7F0D1A3C9E21)  #: the hash of a text's end
 START, NEVER = np.uint64(0), np.uint64(2**64 - 1)  #: numbers of what stands before a text, and of words not counted
 
@@ -384,7 +383,7 @@ class Shard:
     code = derived = None
 
     def __init__(self, path: str):
-        raw = np.memmap(path, np.uint8, "r")
+        raw = mapped(path, np.uint8)
         n = int.from_bytes(raw[:8].tobytes(), "little")
         head = json.loads(raw[8 : 8 + n].tobytes())
         for name, (at, kind, shape) in head.items():
@@ -458,7 +457,7 @@ class Model:
                 self.open_files[name] = Shard(f"{self.folder}/{name}")
             except FileNotFoundError:
                 self.open_files[name] = None
-            if len(self.open_files) > _OPEN:
+            if len(self.open_files) > MAPPED:
                 self.open_files.popitem(last=False)
         self.open_files.move_to_end(name)
         return self.open_files[name]

@@ -567,3 +567,31 @@ def test_word_hasher(texts, block):
         ws = [lower_ascii(w) for w in words(t)]
         assert at[i + 1] - at[i] == len(ws)
         assert h[at[i] : at[i + 1]].tolist() == [int(one.column(pa.array([w]))[0][0]) for w in ws]
+
+
+def test_many_shards_need_few_handles(tmp_path):
+    """4096 shards are looked up by a process that may open 256 files."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = """
+import resource, sys
+import numpy as np
+from tessella.llm.bpe import Reuse
+from tessella.llm.language_model import write_shard
+folder, bits = sys.argv[1], 12
+resource.setrlimit(resource.RLIMIT_NOFILE, (256, 256))
+keys = (np.arange(4096, dtype=np.uint64) << np.uint64(52))[:, None] + np.array([7, 11 << 30], np.uint64)
+for s in range(4096):
+    two = np.array([2, 3], np.uint64)
+    write_shard(f"{folder}/chunks-{s}", keys[s], bits, [keys[s] + np.uint64(1), np.array([0, 2], np.uint64), two], exact=True)
+    np.array([s, 1, 2, 3, 4], "<u4").tofile(f"{folder}/chunks-{s}.ids")
+asked = keys.reshape(-1)
+held = Reuse(folder, bits, "chunks")
+for _ in range(2):
+    found = dict(held.find(np.stack((asked, asked + np.uint64(1)), axis=1)))
+    assert len(found) == 8192 and found[0].tolist() == [0, 1] and found[8190].tolist() == [4095, 1] and found[8191].tolist() == [2, 3, 4]
+assert not held.find(np.stack((asked, asked), axis=1)) and len(held.open) <= 2000
+"""
+    subprocess.run([sys.executable, "-c", code, str(tmp_path)], check=True, timeout=120, cwd=Path(__file__).resolve().parents[2])
