@@ -70,6 +70,56 @@ def test_quality_query(docs):
         assert not (x["base_failed"] and x["kept"])
 
 
+def brute_verdict(text):
+    """Ratios and verdict of a text, from the limits as README and docstrings state them."""
+    import zstandard
+
+    limits = [(0, 0.0, 2.0), (256, 1.05, 2.1), (512, 1.2, 2.2), (1024, 1.4, 2.3), (2048, 1.5, 2.35), (4096, 1.5, 2.45), (8192, 1.5, 2.6), (32768, 1.5, 3.0)]
+
+    def ratio(piece):
+        return len(piece) / len(zstandard.ZstdCompressor(level=3, write_content_size=False, write_checksum=False).compress(piece))
+
+    def fits(size, r):
+        low, high = next((lo, hi) for n, lo, hi in reversed(limits) if size >= n)
+        return low <= r <= high
+
+    data = text.encode()
+    whole = ratio(data)
+    if len(data) <= 4096:
+        return whole, whole, whole, 0.0, fits(len(data), whole)
+    pieces = [data[i * 4096 : (i + 1) * 4096] for i in range(-(-len(data) // 4096))]
+    ratios = [ratio(x) for x in pieces]
+    bad = [not fits(len(x) - 1, r) for x, r in zip(pieces, ratios, strict=True)]
+    share = sum(len(x) for x, b in zip(pieces, bad, strict=True) if b) / len(data)
+    two = any(a and b for a, b in itertools.pairwise(bad))
+    return whole, min(ratios), max(ratios), share, fits(len(data), whole) and share <= 0.25 and not two
+
+
+def test_quality_verdicts(spark, docs):
+    """Ratios and verdict of every document, and of long ones with noise or repetition in some chunks, recomputed."""
+    rng = random.Random(4)
+    word = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randrange(2, 9))) for _ in range(3000)]
+    prose = [" ".join(rng.choices(word, k=900))[:4096] for _ in range(14)]
+    noise = ["".join(rng.choices([chr(c) for c in range(33, 127)], k=4096)) for _ in range(4)]
+    made = ["".join(prose), "".join([*prose[:3], noise[0], *prose[3:]]), "".join([*prose[:3], *noise[:2], *prose[3:]]), "".join([prose[0], noise[0], prose[1], noise[1], prose[2]]), "".join(noise), "again and again " * 900, "".join(prose[:2])[:5000]]
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()] + [(1_000_000 + i, t) for i, t in enumerate(made)]
+    got = {r["doc_id"]: r for r in quality.measure(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    verdicts = set()
+    for i, text in rows:
+        if not text:
+            assert not got[i]["kept"]
+            continue
+        n, _, _, _, repeat = brute_counts(text) if i < 1_000_000 else (100, 0, 0, 0, 0)
+        *ratios, fine = brute_verdict(text)
+        assert [got[i][c] for c in ("ratio", "least_chunk_ratio", "most_chunk_ratio", "bad_share")] == ratios
+        if i < 1_000_000:
+            assert got[i]["kept"] == (fine and not (n < 20 or 100 * repeat > 30 * n))
+        elif not got[i]["base_failed"]:
+            assert got[i]["kept"] == fine
+            verdicts.add(fine)
+    assert verdicts == {True, False}
+
+
 def test_quality_bands():
     rng = random.Random(1)
     import zstandard
