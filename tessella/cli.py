@@ -38,8 +38,8 @@ def main(args: list[str], spark: SparkSession, out=sys.stdout) -> int:
     p.add_argument("command", choices=("list", "show", "props", "links", "lint", "stats", "search", "index", "embed", "demo"))
     p.add_argument("rest", nargs="*", help="an id or a query, then the folder of documents")
     p.add_argument("--json", action="store_true")
-    p.add_argument("--kind")
-    p.add_argument("--type")
+    p.add_argument("--kind", action="append", default=[])
+    p.add_argument("--type", action="append", default=[])
     p.add_argument("--exact-type", action="store_true")
     p.add_argument("--direction", choices=("out", "in", "both"), default="both")
     p.add_argument("--valid-time", help="timeline:coordinate or timeline:from..to")
@@ -70,8 +70,13 @@ def main(args: list[str], spark: SparkSession, out=sys.stdout) -> int:
         except planner.QueryError as e:
             print(e, file=out)
             return 1
+    try:
+        chosen = (tuple(map(inspect.kind_of, a.kind)), tuple(a.type), not a.exact_type, window)
+    except planner.QueryError as e:
+        print(e, file=out)
+        return 1
     if a.command == "list":
-        emit(inspect.listing(g, a.kind, a.type, not a.exact_type, window=window), a.json, out)
+        emit(inspect.inventory(g, *chosen), a.json, out)
     elif a.command == "show":
         rows, state = inspect.show(g, wanted)
         emit(rows, a.json, out)
@@ -79,13 +84,13 @@ def main(args: list[str], spark: SparkSession, out=sys.stdout) -> int:
     elif a.command == "props":
         emit(inspect.properties(g, wanted, window=window), a.json, out)
     elif a.command == "links":
-        emit(ops.links(g, wanted, a.direction, a.type, not a.exact_type, window), a.json, out)
+        emit(ops.links(g, wanted, a.direction, a.type[0] if a.type else None, not a.exact_type, window), a.json, out)
     elif a.command == "lint":
         rows, code = inspect.lint(problems, a.strict)
         emit(rows, a.json, out)
         return code
     elif a.command == "stats":
-        emit(ops.stats(g), a.json, out)
+        emit(inspect.summary(g, problems, *chosen), a.json, out)
     elif a.command == "search":
         query = Path(a.query_file).read_text(encoding="utf-8") if a.query_file else wanted
         r = planner.run(g, query, {k: parameter(v) for k, _, v in (x.partition("=") for x in a.param)}, "SERVER")

@@ -12,8 +12,12 @@ from tessella.functions import temporal
 from tessella.operators.graph import Graph, meets, titles, view, visible_at
 from tessella.plans.syntax import RESERVED, QueryError
 
-#: The order in which kinds are listed.
-KIND_ORDER = ("Node", "Media", "NodeType", "RelType", "Timeline")
+#: The order in which kinds are listed, and the names by which commands ask for them.
+KIND_ORDER = ("Node", "Media", "Link", "NodeType", "RelType", "Timeline")
+KIND_NAMES = dict(zip(("node", "media", "link", "node-type", "rel-type", "timeline"), KIND_ORDER, strict=True))
+#: The order of severities and categories in reports.
+SEVERITIES = ("warning", "error")
+CATEGORIES = ("SyntaxError", "SchemaError", "ReferenceError", "TypeError", "ConstraintError", "DuplicateId")
 
 
 def listing(graph: Graph, kind: str | None = None, type_id: str | None = None, subtypes: bool = True, at: tuple[str, object] | None = None, ident: str | None = None, window: iv.IntervalSet | None = None) -> DataFrame:
@@ -28,13 +32,61 @@ def listing(graph: Graph, kind: str | None = None, type_id: str | None = None, s
         df = df.where(F.array_contains("types", type_id) if subtypes else F.col("type_id") == type_id)
     if at:
         df = visible_at(df, *at).where("visibility = 'Full'")
-    order = F.array_position(F.array(*map(F.lit, KIND_ORDER)), F.col("kind"))
     shown = df.join(titles(graph), df["id"] == F.col("owner"), "left")
     columns = ["kind", "id", "type_id", F.coalesce("title", "id").alias("title"), "source", F.expr(iv.display_sql("valid")).alias("validity")]
     if window is not None:
         shown = shown.join(view(graph, window).where("visibility <> 'Hidden'"), "id")
         columns.append("visibility")
-    return shown.orderBy(order, "id", "source").select(*columns)
+    return shown.orderBy(_place(KIND_ORDER, "kind"), "id", "source").select(*columns)
+
+
+def _place(names: tuple[str, ...], column: str) -> F.Column:
+    return F.array_position(F.array(*map(F.lit, names)), F.col(column))
+
+
+def kind_of(text: str) -> str:
+    """The kind that a command's word means: rel-type, rel_type and RelType are one."""
+    word = text.lower().replace("_", "-")
+    found = KIND_NAMES.get(word) or next((k for k in KIND_ORDER if k.lower() == word), None)
+    if found is None:
+        raise QueryError("GMQL3004", f"unknown kind {text}")
+    return found
+
+
+def inventory(graph: Graph, kinds: tuple[str, ...] = (), types: tuple[str, ...] = (), subtypes: bool = True, window: iv.IntervalSet | None = None) -> DataFrame:
+    """(kind, id, type_id, title, source, validity, visibility) of nodes, media, links, types and timelines, by kind, id, source.
+
+    types: nodes and links of one of these (subtypes: or below). window: nodes that are seen in it (graph.view) and links that
+    hold in it. With either, types and timelines are not listed. No kinds are all kinds.
+    """
+    wanted = set(kinds or KIND_ORDER)
+    of_types = (F.arrays_overlap("types", F.array(*map(F.lit, types))) if subtypes else F.col("type_id").isin(*types)) if types else F.lit(True)
+    shown = [F.expr(iv.display_sql("valid")).alias("validity")]
+    nodes = graph.nodes.where(F.col("kind").isin(*wanted) & of_types)
+    seen = nodes.withColumn("visibility", F.lit("Full")) if window is None else nodes.join(view(graph, window).where("visibility <> 'Hidden'"), "id")
+    out = seen.join(titles(graph), seen["id"] == F.col("owner"), "left").select("kind", "id", "type_id", F.coalesce("title", "id").alias("title"), "source", *shown, "visibility")
+    if "Link" in wanted:
+        links = graph.rels.where(of_types) if window is None else graph.candidates(graph.rels, window).where(of_types & meets(window))
+        out = out.unionByName(links.select(F.lit("Link").alias("kind"), F.col("rel_id").alias("id"), "type_id", F.coalesce("label", "rel_id").alias("title"), "source", *shown, F.lit("Full").alias("visibility")))
+    if not types and window is None:
+        declared = [("NodeType", graph.node_types), ("RelType", graph.rel_types), ("Timeline", dict.fromkeys(graph.timelines, ()))]
+        rows = [(k, i, ", ".join(up) or None, i, None, None, None) for k, ids in declared if k in wanted for i, up in ids.items()]
+        if rows:
+            out = out.unionByName(graph.spark.createDataFrame(rows, "kind string, id string, type_id string, title string, source string, validity string, visibility string"))
+    return out.orderBy(_place(KIND_ORDER, "kind"), "id", "source")
+
+
+def summary(graph: Graph, diagnostics: DataFrame | None = None, kinds: tuple[str, ...] = (), types: tuple[str, ...] = (), subtypes: bool = True, window: iv.IntervalSet | None = None) -> DataFrame:
+    """(what, n): items of each kind, warnings and errors, and nodes by how they are seen, in this order; as inventory()."""
+    items = inventory(graph, kinds, types, subtypes, window)
+    word = F.create_map(*[F.lit(x) for k, w in zip(KIND_ORDER, KIND_NAMES, strict=True) for x in (k, w)])
+    counted = items.select(F.explode(F.array(word[F.col("kind")], F.when(F.col("kind").isin("Node", "Media"), F.when(F.col("visibility") == "Full", "full").otherwise("assertion-only")))).alias("what"))
+    if diagnostics is not None:
+        counted = counted.unionByName(diagnostics.select(F.concat("severity", F.lit("s")).alias("what")))
+    lines = (*KIND_NAMES, "warnings", "errors", "full", "assertion-only")
+    every = graph.spark.createDataFrame([(x,) for x in lines], "what string")
+    counts = counted.where("what IS NOT NULL").groupBy("what").agg(F.count(F.lit(1)).alias("n"))
+    return every.join(counts, "what", "left").select("what", F.coalesce("n", F.lit(0)).alias("n")).orderBy(_place(lines, "what"))
 
 
 def show(graph: Graph, ident: str) -> tuple[DataFrame, str]:
@@ -69,11 +121,11 @@ def properties(graph: Graph, ident: str, at: tuple[str, object] | None = None, w
 
 
 def lint(diagnostics: DataFrame, strict: bool = False) -> tuple[DataFrame, int]:
-    """Diagnostics by path, severity and message, and the exit code; strict makes errors of warnings."""
+    """Diagnostics by path, place, severity, category and message, and the exit code; strict makes errors of warnings."""
     if strict:
         diagnostics = diagnostics.withColumn("severity", F.lit("error"))
     bad = diagnostics.where("severity = 'error'").limit(1).count()
-    return diagnostics.orderBy("path", "severity", "message"), bad
+    return diagnostics.orderBy("path", "start", _place(SEVERITIES, "severity"), _place(CATEGORIES, "category"), "message"), bad
 
 
 def metadata(graph: Graph) -> dict[str, list[str]]:

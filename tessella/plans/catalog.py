@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tessella.functions import calendar, temporal, text
 from tessella.functions import intervals as iv
 from tessella.operators import graph as ops
-from tessella.operators import postings
+from tessella.operators import inspect, postings
 from tessella.plans import structured as st
 from tessella.plans.planner import rows_of
 from tessella.sources import bundle, markdown
@@ -427,6 +427,26 @@ def view(g, t):
     return shown.where("startswith(id, 'order:')")
 
 
+_SEEN = f"""(SELECT {_O} <= {_A} AND {_A} <= {_O} + 120 AS whole, {_O} <= {_A} OR EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND {_L} <= {_A} AND {_A} <= {_L} + 30) AS said FROM orders)"""
+
+
+@graph_query(
+    f"""SELECT 'node' AS what, (SELECT count(*) FROM {_SEEN} WHERE whole OR said) AS n UNION ALL SELECT 'full', (SELECT count(*) FROM {_SEEN} WHERE whole)
+    UNION ALL SELECT 'assertion-only', (SELECT count(*) FROM {_SEEN} WHERE said AND NOT whole) UNION ALL SELECT unnest(['media', 'link', 'node-type', 'rel-type', 'timeline', 'warnings', 'errors']), 0"""
+)
+def summary(g, t):
+    """Orders by how they are seen in a window."""
+    return inspect.summary(g, types=("SalesOrder",), window=iv.IntervalSet([iv.Interval.of("Calendar", _A, _A)]))
+
+
+@graph_query(
+    "SELECT 'Node' AS kind, 'Place' AS type_id, 0 AS n WHERE false UNION ALL SELECT 'Node', 'Region', count(*) FROM region UNION ALL SELECT 'Node', 'Nation', count(*) FROM nation UNION ALL SELECT 'Link', 'inRegion', count(*) FROM nation"
+)
+def inventory(g, t):
+    """Nodes of a type and those below it, and links."""
+    return inspect.inventory(g, types=("Place", "inRegion")).groupBy("kind", "type_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 # documents made of the parts: ingestion, values of all kinds, yearly times
 
 def parts_graph(spark: SparkSession, sf_dir: str):

@@ -18,6 +18,7 @@ from tessella.functions import text as tx
 from tessella.functions.values import literal_sql, plain_test_sql, test_sql
 from tessella.operators.graph import Graph, kept
 from tessella.plans.planner import Diagnostic, Result
+from tessella.plans.syntax import QueryError
 
 #: Operators of property predicates.
 OPERATORS = {"EQUALS": "=", "NOT_EQUALS": "!=", "LESS_THAN": "<", "LESS_THAN_OR_EQUALS": "<=", "GREATER_THAN": ">", "GREATER_THAN_OR_EQUALS": ">=", "CONTAINS": "CONTAINS"}
@@ -304,6 +305,6 @@ def _problems(g: Graph, q: GraphQuery):
             try:
                 if not q.window.set(g):
                     yield Diagnostic("INVALID_TEMPORAL_WINDOW", "the window is empty")
-            except Exception as e:
+            except (QueryError, ValueError) as e:  # a coordinate that its timeline cannot read
                 yield Diagnostic("INVALID_TEMPORAL_WINDOW", str(e))
 

@@ -22,6 +22,29 @@ def test_listings(railway):  # noqa: F811
     assert inspect.metadata(g) == {"nodeTypes": ["Site", "Stop"], "relationTypes": ["trackTo"], "timelines": ["Civil", "Works"]}
 
 
+def test_inventory(railway):  # noqa: F811
+    """Everything by kind, id and source; with types or a window, what has times."""
+    from tessella.functions.intervals import Interval, IntervalSet
+
+    g, problems = railway
+    rows = [(r["kind"], r["id"]) for r in inspect.inventory(g).collect()]
+    assert [k for k, _ in rows] == sorted((k for k, _ in rows), key=inspect.KIND_ORDER.index) and rows[:3] == [("Node", "harbour"), ("Node", "mill"), ("Node", "shed")]
+    assert {("NodeType", "Site"), ("NodeType", "Stop"), ("RelType", "trackTo"), ("Timeline", "Works"), ("Timeline", "Civil")} <= set(rows)
+    assert sum(k == "Link" for k, _ in rows) == g.rels.count()
+    assert {r["kind"] for r in inspect.inventory(g, types=("Site", "trackTo")).collect()} == {"Node", "Link"} and inspect.inventory(g, types=("Site",), subtypes=False).count() == 0
+    late = IntervalSet([Interval.of("Works", 99, 99)])
+    assert [(r["id"], r["visibility"]) for r in inspect.inventory(g, ("Node", "Link"), window=late).where("kind = 'Node'").collect()] == [("shed", "Full")]
+    counts = {r["what"]: r["n"] for r in inspect.summary(g, problems, ("Node", "Timeline")).collect()}
+    assert list(counts) == [*inspect.KIND_NAMES, "warnings", "errors", "full", "assertion-only"]
+    assert (counts["node"], counts["timeline"], counts["link"], counts["full"]) == (3, 2, 0, 3)
+    assert counts["errors"] == problems.where("severity = 'error'").count() and counts["warnings"] == problems.where("severity = 'warning'").count()
+    places = [(r["path"], r["start"]) for r in inspect.lint(problems)[0].collect()]
+    assert places == sorted(places)
+    assert inspect.kind_of("rel_type") == inspect.kind_of("RelType") == inspect.kind_of("rel-type") == "RelType"
+    with pytest.raises(inspect.QueryError):
+        inspect.kind_of("edge")
+
+
 def test_view(railway):  # noqa: F811
     """A node that is over is still seen where something is said of it; an unknown end of a relation is too."""
     from tessella.functions.intervals import Interval, IntervalSet
@@ -67,4 +90,7 @@ def test_commands(spark, tmp_path):
     assert call("embed", str(docs))[0] == 0 and "| src |" in (docs / "page.md").read_text()
     assert call("index", str(docs), "--output", str(tmp_path / "b"))[0] == 0
     assert "harbour" in call("list", "--index", str(tmp_path / "b"), "--type", "Stop")[1]
+    assert call("list", str(docs), "--kind", "timeline", "--kind", "rel-type")[1].count("\n") == 3 and call("list", str(docs), "--kind", "edge")[0] == 1
+    lines = dict(x.split("\t") for x in call("stats", str(docs))[1].splitlines())
+    assert lines["rel-type"] == "1" and lines["errors"] == "0" and "assertion-only" in lines
     assert call("demo", str(tmp_path / "demo"), "--count", "30")[0] == 0
