@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessella.functions.intervals import display_sql
 from tessella.operators import schema
@@ -277,3 +278,16 @@ def test_schemas_narrow(spark):
     rows += [("e.md", "---\nid: E\nkind: NodeType\nextends: [B, F]\n---\n"), ("f.md", "---\nid: F\nkind: NodeType\nprops:\n  p: {type: array}\n---\n")]
     found = {r["path"]: r["category"] for r in markdown.load(spark.createDataFrame(rows, "path string, text string"))[1].collect()}
     assert found == {"C.md": "ConstraintError", "D.md": "ConstraintError", "e.md": "ConstraintError"}
+
+
+def test_documents_of_one_file_are_parsed_by_many_tasks(spark):
+    """A small file holds many documents; each is still one row of what is kept, and equal mistakes in times are each said."""
+    rows = [("Count.md", "---\nid: Count\nkind: Timeline\n---\n"), ("Item.md", "---\nid: Item\nkind: NodeType\n---\n")]
+    rows += [(f"i{i}.md", f"---\nid: i{i}\ntype: Item\nvalidTime: [{{timeline: {'Gone' if i % 50 == 0 else 'Count'}, from: {i % 3}}}]\n---\n# Item {i}\n") for i in range(200)]
+    g, problems = markdown.load(spark.createDataFrame(rows, "path string, text string").coalesce(1))
+    tasks = g.parsed.select(F.spark_partition_id().alias("task")).groupBy("task").count().collect()
+    assert len(tasks) == 8 and max(r["count"] for r in tasks) < 60
+    begins = {r["id"]: r["w"] for r in g.nodes.selectExpr("id", "get(valid.ivs, 0).lo.w AS w").collect()}
+    assert begins == {f"i{i}": None if i % 50 == 0 else i % 3 for i in range(200)}
+    assert sorted(r["path"] for r in problems.where("message = 'unknown timeline Gone'").collect()) == ["i0.md", "i100.md", "i150.md", "i50.md"]
+    markdown.release(g)
