@@ -192,3 +192,15 @@ def test_rebuild(spark, tmp_path):
     g = bundle.read(spark, str(tmp_path / "out"))
     assert ids(g, "MATCH (s:Stop) RETURN ID(s)") == ["harbour", "mill"]
     assert run(g, "MATCH (s:Port) RETURN s").diagnostics[0].code == "GMQL2001"
+
+
+def test_words_of_a_text_are_grouped_where_the_text_is(spark):
+    """Texts are exchanged once, by their ids; words are not exchanged by term, and none carries all gaps of its text."""
+    from tessella.operators import postings
+
+    df = spark.createDataFrame([("a", "One, two; one."), ("b", "..."), ("c", None)], "text_id string, text string")
+    _, _, words = postings.build(df, laid_out=False)
+    plan = words._jdf.queryExecution().optimizedPlan().toString() + words._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(text_id" in plan and "hashpartitioning(term" not in plan
+    got = {(r["term"], r["text_id"]): [tuple(x) for x in r["places"]] for r in words.collect()}
+    assert got == {("one", "a"): [(0, "", ", "), (2, "; ", ".")], ("two", "a"): [(1, ", ", "; ")]}
