@@ -150,3 +150,13 @@ def test_sweep_agrees_with_pairs(spark):
             at = [Fraction(n, 2) for n in range(-2, 250)]
             on = lambda s: {p for p in at if s.at(axis, p)}  # noqa: E731, B023
             assert on(a.intersect(b)) == on(a) & on(b) and on(a.subtract(b)) == on(a) - on(b)
+
+
+def test_buckets(spark):
+    """The level is the least even power of two over the length, the bucket the begin by it; what a window cannot rule out has neither."""
+    day = lambda lo, hi, axis="A": iv.IntervalSet([iv.Interval.of(axis, lo, hi)])
+    two = iv.IntervalSet([iv.Interval.of("A", 1, 2), iv.Interval.of("B", 1, 2)])
+    sets = [day(5, 5), day(8, 11), day(-3, 13), day(7, None), iv.ANYTIME, iv.NEVER, two, day(5, 5, "~P")]
+    got = [tuple(spark.sql(f"SELECT b.* FROM (SELECT {iv.bucket_sql('v', ['~P'])} AS b FROM (SELECT {s.sql()} AS v))").first()) for s in sets]
+    none = (None, None, None)
+    assert got == [("A", 0, 5), ("A", 2, 2), ("A", 6, -1), none, none, none, none, none]

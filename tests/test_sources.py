@@ -204,3 +204,18 @@ def test_words_of_a_text_are_grouped_where_the_text_is(spark):
     assert "hashpartitioning(text_id" in plan and "hashpartitioning(term" not in plan
     got = {(r["term"], r["text_id"]): [tuple(x) for x in r["places"]] for r in words.collect()}
     assert got == {("one", "a"): [(0, "", ", "), (2, "; ", ".")], ("two", "a"): [(1, ", ", "; ")]}
+
+
+def test_words_are_not_exchanged(spark):
+    """Texts are exchanged, once; the words of each are grouped inside its row."""
+    from tessella.operators import postings
+
+    df = spark.createDataFrame([("t1", 0, "ab cd ab"), ("t2", 1, ""), ("t3", 1, None), ("t4", 1, "…ab")], "text_id string, part int, text string")
+    rows, lengths, words = postings.build(df, ("part",), laid_out=False, by=("part",), parts=3)
+    for made in (rows, words):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and "Aggregate" not in plan
+    assert {tuple(r) for r in rows.select("term", "text_id", "tf").collect()} == {("ab", "t1", 2), ("cd", "t1", 1), ("ab", "t4", 1)}
+    assert {(r.term, r.text_id): list(r.positions) for r in rows.collect()} == {("ab", "t1"): [0, 2], ("cd", "t1"): [1], ("ab", "t4"): [0]}
+    held = {(r.term, r.text_id): [tuple(p) for p in r.places] for r in words.collect()}
+    assert held == {("ab", "t1"): [(0, "", " "), (2, " ", "")], ("cd", "t1"): [(1, " ", " ")], ("ab", "t4"): [(0, "…", "")]}
