@@ -94,3 +94,28 @@ def test_commands(spark, tmp_path):
     lines = dict(x.split("\t") for x in call("stats", str(docs))[1].splitlines())
     assert lines["rel-type"] == "1" and lines["errors"] == "0" and "assertion-only" in lines
     assert call("demo", str(tmp_path / "demo"), "--count", "30")[0] == 0
+
+
+def test_view_asks_for_ids_before_times(spark):
+    """A view is one exchange by id, a test on ids stands below it and before that on times; rows are as a join gives them."""
+    from tessella.functions import intervals as iv
+    from tessella.operators import graph as ops
+    from tessella.sources.tables import sales_graph
+
+    window = iv.IntervalSet([iv.Interval.of("Calendar", 5, 5)])
+    held = {"yes": iv.IntervalSet([iv.Interval.of("Calendar", 4, 6)]), "no": iv.IntervalSet([iv.Interval.of("Calendar", 8, 9)])}
+
+    def table(rows, columns):
+        out = [spark.sql("SELECT " + ", ".join(f"'{x}' AS {c}" for x, c in zip(row, columns, strict=True)) + f", {held[when].sql()} AS valid") for *row, when in rows]
+        for df in out[1:]:
+            out[0] = out[0].unionByName(df)
+        return out[0]
+
+    nodes = table([("a", "yes"), ("b", "no"), ("c", "no"), ("d", "no"), ("d", "no"), ("d", "yes"), ("e", "no")], ["id"])
+    rels = table([("a", "b", "yes"), ("e", "x", "no"), ("a", "gone", "yes"), ("d", "a", "yes")], ["src", "dst"])
+    props = table([("c", "yes"), ("nobody", "yes"), ("e", "no")], ["owner"])
+    got = sorted(tuple(r) for r in ops.view(ops.Graph(spark, nodes, rels, props, None), window).collect())
+    want = [("a", "Full"), ("b", "AssertionOnly"), ("c", "AssertionOnly"), *[("d", "AssertionOnly")] * 2, ("d", "Full"), ("e", "Hidden"), ("gone", "AssertionOnly")]
+    assert got == want
+    plan = ops.view(sales_graph(spark, "/root/testdata/sf0.001"), window).where("startswith(id, 'order:')")._jdf.queryExecution().optimizedPlan().toString()
+    assert "FullOuter" not in plan and plan.index("Aggregate [id") < plan.index("StartsWith(")
