@@ -219,3 +219,16 @@ def test_words_are_not_exchanged(spark):
     assert {(r.term, r.text_id): list(r.positions) for r in rows.collect()} == {("ab", "t1"): [0, 2], ("cd", "t1"): [1], ("ab", "t4"): [0]}
     held = {(r.term, r.text_id): [tuple(p) for p in r.places] for r in words.collect()}
     assert held == {("ab", "t1"): [(0, "", " "), (2, " ", "")], ("cd", "t1"): [(1, " ", " ")], ("ab", "t4"): [(0, "…", "")]}
+
+
+def test_index_files_hold_terms_as_differences(spark, railway, tmp_path):  # noqa: F811
+    """Sorted terms cost what differs from the one before, and rows of the index do not name their document again."""
+    import pyarrow.parquet as pq
+
+    bundle.write(railway[0], str(tmp_path / "bundle"))
+    for name in ("postings", "words"):
+        (f, *_) = (tmp_path / "bundle").glob(f"v-*/{name}/part=*/*.parquet")
+        held = pq.ParquetFile(f)
+        columns = {held.metadata.row_group(0).column(i).path_in_schema: held.metadata.row_group(0).column(i) for i in range(held.metadata.num_columns)}
+        assert "doc" not in columns and "DELTA_BYTE_ARRAY" in columns["term"].encodings
+        assert columns["term"].has_column_index or columns["term"].statistics.has_min_max  # look-ups still pass row groups by
