@@ -160,3 +160,28 @@ def test_buckets(spark):
     got = [tuple(spark.sql(f"SELECT b.* FROM (SELECT {iv.bucket_sql('v', ['~P'])} AS b FROM (SELECT {s.sql()} AS v))").first()) for s in sets]
     none = (None, None, None)
     assert got == [("A", 0, 5), ("A", 2, 2), ("A", 6, -1), none, none, none, none, none]
+
+
+def test_fallbacks_are_worked_out_once(spark):
+    """What is left of a fallback is one expression of the plan, however often it is named; few intervals are met by their gaps."""
+    from pyspark.sql import functions as F
+
+    from tessella.operators import graph as ops
+
+    of = lambda *ends: iv.IntervalSet([iv.Interval.of(axis, a, b) for axis, a, b in ends])
+    whole = of(("t", 0, 20), ("t", 30, 40), ("u", 0, 9))
+    timed = {"none": [], "some": [of(("t", 5, 6), ("u", 2, 3)), of(("t", 15, 35))], "all": [of(("t", -1, 99), ("u", -5, 50))], "edge": [of(("t", 0, 0), ("t", 20, 30), ("u", 9, 9))], "ever": [iv.ANYTIME]}
+    rows = [f"SELECT '{o}' AS owner, 'p' AS path, CAST(NULL AS {ops.VALUE}) AS value, {v.sql()} AS valid, {f} AS fallback" for o, vs in timed.items() for v, f in [(whole, "true"), *((v, "false") for v in vs)]]
+    out = ops.resolve_fallbacks(spark.sql(" UNION ALL ".join(rows)).repartition(2), ["t", "u"]).where("fallback")
+    days = out.select("owner", F.expr("size(valid.ivs)").alias("n")).where("n > 0")
+    assert days._jdf.queryExecution().optimizedPlan().toString().count("isnull(_timed") == 1
+    want = {}
+    for o, vs in timed.items():
+        left = whole
+        for v in vs:
+            left = left.subtract(v)
+        if left:
+            want[o] = iv.IntervalSet(left.ivs)
+    got = {r["owner"]: r["v"] for r in out.selectExpr("owner", f"{iv.display_sql('valid')} AS v").collect()}
+    shown = {o: spark.sql(f"SELECT {iv.display_sql('v')} AS v FROM (SELECT {s.sql()} AS v)").first()["v"] for o, s in want.items()}
+    assert got == shown and set(got) == {"none", "some", "edge"}
