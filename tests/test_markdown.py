@@ -291,3 +291,20 @@ def test_documents_of_one_file_are_parsed_by_many_tasks(spark):
     assert begins == {f"i{i}": None if i % 50 == 0 else i % 3 for i in range(200)}
     assert sorted(r["path"] for r in problems.where("message = 'unknown timeline Gone'").collect()) == ["i0.md", "i100.md", "i150.md", "i50.md"]
     markdown.release(g)
+
+
+def test_rows_of_documents_are_kept_as_columns(spark):
+    """What documents give is kept typed, each validity once a document; nothing reads JSON to get it back."""
+    times = "[{timeline: Count, from: 1, to: 3/2}, {timeline: Count, from: 2, to: 1" + "0" * 25 + "}]"
+    text = f'---\nid: a\nurl: [1, {{b: 2.5}}]\nvalidTime: {times}\nprops:\n  big: 9223372036854775808\n  least: -9223372036854775808\n  l: [x, 1e999]\nrelations:\n  - {{target: b, type: next, label: 12345678.5}}\n---\n# T\n'
+    g, _ = markdown.load(spark.createDataFrame([("Count.md", "---\nid: Count\nkind: Timeline\n---\n"), ("a.md", text)], "path string, text string"))
+    for table in (g.nodes, g.rels, g.props, g.texts):
+        assert "from_json" not in table._jdf.queryExecution().toString()
+    assert [len(r[0]) for r in g.parsed.where("size(node) > 0").select("valids").collect()] == [1]
+    assert [r[0] for r in g.nodes.select("url").collect()] == ['[1,{"b":2.5}]'] and [r[0] for r in g.rels.select("label").collect()] == ["1.23456785E7"]
+    values = {r["path"]: r["value"] for r in g.props.select("path", "value").collect()}
+    assert values["big"].tag == "integer" and values["big"].i is None and values["least"].i == -(2**63)
+    assert values["l.1"].d == float("inf") and [(x.tag, x.s) for x in values["l"]["items"]][0] == ("string", "x")
+    (valid,) = {str(r[0]) for r in g.props.select("valid").collect()}
+    assert valid == str(g.nodes.first()["valid"])
+    markdown.release(g)
