@@ -232,3 +232,28 @@ def test_index_files_hold_terms_as_differences(spark, railway, tmp_path):  # noq
         columns = {held.metadata.row_group(0).column(i).path_in_schema: held.metadata.row_group(0).column(i) for i in range(held.metadata.num_columns)}
         assert "doc" not in columns and "DELTA_BYTE_ARRAY" in columns["term"].encodings
         assert columns["term"].has_column_index or columns["term"].statistics.has_min_max  # look-ups still pass row groups by
+
+
+def test_an_index_is_made_where_the_texts_were_written(spark, railway, tmp_path, monkeypatch):  # noqa: F811
+    """No text is exchanged for the index, whose files follow those of the texts; what a relation owns goes with its source."""
+    from tessella.operators import postings
+
+    df = spark.createDataFrame([("t1", 0, "ab cd ab"), ("t2", 1, None)], "text_id string, part int, text string")
+    for made in postings.build(df, ("part",), laid_out=False, by=()):
+        assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    graph = railway[0]
+    rels = {r["rel_id"]: r["src"] for r in graph.rels.select("rel_id", "src").collect()}
+    want = {(r["owner"], r["path"]): rels.get(r["owner"], r["owner"]) for r in graph.props.select("owner", "path").collect()}
+    texts = sorted(map(tuple, graph.texts.select("text_id", "text").collect()))
+    words = sorted((r["term"], r["text_id"]) for r in postings.build(graph.texts)[0].select("term", "text_id").collect())
+    monkeypatch.setattr(bundle, "_READ", 1 << 9)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    bundle.write(graph, str(tmp_path / "bundle"))
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") == before
+    (folder,) = (tmp_path / "bundle").glob("v-*")
+    assert not (folder / "owners").exists()
+    props = spark.read.parquet(str(folder / "props"))
+    assert {(r["owner"], r["path"]): r["doc"] for r in props.select("owner", "path", "doc").collect()} == want
+    back = bundle.read(spark, str(tmp_path / "bundle"))
+    assert sorted(map(tuple, back.texts.select("text_id", "text").collect())) == texts
+    assert sorted((r["term"], r["text_id"]) for r in back.postings.select("term", "text_id").collect()) == words
