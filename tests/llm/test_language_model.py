@@ -52,3 +52,31 @@ def test_lower_order(top):
     got = list(zip(*(w.tolist() for w in words), strict=True))
     assert got == sorted(want)
     assert [list(f) for f in zip(*(x.tolist() for x in fields), strict=True)] == [want[g] for g in got]
+
+
+def test_blocks_do_not_multiply(monkeypatch):
+    """Chunks of few n-grams give one block a shard together, and what is packed is what was added."""
+    monkeypatch.setattr(lm, "_BLOCK", 50)
+    rng, blocks, want, got = np.random.default_rng(5), lm.Blocks(4), [], []
+    for i in range(12):
+        words = sorted((int(a), int(b)) for a, b in rng.integers(0, 1 << (8 + 3 * i), (40, 2)))
+        blocks.add([np.array(c, np.uint64) for c in zip(*words, strict=True)], [np.full(40, i + 1, np.uint64)])
+        want += [(*w, i + 1) for w in words]
+        assert not blocks.full()
+    rows = [r for some in blocks.rows() for r in some]
+    assert len(rows) == len({s for s, _ in rows}) <= 16
+    for s, block in rows:
+        words, fields = lm.unpack_rows(block, 2)
+        assert (lm.keys_of(words, 4) >> np.uint64(60) == s).all()
+        got += [tuple(map(int, x)) for x in zip(*words, *fields, strict=True)]
+    assert sorted(got) == sorted(want) and not list(blocks.rows())
+
+
+def test_few_shards_of_words(spark, tmp_path):
+    """Many shards of n-grams, few of words and of order 1, and all are found."""
+    texts = ["a b c a b d", "b c a b", "", "d d d a b c"] * 5
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    many, few = (lm.train(docs, 3, f"file://{tmp_path}/{name}", shard_bytes=size) for name, size in (("many", 1), ("few", 1 << 20)))
+    assert many.bits > many.word_bits == 3
+    a, b = ({r["doc_id"]: (r["n_known"], round(r["score"], 9)) for r in lm.score(docs, m).collect()} for m in (many, few))
+    assert a == b and all(n == len(texts[i].split()) + 1 for i, (n, _) in a.items())
