@@ -217,3 +217,13 @@ def test_top_k_is_tie_safe(rows, k):
     scores, ids = (np.array([r[i] for r in rows], np.int64) for i in (0, 1))
     got = search.top_k(scores, ids, k)
     assert sorted((-scores[i], ids[i]) for i in got) == sorted((-s, i) for s, i in rows if s > 0)[:k]
+
+
+def test_index_is_read_a_shard_at_a_time(spark, tmp_path):
+    """Each shard is a row group of its own, which is what Spark's reader holds at once."""
+    import pyarrow.parquet as pq
+
+    docs = spark.createDataFrame([(i, f"term{i} and term{i + 1}") for i in range(60)], "doc_id long, text string").coalesce(1)
+    index = search.build_index(docs, search.corpus_totals(docs), f"file://{tmp_path}", postings=10)
+    files = [pq.ParquetFile(p).metadata for p in (tmp_path / "index").glob("part-*.parquet")]
+    assert index.count() == sum(m.num_rows for m in files) == sum(m.num_row_groups for m in files) >= 15
