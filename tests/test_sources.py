@@ -257,3 +257,35 @@ def test_an_index_is_made_where_the_texts_were_written(spark, railway, tmp_path,
     back = bundle.read(spark, str(tmp_path / "bundle"))
     assert sorted(map(tuple, back.texts.select("text_id", "text").collect())) == texts
     assert sorted((r["term"], r["text_id"]) for r in back.postings.select("term", "text_id").collect()) == words
+
+
+def test_index_is_made_when_it_is_asked_for(spark, railway, tmp_path):
+    """A bundle without an index gets the tables that are named, in a version that keeps all its other parts."""
+    folder = str(tmp_path / "b")
+    bundle.write(railway[0], folder, index=False)
+    before = bundle._manifest(spark, folder)[1]["tables"]
+    assert set(before) == set(bundle._TABLES)
+    bundle.add_index(spark, folder, ("words",))
+    version, m = bundle._manifest(spark, folder)
+    assert {k: v for k, v in m["tables"].items() if k != "words"} == before and {p[0] for p in m["tables"]["words"].values()} == {version}
+    bundle.add_index(spark, folder, ("words",))
+    assert bundle._manifest(spark, folder)[0] == version
+    whole = str(tmp_path / "whole")
+    bundle.write(railway[0], whole)
+    some, every = bundle.read(spark, folder), bundle.read(spark, whole)
+    assert some.postings is None and some.lengths is None
+    assert sorted(map(str, some.words.collect())) == sorted(map(str, every.words.collect())) != []
+
+
+def test_a_session_makes_no_index_before_a_phrase(spark, tmp_path, monkeypatch):
+    """A query on times has its bundle written without an index."""
+    from tessella.plans import catalog
+
+    made, write = [], bundle.write
+    monkeypatch.setattr(catalog, "_KEPT", {})
+    monkeypatch.setattr(bundle, "write", lambda *a, **k: (made.append(k.get("index", True)), write(*a, **k))[1])
+    sf = "/root/testdata/sf0.001"
+    catalog.kept_graph(spark, sf)
+    folder = next(iter(catalog._KEPT.values()))
+    assert made == [False] and "words" not in bundle._manifest(spark, folder)[1]["tables"]
+    assert catalog.kept_graph(spark, sf, ("words",)).words is not None and made == [False]
